@@ -29,4 +29,4 @@ def twin(body: str, **steps: str) -> str:
     visit(body, ())
     if not ordered:
         return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS (\n{known[n]}\n)" for n in ordered) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{known[n]}\n)" for n in ordered) + "\n" + body.strip()

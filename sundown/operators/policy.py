@@ -84,8 +84,8 @@ def _campaign_rules(policy: Policy) -> list[tuple[Column, str]]:
     return rules
 
 
-def decide(facts: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """One decision per campaign with the number of blockers and review requirements."""
+def decide(facts: DataFrame, policy: Policy = Policy(), keys: tuple[Column | str, ...] = ("campaign_id",)) -> DataFrame:
+    """One decision per row of facts, by default per campaign, with the number of blockers and review requirements."""
     blocked = F.col("incomplete_sources") + F.col("unresolved") + F.col("unknown")
     for condition, _ in _campaign_rules(policy):
         blocked = blocked + condition.cast("bigint")
@@ -96,7 +96,7 @@ def decide(facts: DataFrame, policy: Policy = Policy()) -> DataFrame:
         review = review + F.col("waived")
     unsafe = F.col("unsafe") + F.col("added")
     return facts.withColumn("_b", blocked).withColumn("_u", unsafe).withColumn("_r", review).select(
-        "campaign_id",
+        *keys,
         F.when(F.col("_u") > 0, "UNSAFE")
         .when(F.col("_b") > 0, "BLOCKED")
         .when(F.col("_r") > 0, "REVIEW_REQUIRED")

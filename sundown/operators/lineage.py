@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +80,11 @@ def downstream_closure(
     """Every node reachable from each start with its least number of hops, the start left out.
 
     One join per hop over all starts together. Each hop's new nodes are written to the
-    checkpoint folder, so a lost executor repeats one hop and the plan stays short.
+    checkpoint folder, so a lost executor repeats one hop, the plan stays short, and a
+    small frontier is known to be small: then the edges are not shuffled for it.
     ``open_ended`` follows the walk to its end once ``max_hops`` is 3 or more.
     """
-    steps = edges.select("upstream", "downstream").distinct()
+    steps = edges.select("upstream", "downstream")
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("degree")).distinct()
     reached = frontier
     found: DataFrame | None = None
@@ -172,28 +171,34 @@ def context_rollup(entities: DataFrame, owners: DataFrame, queries: DataFrame) -
 
 
 def graph_items(edges: DataFrame) -> DataFrame:
-    """Nodes, edges and field mappings of a graph as ``(kind, item, detail)`` rows."""
-    node = edges.select(F.explode(F.array("upstream", "downstream")).alias("item")).distinct()
-    edge = edges.groupBy(F.concat_ws(">", "upstream", "downstream").alias("item")).agg(F.min("precision").alias("detail"))
-    mapped = edges.filter(F.col("precision") == "field").select(
-        F.concat_ws(">", F.concat_ws("#", "upstream", "up_field"), F.concat_ws("#", "downstream", "down_field")).alias("item")
-    ).distinct()
-    nothing = F.lit("").alias("detail")
-    return (
-        node.select(F.lit("node").alias("kind"), "item", nothing)
-        .unionByName(edge.select(F.lit("edge").alias("kind"), "item", "detail"))
-        .unionByName(mapped.select(F.lit("field").alias("kind"), "item", nothing))
-    )
+    """Nodes, edges and field mappings of a graph as ``(kind, item, precise)`` rows, repeats included."""
+    entry = lambda kind, item, precise: F.struct(
+        F.lit(kind).alias("kind"), item.alias("item"), precise.alias("precise"))
+    yes = F.lit(True)
+    by_field = F.col("precision") == "field"
+    mapped = F.concat_ws(">", F.concat_ws("#", "upstream", "up_field"), F.concat_ws("#", "downstream", "down_field"))
+    items = F.array_compact(F.array(
+        entry("node", F.col("upstream"), yes),
+        entry("node", F.col("downstream"), yes),
+        entry("edge", F.concat_ws(">", "upstream", "downstream"), by_field),
+        F.when(by_field, entry("field", mapped, yes)),
+    ))
+    return edges.select(F.explode(items).alias("i")).select("i.*")
 
 
 def graph_differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
-    """Items missing from, or extra in, the observed graph, or differing in detail."""
-    key = ["kind", "item"]
-    a = expected.select(*key, F.col("detail").alias("_e"))
-    b = observed.select(*key, F.col("detail").alias("_o"))
+    """Every item of either graph with its state: missing, extra, changed in precision, or the same.
+
+    Both graphs go through one grouping with flags only, combined before the shuffle,
+    instead of being made distinct and joined.
+    """
+    both = graph_items(expected).withColumn("seen", F.lit(False)).unionByName(
+        graph_items(observed).withColumn("seen", F.lit(True)))
+    sides = both.groupBy("kind", "item").agg(
+        F.max(F.when(~F.col("seen"), F.col("precise"))).alias("_e"), F.max(F.when(F.col("seen"), F.col("precise"))).alias("_o"))
     state = F.when(F.col("_o").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(
         F.col("_e") != F.col("_o"), "changed").otherwise("same")
-    return a.join(b, key, "full_outer").select(*key, state.alias("state"))
+    return sides.select("kind", "item", state.alias("state"))
 
 
 def graph_recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
@@ -207,7 +212,3 @@ def graph_recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
         F.count_if(state == "changed").alias("changed"),
         F.round(F.count_if(state.isin("same", "changed")) / F.count_if(state != "extra"), 8).alias("recall"),
     )
-
-
-def column_sorted_distinct(values: Sequence[Column]) -> Column:
-    return F.concat_ws(",", F.array_sort(F.array_distinct(F.array_compact(F.array(*values)))))

@@ -9,6 +9,7 @@ from sundown.functions.ordered import before_each_row, row_numbers
 from sundown.operators import events as ev
 from sundown.operators import report as r
 from sundown.plans.twin import twin, view
+from sundown.session import cut_lineage
 from sundown.sources.tables import Tables
 from sundown.vocabulary import CAMPAIGN_MOVES, CONSUMER_MOVES, DISPOSITIONS, IMPORTABLE_DISPOSITIONS, pairs
 
@@ -143,9 +144,10 @@ _DIGEST_SQL = "sha256(campaign_id || '|' || sequence || '|' || event_id || '|' |
 
 
 def log(t: Tables, daily: bool) -> DataFrame:
-    return base_stream(t, daily).select(
+    """The log, landed as a table: the audits read it more than once, each time only some columns."""
+    return cut_lineage(base_stream(t, daily).select(
         "campaign_id", "sequence", "event_type", "occurred_at", F.concat(F.lit("e"), eid()).alias("idempotency_key"),
-        event_digest().alias("event_digest"), payload().alias("payload"), "event_id", "user_id", "value")
+        event_digest().alias("event_digest"), payload().alias("payload"), "event_id", "user_id", "value"))
 
 
 def damaged_chain(t: Tables) -> DataFrame:

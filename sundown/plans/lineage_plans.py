@@ -10,6 +10,7 @@ from sundown.functions.ordered import row_numbers
 from sundown.operators import evidence as e
 from sundown.operators import lineage as g
 from sundown.plans.twin import twin, view
+from sundown.session import cut_lineage
 from sundown.sources.tables import Tables
 
 HOPS = 4
@@ -153,12 +154,13 @@ FROM (SELECT start, node, min(degree) AS degree FROM walk_all GROUP BY 1, 2) WHE
 
 
 def closure(t: Tables) -> DataFrame:
-    return g.downstream_closure(edges(t), starts(t), HOPS)
+    return g.downstream_closure(cut_lineage(edges(t)), starts(t), HOPS)
 
 
 def classified(t: Tables) -> DataFrame:
-    field = g.downstream_closure(edges(t).filter("precision = 'field'"), starts(t), HOPS)
-    return g.classify_consumers(closure(t), field, "key")
+    landed = cut_lineage(edges(t))
+    field = g.downstream_closure(landed.filter("precision = 'field'"), starts(t), HOPS)
+    return g.classify_consumers(g.downstream_closure(landed, starts(t), HOPS), field, "key")
 
 
 view("classified", """
@@ -429,9 +431,8 @@ QUERIES = {
         t.lineitem.select(F.col("l_partkey").alias("entity"), F.col("l_suppkey").alias("owner")),
         t.lineitem.groupBy(F.col("l_partkey").alias("entity"), "l_orderkey").agg(F.count(F.lit(1)).alias("total"))
         .select("entity", "total", F.lit(1).alias("returned")))),
-    "c18_graph_recall": _Q(lambda t: g.graph_recall(g.graph_items(edges(t)), g.graph_items(observed_edges(t)))),
-    "c18_graph_differences": _Q(lambda t: g.graph_differences(
-        g.graph_items(edges(t)), g.graph_items(observed_edges(t))).filter("state <> 'same'")),
+    "c18_graph_recall": _Q(lambda t: g.graph_recall(edges(t), observed_edges(t))),
+    "c18_graph_differences": _Q(lambda t: g.graph_differences(edges(t), observed_edges(t)).filter("state <> 'same'")),
 }
 
 _PARTS_SQL = """

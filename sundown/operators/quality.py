@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sundown.functions.checks import count_where, differs
 from sundown.functions.hashing import fingerprint
+from sundown.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -454,7 +455,11 @@ EXPECTED_FAILURES = {
 def fault_detection(
     variants: DataFrame, key: str, legacy: str, replacement: str, accepted: Sequence[str]
 ) -> DataFrame:
-    """Every test on every variant: failing rows, whether it had to fail, whether it did."""
+    """Every test on every variant: failing rows, whether it had to fail, whether it did.
+
+    The variants are written once; each test then reads only its columns.
+    """
+    variants = cut_lineage(variants)
     tests = ColumnTests(not_null=(replacement,), unique=(key,), accepted={replacement: tuple(accepted)})
     results = column_tests(variants, tests, by=("variant_id",)).select("variant_id", "test", "failing_rows")
     parity = variants.groupBy("variant_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sundown.session import cut_lineage
 from sundown.vocabulary import FAULTS, UNMAPPED_VALUE
 
 # Up to this many rows a top-n is cheaper than the histogram and fits one task.
@@ -72,14 +73,18 @@ class Keep:
 def closed_slice(
     tables: Mapping[str, DataFrame], root: str, roots: DataFrame, root_key: str, rules: Sequence[Keep]
 ) -> dict[str, DataFrame]:
-    """Rows reachable from the sampled roots, so that no kept row has a dangling key."""
-    kept = {root: tables[root].join(roots.select(root_key), root_key, "left_semi")}
+    """Rows reachable from the sampled roots, so that no kept row has a dangling key.
+
+    The slice is the result, and later rules read the keys of earlier tables, so each
+    kept table is written to the shared folder once.
+    """
+    kept = {root: cut_lineage(tables[root].join(roots.select(root_key), root_key, "left_semi"))}
     for rule in rules:
         keys: DataFrame | None = None
         for table, column in rule.sources:
             part = kept[table].select(F.col(column).alias(rule.column)).filter(F.col(rule.column).isNotNull())
             keys = part if keys is None else keys.unionByName(part)
-        kept[rule.table] = tables[rule.table].join(keys.distinct(), rule.column, "left_semi")
+        kept[rule.table] = cut_lineage(tables[rule.table].join(keys.distinct(), rule.column, "left_semi"))
     return kept
 
 
@@ -101,11 +106,26 @@ def next_status(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def sample_border(df: DataFrame, key: str, seed: int, limit: int | Column) -> DataFrame:
+    """The place of the last sampled key in the seeded order, as one row and column."""
+    return stable_sample(df, key, seed, limit).agg(F.max(_place(key, F.col("order_hash"))).alias("border"))
+
+
+def _place(key: str, hashed: Column) -> Column:
+    return F.struct(hashed.alias("h"), F.col(key).cast("string").alias("k"))
+
+
 def inject_fault(df: DataFrame, key: str, column: str, variant: str, seed: int) -> DataFrame:
-    """One variant of the table: a stable one percent of its rows gets the fault, ``affected`` marks them."""
+    """One variant of the table: a stable one percent of its rows gets the fault, ``affected`` marks them.
+
+    A row is hit when its own place in the seeded order lies within the border of the
+    sample. The border is a scalar subquery over the keys, so the table itself is
+    neither shuffled nor joined.
+    """
     salt, _ = FAULTS[variant]
-    chosen = stable_sample(df, key, seed + salt, one_percent()).select(key, F.lit(True).alias("affected"))
-    marked = df.join(chosen, key, "left").withColumn("affected", F.coalesce("affected", F.lit(False)))
+    border = sample_border(df, key, seed + salt, one_percent()).scalar()
+    hit = F.coalesce(_place(key, order_hash(key, seed + salt)) <= border, F.lit(False))
+    marked = df.withColumn("affected", hit)
     if variant == "null-inflated":
         value = F.when(F.col("affected"), F.lit(None)).otherwise(F.col(column))
     elif variant == "unmapped-value":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sundown.operators import quality as q
 from sundown.operators import sampling as s
 from sundown.plans.twin import twin, view
+from sundown.session import cut_lineage
 from sundown.sources.tables import Tables
 from sundown.vocabulary import FAULTS
 
@@ -365,7 +366,7 @@ QUERIES = {
             "raw_max_date", "staging_max_date", "mart_max_date", "raw_rows", "staging_rows", "mart_rows",
             "gap_days", "documented_gap_days", "gap_discrepancy")])),
     "b15_volume_probe": _q(lambda t: q.volume_probe(daily_mart(t), "event_count")),
-    "b16_column_tests": _q(lambda t: q.column_tests(variants(t), q.ColumnTests(
+    "b16_column_tests": _q(lambda t: q.column_tests(cut_lineage(variants(t)), q.ColumnTests(
         not_null=("order_id", "order_status", "total_amount"), unique=("order_id",),
         accepted={"order_status": ACCEPTED}), by=("variant_id",))),
     "b17_table_diff": _q(lambda t: q.table_diff(_consumer_output(t), _expected_output(t))),

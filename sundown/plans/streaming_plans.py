@@ -25,8 +25,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def landed_log(t: Tables, folder: str, gaps: bool) -> str:
-    """Write the daily log with retries, spread over files regardless of time; with ``gaps`` some events are renumbered."""
+def landed_log(t: Tables, folder: str, gaps: bool = False, conflicts: bool = False) -> str:
+    """Write the daily log with retries, spread over files regardless of time.
+
+    With ``gaps`` some events are renumbered; with ``conflicts`` some arrive again with other content.
+    """
     rows = before_each_row(
         base_stream(t, True).withColumn("event_digest", event_digest()), ["campaign_id"],
         F.floor(F.unix_seconds("occurred_at") / HOUR), ["sequence"], last={"previous_event_digest": F.col("event_digest")})
@@ -35,11 +38,27 @@ def landed_log(t: Tables, folder: str, gaps: bool) -> str:
     log = rows.select(
         "campaign_id", sequence.cast("bigint").alias("sequence"), "event_type", "occurred_at",
         F.concat(F.lit("e"), eid()).alias("idempotency_key"), "previous_event_digest", "event_digest", payload().alias("payload"),
-        copies.alias("copies")).withColumn("copy", F.explode("copies")).drop("copy", "copies")
-    log.repartition(FILES, F.xxhash64("idempotency_key")).write.parquet(f"{folder}/log")
+        copies.alias("copies"), (eid() % 47 == 0).alias("clashes")).withColumn("copy", F.explode("copies"))
+    if conflicts:
+        again = log.filter("clashes AND copy = 1").withColumn("payload", F.lit('{"state":"RETIRED"}'))
+        log = log.unionByName(again)
+    log = log.drop("copy", "copies", "clashes")
+    log.repartition(FILES, F.xxhash64("idempotency_key", "payload")).write.parquet(f"{folder}/log")
     return f"{folder}/log"
 
 
+def close_log(t: Tables, path: str) -> None:
+    """Two later events of a campaign of their own, landed one after the other, so that the watermark passes everything before."""
+    newest = t.events.agg(F.max("ts").cast("timestamp").alias("ts"))
+    none = F.lit(None).cast("string")
+    for number, days in ((1, 100), (2, 101)):
+        newest.select(
+            F.lit("closing").alias("campaign_id"), F.lit(number).cast("bigint").alias("sequence"), F.lit("CAMPAIGN_CREATED").alias("event_type"),
+            F.timestamp_add("DAY", F.lit(days), F.col("ts")).alias("occurred_at"), F.lit(f"closing-{number}").alias("idempotency_key"),
+            none.alias("previous_event_digest"), F.lit(f"closing-{number}").alias("event_digest"), F.lit("{}").alias("payload"),
+        ).write.mode("append").parquet(path)
+
+
 def campaign_state(spark: SparkSession, folder: str) -> DataFrame:
     work = scratch(spark)
     stream = logs.read_log(spark, landed_log(Tables(spark, folder), work, gaps=False))
@@ -49,18 +68,35 @@ def campaign_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chain_failures(spark: SparkSession, folder: str) -> DataFrame:
-    """Failures decided while streaming; those still open at the end of the input are not yet final."""
-    work = scratch(spark)
-    stream = logs.read_log(spark, landed_log(Tables(spark, folder), work, gaps=True))
+    """Missing or broken predecessors, decided while streaming, once the watermark has passed them."""
+    work, t = scratch(spark), Tables(spark, folder)
+    path = landed_log(t, work, gaps=True)
+    close_log(t, path)
     logs.write_updates(
-        logs.stream_chain_failures(stream, DELAY, REACH), f"{work}/failures", f"{work}/failures-log", mode="append"
+        logs.stream_chain_failures(logs.read_log(spark, path), DELAY, REACH), f"{work}/failures", f"{work}/failures-log", mode="append"
     ).awaitTermination()
-    return spark.read.parquet(f"{work}/failures").select("campaign_id", "sequence", "refusal_code")
+    return spark.read.parquet(f"{work}/failures").filter("campaign_id <> 'closing'").select("campaign_id", "sequence", "refusal_code")
 
 
-QUERIES = {"e14_streaming_campaign_state": campaign_state}
+def conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    work = scratch(spark)
+    stream = logs.read_log(spark, landed_log(Tables(spark, folder), work, conflicts=True))
+    logs.write_updates(logs.stream_conflicts(stream, DELAY), f"{work}/conflicts", f"{work}/conflicts-log").awaitTermination()
+    return logs.latest(spark.read.parquet(f"{work}/conflicts"), ["campaign_id", "idempotency_key"]).select("campaign_id", "idempotency_key")
+
+
+QUERIES = {
+    "e14_streaming_campaign_state": campaign_state,
+    "e14_streaming_chain_failures": chain_failures,
+    "e14_streaming_conflicts": conflicts,
+}
 
 ORACLES = {
     "e14_streaming_campaign_state": twin("""
 SELECT campaign_id, state, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_event_at, events, reconciled, CAST(0 AS BIGINT) AS missing FROM daily_fold"""),
+    "e14_streaming_chain_failures": twin("""
+SELECT campaign_id, seq AS sequence, 'INTEGRITY_EVENT_SEQUENCE_INVALID' AS refusal_code FROM renumbered r
+WHERE seq > 1 AND NOT EXISTS (SELECT 1 FROM renumbered p WHERE p.campaign_id = r.campaign_id AND p.seq = r.seq - 1)""", renumbered="""
+SELECT campaign_id, CASE WHEN event_id % 53 = 0 THEN sequence + 1000 ELSE sequence END AS seq FROM daily_stream"""),
+    "e14_streaming_conflicts": twin("SELECT campaign_id, 'e' || event_id AS idempotency_key FROM daily_stream WHERE event_id % 47 = 0"),
 }

@@ -13,32 +13,41 @@ from sundown.operators import events as ev
 from sundown.operators import policy as p
 from sundown.vocabulary import CLOSED_DISPOSITIONS
 
-# Next action per decision.
+# Next action per decision, and the one before publication.
 NEXT_ACTION = {
-    "READY_TO_RETIRE": "prepare one short-lived producer plan and run the gate",
-    "REVIEW_REQUIRED": "resolve the recorded review requirement, then reconcile and evaluate again",
-    "BLOCKED": "resolve the blocking evidence or authorization, then resume",
-    "UNSAFE": "migrate or resolve every unsafe consumer, validate it, then reconcile again",
+    "READY_TO_RETIRE": "Prepare one short-lived producer plan and run the gate immediately before the producer change.",
+    "REVIEW_REQUIRED": "Resolve the recorded review requirement, preserve any residual risk, then reconcile and evaluate again.",
+    "BLOCKED": "Resolve the blocking evidence or authorization, then resume at the step named below.",
+    "UNSAFE": "Migrate or resolve every unsafe consumer, validate in its native system, then reconcile again.",
 }
-PUBLISH_FIRST = "publish and verify the campaign summary, then prepare one short-lived producer plan and run the gate"
+PUBLISH_FIRST = "Publish and verify the campaign summary, then prepare one short-lived producer plan and run the gate."
+UNKNOWN_ACTION = "Stop and inspect the canonical campaign state."
 
-# Family of a code, where its evidence lives, and how to recover.
+# Family of a code, its evidence source and recovery action.
 RECOVERY = {
-    "EVIDENCE": ("evidence envelope", "refresh the required source, verify paging and freshness, then inventory or reconcile again"),
-    "IDENTITY": ("native identity mapping", "resolve exactly one native object for the consumer before planning a change"),
-    "AUTH": ("authorization record", "review the exact plan and record a fresh, target-bound authorization"),
-    "SOURCE": ("source-native precondition", "reread the source, keep any change of its owner, and create a new plan"),
-    "SCOPE": ("authorized target scope", "reduce the change to the exact allowlist and authorize a new plan"),
-    "APPLY": ("native apply result", "discover the actual native state before retrying or compensating"),
-    "VALIDATION": ("source-native validator", "fix the native validation failure and obtain a new passing receipt"),
-    "COMPENSATION": ("source-native recovery", "resolve the recovery conflict in the source without overwriting its owner's change"),
-    "RECONCILIATION": ("fresh reconciliation", "refresh the equivalent scope and reconcile the complete observed set again"),
-    "POLICY": ("campaign policy", "resolve the named consumer state or policy input, then evaluate again"),
-    "INTEGRITY": ("campaign integrity check", "stop changes, restore the canonical record or event stream, and verify it again"),
-    "RUNTIME": ("campaign runtime", "restore the named runtime boundary, then resume from durable state"),
-    "GATE": ("producer-side gate", "do not retire the field; repair the named gate precondition and issue a new plan"),
+    "EVIDENCE": ("evidence envelope", "Refresh or restore the required source, verify complete pagination and freshness, then inventory or reconcile again."),
+    "IDENTITY": ("native identity mapping", "Resolve exactly one native object for the consumer before planning a change."),
+    "AUTH": ("authorization record", "Review the exact plan and record a fresh, target-bound authorization."),
+    "SOURCE": ("source-native precondition", "Reread the source, preserve any intervening owner change, and create a new plan from current state."),
+    "SCOPE": ("authorized target scope", "Reduce the proposed change to the exact allowlist and authorize a new plan."),
+    "APPLY": ("native apply result", "Discover the actual native state before retrying or compensating."),
+    "VALIDATION": ("source-native validator", "Fix the native validation failure and obtain a new passing receipt."),
+    "COMPENSATION": ("source-native recovery", "Resolve the recovery conflict in the source system without overwriting an intervening owner change."),
+    "RECONCILIATION": ("fresh reconciliation", "Refresh equivalent evidence scope and reconcile the complete observed set again."),
+    "POLICY": ("campaign policy", "Resolve the named consumer state or policy input, then evaluate again."),
+    "INTEGRITY": ("campaign integrity check", "Stop mutation, restore the canonical artifact or event stream, and reverify it."),
+    "RUNTIME": ("campaign runtime", "Restore the named local runtime boundary, then resume from durable state."),
+    "GATE": ("producer-side gate", "Do not retire the field; repair the named gate precondition and issue a new short-lived plan."),
+}
+DEFAULT_RECOVERY = ("canonical campaign state", "Inspect the canonical event history and resolve this condition before continuing.")
+
+# Labels of a consumer's receipt.
+RECEIPT_LABELS = {
+    "STALE": "STALE — recorded receipt is not acceptable now",
+    "VALIDATED": "VALIDATED — native receipt accepted at manifest time",
+    "RECORDED": "RECORDED — receipt does not close the current state",
+    "MISSING": "MISSING — no accepted native validation receipt",
 }
-DEFAULT_RECOVERY = ("canonical campaign state", "inspect the event history and resolve this condition before continuing")
 
 
 def _lookup(table: dict[str, str], key: Column, default: str) -> Column:
@@ -117,7 +126,7 @@ def campaign_rollup(decisions: DataFrame, consumers: DataFrame, published: DataF
         joined = joined.join(published.select("campaign_id", F.lit(True).alias("_published")).distinct(), "campaign_id", "left")
         verified = F.coalesce("_published", F.lit(False))
     action = F.when((F.col("decision") == "READY_TO_RETIRE") & ~verified, F.lit(PUBLISH_FIRST)).otherwise(
-        _lookup(NEXT_ACTION, F.col("decision"), "stop and inspect the canonical campaign state"))
+        _lookup(NEXT_ACTION, F.col("decision"), UNKNOWN_ACTION))
     return joined.select(
         "campaign_id", "decision",
         F.coalesce("consumers", zero).alias("consumers"),
@@ -129,7 +138,12 @@ def campaign_rollup(decisions: DataFrame, consumers: DataFrame, published: DataF
     )
 
 
+def receipt_label(state: Column) -> Column:
+    return _lookup(RECEIPT_LABELS, state, RECEIPT_LABELS["MISSING"])
+
+
 def receipt_state(disposition: Column, receipt: Column) -> Column:
+    """STALE, VALIDATED, RECORDED or MISSING."""
     return (
         F.when(disposition == "STALE", "STALE")
         .when((disposition == "VALIDATED") & receipt.isNotNull(), "VALIDATED")
@@ -229,7 +243,7 @@ def public_consumers(consumers: DataFrame) -> DataFrame:
     return numbered.select(
         "campaign_id", F.concat(F.lit("consumer-"), wide).alias("label"), "disposition",
         F.col("disposition").isin(*CLOSED_DISPOSITIONS).alias("closed"),
-        receipt_state(F.col("disposition"), F.col("receipt_digest")).alias("receipt_state"),
+        receipt_label(receipt_state(F.col("disposition"), F.col("receipt_digest"))).alias("receipt_state"),
     )
 
 

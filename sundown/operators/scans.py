@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sundown.functions.checks import differs, first_code
 from sundown.functions.hashing import digest
@@ -18,7 +19,20 @@ from sundown.functions.text import (
     redact_emails,
     token_pattern,
 )
-from sundown.vocabulary import SCAN_FILE_BOUND, SCAN_FILE_BYTES, SCAN_SUFFIXES
+from sundown.vocabulary import (
+    REFERENCE_SKIPPED_FOLDERS,
+    SCAN_FILE_BOUND,
+    SCAN_FILE_BYTES,
+    SCAN_SUFFIXES,
+    SCOPE_SKIPPED_FOLDERS,
+)
+
+
+def in_scanned_folder(path: Column, skipped: Sequence[str]) -> Column:
+    """Whether none of the folders above the file is one the scan skips."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return ~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in skipped]))
 
 
 def scope_counterfactual(files: DataFrame, token: str) -> DataFrame:
@@ -28,7 +42,7 @@ def scope_counterfactual(files: DataFrame, token: str) -> DataFrame:
     """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return (
-        files.filter(suffix.isin(*SCAN_SUFFIXES))
+        files.filter(suffix.isin(*SCAN_SUFFIXES) & in_scanned_folder(F.col("path"), SCOPE_SKIPPED_FOLDERS))
         .groupBy("repository_id")
         .agg(
             F.count(F.lit(1)).alias("inspected_files"),
@@ -74,7 +88,7 @@ def reference_scan(files: DataFrame, token: str) -> DataFrame:
         .when(text.rlike(alias_pattern(token)), "aliased_direct")
         .otherwise("direct")
     )
-    return files.select(
+    return files.filter(in_scanned_folder(F.col("path"), REFERENCE_SKIPPED_FOLDERS)).select(
         "path", classification.alias("classification"), text.rlike(SELECT_STAR).alias("selects_all")
     ).filter("classification IS NOT NULL OR selects_all")
 
@@ -110,16 +124,52 @@ def rename_plan(files: DataFrame, before: str, after: str, allowed: Sequence[str
     )
 
 
-def redact_observations(
-    df: DataFrame, text_columns: Sequence[str] = (), secret_columns: Sequence[str] = (), query_columns: Sequence[str] = ()
-) -> DataFrame:
-    """Mask addresses in texts, secrets whole, and statements down to their digest."""
-    changed = {c: redact_emails(F.col(c)) for c in text_columns}
-    changed |= {c: F.when(F.col(c).isNotNull(), F.lit(REDACTED)) for c in secret_columns}
-    changed |= {
-        c: F.struct(F.lit(True).alias("redacted"), digest(F.col(c)).alias("digest")) for c in query_columns
-    }
-    return df.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in df.columns])
+# Names that mark a value as secret, and names that mark it as a statement.
+SECRET_NAMES = ("email", "token", "password", "secret")
+QUERY_NAMES = ("statement", "sql", "query", "querytext")
+
+
+def json_digest(value: Column, kind: T.DataType) -> Column:
+    """Digest of a value's JSON text."""
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        text = F.to_json(value, {"ignoreNullFields": "false"})
+    else:
+        wrapped = F.to_json(F.array(value))
+        text = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    return digest(text)
+
+
+def _redacted(value: Column, kind: T.DataType, name: str) -> Column:
+    """The value with secrets, statements and addresses masked at every depth."""
+    if name.lower().replace("_", "") in QUERY_NAMES:
+        return F.struct(F.lit(True).alias("redacted"), json_digest(value, kind).alias("digest"))
+    return _masked(value, kind, name)
+
+
+def _masked(value: Column, kind: T.DataType, name: str) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = [_redacted(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: _masked(item, kind.elementType, name))
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+        secret, query = F.array(*[F.lit(n) for n in SECRET_NAMES]), F.array(*[F.lit(n) for n in QUERY_NAMES])
+        return F.transform_values(value, lambda key, item: (
+            F.when(F.array_contains(query, F.replace(F.lower(key), F.lit("_"), F.lit(""))), json_digest(item, kind.valueType))
+            .when(F.array_contains(secret, F.lower(key)) & item.isNotNull(), F.lit(REDACTED))
+            .otherwise(redact_emails(item))))
+    if isinstance(kind, T.StringType):
+        return F.when(value.isNotNull(), F.lit(REDACTED)) if name.lower() in SECRET_NAMES else redact_emails(value)
+    return value
+
+
+def redact_observations(df: DataFrame) -> DataFrame:
+    """Mask addresses in texts, secrets whole, and statements down to their digest.
+
+    What a column holds is read from the schema, at every depth of structs, arrays and
+    maps; the plan has no Python in it.
+    """
+    return df.select(*[_redacted(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
 def guard_public_text(df: DataFrame, column: str, fallback: str) -> DataFrame:
@@ -164,17 +214,3 @@ def file_audit(
     )
     return joined.select("asset_id", "path", code.alias("refusal_code"))
 
-
-def content_lookup(roles: Mapping[str, str]) -> dict[str, list[str]]:
-    """Column roles read from a schema description: column name to ``text``, ``secret`` or ``query``."""
-    # Names that mark a column as secret or as a statement.
-    secret, query = {"email", "token", "password", "secret"}, {"statement", "sql", "query", "querytext"}
-    result: dict[str, list[str]] = {"text_columns": [], "secret_columns": [], "query_columns": []}
-    for column, kind in roles.items():
-        if column.lower().replace("_", "") in query:
-            result["query_columns"].append(column)
-        elif column.lower() in secret:
-            result["secret_columns"].append(column)
-        elif kind == "string":
-            result["text_columns"].append(column)
-    return result

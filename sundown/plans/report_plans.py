@@ -119,7 +119,10 @@ WHERE state NOT IN ('BLOCKED', 'READY', 'RETIRED') AND TIMESTAMP '{NOW}' - date_
     "i5_public_consumers": twin("""
 SELECT campaign_id, 'consumer-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS label, disposition,
        disposition IN ('VALIDATED', 'REMOVED', 'NOT_APPLICABLE') AS closed,
-       CASE WHEN disposition = 'STALE' THEN 'STALE' WHEN receipt_digest IS NULL THEN 'MISSING' WHEN disposition = 'VALIDATED' THEN 'VALIDATED' ELSE 'RECORDED' END AS receipt_state
+       CASE WHEN disposition = 'STALE' THEN 'STALE — recorded receipt is not acceptable now'
+            WHEN receipt_digest IS NULL THEN 'MISSING — no accepted native validation receipt'
+            WHEN disposition = 'VALIDATED' THEN 'VALIDATED — native receipt accepted at manifest time'
+            ELSE 'RECORDED — receipt does not close the current state' END AS receipt_state
 FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY consumer_id) AS n FROM receipted_consumers)"""),
     "i5_public_sources": twin(f"""
 SELECT campaign_id, 'declared-source-' || row_number() OVER (PARTITION BY campaign_id ORDER BY source_id) AS label, required, status,

@@ -26,15 +26,16 @@ def files(t: Tables) -> DataFrame:
         F.when(d() % 7 == 0, F.lit("{{ ref }} ")).otherwise(F.lit("")), "text",
         F.when(d() % 5 == 0, F.lit("\nthe AS alias")).otherwise(F.lit("")),
         F.when(d() % 11 == 0, F.lit("\nSELECT\n * FROM x")).otherwise(F.lit("")))
-    folder = F.when(d() % 2 == 0, "macros").otherwise("models")
+    folder = F.when(d() % 29 == 0, "target/models").when(d() % 2 == 0, "macros").otherwise("models")
     suffix = _pick((".sql", ".py", ".YML", ".yaml", ".txt", ".md"), d() % 6)
     return t.documents.select(
         F.col("source").alias("repository_id"), F.concat("source", F.lit("/"), folder, F.lit("/d"), d(), suffix).alias("path"), text.alias("text"))
 
 
 view("files", """
-SELECT source AS repository_id, doc_id, source || '/' || CASE WHEN doc_id % 2 = 0 THEN 'macros' ELSE 'models' END || '/d' || doc_id
-         || ['.sql', '.py', '.YML', '.yaml', '.txt', '.md'][doc_id % 6 + 1] AS path, doc_id % 6 < 4 AS scanned,
+SELECT source AS repository_id, doc_id, doc_id % 29 = 0 AS skipped,
+       source || '/' || CASE WHEN doc_id % 29 = 0 THEN 'target/models' WHEN doc_id % 2 = 0 THEN 'macros' ELSE 'models' END || '/d' || doc_id
+         || ['.sql', '.py', '.YML', '.yaml', '.txt', '.md'][doc_id % 6 + 1] AS path, doc_id % 6 < 4 AND doc_id % 29 <> 0 AS scanned,
        CASE WHEN doc_id % 7 = 0 THEN '{{ ref }} ' ELSE '' END || text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'the AS alias' ELSE '' END
          || CASE WHEN doc_id % 11 = 0 THEN chr(10) || 'SELECT' || chr(10) || ' * FROM x' ELSE '' END AS text FROM documents
 """)
@@ -113,9 +114,10 @@ def scope(t: Tables) -> DataFrame:
 
 
 def redacted(t: Tables) -> DataFrame:
-    roles = s.content_lookup({"text": "string", "token": "string", "statement": "string"})
-    return s.redact_observations(observations(t), **roles).select(
-        "doc", F.sha2("text", 256).alias("text_digest"), "token", F.col("statement.digest").alias("statement_digest"))
+    """Text, secret and statement, the statement inside a list of structs."""
+    nested = observations(t).select("doc", "text", "token", F.array(F.struct("statement")).alias("runs"))
+    return s.redact_observations(nested).select(
+        "doc", F.sha2("text", 256).alias("text_digest"), "token", F.col("runs")[0]["statement"]["digest"].alias("statement_digest"))
 
 
 QUERIES = {
@@ -170,7 +172,7 @@ FROM (SELECT (SELECT count(*) FROM orders) AS g, (SELECT count(*) FROM files_cou
     "c14_reference_scan": twin(rf"""
 SELECT * FROM (SELECT path, CASE WHEN n = 0 THEN '' WHEN contains(text, '{{{{') AND doc_id % 2 = 0 THEN 'macro_or_generated'
     WHEN regexp_matches(text, '(?i)(?:^|[^\pL\pM\pN_]){TOKEN}{_SPACE}+as{_SPACE}+[\pL\pM\pN_]') THEN 'aliased_direct' ELSE 'direct' END AS classification,
-  regexp_matches(text, '(?i)(?:^|[^\pL\pM\pN_])select{_SPACE}+\*') AS selects_all FROM files_counted) WHERE classification <> '' OR selects_all"""),
+  regexp_matches(text, '(?i)(?:^|[^\pL\pM\pN_])select{_SPACE}+\*') AS selects_all FROM files_counted WHERE NOT skipped) WHERE classification <> '' OR selects_all"""),
     "c16_rename_plan": twin(f"""
 SELECT path, n AS occurrences, code AS refusal_code, CASE WHEN code IS NULL THEN 'sha256:' || sha256(text) END AS before_digest,
   CASE WHEN code IS NULL THEN 'sha256:' || sha256(regexp_replace(text, '(^|[^A-Za-z0-9_]){TOKEN}($|[^A-Za-z0-9_])', '\\1{REPLACEMENT}\\2')) END AS after_digest
@@ -178,7 +180,7 @@ FROM (SELECT *, CASE WHEN NOT (path LIKE 'src0/models/%' OR path LIKE 'src1/%' O
                      WHEN n <> 1 THEN 'IDENTITY_AMBIGUOUS' END AS code FROM files_counted)"""),
     "d1_redact_observations": twin(r"""
 SELECT doc, sha256(regexp_replace(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}', '[redacted-email]', 'g')) AS text_digest,
-       CASE WHEN length(doc) % 3 <> 0 THEN '[redacted]' END AS token, 'sha256:' || sha256('select * from ' || doc) AS statement_digest FROM scan_texts"""),
+       CASE WHEN length(doc) % 3 <> 0 THEN '[redacted]' END AS token, 'sha256:' || sha256('"select * from ' || doc || '"') AS statement_digest FROM scan_texts"""),
     "d2_public_text_guard": twin(f"""
 SELECT doc, CASE WHEN bad THEN sha256('withheld') ELSE sha256(trimmed) END AS text_digest, bad AS withheld FROM (
   SELECT doc, trimmed, trimmed = '' OR {_SENSITIVE_SQL} AS bad

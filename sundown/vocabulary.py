@@ -65,6 +65,9 @@ PLAN_LIFETIME_SECONDS = 15 * 60
 SCAN_FILE_BOUND = 10_000
 SCAN_FILE_BYTES = 10 * 1024 * 1024
 SCAN_SUFFIXES = (".py", ".sql", ".yaml", ".yml")
+# Folders the scope scan and the reference scan never enter.
+SCOPE_SKIPPED_FOLDERS = (".git", ".venv", "dbt_packages", "logs", "target")
+REFERENCE_SKIPPED_FOLDERS = (".git", ".runtime", ".venv", "dbt_packages", "logs", "target")
 
 
 def pairs(moves: dict[str, tuple[str, ...]]) -> list[str]:

@@ -16,6 +16,7 @@ TEXTS = {
     "models/star.sql": "Select\n * from t",
     "models/other.sql": "select not_legacy_status, legacy_status2 from t",
     "models/twice.sql": "legacy_status, legacy_status",
+    "target/models/built.sql": "select legacy_status, * from t",
 }
 
 
@@ -60,11 +61,15 @@ def test_public_text(make, text, kept):
 
 
 def test_redaction_and_forbidden(make, got):
-    df = make("text string, user_token string, password string, query_text string", ("to A.B@x.org, c@d.io", "k", "p", "select 1"), (None, None, None, None))
-    roles = s.content_lookup({c: "string" for c in df.columns})
-    assert roles == {"text_columns": ["text", "user_token"], "secret_columns": ["password"], "query_columns": ["query_text"]}
-    first = s.redact_observations(df, **roles).first()
-    assert (first["text"], first["password"], first["query_text"]["redacted"]) == ("to [redacted-email], [redacted-email]", "[redacted]", True)
+    import hashlib
+
+    df = make("text string, user_token string, password string, query_text string, deep array<struct<email:string,note:string,sql:string>>, tags map<string,string>",
+              ("to A.B@x.org, c@d.io", "k", "p", 'say "1"', [("a@b.io", "c@d.io", "x")], {"Secret": "s", "n": "e@f.io"}), (None,) * 6)
+    first, empty = s.redact_observations(df).collect()
+    assert (first["text"], first["user_token"], first["password"]) == ("to [redacted-email], [redacted-email]", "k", "[redacted]")
+    assert first["query_text"].asDict() == {"redacted": True, "digest": "sha256:" + hashlib.sha256(json.dumps('say "1"').encode()).hexdigest()}
+    assert (first["deep"][0]["email"], first["deep"][0]["note"], first["deep"][0]["sql"]["redacted"]) == ("[redacted]", "[redacted-email]", True)
+    assert first["tags"] == {"Secret": "[redacted]", "n": "[redacted-email]"} and empty["text"] is None and empty["password"] is None
     docs = make("doc int, text string", (1, "/home/me/x"), (2, "-----BEGIN RSA PRIVATE KEY-----"), (3, "PASSWORD: 'abcdefghijkl'"), (4, "password: short"), (5, "/home/"))
     assert got(s.forbidden_scan(docs)) == [(1, "home path"), (2, "private key"), (3, "credential value")]
 
@@ -153,4 +158,4 @@ def test_metrics(spark, make, got):
 def test_public_export(make, got):
     consumers = make("campaign_id int, consumer_id string, disposition string, receipt_digest string", (1, "z", "VALIDATED", "r"), (1, "a", "STALE", "r"), (2, "m", "VALIDATED", None))
     assert got(r.public_consumers(consumers), "campaign_id", "label", "receipt_state") == [
-        (1, "consumer-001", "STALE"), (1, "consumer-002", "VALIDATED"), (2, "consumer-001", "MISSING")]
+        (1, "consumer-001", r.RECEIPT_LABELS["STALE"]), (1, "consumer-002", r.RECEIPT_LABELS["VALIDATED"]), (2, "consumer-001", r.RECEIPT_LABELS["MISSING"])]

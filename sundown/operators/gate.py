@@ -126,6 +126,14 @@ def gate_freshness(sources: DataFrame, now: Column) -> DataFrame:
         "campaign_id", "_f.source_id", "_f.refusal_code")
 
 
+def receipt_type_audit(receipts: DataFrame, configured: Sequence[str]) -> DataFrame:
+    """Accepted receipts whose validator type is no longer configured."""
+    # Fixed value: the one adapter whose receipt type has another name.
+    kind = F.when(F.col("adapter") == "git-dbt", F.lit("dbt")).otherwise(F.col("adapter"))
+    known = F.coalesce(kind.isin(*configured), F.lit(False))
+    return receipts.filter(~known).select("campaign_id", F.lit("POLICY_INPUT_DRIFT").alias("refusal_code"))
+
+
 def gate_readiness(
     campaigns: DataFrame, plans: DataFrame, findings: Sequence[tuple[str, DataFrame]], now: Column
 ) -> DataFrame:

@@ -336,12 +336,27 @@ def gate_findings(t: Tables) -> list[tuple[str, DataFrame]]:
     moved = p.membership_diff(pp.inventory(t), pp.current(t)).filter("change <> 'unchanged'").select(
         "campaign_id", F.lit("GATE_STATE_DRIFT").alias("refusal_code"))
     replayed = g.ledger_audit(attempts(t)).select("campaign_id", "refusal_code")
+    adapters = t.orders.select(
+        F.concat(F.lit("c"), "o_custkey").alias("campaign_id"), F.when(o() % 101 == 0, "retired-tool").otherwise("git-dbt").alias("adapter"))
     return [
-        ("inputs", drift), ("receipts", r.receipt_audit(*receipts(t), now())), ("approvals", r.approval_audit(*approvals(t), now())),
+        ("inputs", drift), ("receipt types", g.receipt_type_audit(adapters, ("dbt",))), ("receipts", r.receipt_audit(*receipts(t), now())), ("approvals", r.approval_audit(*approvals(t), now())),
         ("scope", keyed(scope)), ("membership", moved), ("freshness", keyed(g.gate_freshness(gate_sources(t), gate_now()))), ("consumed", replayed),
     ]
 
 
+def ready_campaigns(t: Tables) -> DataFrame:
+    """Every customer as a campaign that its policy has cleared."""
+    return t.customer.select(
+        F.concat(F.lit("c"), c()).alias("campaign_id"), F.lit("READY_TO_RETIRE").alias("decision"),
+        F.when(c() % 59 != 0, "READY").otherwise("BLOCKED").alias("state"), F.concat(F.lit("m"), c()).alias("manifest_digest"),
+        (c() % 19 != 0).alias("publication_verified"))
+
+
+def live_findings(t: Tables) -> list[tuple[str, DataFrame]]:
+    """The audits that look at the live state only."""
+    return [(step, found) for step, found in gate_findings(t) if step not in ("receipts", "approvals")]
+
+
 _Q = lambda build: (lambda spark, folder: build(Tables(spark, folder)))
 
 QUERIES = {
@@ -361,6 +376,7 @@ QUERIES = {
     "h4_refresh_status": _Q(lambda t: g.refresh_status(*refreshes(t)).withColumn(
         "observed_at", F.date_format("observed_at", "yyyy-MM-dd"))),
     "h5_gate_readiness": _Q(lambda t: g.gate_readiness(gate_campaigns(t), plans(t), gate_findings(t), gate_now())),
+    "h5_gate_live_state": _Q(lambda t: g.gate_readiness(ready_campaigns(t), plans(t), live_findings(t), gate_now())),
     "h6_plan_window": _Q(lambda t: g.plan_window(plans(t), gate_now())),
     "h7_ledger_audit": _Q(lambda t: g.ledger_audit(attempts(t))),
     "h8_gate_freshness": _Q(lambda t: g.gate_freshness(gate_sources(t), gate_now())),
@@ -391,6 +407,7 @@ SELECT attempt_id, campaign_id, plan_digest, status,
 view("gate_steps", """
 SELECT campaign_id, 1 AS n, 'inputs' AS step, 'POLICY_INPUT_DRIFT' AS code FROM (SELECT 'c' || c_custkey AS campaign_id FROM customer
   WHERE c_custkey % 37 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0)
+UNION ALL SELECT DISTINCT 'c' || o_custkey, 1.5, 'receipt types', 'POLICY_INPUT_DRIFT' FROM orders WHERE o_orderkey % 101 = 0
 UNION ALL SELECT campaign_id, 2, 'receipts', min(refusal_code) FROM receipt_codes GROUP BY 1 HAVING min(refusal_code) IS NOT NULL
 UNION ALL SELECT campaign_id, 3, 'approvals', min(refusal_code) FROM approval_codes GROUP BY 1 HAVING min(refusal_code) IS NOT NULL
 UNION ALL SELECT 'c' || campaign_id, 4, 'scope', 'GATE_STATE_DRIFT' FROM scope_differences WHERE n > 0
@@ -398,6 +415,16 @@ UNION ALL SELECT DISTINCT campaign_id, 5, 'membership', 'GATE_STATE_DRIFT' FROM
 UNION ALL SELECT 'c' || campaign_id, 6, 'freshness', refusal_code FROM gate_source_codes
 """)
 
+_GATE_SQL = """
+SELECT campaign_id, coalesce(own.s, f.step) AS failed_step, coalesce(own.c, f.code) AS refusal_code FROM (
+  SELECT d.campaign_id, CASE WHEN decision <> 'READY_TO_RETIRE' OR k % 59 = 0 THEN {{'s': 'ready', 'c': 'GATE_DECISION_NOT_READY'}}
+    WHEN p.campaign_id IS NULL OR k % 47 = 0 THEN {{'s': 'plan', 'c': 'GATE_PLAN_MISSING'}}
+    WHEN k % 43 = 0 THEN {{'s': 'provenance', 'c': 'GATE_PROVENANCE_UNTRUSTED'}} WHEN p.code IS NOT NULL THEN {{'s': 'window', 'c': p.code}}
+    WHEN k % 41 = 0 THEN {{'s': 'binding', 'c': 'GATE_PROVENANCE_UNTRUSTED'}} WHEN k % 19 = 0 THEN {{'s': 'publication', 'c': 'GATE_PUBLICATION_UNVERIFIED'}}
+    WHEN k % 39 = 0 THEN {{'s': 'manifest', 'c': 'GATE_STATE_DRIFT'}} END AS own
+  FROM (SELECT *, CAST(substr(campaign_id, 2) AS BIGINT) AS k FROM {heads}) d LEFT JOIN plan_codes p USING (campaign_id))
+LEFT JOIN (SELECT * FROM {steps} QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY n) = 1) f USING (campaign_id)"""
+
 ORACLES = {
     "g1_approval_audit": twin("SELECT * FROM approval_codes"),
     "g2_waiver_audit": twin(f"""
@@ -434,15 +461,10 @@ SELECT 'r' || c_custkey AS refresh_id, c_custkey AS urn, strftime(min(o_orderdat
        CASE WHEN count(o_orderkey) = 0 THEN 'RECONCILIATION_REFRESH_TIMEOUT' END AS refusal_code
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-07-01'
   AND o_orderdate + INTERVAL 2 DAY <= TIMESTAMP '1998-07-01' + INTERVAL 200 DAY GROUP BY c_custkey""",
-    "h5_gate_readiness": twin("""
-SELECT campaign_id, coalesce(own.s, f.step) AS failed_step, coalesce(own.c, f.code) AS refusal_code FROM (
-  SELECT d.campaign_id, CASE WHEN decision <> 'READY_TO_RETIRE' OR k % 59 = 0 THEN {'s': 'ready', 'c': 'GATE_DECISION_NOT_READY'}
-    WHEN p.campaign_id IS NULL OR k % 47 = 0 THEN {'s': 'plan', 'c': 'GATE_PLAN_MISSING'}
-    WHEN k % 43 = 0 THEN {'s': 'provenance', 'c': 'GATE_PROVENANCE_UNTRUSTED'} WHEN p.code IS NOT NULL THEN {'s': 'window', 'c': p.code}
-    WHEN k % 41 = 0 THEN {'s': 'binding', 'c': 'GATE_PROVENANCE_UNTRUSTED'} WHEN k % 19 = 0 THEN {'s': 'publication', 'c': 'GATE_PUBLICATION_UNVERIFIED'}
-    WHEN k % 39 = 0 THEN {'s': 'manifest', 'c': 'GATE_STATE_DRIFT'} END AS own
-  FROM (SELECT *, CAST(substr(campaign_id, 2) AS BIGINT) AS k FROM decisions_default) d LEFT JOIN plan_codes p USING (campaign_id))
-LEFT JOIN (SELECT * FROM gate_steps QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY n) = 1) f USING (campaign_id)"""),
+    "h5_gate_readiness": twin(_GATE_SQL.format(heads="decisions_default", steps="gate_steps")),
+    "h5_gate_live_state": twin(_GATE_SQL.format(
+        heads="(SELECT 'c' || c_custkey AS campaign_id, 'READY_TO_RETIRE' AS decision FROM customer)",
+        steps="(SELECT * FROM gate_steps WHERE step NOT IN ('receipts', 'approvals'))")),
     "h6_plan_window": twin("SELECT plan_digest, code AS refusal_code FROM plan_codes"),
     "h7_ledger_audit": twin("SELECT * FROM ledger_codes"),
     "h8_gate_freshness": twin("SELECT * FROM gate_source_codes"),

@@ -145,5 +145,7 @@ def test_gate(make, now, got):
     assert [codes[i] for i in range(1, 12)] == [
         None, "GATE_DECISION_NOT_READY", "GATE_PLAN_MISSING", "GATE_PLAN_MISSING", "GATE_PROVENANCE_UNTRUSTED", "GATE_PLAN_EXPIRED", "GATE_PROVENANCE_UNTRUSTED",
         "GATE_PUBLICATION_UNVERIFIED", "GATE_STATE_DRIFT", "A", "B"]
+    adapters = make("campaign_id int, adapter string", (1, "git-dbt"), (2, "dbt"), (3, "spark"), (4, None))
+    assert got(g.receipt_type_audit(adapters, ["dbt"]), "campaign_id") == [(3,), (4,)]
     long = plans.filter("campaign_id = 1").withColumn("expires_at", F.lit("2024-01-01 12:05:01").cast("timestamp"))
     assert got(g.plan_window(long, now), "refusal_code") == [("GATE_PLAN_INVALID",)]

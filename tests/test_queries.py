@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from sundown.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -17,7 +18,7 @@ SAMPLE = (
     "d2_public_text_guard", "e1_stream_audit", "e15_policy_event_audit", "f1_blockers", "f4_comparison_summary", "g3_receipt_audit", "h5_gate_readiness",
     "i1_campaign_rollup",
 )
-NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else SAMPLE
+NAMES = list(registry.QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the warehouse tables are not here")
 
 
@@ -35,4 +36,4 @@ def test_equals_twin(spark, warehouse, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)

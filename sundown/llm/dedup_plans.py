@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sundown.llm.exact_dedup import exact_duplicates
+from sundown.llm.near_dedup import near_duplicates
 from sundown.sources.tables import Tables
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(Tables(spark, folder).documents)
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(Tables(spark, folder).documents)
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLES = {
     "op8_exact_dedup": r"""

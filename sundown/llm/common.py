@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sundown.session import cut_lineage
 
+ROWS_A_TASK = 50_000
 # ASCII white space as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -32,39 +33,54 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def cut_small(df: DataFrame, rows: int) -> DataFrame:
+    """:func:`cut_lineage` of a result of about ``rows`` rows, in as many files as that needs."""
+    tasks = 1 + rows // ROWS_A_TASK
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.coalesce(tasks) if tasks < most else df)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id that occurs in an edge with the smallest id reachable from it.
 
-    Each round every node joins the neighbour that comes first in a freshly hashed order, and
-    the edges are contracted; a long chain so shrinks by a constant factor a round. Hubs are
-    summed up before they are shuffled, and the tables of a round lie in the shared folder.
+    Each round every node joins the neighbour that comes first in a hashed order, and the edges
+    are contracted. The first round's order is the plain hash of the id, so stars whose centre
+    was chosen by it close at once; later ones are fresh, and a long chain shrinks by a constant
+    factor a round. Hubs are summed up before they are shuffled, and the tables of a round lie in
+    the shared folder.
     """
     current = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    labels = cut_lineage(
-        current.select(F.col("u").alias("id")).union(current.select("v")).distinct().withColumn("component", F.col("id"))
+    left = current.count()
+    nodes = 2 * left
+    labels = cut_small(
+        current.select(F.col("u").alias("id")).union(current.select("v")).distinct().withColumn("component", F.col("id")), nodes
     )
     round_ = 0
-    while not current.isEmpty():
+    while left:
         both = current.union(current.select("v", "u"))
 
         def rank(name: str) -> Column:
-            return F.struct(F.xxhash64(F.col(name), F.lit(round_)).alias("h"), F.col(name).alias("n"))
+            hashed = F.xxhash64(name, F.lit(round_)) if round_ else F.xxhash64(name)
+            return F.struct(hashed.alias("h"), F.col(name).alias("n"))
 
-        moves = cut_lineage(
+        moves = cut_small(
             both.groupBy("u")
             .agg(F.min(rank("v")).alias("best"))
             .filter(F.col("best") < rank("u"))
-            .select("u", F.col("best.n").alias("to"))
+            .select("u", F.col("best.n").alias("to")),
+            2 * left,
         )
-        labels = cut_lineage(
+        labels = cut_small(
             labels.join(moves, labels.component == moves.u, "left")
-            .select("id", F.coalesce("to", "component").alias("component"))
+            .select("id", F.coalesce("to", "component").alias("component")),
+            nodes,
         )
-        left = current.join(moves, "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
+        first = current.join(moves, "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
         moved = moves.select(F.col("u").alias("v"), "to")
-        current = cut_lineage(
-            left.join(moved, "v", "left").select("u", F.coalesce("to", "v").alias("v")).filter("u <> v").distinct()
+        current = cut_small(
+            first.join(moved, "v", "left").select("u", F.coalesce("to", "v").alias("v")).filter("u <> v").distinct(), left
         )
+        left = current.count()
         round_ += 1
     least = labels.groupBy("component").agg(F.min("id").alias("least"))
     return labels.join(least, "component").select("id", F.col("least").alias("component"))

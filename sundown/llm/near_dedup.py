@@ -20,6 +20,8 @@ and then is lost only if no other chain of links connects it.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +113,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def prefix_postings(signed: DataFrame) -> DataFrame:
-    """(token, doc_id, n_shingles, signature) of the lists in which a pair with enough matches must meet.
+    """(token, doc_id) of the lists in which a pair with enough matches must meet.
 
     A token is a (coordinate, value). Lists of one document can't collide, so they count as the
     rarest and never leave the counting.
@@ -132,8 +134,7 @@ def prefix_postings(signed: DataFrame) -> DataFrame:
 
 
 def _matches(a: str, b: str) -> Column:
-    equal = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(equal, F.lit(0), lambda s, x: s + x)
+    return reduce(add, [(F.get(a, F.lit(k)) == F.get(b, F.lit(k))).cast("int") for k in range(COORDINATES)])
 
 
 def _close(a: str, b: str) -> Column:
@@ -142,31 +143,27 @@ def _close(a: str, b: str) -> Column:
     return least * SHARE[1] >= most * SHARE[0]
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose signatures and then whose full sets agree enough."""
+def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose sizes and signatures allow a link."""
 
     def side(name: str) -> DataFrame:
         return signed.select(
             F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}")
         )
 
-    # Which signatures collide often enough? The sets move for those pairs only.
-    alike = (
-        pairs.distinct()
-        .join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(_close("n_a", "n_b"))
-        .filter(_matches("s_a", "s_b") >= MATCHES)
-        .select("a", "b", "n_a", "n_b")
-    )
-    both = alike.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
+    joined = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return joined.filter(_close("n_a", "n_b")).filter(_matches("s_a", "s_b") >= MATCHES).select("a", "b")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets agree enough."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y")).cast("bigint")
+    either = F.size("x") + F.size("y") - F.col("common")
     return (
-        both.withColumn("common", common)
-        .filter(F.col("common") * SHARE[1] >= (F.col("n_a") + F.col("n_b") - F.col("common")) * SHARE[0])
-        .select("a", "b")
+        both.withColumn("common", common).filter(F.col("common") * SHARE[1] >= either * SHARE[0]).select("a", "b")
     )
 
 
@@ -184,8 +181,12 @@ def _centred(lists: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def _rest(lists: DataFrame) -> DataFrame:
-    """Pairs of different components in one list, each with at least one document outside its largest component."""
+def _rest(lists: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of different components in one list whose sizes and signatures allow a link.
+
+    At least one document of a pair is outside its list's largest component. A pair that meets
+    in several lists comes from the first of them only.
+    """
     held = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = (
         held.groupBy("token")
@@ -193,19 +194,47 @@ def _rest(lists: DataFrame) -> DataFrame:
         .filter("components > 1")
         .select("token", F.col("m.component").alias("main"))
     )
-    open_ = lists.join(largest, "token")
-    few = open_.filter("component <> main").select(
-        "token", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx")
+    rows = (
+        lists.join(largest, "token")
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("token", "main")).alias("held"), F.first("component").alias("component"))  # 48 at most
+        .join(signed, "doc_id")
+        .select("doc_id", "component", "n_shingles", "signature", F.col("held.token").alias("tokens"), F.explode("held").alias("t"))
+        .select("*", F.col("t.token").alias("token"), (F.col("component") != F.col("t.main")).alias("few"))
+        .drop("t")
+    )
+    few = rows.filter("few").select(
+        "token", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"),
+        F.col("signature").alias("sx"), F.col("tokens").alias("tx"),
     )
-    everyone = open_.withColumn("few", F.col("component") != F.col("main"))
     return (
-        few.join(everyone, "token")
-        .filter("cx <> component AND (NOT few OR x < doc_id)")
-        .filter(_close("nx", "n_shingles"))
+        few.join(rows, "token")
+        .filter(
+            (F.col("cx") != F.col("component"))
+            & (~F.col("few") | (F.col("x") < F.col("doc_id")))
+            & _close("nx", "n_shingles")
+            & (_matches("sx", "signature") >= MATCHES)
+            & (F.array_min(F.array_intersect("tx", "tokens")) == F.col("token"))
+        )
         .select(F.greatest("x", "doc_id").alias("a"), F.least("x", "doc_id").alias("b"))
     )
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links between documents."""
+
+    def named(frame: DataFrame, name: str) -> DataFrame:
+        other = components.select(F.col("id").alias(name), F.col("component").alias("c"))
+        return frame.join(other, name, "left").withColumn(name, F.coalesce("c", name)).drop("c")
+
+    grown = cut_lineage(connected_components(named(named(links, "a"), "b")))
+    known = components.join(grown.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left").select(
+        "id", F.coalesce("c", "component").alias("component")
+    )
+    # A document that was alone until now is its own component's name.
+    return cut_lineage(known.union(grown.join(components, "id", "left_anti").select("id", "component")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -223,9 +252,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = classes.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     posted = prefix_postings(named)
     crowded = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    lists = cut_lineage(
-        posted.join(crowded, "token", "left_semi").join(named.select("doc_id", "n_shingles"), "doc_id")
-    )
+    lists = cut_lineage(posted.join(crowded, "token", "left_semi"))
     ids = lists.select("doc_id").distinct()
     met = cut_lineage(named.join(ids, "doc_id", "left_semi"))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw_text(text).alias("text"))
@@ -233,16 +260,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         map_batches(source.join(ids, "doc_id", "left_semi"), _sets, "doc_id bigint, shingles array<bigint>")
         .dropDuplicates(["doc_id"])
     )
-    links = confirm(_centred(lists.withColumn("component", F.col("doc_id")), F.xxhash64("doc_id")), met, sets)
+    links = confirm(alike(_centred(lists.withColumn("component", F.col("doc_id")), F.xxhash64("doc_id")), met), sets)
+    components = cut_lineage(connected_components(links))
     for step in range(2):
-        links = cut_lineage(links)
-        components = cut_lineage(connected_components(links))
         placed = lists.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id")
         )
-        pairs = _centred(placed, F.xxhash64("token", "doc_id")) if step == 0 else _rest(placed)
-        links = links.union(confirm(pairs, met, sets))
-    components = connected_components(links)
+        pairs = alike(_centred(placed, F.xxhash64("token", "doc_id")), met) if step == 0 else _rest(placed, met)
+        components = _joined(components, confirm(pairs, sets))
     merged = classes.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "words_key", F.coalesce("component", "doc_id").alias("component_id")
     )

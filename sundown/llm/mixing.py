@@ -129,23 +129,23 @@ def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame, *, seed: int = 6, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents in their places, the sources with their targets, and the slots of the mix."""
-    rows = cut_lineage(placed(cut_lineage(_sized(docs, doc_id, text, source))))
+def mix(sized: DataFrame, seed: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sized rows in their places, the sources with their targets, and the slots of the mix."""
+    rows = cut_lineage(placed(cut_lineage(sized)))
     sources = cut_lineage(targets(rows))
     return rows, sources, slots(sources, seed, block_words)
 
 
-def mixed_documents(docs: DataFrame, *, seed: int = 6, block_words: int = BLOCK_WORDS, **names: str) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, *, seed: int = 6, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row.
 
     Null and empty texts have no words, and nothing of them is taken; a null source is a source,
     the last; null and repeated doc_ids count as rows of their own; an empty table gives no
     rows; other columns are ignored.
     """
-    rows, sources, drawn = mix(docs, seed=seed, block_words=block_words, **names)
+    rows, sources, drawn = mix(_sized(docs, doc_id, text, source), seed, block_words)
     times = drawn.groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
         _spread(rows, block_words)
@@ -171,24 +171,27 @@ def mixed_texts(
     Where a pass takes all blocks of a document its text is whole, else it is the taken words in
     their order. Rows that repeat doc_id, text and source count once.
     """
-    marked = docs.withColumns(
-        {"_id": F.coalesce(F.col(doc_id).cast("bigint").cast("string"), F.lit("")), "_key": _key(source), "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
-    )
-    once = docs.select(doc_id, text, source).dropDuplicates([doc_id, text, source])
-    rows, _, drawn = mix(once, seed=seed, block_words=block_words, doc_id=doc_id, text=text, source=source)
+    sized = _sized(docs, doc_id, text, source).dropDuplicates(["doc_id", "key", "row_hash"])
+    rows, _, drawn = mix(sized, seed, block_words)
+    names = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_key": F.col("key"), "_hash": F.col("row_hash")}
     spans = (
         _spread(rows, block_words)
         .join(drawn.select("key", "block", "pass"), ["key", "block"])
-        .groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("key").alias("_key"), F.col("row_hash").alias("_hash"), "start", "size", "pass")
+        .groupBy(*[c.alias(n) for n, c in names.items()], "start", "size", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_spans"))  # a document's own blocks
         .withColumn("_whole", F.aggregate("_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["words"]) == F.col("size"))
-        .select("_id", "_key", "_hash", "_spans", "_whole")
+        .select(*names, "_spans", "_whole")
+    )
+    marked = docs.withColumns(
+        {
+            "_id": F.coalesce(F.col(doc_id).cast("bigint").cast("string"), F.lit("")), "_key": _key(source),
+            "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+        }
     )
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(
         F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), s["from_word"].cast("int") + 1, s["words"].cast("int")))), " "
     )
-    single = marked.dropDuplicates(["_id", "_key", "_hash"])
-    joined = single.join(spans, ["_id", "_key", "_hash"])
+    joined = marked.dropDuplicates([*names]).join(spans, [*names])
     picked = joined.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("_cut", F.when(F.col("_whole"), F.col(text)).otherwise(cut))
     return picked.select(*[F.col("_cut").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -275,3 +275,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
+    gone = near_duplicates(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[doc_id].cast("bigint") == gone["_gone"], "left_anti")

@@ -149,6 +149,9 @@ def surrogate(kind: str, detail: str, original: str, key: bytes, attempt: int) -
                 if luhn("".join(c for c in changed[:-1] + last if c.isdigit())) == 0:
                     return changed[:-1] + last
         return changed
+    if regex.fullmatch(r"[0-9a-f]+|[0-9A-F]+", original):  # hexadecimal stays so
+        made = "".join(str(d % 10) if c.isdigit() else "abcdef"[d % 6] for c, d in zip(original, draws))
+        return made.upper() if original.isupper() else made
     return "".join(_letter(c, d) for c, d in zip(original, draws))
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sundown.llm.common import map_batches, raw_text
 
@@ -204,8 +205,8 @@ def train(
     return fit(bags, taken["label"].to_numpy(np.float32))
 
 
-def scorer(model: AttentionModel, column: str = "_text"):
-    """Batches with one more column, ``score``; the column that was scored goes."""
+def scorer(model: AttentionModel, column: str = "_text", name: str = "score"):
+    """Batches with one more column, the score; the column that was scored goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,8 +228,8 @@ def scorer(model: AttentionModel, column: str = "_text"):
                 if held >= 4096 or i == batch.num_rows - 1:
                     flush(i + 1)
                     bags, begin, held = [], i + 1, 0
-            kept = [name for name in batch.schema.names if name != column]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(scores)], [*kept, "score"])
+            kept = [n for n in batch.schema.names if n != column]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(scores)], [*kept, name])
 
     return run
 
@@ -241,3 +242,18 @@ def score(docs: DataFrame, model: AttentionModel, doc_id: str = "doc_id", text:
     """
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw_text(text).alias("_text"))
     return source.mapInArrow(scorer(model), "doc_id bigint, score double")
+
+
+def keep_likely(docs: DataFrame, model: AttentionModel, border: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``border``, with all their columns; nothing is shuffled."""
+    names = {c.lower() for c in docs.columns}
+
+    def fresh(name: str) -> str:
+        while name in names:
+            name = f"_{name}"
+        return name
+
+    scored, raw = fresh("score"), fresh("raw_text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(scored, T.DoubleType())])
+    rows = docs.withColumn(raw, raw_text(text)).mapInArrow(scorer(model, raw, scored), schema)
+    return rows.filter(F.col(scored) >= border).select(*docs.columns)

@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Marks between and in place of column values before hashing.
-SEPARATOR = "\u0001"
-NULL_MARK = "\u0000"
+# What follows a value's length, and what stands for null.
+LENGTH_END = ":"
+NULL_MARK = "~"
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """One unambiguous text per row."""
-    return F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns])
+    """One unambiguous text per row: every value after its length in characters, null as a mark that no length is."""
+
+    def part(column: str) -> Column:
+        value = F.col(column).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(LENGTH_END), value), F.lit(NULL_MARK))
+
+    return F.concat(*[part(c) for c in columns])
 
 
 def digest(value: Column | str) -> Column:

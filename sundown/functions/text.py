@@ -16,10 +16,13 @@ SENSITIVE = (
     r"(?:/home/|/Users/|[A-Za-z]:\\\\)"
     r"|(?:https?://|urn:li:)"
     r"|(?:\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b)"
-    r"|(?:\b(?:select|insert|update|delete|merge)\b.+\b(?:from|into|set)\b)"
     r"|(?:\b(?:token|secret|password|cookie)\b\s*[=:])"
     r")"
 )
+# A statement: a verb, and later on the same line one of its second words.
+STATEMENT_VERB = r"(?iuU)\b(?:select|insert|update|delete|merge)\b(.*)"
+STATEMENT_WORD = r"(?iuU)\b(?:from|into|set)\b"
+LINE_END = r"[\n\r\u0085\u2028\u2029]"
 FORBIDDEN = {
     "home path": r"(?:/home/|/Users/)[^/\s]+/",
     "private key": r"-----BEGIN .*PRIVATE KEY-----",
@@ -41,10 +44,20 @@ def redact_emails(text: Column) -> Column:
     return F.regexp_replace(text, EMAIL, REDACTED_EMAIL.replace("$", r"\$"))
 
 
+def names_statement(text: Column) -> Column:
+    """Whether a line holds a verb and a second word after it.
+
+    What follows the first verb holds whatever follows a later one, so each line is read twice
+    at most, however often it repeats a verb.
+    """
+    lines = F.split(text, LINE_END)
+    return F.exists(lines, lambda line: F.regexp_extract(line, STATEMENT_VERB, 1).rlike(STATEMENT_WORD))
+
+
 def public_text(text: Column, fallback: str) -> Column:
     """The trimmed text, or the fallback when it is empty or names a path, address, person, statement or secret."""
     trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    bad = text.isNull() | (trimmed == "") | trimmed.rlike(SENSITIVE)
+    bad = text.isNull() | (trimmed == "") | trimmed.rlike(SENSITIVE) | names_statement(trimmed)
     return F.when(bad, F.lit(fallback)).otherwise(trimmed)
 
 

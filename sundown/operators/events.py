@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sundown.functions.hashing import row_text
 from sundown.functions.checks import differs, first_code, first_failure
 from sundown.functions.ordered import CHUNK_ROWS, before_each_row, sequence_chunk
 from sundown.operators.policy import Policy, decide
@@ -113,7 +114,7 @@ def stream_audit(events: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 def idempotent_dedupe(arrivals: DataFrame) -> DataFrame:
     """One row per (campaign, idempotency key): the first arrival, or a conflict when contents differ."""
-    content = F.sha2(F.concat_ws("\u0001", "event_type", "payload"), 256)
+    content = F.sha2(row_text(("event_type", "payload")), 256)
     return (
         arrivals.withColumn("_h", content)
         .groupBy("campaign_id", "idempotency_key")
@@ -338,9 +339,13 @@ def new_consumer_state(annotated: DataFrame) -> DataFrame:
 def stream_digest(events: DataFrame, width: int = 1024, levels: int = 4) -> DataFrame:
     """One digest over the ordered event digests of a campaign, as a tree.
 
-    Each level hashes at most ``width`` digests together, so a campaign of
-    ``width ** levels`` events never becomes one row or one task.
+    Each level hashes at most ``width`` digests together, so no campaign becomes one row or one
+    task. There are at least ``levels``, and as many more as the largest sequence needs, so every
+    campaign ends as one digest.
     """
+    largest = events.agg(F.max("sequence")).first()[0] or 0
+    while largest >= width**levels:
+        levels += 1
     level = events.select("campaign_id", F.col("sequence").cast("bigint").alias("n"), F.col("event_digest").alias("d"))
     for _ in range(levels):
         level = (
@@ -364,7 +369,7 @@ def digest_verify(records: DataFrame, raw: str, field: str) -> DataFrame:
                 value = json.loads(text or "")
                 recorded = value.pop(field, None)
                 canonical = json.dumps(value, allow_nan=False, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-            except (ValueError, AttributeError):
+            except (ValueError, AttributeError, RecursionError):
                 return False
             return recorded == "sha256:" + hashlib.sha256(canonical.encode()).hexdigest()
 

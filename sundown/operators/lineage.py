@@ -75,21 +75,22 @@ def degree_bucket(degree: Column) -> Column:
 
 
 def downstream_closure(
-    edges: DataFrame, starts: DataFrame, max_hops: int, open_ended: bool = False
+    edges: DataFrame, starts: DataFrame, max_hops: int, strict: bool = False
 ) -> DataFrame:
     """Every node reachable from each start with its least number of hops, the start left out.
 
     One join per hop over all starts together. Each hop's new nodes are written to the
     checkpoint folder, so a lost executor repeats one hop, the plan stays short, and a
     small frontier is known to be small: then the edges are not shuffled for it.
-    ``open_ended`` follows the walk to its end once ``max_hops`` is 3 or more.
+    From 3 hops up the last bucket is open and the walk goes to its end, whatever
+    ``max_hops`` is; only ``strict`` stops it there, and then farther nodes are missing.
     """
     steps = edges.select("upstream", "downstream")
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("degree")).distinct()
     reached = frontier
     found: DataFrame | None = None
     hop = 0
-    endless = open_ended and max_hops >= 3
+    endless = max_hops >= 3 and not strict
     while endless or hop < max_hops:
         hop += 1
         following = (

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from sundown.session import cut_lineage
 from sundown.vocabulary import FAULTS, UNMAPPED_VALUE
 
-# Up to this many rows a top-n is cheaper than the histogram and fits one task.
-DIRECT_LIMIT = 10_000
-
 
 def order_hash(key: str, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
@@ -31,9 +28,6 @@ def stable_sample(df: DataFrame, key: str, seed: int, limit: int | Column | None
     hashed = df.select(F.col(key)).distinct().withColumn("order_hash", order_hash(key, seed))
     if limit is None:
         return hashed
-    if isinstance(limit, int) and limit <= DIRECT_LIMIT:
-        return hashed.orderBy("order_hash", F.col(key).cast("string")).limit(limit)
-
     bucketed = hashed.withColumn("_bucket", F.substring("order_hash", 1, 4))
     ordered = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # at most 65,536 rows
     wanted = F.lit(limit) if isinstance(limit, int) else limit

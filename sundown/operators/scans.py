@@ -21,8 +21,6 @@ from sundown.functions.text import (
 )
 from sundown.vocabulary import (
     REFERENCE_SKIPPED_FOLDERS,
-    SCAN_FILE_BOUND,
-    SCAN_FILE_BYTES,
     SCAN_SUFFIXES,
     SCOPE_SKIPPED_FOLDERS,
 )
@@ -35,11 +33,16 @@ def in_scanned_folder(path: Column, skipped: Sequence[str]) -> Column:
     return ~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in skipped]))
 
 
-def scope_counterfactual(files: DataFrame, token: str) -> DataFrame:
+def scope_counterfactual(
+    files: DataFrame, token: str, file_bound: int | None = None, byte_bound: int | None = None
+) -> DataFrame:
     """Per repository: inspected files, files naming the token, and whether the scan stayed in its bounds.
 
-    Every file is searched; passing a bound only marks the repository incomplete.
+    Every file is searched, whatever its size. There is no bound unless the caller sets one;
+    passing it marks the repository incomplete.
     """
+    too_long = F.lit(False) if byte_bound is None else F.octet_length("text") > byte_bound
+    too_many = F.lit(False) if file_bound is None else F.col("inspected_files") > file_bound
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return (
         files.filter(suffix.isin(*SCAN_SUFFIXES) & in_scanned_folder(F.col("path"), SCOPE_SKIPPED_FOLDERS))
@@ -47,9 +50,9 @@ def scope_counterfactual(files: DataFrame, token: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("inspected_files"),
             F.count_if(F.col("text").rlike(token_pattern(token))).alias("matched_files"),
-            F.count_if(F.octet_length("text") > SCAN_FILE_BYTES).alias("oversized_files"),
+            F.count_if(too_long).alias("oversized_files"),
         )
-        .withColumn("complete", (F.col("inspected_files") <= SCAN_FILE_BOUND) & (F.col("oversized_files") == 0))
+        .withColumn("complete", ~too_many & (F.col("oversized_files") == 0))
     )
 
 
@@ -107,7 +110,7 @@ def rename_plan(files: DataFrame, before: str, after: str, allowed: Sequence[str
     """For every file: may it be renamed, and the fingerprints before and after."""
     pattern = token_pattern(before)
     replacement = after.replace("\\", "\\\\").replace("$", "\\$")
-    counted = files.withColumn("occurrences", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
+    counted = files.withColumn("occurrences", F.regexp_count("text", F.lit(pattern)))
     code = first_code(
         [
             (~path_allowed(F.col("path"), allowed), "SCOPE_TARGET_NOT_ALLOWED"),

@@ -392,8 +392,8 @@ def signed_records(t: Tables) -> DataFrame:
 
 
 def publications(t: Tables) -> DataFrame:
-    """Purchases of each user in pairs: a publication and its read-back, some altered."""
-    bought = t.events.filter("event_type = 'purchase'").select(
+    """Events of each user in pairs: a publication and its read-back, some altered."""
+    bought = t.events.select(
         F.concat(F.lit("u"), F.col("user_id")).alias("campaign_id"), "event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
     placed = row_numbers(bought, ["campaign_id"], F.floor(F.unix_seconds("at") / HOUR), ["at", "event_id"], "sequence")
     publishes = F.col("sequence") % 2 == 1
@@ -417,7 +417,7 @@ SELECT campaign_id, sequence, CASE WHEN pub THEN 'PUBLICATION_RECORDED' ELSE 'PU
 FROM (SELECT *, CASE WHEN pub THEN event_id ELSE lag(event_id) OVER (PARTITION BY campaign_id ORDER BY sequence) END AS src
       FROM (SELECT *, sequence % 2 = 1 AS pub FROM (
         SELECT 'u' || user_id AS campaign_id, event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence
-        FROM events WHERE event_type = 'purchase')))
+        FROM events)))
 """)
 
 _Q = lambda build: (lambda spark, folder: build(Tables(spark, folder)))
@@ -449,7 +449,7 @@ QUERIES = {
     "e11_identity_overlap": _Q(lambda t: ev.identity_overlap(claims(t))),
     "e12_publication_audit": _Q(lambda t: ev.publication_audit(publications(t))),
     "e13_state_at_publication": _Q(lambda t: ev.state_at_publication(
-        log(t, False), base_stream(t, False).filter("kind = 'purchase'").select(
+        log(t, False), base_stream(t, False).select(
             "campaign_id", "sequence", F.concat(F.lit("d"), eid() % 3).alias("content_digest")))),
     "e15_policy_event_audit": _Q(lambda t: ev.policy_event_audit(log(t, False))),
 }
@@ -529,7 +529,7 @@ SELECT campaign_id, sequence, event_type, refusal_code FROM (
 WHERE refusal_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY sequence) = 1"""),
     "e13_state_at_publication": twin("""
 SELECT campaign_id, 'd' || event_id % 3 AS content_digest, sequence, before AS state_before FROM (
-  SELECT *, lag(to_state IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY sequence) AS before FROM user_states) WHERE kind = 'purchase'
+  SELECT *, lag(to_state IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY sequence) AS before FROM user_states)
 QUALIFY row_number() OVER (PARTITION BY campaign_id, event_id % 3 ORDER BY sequence DESC) = 1"""),
     "e15_policy_event_audit": twin("""
 SELECT campaign_id, sequence, recorded_decision, expected_decision, recorded_codes, expected_codes,

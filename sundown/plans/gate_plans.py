@@ -268,9 +268,9 @@ SELECT *, CASE WHEN expires - prepared > INTERVAL 15 MINUTE THEN 'GATE_PLAN_INVA
 
 
 def attempts(t: Tables) -> DataFrame:
-    """Gate attempts from purchases and errors; plans and manifests repeat across them."""
+    """Every event as a gate attempt; plans and manifests repeat across them."""
     e = F.col("event_id")
-    return t.events.filter(F.col("event_type").isin("purchase", "error")).select(
+    return t.events.select(
         e.alias("attempt_id"), F.concat(F.lit("u"), "user_id").alias("campaign_id"),
         F.concat(F.lit("p"), F.col("user_id"), F.lit("-"), F.floor(F.col("value") / 25)).alias("plan_digest"),
         F.concat(F.lit("m"), F.floor(F.col("value") / 10)).alias("manifest_digest"),
@@ -285,7 +285,7 @@ SELECT event_id AS attempt_id, 'u' || user_id AS campaign_id, 'p' || user_id ||
        'm' || CAST(floor(value / 10) AS BIGINT) AS manifest_digest,
        ['INTENT_RECORDED', 'EXECUTED', 'OUTCOME_UNKNOWN', 'REFUSED'][event_id % 4 + 1] AS status, ts AS recorded_at,
        CASE WHEN event_id % 4 = 3 THEN ['GATE_STATE_DRIFT', 'GATE_PLAN_EXPIRED', 'GATE_SOURCE_DRIFT'][event_id % 3 + 1] END AS refusal_code
-FROM events WHERE event_type IN ('purchase', 'error')
+FROM events
 """)
 
 

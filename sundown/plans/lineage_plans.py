@@ -181,18 +181,16 @@ def typed_consumers(t: Tables) -> DataFrame:
 
 
 def manifest_nodes(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suppliers as campaigns; their parts as manifest nodes that declare a catalog name."""
+    """Suppliers as campaigns; their parts as manifest nodes, one in 97 under its catalog name, the others under an old one."""
     named = catalog(t).select("p_partkey", "urn")
     supplied = t.lineitem.select("l_suppkey", "l_partkey").distinct()
     nodes = supplied.join(named, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("campaign_id"),
         F.concat(F.lit("model.x.p"), "l_partkey").alias("unique_id"),
         F.when(F.col("l_partkey") % 3 == 0, "model").otherwise("test").alias("resource_type"),
-        F.col("urn").alias("declared_urn"),
+        F.when((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 97 == 0, F.col("urn")).otherwise(F.concat("urn", F.lit("-old"))).alias("declared_urn"),
     )
-    inventory = supplied.join(named, F.col("l_partkey") == F.col("p_partkey")).filter(
-        (F.col("l_suppkey") * 7 + F.col("l_partkey")) % 97 == 0
-    ).select(F.col("l_suppkey").alias("campaign_id"), "urn")
+    inventory = supplied.join(named, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("campaign_id"), "urn")
     return t.supplier.select(F.col("s_suppkey").alias("campaign_id")), nodes, inventory
 
 
@@ -491,7 +489,7 @@ SELECT s_suppkey AS campaign_id, count(n.urn) AS matches, CASE WHEN count(n.urn)
        CASE WHEN count(n.urn) = 1 THEN min(n.urn) END AS urn,
        CASE count(n.urn) WHEN 0 THEN 'IDENTITY_NOT_FOUND' WHEN 1 THEN NULL ELSE 'IDENTITY_AMBIGUOUS' END AS refusal_code
 FROM supplier LEFT JOIN (SELECT * FROM declared d WHERE l_partkey % 3 = 0 AND EXISTS (
-  SELECT 1 FROM declared i WHERE i.l_suppkey = d.l_suppkey AND i.urn = d.urn AND (i.l_suppkey * 7 + i.l_partkey) % 97 = 0)) n
+  SELECT 1 FROM declared i WHERE i.l_suppkey = d.l_suppkey AND i.urn = d.urn AND (d.l_suppkey * 7 + d.l_partkey) % 97 = 0)) n
   ON n.l_suppkey = s_suppkey
 GROUP BY s_suppkey""", declared="""
 SELECT DISTINCT l_suppkey, l_partkey, urn FROM lineitem JOIN catalog ON p_partkey = l_partkey"""),

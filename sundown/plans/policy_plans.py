@@ -70,7 +70,8 @@ SELECT 'c' || c_custkey, 'repository', c_custkey % 43 <> 0 AND c_custkey % 2 = 0
 
 
 def _order_consumers(t: Tables) -> DataFrame:
-    """Orders as consumers; campaigns of class 5 have none."""
+    """Orders as consumers; campaigns of class 5 have none, for their orders count for the campaign before them."""
+    orders = t.orders.withColumn("o_custkey", F.col("o_custkey") - (F.col("o_custkey") % 6 == 5).cast("int"))
     order, kind = F.col("o_orderkey"), F.col("o_custkey") % 6
     disposition = (
         F.when((kind == 1) & (order % 4 == 0), "WAIVED")
@@ -78,7 +79,7 @@ def _order_consumers(t: Tables) -> DataFrame:
         .when((kind == 3) & (order % 4 == 0), _pick(OPEN_DISPOSITIONS, order % 7))
         .otherwise(_pick(("VALIDATED", "REMOVED", "NOT_APPLICABLE"), order % 3))
     )
-    return t.orders.filter(kind != 5).select(
+    return orders.select(
         F.concat(F.lit("c"), "o_custkey").alias("campaign_id"),
         F.concat(F.lit("o"), "o_orderkey").alias("consumer_id"),
         disposition.alias("disposition"),
@@ -95,7 +96,7 @@ SELECT 'c' || o_custkey AS campaign_id, 'o' || o_orderkey AS consumer_id,
             ELSE ['VALIDATED', 'REMOVED', 'NOT_APPLICABLE'][o_orderkey % 3 + 1] END AS disposition,
        o_custkey % 6 <> 4 OR o_orderkey % 5 <> 0 AS in_inventory,
        o_custkey % 6 <> 0 OR o_orderkey % 11 <> 0 AS in_current
-FROM orders WHERE o_custkey % 6 <> 5
+FROM (SELECT o_orderkey, o_custkey - CASE WHEN o_custkey % 6 = 5 THEN 1 ELSE 0 END AS o_custkey FROM orders)
 """)
 
 

@@ -271,32 +271,62 @@ SELECT order_id, order_status, total_amount FROM variant_rows WHERE variant_id =
 """)
 view("expected_output", "SELECT order_id, legacy_status AS normalized_status, total_amount FROM orders_pair")
 
-FINGERPRINT_TABLES = ("region", "nation", "orders_text", "documents", "conversations", "labels")
+FINGERPRINT_COLUMNS = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    ),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+# Fractions and times print differently in the two engines, so both compare whole millionths.
+_FRACTIONS = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value")
+_TIMES = ("o_orderdate", "l_shipdate", "ts")
 
 
-def text_tables(t: Tables) -> dict[str, DataFrame]:
-    """Tables whose values print alike in every engine."""
-    orders_text = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
-                                  F.to_date("o_orderdate").alias("o_orderdate"))
-    return {n: orders_text if n == "orders_text" else getattr(t, n) for n in FINGERPRINT_TABLES}
+def _printed(column: str) -> Column:
+    """A column as a type that prints alike in every engine."""
+    if column in _FRACTIONS:
+        return F.floor(F.col(column) * 1_000_000)
+    if column in _TIMES:
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if column == "embedding":
+        return F.array_join(F.transform(column, lambda x: F.floor(x.cast("double") * 1_000_000).cast("string")), ",")
+    return F.col(column)
 
 
-view("orders_text", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders
-""")
+def _printed_sql(column: str) -> str:
+    if column in _FRACTIONS:
+        return f"CAST(floor({column} * 1000000) AS BIGINT)"
+    if column in _TIMES:
+        return f"epoch_us({column})"
+    if column == "embedding":
+        return "array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',')"
+    return column
 
-_COLUMNS = {
-    "region": ("r_name", "r_regionkey"),
-    "nation": ("n_name", "n_nationkey", "n_regionkey"),
-    "orders_text": ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus"),
-    "documents": ("doc_id", "lang", "n_chars", "source", "text"),
-    "conversations": ("conv_id", "role", "text", "turn"),
-    "labels": ("doc_id", "quality", "toxic"),
-}
+
+def text_tables(t: Tables) -> dict[str, DataFrame]:
+    """Every table with all its columns, as values that print alike in every engine."""
+    return {n: getattr(t, n).select(*[_printed(c).alias(c) for c in columns]) for n, columns in FINGERPRINT_COLUMNS.items()}
 
 
 def _fingerprint_sql(table: str, source: str | None = None) -> str:
-    text = " || chr(1) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in _COLUMNS[table])
+    def part(column: str) -> str:
+        value = f"CAST({_printed_sql(column)} AS VARCHAR)"
+        return f"coalesce(CAST(length({value}) AS VARCHAR) || ':' || {value}, '~')"
+
+    text = " || ".join(part(c) for c in sorted(FINGERPRINT_COLUMNS[table]))
     return (
         f"SELECT '{table}' AS table_name, count(*) AS row_count, coalesce(bit_xor(h), 0) AS hash_xor, "
         f"CAST(coalesce(sum(h), 0) AS VARCHAR) AS hash_sum "
@@ -529,8 +559,8 @@ SELECT variant_id, test, failing_rows, must_fail, NOT must_fail OR failing_rows
     "b19_twins_equal": twin(f"""
 SELECT l.table_name, l.row_count AS left_rows, r.row_count AS right_rows,
        l.hash_xor = r.hash_xor AND l.hash_sum = r.hash_sum AS equal
-FROM ({" UNION ALL ".join(_fingerprint_sql(t) for t in FINGERPRINT_TABLES)}) l
-JOIN ({" UNION ALL ".join(_fingerprint_sql(t, "labels_altered" if t == "labels" else None) for t in FINGERPRINT_TABLES)}) r
+FROM ({" UNION ALL ".join(_fingerprint_sql(t) for t in FINGERPRINT_COLUMNS)}) l
+JOIN ({" UNION ALL ".join(_fingerprint_sql(t, "labels_altered" if t == "labels" else None) for t in FINGERPRINT_COLUMNS)}) r
 USING (table_name)"""),
-    "b20_table_fingerprints": twin(" UNION ALL ".join(_fingerprint_sql(t) for t in FINGERPRINT_TABLES)),
+    "b20_table_fingerprints": twin(" UNION ALL ".join(_fingerprint_sql(t) for t in FINGERPRINT_COLUMNS)),
 }

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sundown.functions.hashing import digest
 from sundown.functions.identity import IDENTITY_PARTS
 from sundown.operators.events import PAYLOAD
 
-# A file larger than this is listed but not loaded: one row would have to hold it.
-LOADABLE_BYTES = 1 << 30
+READ_BYTES = 8 << 20
 
 FIELD = "struct<platform:string,instance:string,database:string,schema:string,table:string,field:string>"
 SPEC_SCHEMA = f"spec_id string, target {FIELD}, replacement {FIELD}"
@@ -50,28 +54,52 @@ def write_csv_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"
+
+
+def relative_path(name: Column, root: str) -> Column:
+    """A file's name below ``root``; schemes and hosts of either are left out, and only the leading part is cut."""
+    base = "/" + re.sub(_SCHEME, "", root).strip("/") + "/"
+    whole = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(name, _SCHEME, ""), r"^/+", ""))
+    return F.when(whole.startswith(base), F.substring(whole, F.lit(len(base) + 1), F.length(whole))).otherwise(whole)
+
+
 def read_text_files(spark: SparkSession, root: str, repository_id: str) -> DataFrame:
     """Whole text files below a root, with their path relative to it."""
-    base = root.rstrip("/") + "/"
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
+    # The metadata path is percent-encoded, and a plus sign in it is a plus sign.
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return files.select(
-        F.lit(repository_id).alias("repository_id"), F.replace(name, F.lit(base), F.lit("")).alias("path"), F.col("value").alias("text"))
+        F.lit(repository_id).alias("repository_id"), relative_path(name, root).alias("path"), F.col("value").alias("text"))
 
 
 def read_file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Size and checksum of every file below a root; files too large for one row have no checksum.
+    """Size and SHA-256 of every file below a root, whatever its size.
 
-    The listing pass reads no content, so the size decides before anything is loaded.
+    The listing reads no content; tasks then read each file in blocks and hash as they go.
     """
-    base = root.rstrip("/") + "/"
-    raw = (
+    listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+        .select("path", "length")
     )
-    small = raw.filter(F.col("length") <= LOADABLE_BYTES).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    large = raw.filter(F.col("length") > LOADABLE_BYTES).select("path", "length", F.lit(None).cast("string").alias("sha256"))
-    name = F.regexp_replace("path", r"^file:/*", "/")
-    return small.unionByName(large).select(F.replace(name, F.lit(base), F.lit("")).alias("path"), "length", "sha256")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            sums = []
+            for path in batch.column("path").to_pylist():
+                place = re.sub(r"^file:/*", "/", path)
+                store, inside = (fs.LocalFileSystem(), place) if place.startswith("/") else fs.FileSystem.from_uri(path)
+                running = hashlib.sha256()
+                with store.open_input_stream(inside) as stream:
+                    while block := stream.read(READ_BYTES):
+                        running.update(block)
+                sums.append(running.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], [*batch.schema.names, "sha256"])
+
+    return listed.mapInArrow(hashed, "path string, length bigint, sha256 string").select(
+        relative_path(F.col("path"), root).alias("path"), "length", "sha256")
 
 
 def explode_manifest(manifests: DataFrame, raw: str, urn_path: str) -> DataFrame:

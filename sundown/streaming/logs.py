@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sundown.functions.hashing import row_text
 from sundown.operators.events import MEMBERSHIP, kind, state_after, typed
 
 LOG_SCHEMA = (
@@ -51,7 +52,7 @@ def stream_campaign_state(log: DataFrame, delay: str) -> DataFrame:
 
 def stream_conflicts(log: DataFrame, delay: str) -> DataFrame:
     """Idempotency keys that arrived with more than one content."""
-    content = F.sha2(F.concat_ws("\u0001", "event_type", "payload"), 256)
+    content = F.sha2(row_text(("event_type", "payload")), 256)
     return (
         log.withWatermark("occurred_at", delay).withColumn("_h", content)
         .groupBy("campaign_id", "idempotency_key")

@@ -61,9 +61,6 @@ FUTURE_SKEW_SECONDS = 30
 SOURCE_SKEW_SECONDS = 300
 PLAN_LIFETIME_SECONDS = 15 * 60
 
-# Bounds of a repository scan; passing them makes the scan incomplete, never shorter.
-SCAN_FILE_BOUND = 10_000
-SCAN_FILE_BYTES = 10 * 1024 * 1024
 SCAN_SUFFIXES = (".py", ".sql", ".yaml", ".yml")
 # Folders the scope scan and the reference scan never enter.
 SCOPE_SKIPPED_FOLDERS = (".git", ".venv", "dbt_packages", "logs", "target")

@@ -167,26 +167,18 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _centred(lists: DataFrame, order: Column) -> DataFrame:
-    """Each document of a list with the list's first one in ``order``, if their components differ."""
-    centre = lists.groupBy("token").agg(
-        F.min(F.struct(order.alias("o"), F.col("doc_id").alias("centre"), F.col("component").alias("cc"))).alias("c"),
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-    ).filter("low <> high").select("token", "c.centre", "c.cc")
+def _centred(lists: DataFrame) -> DataFrame:
+    """Each document of a list with the list's centre, the first by the hash of its id: alike lists share it."""
+    centre = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("centre"))).alias("c"))
     return (
-        lists.join(centre, "token")
-        .filter("component <> cc")
+        lists.join(centre.select("token", "c.centre"), "token")
+        .filter("doc_id <> centre")
         .select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b"))
     )
 
 
-def _rest(lists: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of different components in one list whose sizes and signatures allow a link.
-
-    At least one document of a pair is outside its list's largest component. A pair that meets
-    in several lists comes from the first of them only.
-    """
+def _open_lists(lists: DataFrame, signed: DataFrame) -> DataFrame:
+    """The postings of lists with several components: with signature, all such lists of the document, and the list's largest component."""
     held = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = (
         held.groupBy("token")
@@ -194,15 +186,40 @@ def _rest(lists: DataFrame, signed: DataFrame) -> DataFrame:
         .filter("components > 1")
         .select("token", F.col("m.component").alias("main"))
     )
-    rows = (
+    return (
         lists.join(largest, "token")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("token", "main")).alias("held"), F.first("component").alias("component"))  # 48 at most
         .join(signed, "doc_id")
         .select("doc_id", "component", "n_shingles", "signature", F.col("held.token").alias("tokens"), F.explode("held").alias("t"))
-        .select("*", F.col("t.token").alias("token"), (F.col("component") != F.col("t.main")).alias("few"))
+        .select("*", F.col("t.token").alias("token"), F.col("t.main").alias("main"))
         .drop("t")
     )
+
+
+def _centred_again(open_: DataFrame) -> DataFrame:
+    """Pairs of each document and a centre drawn anew for every list, if components, sizes and signatures allow a link."""
+    first = F.struct(F.xxhash64("token", "doc_id"), "doc_id", "component", "n_shingles", "signature")
+    centre = open_.groupBy("token").agg(F.min(first).alias("c")).select(
+        "token", F.col("c.doc_id").alias("x"), F.col("c.component").alias("cx"), F.col("c.n_shingles").alias("nx"),
+        F.col("c.signature").alias("sx"),
+    )
+    return (
+        open_.select("token", "doc_id", "component", "n_shingles", "signature")
+        .join(centre, "token")
+        .filter((F.col("cx") != F.col("component")) & _close("nx", "n_shingles") & (_matches("sx", "signature") >= MATCHES))
+        .select(F.greatest("x", "doc_id").alias("a"), F.least("x", "doc_id").alias("b"))
+        .distinct()
+    )
+
+
+def _rest(open_: DataFrame) -> DataFrame:
+    """Pairs of different components in one list whose sizes and signatures allow a link.
+
+    At least one document of a pair is outside its list's largest component. A pair that meets
+    in several lists comes from the first of them only.
+    """
+    rows = open_.withColumn("few", F.col("component") != F.col("main"))
     few = rows.filter("few").select(
         "token", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"),
         F.col("signature").alias("sx"), F.col("tokens").alias("tx"),
@@ -260,14 +277,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         map_batches(source.join(ids, "doc_id", "left_semi"), _sets, "doc_id bigint, shingles array<bigint>")
         .dropDuplicates(["doc_id"])
     )
-    links = confirm(alike(_centred(lists.withColumn("component", F.col("doc_id")), F.xxhash64("doc_id")), met), sets)
+    links = confirm(alike(_centred(lists), met), sets)
     components = cut_lineage(connected_components(links))
     for step in range(2):
         placed = lists.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id")
         )
-        pairs = alike(_centred(placed, F.xxhash64("token", "doc_id")), met) if step == 0 else _rest(placed, met)
-        components = _joined(components, confirm(pairs, sets))
+        open_ = _open_lists(placed, met)
+        components = _joined(components, confirm(_rest(open_) if step else _centred_again(open_), sets))
     merged = classes.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "words_key", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -106,18 +106,19 @@ def _solve(x: _Rows, y: np.ndarray, plus: _Rows, minus: _Rows, sparsity: float,
     share = min(max(y.mean() if len(y) else 0.5, 0.01), 0.99)
     w[-1] = np.log(share / (1 - share))
     ahead, momentum = w.copy(), 1.0
-    # Largest curvature by power iteration.
-    v = np.ones(width + 1)
+    # Largest curvature by power iteration, from a start that no pair's difference is orthogonal to.
+    v = np.random.default_rng(9).random(width + 1)
+    v /= np.linalg.norm(v)
     top = 1.0
-    for _ in range(12):
+    for _ in range(30):
         s = x.times(v[:-1]) + v[-1]
-        v = np.append(x.back(s), s.sum()) / (4 * n)
+        after = np.append(x.back(s), s.sum()) / (4 * n)
         if plus.count:
             d = plus.times(v[:-1]) - minus.times(v[:-1])
-            v[:-1] += 2 * PAIR_PENALTY * (plus.back(d) - minus.back(d)) / plus.count
-        top = max(float(np.linalg.norm(v)), 1e-9)
-        v /= top
-    rate = 1 / (1.1 * top + ridge)
+            after[:-1] += 2 * PAIR_PENALTY * (plus.back(d) - minus.back(d)) / plus.count
+        top = max(float(np.linalg.norm(after)), 1e-9)
+        v = after / top
+    rate = 1 / (1.3 * top + ridge)
     for _ in range(steps):
         error = 1 / (1 + np.exp(-np.clip(x.times(ahead[:-1]) + ahead[-1], -30, 30))) - y
         grad = np.append(x.back(error) / n + ridge * ahead[:-1], error.sum() / n)

@@ -92,18 +92,18 @@ def purity(labelled: DataFrame) -> DataFrame:
     template that lies within ``SAME_Z`` deviations of its siblings (same host and parent)
     together is one branch with them.
     """
-    every = labelled.agg(F.sum("blocked").alias("all_blocked"), F.sum("known").alias("all_known"))
+    every = labelled.agg(F.sum("blocked").alias("blocked"), F.sum("known").alias("known")).first()  # one row
     parent = F.regexp_replace("template", r"[^/]*/$", "")
     branch = labelled.withColumn("parent", parent)
     siblings = branch.groupBy("host", "parent").agg(F.sum("blocked").alias("s_blocked"), F.sum("known").alias("s_known"))
     hosts = labelled.groupBy("host").agg(F.sum("blocked").alias("h_blocked"), F.sum("known").alias("h_known"))
-    total = F.coalesce((F.col("all_blocked") + 1) / (F.col("all_known") + 2), F.lit(0.5))
+    total = F.lit(((every["blocked"] or 0) + 1) / ((every["known"] or 0) + 2))
 
     def smooth(blocked: Column, known: Column, prior: Column) -> Column:
         return (blocked + PRIOR_ROWS * prior) / (known + PRIOR_ROWS)
 
     joined = (
-        branch.join(siblings, ["host", "parent"]).join(hosts, "host").join(F.broadcast(every))  # one row
+        branch.join(siblings, ["host", "parent"]).join(hosts, "host")
         .withColumn("prior", smooth(F.col("h_blocked"), F.col("h_known"), total))
     )
     own = smooth(F.col("blocked"), F.col("known"), F.col("prior"))
@@ -131,8 +131,10 @@ def url_verdicts(
         given = labels.groupBy("page_id").agg(F.max("block").alias("_block"))
         source = shaped.join(given, "page_id", "left")
         known = F.when(F.col("_block") == 1, "block").when(F.col("_block") == 0, "allow")
-    counted = source.groupBy("host", "template").agg(
-        F.count(F.lit(1)).alias("urls"), F.count(F.when(known == "block", 1)).alias("blocked"), F.count(known).alias("known")
+    counted = cut_lineage(
+        source.groupBy("host", "template").agg(
+            F.count(F.lit(1)).alias("urls"), F.count(F.when(known == "block", 1)).alias("blocked"), F.count(known).alias("known")
+        )
     )
     shares = purity(counted)
     judged = F.when(F.col("share") > BLOCK_SHARE, F.lit("block")).otherwise(F.lit("allow"))

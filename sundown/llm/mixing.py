@@ -149,7 +149,7 @@ def mixed_documents(
     times = drawn.groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
         _spread(rows, block_words)
-        .join(times, ["key", "block"])
+        .join(times.hint("merge"), ["key", "block"])  # the planner takes exploded slots for as few as the sources
         .groupBy("key", "start")
         .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         .withColumn("some", F.lit(True))
@@ -176,7 +176,7 @@ def mixed_texts(
     names = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_key": F.col("key"), "_hash": F.col("row_hash")}
     spans = (
         _spread(rows, block_words)
-        .join(drawn.select("key", "block", "pass"), ["key", "block"])
+        .join(drawn.select("key", "block", "pass").hint("merge"), ["key", "block"])
         .groupBy(*[c.alias(n) for n, c in names.items()], "start", "size", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_spans"))  # a document's own blocks
         .withColumn("_whole", F.aggregate("_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["words"]) == F.col("size"))

@@ -1,15 +1,17 @@
 """URL verdicts from rules and a tree of path templates.
 
-Per host, paths are split into segments; digits become a wildcard, and so does a segment place
-that has too many different values to be a section. Templates of one host and depth whose labelled
-block rates don't differ by more than chance are merged. A template's smoothed share of blocked
-labels decides the urls that no rule names. Labels are the urls that a rule decides, unless a table
-of labels is given. Only DataFrame functions are used.
+Per host, whole paths are split into segments; digits become a wildcard, and so do the values of a
+place that have fewer than ``SUPPORT`` labelled urls each, which are pooled; a value with more
+labels stays literal. Bottom-up, siblings whose labelled block rates don't differ by more than
+chance are merged at every level, unless branches below them differ. A node's share of blocked
+labels is smoothed towards its parent's and decides the urls that no rule names. Labels are the
+urls that a rule decides, unless a table of labels is given. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +22,8 @@ RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
-DEPTH = 4  # segments of a template; deeper ones are one wildcard
-SECTION_VALUES = 32  # more values of a place under one parent make it a wildcard
-PRIOR_ROWS = 4.0  # weight of the shared prior
+SUPPORT = 4  # labelled urls that keep a segment literal: as many as the prior weighs
+PRIOR_ROWS = 4.0  # weight of the parent's share
 SAME_Z = 2.0  # block rates within so many standard deviations are the same
 BLOCK_SHARE = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,64 +53,118 @@ def with_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> D
     return df.withColumns({"rule": first([h + p for h, p, _ in ordered]), "ruled": first([v for _, _, v in ordered])})
 
 
-def _segments(path: Column) -> Column:
-    """Segments with digits as a wildcard; deeper ones than ``DEPTH`` are one wildcard."""
-    plain = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(plain, lambda s: F.regexp_replace(s, r"[0-9]+", "*"))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
+def path_shape(path: Column) -> Column:
+    """The whole path with digits as a wildcard and without empty segments."""
+    return F.array_join(F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"[0-9]+", "*")), "/")
 
 
-def templates(df: DataFrame) -> DataFrame:
-    """Add ``template`` to rows with host and path.
+def templates(counted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """From (host, shape, blocked, known): (host, shape, node, template), and each level's (host, parent, node, blocked, known).
 
-    Level by level from the root: where a parent has more than ``SECTION_VALUES`` different
-    segments below it, that place becomes a wildcard for all of them. The counts are aggregations,
-    so a host with a third of all urls is summed up before it moves.
+    Level by level from the root; where a path ends is a value (the empty one) like a segment. Below
+    a node with too few labels nothing can be literal, so its rows are done, however deep they are.
     """
-    shaped = df.withColumn("_segments", _segments(F.col("path"))).withColumn("template", F.lit("/"))
-    for level in range(DEPTH + 1):
-        segment = F.coalesce(F.get("_segments", F.lit(level)), F.lit(""))
-        values = (
-            shaped.select("host", F.col("template").alias("_parent"), segment.alias("_value"))
-            .filter("_value <> ''")
-            .distinct()
-            .groupBy("host", "_parent")
-            .agg(F.count(F.lit(1)).alias("_values"))
-            .filter(F.col("_values") > SECTION_VALUES)
-            .select(F.col("host"), F.col("_parent").alias("template"), F.lit(True).alias("_wild"))
+    segments = F.when(F.col("shape") == "", F.array(F.lit(""))).otherwise(F.concat(F.split("shape", "/"), F.array(F.lit(""))))
+    live = counted.select(
+        "host", "shape", segments.alias("left"), F.lit("/").alias("node"), F.lit("/").alias("template"), "blocked", "known"
+    )
+    roots = cut_lineage(_summed(live.withColumn("parent", F.lit(None).cast("string"))))
+    done, levels = [], [roots]
+    while True:
+        nodes = levels[-1].filter(F.col("known") >= SUPPORT).select("host", "node")
+        # The rest of a path below a node of few labels is pooled; its end shows in no template.
+        rest = live.join(nodes, ["host", "node"], "left_anti")
+        done.append(
+            rest.select("host", "shape", "node", F.concat("template", F.repeat(F.lit("**/"), F.size("left") - 1)).alias("template"))
+        )
+        value = F.get("left", F.lit(0))
+        open_ = live.join(nodes, ["host", "node"], "left_semi").withColumn("value", value)
+        literal = (
+            open_.groupBy("host", "node", "value").agg(F.sum("known").alias("k"))
+            .filter(F.col("k") >= SUPPORT).select("host", "node", "value", F.lit(True).alias("literal"))
         )
-        step = F.when(segment == "", F.lit("")).otherwise(
-            F.concat(F.when(F.col("_wild"), F.lit("*")).otherwise(segment), F.lit("/"))
+        name = F.when(F.col("literal"), F.col("value")).otherwise(F.lit("**"))
+        shown = F.when(F.col("value") == "", F.lit("")).otherwise(F.concat(name, F.lit("/")))
+        stepped = cut_lineage(
+            open_.join(literal, ["host", "node", "value"], "left").select(
+                "host", "shape", F.slice("left", F.lit(2), F.size("left")).alias("left"), F.col("node").alias("parent"),
+                F.concat("node", name, F.lit("/")).alias("node"), F.concat("template", shown).alias("template"), "blocked", "known",
+            )
         )
-        shaped = shaped.join(values, ["host", "template"], "left").withColumn("template", F.concat("template", step)).drop("_wild")
-    return shaped.drop("_segments")
+        if stepped.isEmpty():
+            return reduce(DataFrame.union, done), levels
+        levels.append(cut_lineage(_summed(stepped)))
+        done.append(stepped.filter(F.size("left") == 0).select("host", "shape", "node", "template"))
+        live = stepped.filter(F.size("left") > 0).drop("parent")
 
 
-def purity(labelled: DataFrame) -> DataFrame:
-    """(host, template, share) from (host, template, urls, blocked, known): the smoothed share of blocked labels.
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("host", "parent", "node").agg(F.sum("blocked").alias("blocked"), F.sum("known").alias("known"))
 
-    The prior of a template is its host's share, and that of a host the share of all labels. A
-    template that lies within ``SAME_Z`` deviations of its siblings (same host and parent)
-    together is one branch with them.
-    """
-    every = labelled.agg(F.sum("blocked").alias("blocked"), F.sum("known").alias("known")).first()  # one row
-    parent = F.regexp_replace("template", r"[^/]*/$", "")
-    branch = labelled.withColumn("parent", parent)
-    siblings = branch.groupBy("host", "parent").agg(F.sum("blocked").alias("s_blocked"), F.sum("known").alias("s_known"))
-    hosts = labelled.groupBy("host").agg(F.sum("blocked").alias("h_blocked"), F.sum("known").alias("h_known"))
-    total = F.lit(((every["blocked"] or 0) + 1) / ((every["known"] or 0) + 2))
 
-    def smooth(blocked: Column, known: Column, prior: Column) -> Column:
-        return (blocked + PRIOR_ROWS * prior) / (known + PRIOR_ROWS)
+def _smooth(blocked: Column, known: Column, prior: Column) -> Column:
+    return (blocked + PRIOR_ROWS * prior) / (known + PRIOR_ROWS)
+
 
-    joined = (
-        branch.join(siblings, ["host", "parent"]).join(hosts, "host")
-        .withColumn("prior", smooth(F.col("h_blocked"), F.col("h_known"), total))
+def _offset(rate: Column) -> Column:
+    """How many deviations a node's rate, smoothed towards ``rate``, lies above it."""
+    noise = F.sqrt(rate * (1 - rate) / (F.col("known") + PRIOR_ROWS))
+    return (_smooth(F.col("blocked"), F.col("known"), rate) - rate) / noise
+
+
+def _merged(level: DataFrame, above: DataFrame, split: DataFrame | None, total: Column) -> DataFrame:
+    """The nodes of a level with whether they are ``one`` with all siblings, and the counts (``p_``) of the siblings they merge with.
+
+    ``split`` names the nodes with branches that differ: those merge with no sibling.
+    """
+    parents = above.select("host", F.col("node").alias("parent"), F.col("blocked").alias("a_blocked"), F.col("known").alias("a_known"))
+    rows = level.join(parents, ["host", "parent"])
+    rows = rows.withColumn("split", F.lit(False)) if split is None else (
+        rows.join(split.withColumn("split", F.lit(True)), ["host", "node"], "left").withColumn("split", F.coalesce("split", F.lit(False)))
     )
-    own = smooth(F.col("blocked"), F.col("known"), F.col("prior"))
-    group = smooth(F.col("s_blocked"), F.col("s_known"), F.col("prior"))
-    noise = F.sqrt(group * (1 - group) / (F.col("known") + PRIOR_ROWS))
-    return joined.select("host", "template", F.when(F.abs(own - group) <= SAME_Z * noise, group).otherwise(own).alias("share"))
+    far = _offset(_smooth(F.col("a_blocked"), F.col("a_known"), total))
+    side = F.when(F.col("split"), 2).when(far > SAME_Z, 1).when(far < -SAME_Z, -1).otherwise(0)
+    sided = rows.withColumn("side", side)
+    pools = (
+        sided.filter("side < 2").groupBy("host", "parent", "side")
+        .agg(F.sum("blocked").alias("p_blocked"), F.sum("known").alias("p_known"))
+    )
+    whole = sided.groupBy("host", "parent").agg((F.max(F.abs("side")) == 0).alias("one"))
+    joined = sided.join(pools, ["host", "parent", "side"], "left").join(whole, ["host", "parent"])
+    alike = (F.col("side") < 2) & (F.abs(_offset(_smooth(F.col("p_blocked"), F.col("p_known"), total))) <= SAME_Z)
+    return joined.select(
+        "host", "parent", "node", "one",
+        F.when(alike, F.col("p_blocked")).otherwise(F.col("blocked")).alias("blocked"),
+        F.when(alike, F.col("p_known")).otherwise(F.col("known")).alias("known"),
+    )
+
+
+def purity(levels: list[DataFrame]) -> DataFrame:
+    """(host, node, share) of every node: the smoothed share of blocked labels.
+
+    Bottom-up, nodes within ``SAME_Z`` deviations of their siblings become one branch, also those
+    that are above or below the others alike; where all are one, the parent stands for them. The
+    prior of a node is its parent's share, and that of a host the share of all labels.
+    """
+    every = levels[0].agg(F.sum("blocked").alias("blocked"), F.sum("known").alias("known")).first()  # one row
+    total = F.lit(((every["blocked"] or 0) + 1) / ((every["known"] or 0) + 2))
+    merged: list[DataFrame] = []
+    split = None
+    for level, above in zip(reversed(levels[1:]), reversed(levels[:-1])):
+        merged.append(cut_lineage(_merged(level, above, split, total)))
+        split = merged[-1].filter("NOT one").select("host", F.col("parent").alias("node")).distinct()
+    shares = [cut_lineage(levels[0].select("host", "node", _smooth(F.col("blocked"), F.col("known"), total).alias("share")))]
+    for level in reversed(merged):
+        prior = shares[-1].select("host", F.col("node").alias("parent"), F.col("share").alias("prior"))
+        own = _smooth(F.col("blocked"), F.col("known"), F.col("prior"))
+        shares.append(
+            cut_lineage(
+                level.join(prior, ["host", "parent"]).select(
+                    "host", "node", F.when(F.col("one"), F.col("prior")).otherwise(own).alias("share")
+                )
+            )
+        )
+    return reduce(DataFrame.union, shares)
 
 
 def url_verdicts(
@@ -124,7 +179,7 @@ def url_verdicts(
     ignored.
     """
     parsed = pages.select(F.col(page_id).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
-    shaped = cut_lineage(templates(with_rule(parsed, rules)))
+    shaped = cut_lineage(with_rule(parsed, rules).withColumn("shape", path_shape(F.col("path"))))
     known = F.col("ruled")
     source = shaped
     if labels is not None:
@@ -132,12 +187,11 @@ def url_verdicts(
         source = shaped.join(given, "page_id", "left")
         known = F.when(F.col("_block") == 1, "block").when(F.col("_block") == 0, "allow")
     counted = cut_lineage(
-        source.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("urls"), F.count(F.when(known == "block", 1)).alias("blocked"), F.count(known).alias("known")
-        )
+        source.groupBy("host", "shape").agg(F.count(F.when(known == "block", 1)).alias("blocked"), F.count(known).alias("known"))
     )
-    shares = purity(counted)
+    placed, levels = templates(counted)
+    shares = cut_lineage(placed.join(purity(levels), ["host", "node"]).select("host", "shape", "template", "share"))
     judged = F.when(F.col("share") > BLOCK_SHARE, F.lit("block")).otherwise(F.lit("allow"))
-    return shaped.join(shares, ["host", "template"]).select(
+    return shaped.join(shares, ["host", "shape"]).select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "template", "share"
     )

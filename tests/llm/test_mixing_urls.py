@@ -131,6 +131,33 @@ def test_templates_learn_from_labels(spark, make):
     assert len({rows[i]["template"] for i in range(120, 180)}) == 1
 
 
+def test_deep_paths_and_many_sections_keep_their_labels(spark, make):
+    words = [a + b for a in "abcdefgh" for b in "ijklmnop"]
+    # The label lies below the fifth segment; the other host has 64 rare sections beside two large ones.
+    urls = [f"https://deep.net/2020/01/02/x/y/{s}/{w}" for s in ("bad", "good") for w in words]
+    urls += [f"https://wide.net/{s}/{w}" for s in ("spam", "news") for w in words] + [f"https://wide.net/{w}" for w in words]
+    # /a/x and /b/y are bad, so neither /a and /b nor /x and /y may be merged.
+    urls += [f"https://cross.net/{s}/{w}" for s in ("a/x", "b/y", "a/y", "b/x") for w in words]
+    urls += ["https://deep.net/" + "long/" * 3000, "https://deep.net/"]
+    bad = [any(s in u for s in ("/bad/", "/spam/", "/a/x/", "/b/y/")) for u in urls]
+    pages = make("page_id bigint, url string", *enumerate(urls))
+    labels = make("page_id bigint, block int", *[(i, int(b)) for i, b in enumerate(bad) if i % 3 == 0 and i < len(urls) - 2])
+    rows = {r["page_id"]: r for r in url_filter.url_verdicts(pages, rules=(), labels=labels).collect()}
+    assert len(rows) == len(urls) and rows[len(urls) - 1]["template"] == "/"
+    for i, url in enumerate(urls[:-2]):
+        assert rows[i]["verdict"] == ("block" if bad[i] else "allow"), url
+    assert rows[0]["template"] == "/*/*/*/x/y/bad/**/" and rows[128]["template"] == "/spam/**/"
+
+
+def test_alike_siblings_are_one_branch_and_parents_give_the_prior(spark, make):
+    urls = [f"https://h.net/{s}/{c}" for s in ("p", "q", "r") for c in "abcdefghijklmnopqrst"] + ["https://h.net/r/z/z/z"]
+    pages = make("page_id bigint, url string", *enumerate(urls))
+    labels = make("page_id bigint, block int", *[(i, int(i % 20 < (1 if i < 40 else 19))) for i in range(60)])
+    rows = url_filter.url_verdicts(pages, rules=(), labels=labels).orderBy("page_id").collect()
+    assert len({r["share"] for r in rows[:40]}) == 1 and {r["verdict"] for r in rows[:40]} == {"allow"}
+    assert {r["verdict"] for r in rows[40:]} == {"block"}  # the last has no label of its own
+
+
 def test_no_python_on_the_native_paths(spark, make):
     pages = make("page_id bigint, url string", (1, "https://a.net/x"))
     docs = make("doc_id bigint, text string, source string", (1, "a b", "s"))

@@ -1,14 +1,15 @@
 """Phrase collocations from depth-truncated suffix subtrees, partitioned by word prefixes.
 
-1. Texts are cut into pieces and words. Every word starts a suffix, truncated to ``longest`` words
-   of its piece. Equal suffixes of a buffer of words are counted before they leave their task.
-2. Vertical partitioning: the weight of a prefix is the memory its suffixes take. One word is the
-   prefix; where it weighs more than ``PREFIX_BYTES``, two words are, and so on to the whole
-   suffix, whose copies are summed up first, so a word that a third of all rows hold is split.
-   Prefixes are dealt to as many groups as their weights fill at ``GROUP_BYTES`` each.
-3. Each group builds its subtree alone: suffixes in sorted order, a node of depth k wherever the
-   first k words change, its count the total of the leaves below. Nodes above a split prefix (the
-   trunk) are summed over the groups.
+1. Texts are cut into pieces and words, and the words are counted (the first level of all trees).
+   Every word starts a suffix, truncated to ``longest`` words of its piece.
+2. Vertical partitioning: prefixes of two words are dealt to as many groups as the suffixes fill at
+   ``GROUP_SUFFIXES`` each. Where both words are frequent ones (more than one word of ``FREQUENT``;
+   by count there are fewer than ``FREQUENT`` of them), the whole suffix is the prefix, so no prefix
+   takes more than that share. A task counts the equal suffixes of ``BUFFER_WORDS`` words and sends
+   a group's as one sorted, compressed block.
+3. Each group builds its subtree alone: its blocks' suffixes in sorted order, a node of depth k
+   wherever the first k words change, its count the total of the leaves below. Nodes above a
+   prefix (the trunk) are summed over the groups.
 4. A phrase's halves are frequent nodes themselves, so scores join nodes only, never the corpus.
 
 Null and empty texts have no words, a null language is ``und``; repeated rows count again; a text
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,11 +39,9 @@ TOP = 2_000
 UNIT = 1_000_000
 NO_LANGUAGE = "und"
 
-BUFFER_WORDS = 1_000_000
-BATCH_ROWS = 100_000
-GROUP_BYTES = 32 << 20
-PREFIX_BYTES = 8 << 20
-ROW_BYTES = 32  # of a suffix beside its words
+BUFFER_WORDS = 2_000_000
+GROUP_SUFFIXES = 4_000_000
+FREQUENT = 10_000
 
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d", b"\n" * 9)
 
@@ -86,126 +86,150 @@ def count_suffixes(numbers: np.ndarray, longest: int, known: int) -> tuple[list[
     return [column[first] for column in columns], many
 
 
-def _suffixes(longest: int):
-    def emit(held: dict[str, list[np.ndarray]], ids: _Ids) -> Iterator[pa.RecordBatch]:
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], _Ids]]:
+    """Word numbers per language of bounded stretches of texts, and the numbers' words."""
+    held: dict[str, list[np.ndarray]] = {}
+    ids, size = _Ids(), 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = pieces_of(text)
+            if words:
+                held.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                size += len(words)
+            if size >= BUFFER_WORDS:
+                yield {k: np.concatenate(v) for k, v in held.items()}, ids
+                held, ids, size = {}, _Ids(), 0
+    if held:
+        yield {k: np.concatenate(v) for k, v in held.items()}, ids
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for held, ids in _buffers(batches):
         words = pa.array(list(ids), pa.binary())
-        for lang, parts in held.items():
-            columns, many = count_suffixes(np.concatenate(parts), longest, len(ids))
-            for start in range(0, len(many), BATCH_ROWS):
-                rows = slice(start, start + BATCH_ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(many[rows]), pa.string()), *[words.take(pa.array(c[rows])) for c in columns], pa.array(many[rows])],
-                    ["lang", *_words(longest), "many"],
-                )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        ids, size = _Ids(), 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = pieces_of(text)
-                if words:
-                    held.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-                    size += len(words)
-                if size >= BUFFER_WORDS:
-                    yield from emit(held, ids)
-                    held, ids, size = {}, _Ids(), 0
-        if held:
-            yield from emit(held, ids)
+        for lang, numbers in held.items():
+            many = np.bincount(numbers, minlength=len(ids))
+            many[0] = 0
+            found = np.flatnonzero(many)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found), pa.string()), words.take(pa.array(found)), pa.array(many[found])], ["lang", "word", "f"]
+            )
 
-    return run
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, word, f) of (lang, text)."""
+    return texts.mapInArrow(_word_counts, "lang string, word binary, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
-def _words(longest: int) -> list[str]:
-    return [f"w{k}" for k in range(1, longest + 1)]
 
+def pack(words: list[bytes], columns: list[np.ndarray], many: np.ndarray) -> bytes:
+    """Sorted suffixes as one compressed value: their words, then the columns as differences and numbers."""
+    used, places = np.unique(np.concatenate(columns), return_inverse=True)
+    text = b"\n".join(words[i] for i in used.tolist())
+    numbers = np.concatenate([places, many]).astype(np.uint32 if many.max() < 1 << 32 else np.uint64)
+    numbers[1 : len(many)] = np.diff(numbers[: len(many)])  # the first column never falls
+    head = np.array([len(many), len(text), numbers.itemsize], np.int64).tobytes()
+    body = head + text + numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
-def suffixes(docs: DataFrame, lang: str, text: str, longest: int) -> DataFrame:
-    """(lang, w1, w2, ..., many): truncated suffixes, an empty word where the piece has ended."""
-    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), raw_text(text).alias("text"))
-    fields = ", ".join(f"{w} binary" for w in _words(longest))
-    return source.mapInArrow(_suffixes(longest), f"lang string, {fields}, many bigint")
 
+def unpack(block: bytes, longest: int) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    body = pa.decompress(block[8:], decompressed_size=int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+    rows, size, width = np.frombuffer(body, np.int64, 3).tolist()
+    raw = np.frombuffer(body, np.uint8, offset=24 + size).reshape(width, -1).T
+    numbers = np.ascontiguousarray(raw).view(np.uint32 if width == 4 else np.uint64).ravel().astype(np.int64)
+    columns = [numbers[k * rows : (k + 1) * rows] for k in range(longest)]
+    return body[24 : 24 + size].split(b"\n"), [np.cumsum(columns[0]), *columns[1:]], numbers[longest * rows :]
 
-def _weight(longest: int) -> Column:
-    return sum((F.octet_length(w) for w in _words(longest)), F.lit(ROW_BYTES)).cast("bigint")
 
+def _blocks(longest: int, groups: int, frequent: dict[str, set[bytes]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, ids in _buffers(batches):
+            words = list(ids)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            for lang, numbers in held.items():
+                columns, many = count_suffixes(numbers, longest, len(ids))
+                heavy = np.fromiter((w in frequent.get(lang, ()) for w in words), bool, len(words))
+                whole = heavy[columns[0]] & heavy[columns[1]]
+                mixed = np.full(len(many), xxhash.xxh3_64_intdigest(lang), np.uint64)
+                for k, column in enumerate(columns):
+                    step = (mixed ^ hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
+                    step ^= step >> np.uint64(29)
+                    mixed = step if k < 2 else np.where(whole, step, mixed)
+                part = (mixed % np.uint64(groups)).astype(np.int64) * 2 + whole
+                order = np.argsort(part, kind="stable")  # suffixes stay sorted
+                edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+                for first, after in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    rows = order[first:after]
+                    block = pack(words, [c[rows] for c in columns], many[rows])
+                    value = int(part[rows[0]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([value // 2]), pa.array([bool(value % 2)]), pa.array([lang]), pa.array([block], pa.binary())],
+                        ["part", "single", "lang", "block"],
+                    )
 
-def partitioned(found: DataFrame, longest: int, group_bytes: int, prefix_bytes: int) -> DataFrame:
-    """``found`` with the number of words in each row's prefix (``depth``) and the prefix's ``part``."""
-    words = _words(longest)
-    total = found.agg(F.sum(_weight(longest)).alias("w")).first()["w"] or 0
-    groups = 1 + total // group_bytes
-    rest = found.withColumn("depth", F.lit(1))
-    heavy = found
-    for k in range(1, longest):
-        key = ["lang", *words[:k]]
-        # Written, so that the planner knows their size: they are broadcast only while small.
-        heavy_keys = cut_lineage(heavy.groupBy(*key).agg(F.sum(_weight(longest)).alias("w")).filter(F.col("w") > prefix_bytes).select(*key))
-        heavy = heavy.join(heavy_keys, key, "left_semi")
-        rest = rest.join(heavy_keys.withColumn("_heavy", F.lit(True)), key, "left").withColumn(
-            "depth", F.when(F.col("_heavy"), F.lit(k + 1)).otherwise(F.col("depth"))
-        ).drop("_heavy")
-    # A whole suffix as its own prefix may still come from every buffer: one row is left of it.
-    single = rest.filter(F.col("depth") == longest).groupBy("lang", *words, "depth").agg(F.sum("many").alias("many"))
-    routed = rest.filter(F.col("depth") < longest).unionByName(single)
-    prefix = [F.when(F.col("depth") >= k, F.col(w)).otherwise(F.lit(b"")) for k, w in enumerate(words, 1)]
-    return routed.withColumn("part", F.pmod(F.xxhash64("lang", "depth", *prefix), F.lit(groups)))
+    return run
 
 
 def _subtree(longest: int, least: int):
-    names = _words(longest)
-
-    def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(name).combine_chunks() for name in ("lang", *names)]
-        codes = [pc.dictionary_encode(c) for c in columns]
-        codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy() for c in codes]
-        order = np.lexsort(codes[::-1])
-        many = table.column("many").to_numpy()[order]
-        depth = table.column("depth").to_numpy()[order]
-        codes = [c[order] for c in codes]
-        changed = np.zeros(len(order), bool)
-        changed[:1] = True
-        changed[1:] |= codes[0][1:] != codes[0][:-1]
-        out = []
-        for k in range(1, longest + 1):
-            changed[1:] |= codes[k][1:] != codes[k][:-1]
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("f", pa.int64()), ("whole", pa.bool_())])
+
+    def nodes(lang: str, single: bool, blocks: list[bytes]) -> Iterator[pa.Table]:
+        """The nodes of one language's suffixes; ``single``: of prefixes that are whole suffixes."""
+        numbers: dict[bytes, int] = {b"": 0}
+        parts, counts = [], []
+        for block in blocks:
+            words, columns, many = unpack(block, longest)
+            known = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+            parts.append(np.stack([known[c] for c in columns]))
+            counts.append(many)
+        columns, many = np.concatenate(parts, axis=1), np.concatenate(counts)
+        order = np.lexsort(columns[::-1])
+        columns, many = columns[:, order], many[order]
+        names = pa.array(list(numbers), pa.binary())
+        changed = np.zeros(len(many), bool)
+        changed[0] = True
+        changed[1:] |= columns[0][1:] != columns[0][:-1]
+        for k in range(2, longest + 1):
+            changed[1:] |= columns[k - 1][1:] != columns[k - 1][:-1]
             first = np.flatnonzero(changed)
-            totals = np.add.reduceat(many, first) if len(first) else many
-            at = order[first]
-            whole = depth[first] <= k  # its whole subtree is in this group
-            kept = np.flatnonzero(~whole | (totals >= least))
-            phrase = columns[1].take(pa.array(at[kept]))
-            ended = np.zeros(len(kept), bool)
-            for w in columns[2 : k + 1]:
-                word = w.take(pa.array(at[kept]))
-                ended |= pc.equal(pc.binary_length(word), 0).to_numpy(zero_copy_only=False)
-                phrase = pc.binary_join_element_wise(phrase, word, pa.scalar(b" ", pa.binary()))
-            keep = pa.array(~ended)
-            out.append(
-                pa.table({
-                    "lang": columns[0].take(pa.array(at[kept])).filter(keep), "phrase": phrase.filter(keep),
-                    "words": pa.array(np.full(len(kept), k, np.int32)).filter(keep),
-                    "f": pa.array(totals[kept]).filter(keep), "whole": pa.array(whole[kept]).filter(keep),
-                })
+            totals = np.add.reduceat(many, first)
+            whole = not single or k == longest  # the node's subtree is all in this group
+            at = (columns[k - 1][first] > 0) & (np.full(len(first), not whole) | (totals >= least))
+            first, totals = first[at], totals[at]
+            phrase = names.take(pa.array(columns[0][first]))
+            for column in columns[1:k]:
+                phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(column[first])), pa.scalar(b" ", pa.binary()))
+            yield pa.table(
+                [pa.array([lang] * len(first), pa.string()), phrase, pa.array(np.full(len(first), k, np.int32)), pa.array(totals),
+                 pa.array(np.full(len(first), whole))], schema=schema,
             )
-        return pa.concat_tables(out)
+
+    def run(table: pa.Table) -> pa.Table:
+        held: dict[tuple[str, bool], list[bytes]] = {}
+        for lang, single, block in zip(*(table.column(c).to_pylist() for c in ("lang", "single", "block")), strict=True):
+            held.setdefault((lang, single), []).append(block)
+        return pa.concat_tables([t for (lang, single), blocks in held.items() for t in nodes(lang, single, blocks)] or [schema.empty_table()])
 
     return run
 
 
 def frequent_phrases(
-    found: DataFrame, longest: int = LONGEST, least: int = LEAST, group_bytes: int = GROUP_BYTES, prefix_bytes: int = PREFIX_BYTES
+    texts: DataFrame, words: DataFrame, longest: int = LONGEST, least: int = LEAST, group_suffixes: int = GROUP_SUFFIXES, frequent: int = FREQUENT
 ) -> DataFrame:
     """(lang, phrase, words, f): phrases of up to ``longest`` words with at least ``least`` occurrences."""
+    if longest < 2:
+        raise ValueError("phrases have two words or more")
+    total = words.agg(F.sum("f")).first()[0] or 0
+    known: dict[str, set[bytes]] = {}
+    for r in words.filter(F.col("f") * frequent > total).collect():  # fewer than ``frequent`` rows, by count
+        known.setdefault(r["lang"], set()).add(bytes(r["word"]))
+    blocks = texts.mapInArrow(_blocks(longest, 1 + total // group_suffixes, known), "part bigint, single boolean, lang string, block binary")
     nodes = cut_lineage(
-        partitioned(found, longest, group_bytes, prefix_bytes)
-        .groupBy("part")
-        .applyInArrow(_subtree(longest, least), "lang string, phrase binary, words int, f bigint, whole boolean")
+        blocks.groupBy("part").applyInArrow(_subtree(longest, least), "lang string, phrase binary, words int, f bigint, whole boolean")
     )
+    one = words.filter(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
     trunk = nodes.filter("NOT whole").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     rest = nodes.filter("whole").select("lang", "phrase", "words", "f")
-    return rest.unionByName(trunk).withColumn("phrase", F.col("phrase").cast("string"))
+    return one.unionByName(rest).unionByName(trunk).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def scored(frequent: DataFrame, longest: int = LONGEST) -> DataFrame:
@@ -263,9 +287,10 @@ def collocations(
     docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST, top: int = TOP
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases."""
-    found = cut_lineage(suffixes(docs, lang, text, longest))
-    words = found.groupBy("lang").agg(F.sum("many").alias("n"))
-    frequent = cut_lineage(frequent_phrases(found, longest, least))
+    texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), raw_text(text).alias("text"))
+    counted = cut_lineage(word_counts(texts))
+    words = counted.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = cut_lineage(frequent_phrases(texts, counted, longest, least))
     kept = (
         scored(frequent, longest)
         .join(inside_longer(frequent, longest), ["lang", "phrase"], "left")

@@ -20,6 +20,14 @@ def raw_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, underscored until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:

@@ -23,7 +23,7 @@ ORACLES = {
                    '[.,;:!?\x0A-\x0D]')) AS piece
           FROM documents),
         worded AS (
-          SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS w FROM pieces),
+          SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
         starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
         grams AS (
           SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS parts

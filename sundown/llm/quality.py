@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundown.llm.common import map_batches, raw_text
+from sundown.llm.common import fresh, map_batches, raw_text
 
 PASSAGE_WORDS = 64
 SAMPLE_ROWS = 6_000  # labelled rows used for fitting
@@ -246,14 +246,7 @@ def score(docs: DataFrame, model: AttentionModel, doc_id: str = "doc_id", text:
 
 def keep_likely(docs: DataFrame, model: AttentionModel, border: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score reaches ``border``, with all their columns; nothing is shuffled."""
-    names = {c.lower() for c in docs.columns}
-
-    def fresh(name: str) -> str:
-        while name in names:
-            name = f"_{name}"
-        return name
-
-    scored, raw = fresh("score"), fresh("raw_text")
+    scored, raw = fresh(docs, "score"), fresh(docs, "raw_text")
     schema = T.StructType([*docs.schema.fields, T.StructField(scored, T.DoubleType())])
     rows = docs.withColumn(raw, raw_text(text)).mapInArrow(scorer(model, raw, scored), schema)
     return rows.filter(F.col(scored) >= border).select(*docs.columns)

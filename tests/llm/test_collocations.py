@@ -60,15 +60,23 @@ def made(seed, rows, vocabulary, hot=0):
     return texts
 
 
-@pytest.mark.parametrize(("group", "prefix"), [(1 << 25, 1 << 23), (4_000, 900), (300, 40)])
-def test_equals_plain_version_however_the_prefixes_are_grouped(spark, make, monkeypatch, group, prefix):
+@pytest.mark.parametrize(("group", "frequent", "buffer"), [(4_000_000, 10_000, 2_000_000), (100, 8, 150), (5, 3, 40)])
+def test_equals_plain_version_however_the_prefixes_are_grouped(spark, make, monkeypatch, group, frequent, buffer):
     texts = made(3, 120, 14, hot=0.2)
     whole = c.frequent_phrases
-    monkeypatch.setattr(c, "frequent_phrases", lambda found, longest, least: whole(found, longest, least, group, prefix))
-    frame = make("lang string, text string, many long, part int, w1 string", *[(l, t, 1, 1, "x") for l, t in texts])
+    monkeypatch.setattr(c, "frequent_phrases", lambda texts, words, longest, least: whole(texts, words, longest, least, group, frequent))
+    monkeypatch.setattr(c, "BUFFER_WORDS", buffer)
+    frame = make("lang string, text string, many long, part int, word string", *[(l, t, 1, 1, "x") for l, t in texts])
     assert rows_of(c.collocations(frame)) == plain(texts)
 
 
+def test_blocks_come_back():
+    words = [b"", b"a", "\u00e9t\u00e9".encode(), b"zz"]
+    columns, many = [np.array([1, 1, 3]), np.array([0, 2, 1]), np.array([0, 3, 0])], np.array([7, 1, 1 << 40])
+    back, again, counts = c.unpack(c.pack(words, columns, many), 3)
+    assert [[back[i] for i in col] for col in again] == [[words[i] for i in col] for col in columns] and counts.tolist() == many.tolist()
+
+
 def test_longer_phrases_and_a_short_list(spark, make):
     texts = made(5, 80, 8)
     frame = make("lang string, text string", *texts)

@@ -1,3 +1,4 @@
+import numpy as np
 from brute import near_components
 
 from sundown.llm import exact_dedup, near_dedup
@@ -93,3 +94,38 @@ def test_signature_agreement_follows_similarity():
     share = common / (len(a) + len(b) - common)
     agree = (near_dedup.signature(a) == near_dedup.signature(b)).mean()
     assert abs(agree - share) < 0.25
+
+
+def test_an_id_with_two_texts_loses_neither(make):
+    words = [f"w{i}" for i in range(60)]
+    b, near, other = " ".join(words), " ".join([*words, "end"]), "quite another text that nobody else has"
+    frame = make("doc_id long, text string, id string, key string, component int, node int", *[
+        (d, t, "i", "k", 1, 2) for d, t in ((3, b), (5, near.upper()), (5, other), (None, b), (9, None), (9, ""), (5, near))])
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame).collect())
+    assert got == [(0, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (9, 9, True), (9, 9, True)]
+    left = near_dedup.drop_near_duplicates(frame)
+    assert left.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["id"], r["node"]) for r in left.collect()) == [
+        (0, b, "i", 2), (3, b, "i", 2), (5, other, "i", 2), (9, "", "i", 2), (9, "", "i", 2)]
+    assert near_dedup.drop_near_duplicates(frame.filter("false")).collect() == []
+
+
+def test_bitmap_bounds_the_common_shingles_from_above():
+    rng = np.random.default_rng(4)
+    for size in (1, 20, 300, 768):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 1 << 63, size // 2 + 1, dtype=np.uint64)]))
+        bits = [np.bitwise_count(near_dedup.bitmap(x).view(np.uint64)) for x in (a, b)]
+        common = int(np.bitwise_count(near_dedup.bitmap(a).view(np.uint64) & near_dedup.bitmap(b).view(np.uint64)).sum())
+        lost = min(len(x) - int(n.sum()) for x, n in zip((a, b), bits, strict=True))
+        assert len(np.intersect1d(a, b)) <= common + lost
+
+
+def test_sketch_bits_differ_for_an_eighth_at_the_border():
+    rng = np.random.default_rng(6)
+    off = []
+    for _ in range(30):
+        shared, one, two = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), *(rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in "ab")
+        x, y = (near_dedup.sketch(np.concatenate([shared, z])).view(np.uint64) for z in (one, two))
+        off.append(int(np.bitwise_count(x ^ y).sum()))
+    assert 120 < np.mean(off) < 136 and max(off) <= near_dedup.SKETCH_MOST

@@ -226,7 +226,7 @@ SELECT c_custkey AS campaign_id, CASE WHEN c_custkey % 9 = 0 OR c_custkey % 25 =
 
 def consumer_drift(t: Tables) -> DataFrame:
     """Source drift observed for orders whose key is a multiple of 6, some of them reported twice."""
-    rows = t.orders.filter(o() % 6 == 0).select(
+    rows = pp.consumer_orders(t).filter(o() % 6 == 0).select(
         F.concat(F.lit("c"), "o_custkey").alias("campaign_id"), F.concat(F.lit("o"), o()).alias("consumer_id"), F.lit("repository").alias("source_id"))
     return rows.unionByName(rows.filter(F.length("consumer_id") % 2 == 0))
 
@@ -455,7 +455,7 @@ SELECT campaign_id, consumer_id, CASE WHEN CAST(substr(consumer_id, 2) AS BIGINT
     "h3_invalidate_sources": twin("""
 SELECT s.campaign_id, source_id, required, CASE WHEN d.k IS NOT NULL AND source_id = 'repository' THEN 'STALE' ELSE status END AS status,
        CASE WHEN d.k IS NOT NULL AND source_id = 'repository' THEN 'RECEIPT_INVALIDATED,SOURCE_DRIFT_WATCHED' ELSE 'SOURCE_DRIFT_WATCHED' END AS limitations
-FROM campaign_sources s LEFT JOIN (SELECT DISTINCT 'c' || o_custkey AS k FROM orders WHERE o_orderkey % 6 = 0) d ON d.k = s.campaign_id"""),
+FROM campaign_sources s LEFT JOIN (SELECT DISTINCT campaign_id AS k FROM order_consumers WHERE CAST(substr(consumer_id, 2) AS BIGINT) % 6 = 0) d ON d.k = s.campaign_id"""),
     "h4_refresh_status": """
 SELECT 'r' || c_custkey AS refresh_id, c_custkey AS urn, strftime(min(o_orderdate) + INTERVAL 2 DAY, '%Y-%m-%d') AS observed_at,
        CASE WHEN count(o_orderkey) = 0 THEN 'RECONCILIATION_REFRESH_TIMEOUT' END AS refusal_code

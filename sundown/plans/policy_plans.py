@@ -69,9 +69,14 @@ SELECT 'c' || c_custkey, 'repository', c_custkey % 43 <> 0 AND c_custkey % 2 = 0
 """)
 
 
+def consumer_orders(t: Tables) -> DataFrame:
+    """Orders by the campaign they count for: those of campaigns of class 5 count for the campaign before."""
+    return t.orders.withColumn("o_custkey", F.col("o_custkey") - (F.col("o_custkey") % 6 == 5).cast("int"))
+
+
 def _order_consumers(t: Tables) -> DataFrame:
-    """Orders as consumers; campaigns of class 5 have none, for their orders count for the campaign before them."""
-    orders = t.orders.withColumn("o_custkey", F.col("o_custkey") - (F.col("o_custkey") % 6 == 5).cast("int"))
+    """Orders as consumers; campaigns of class 5 have none."""
+    orders = consumer_orders(t)
     order, kind = F.col("o_orderkey"), F.col("o_custkey") % 6
     disposition = (
         F.when((kind == 1) & (order % 4 == 0), "WAIVED")

@@ -1,9 +1,5 @@
-"""Registered queries against their SQL twins on the smallest tables.
+"""Registered queries against their SQL twins on the smallest tables."""
 
-By default one query of every family; ``ALL_QUERIES=1`` runs every one.
-"""
-
-import os
 from pathlib import Path
 
 import pytest
@@ -13,12 +9,7 @@ from compare import compare, connect
 from sundown.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = (
-    "a1_stable_share", "a5_inject_semantic_drift", "b8_quality_report", "b17_table_diff", "c5_downstream_closure", "c7_page_audit", "c16_rename_plan",
-    "d2_public_text_guard", "e1_stream_audit", "e15_policy_event_audit", "f1_blockers", "f4_comparison_summary", "g3_receipt_audit", "h5_gate_readiness",
-    "i1_campaign_rollup",
-)
-NAMES = list(registry.QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
+NAMES = list(registry.QUERIES)
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the warehouse tables are not here")
 
 

@@ -2,8 +2,8 @@
 
 A log is a DataFrame ``(campaign_id, sequence, event_type, occurred_at, idempotency_key,
 previous_event_digest, event_digest, payload)`` with the payload as JSON text. Ordered
-rules go through :mod:`sundown.functions.ordered`, so one very long campaign is worked
-on by many tasks.
+rules go through :func:`sundown.functions.ordered.sliced_before`, so one very long campaign
+is worked on by many tasks and each rule evaluates its input once.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql.functions import pandas_udf
 
 from sundown.functions.hashing import row_text
 from sundown.functions.checks import differs, first_code, first_failure
-from sundown.functions.ordered import CHUNK_ROWS, before_each_row, sequence_chunk
-from sundown.operators.policy import Policy, decide
+from sundown.functions.ordered import CHUNK_ROWS, TIME_BITS, sliced_before
+from sundown.operators.policy import AnyPolicy, CampaignPolicy, decide
 from sundown.session import cut_lineage
 from sundown.vocabulary import (
     CAMPAIGN_MOVES,
@@ -36,15 +36,22 @@ PAYLOAD = (
     "disposition string, state string, decision string, blocker_codes array<string>, "
     "evidence_envelope struct<mode:string,sources:array<struct<id:string,required:boolean,status:string>>>, "
     "input_digests map<string,string>, receipt struct<receipt_digest:string,expires_at:string>, "
-    "waiver struct<consumer_id:string>"
+    "waiver struct<consumer_id:string>, "
+    "policy struct<requires_live_evidence:boolean,require_reconciliation:boolean,allow_waivers:boolean,waivers_satisfy_closure:boolean>"
 )
 MEMBERSHIP = ("INVENTORY_RECORDED", "INVENTORY_EXTENDED", "RECONCILIATION_RECORDED")
 INVENTORY = ("INVENTORY_RECORDED", "INVENTORY_EXTENDED")
 
+
 def kind() -> Column:
     return F.col("event_type")
 
 
+def slices_of(chunk_rows: int) -> dict[str, int]:
+    """Slices of ``chunk_rows`` positions of a sequence, cut finer where one holds more rows."""
+    return {"bits": max(0, (chunk_rows - 1).bit_length()), "rows": chunk_rows}
+
+
 def typed(events: DataFrame) -> DataFrame:
     """The log with its payload parsed into column ``p``."""
     return events.withColumn("p", F.from_json("payload", PAYLOAD))
@@ -154,9 +161,7 @@ def campaign_transitions(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Dat
     """First illegal state change of each campaign; campaigns without one are absent."""
     moves = typed(events).select("campaign_id", "sequence", "event_type", state_after().alias("to_state"))
     moves = moves.filter(F.col("to_state").isNotNull() | (kind() == "INVENTORY_EXTENDED"))
-    placed = before_each_row(
-        moves, ["campaign_id"], sequence_chunk(rows=chunk_rows), ["sequence"], last={"from_state": F.col("to_state")}
-    )
+    placed = sliced_before(moves, ["campaign_id"], ["sequence"], **slices_of(chunk_rows), last={"from_state": F.col("to_state")})
     prior = F.coalesce("from_state", F.lit(""))
     legal = (
         F.when(kind() == "CAMPAIGN_CREATED", F.lit(True))
@@ -179,43 +184,52 @@ def annotate(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     set anew; ``recon`` that of the last reconciliation since, 0 when there is none.
     The consumer rules read this several times, so it is written to the checkpoint folder.
     """
-    parsed = typed(events)
+    parsed = typed(events).select("campaign_id", "sequence", "event_type", "occurred_at", "p")
     sequence = F.col("sequence").cast("bigint")
     zero = F.lit(0).cast("bigint")
-    placed = before_each_row(
+    placed = sliced_before(
         parsed,
         ["campaign_id"],
-        sequence_chunk(rows=chunk_rows),
         ["sequence"],
+        **slices_of(chunk_rows),
         last={
             "epoch": F.when(kind() == "INVENTORY_RECORDED", sequence),
             "recon": F.when(kind() == "RECONCILIATION_RECORDED", sequence).when(kind() == "INVENTORY_RECORDED", zero),
             "envelope": F.when(kind().isin(*MEMBERSHIP), F.col("p.evidence_envelope")),
             "reconciled": F.when(kind().isin(*MEMBERSHIP), kind() == "RECONCILIATION_RECORDED"),
         },
-        first={"inputs": F.when(kind() == "CAMPAIGN_CREATED", F.array_sort(F.map_entries("p.input_digests")))},
+        first={
+            "inputs": F.when(kind() == "CAMPAIGN_CREATED", F.array_sort(F.map_entries("p.input_digests"))),
+            "policy": F.when(kind() == "CAMPAIGN_CREATED", F.col("p.policy")),
+        },
         include_current=True,
     )
     named = placed.withColumn("epoch", F.coalesce("epoch", zero)).withColumn("recon", F.coalesce("recon", zero))
     return cut_lineage(
-        named.select("campaign_id", "sequence", "event_type", "occurred_at", "p", "epoch", "recon", "envelope", "reconciled", "inputs")
+        named.select("campaign_id", "sequence", "event_type", "occurred_at", "p", "epoch", "recon", "envelope", "reconciled", "inputs", "policy")
     )
 
 
-def _raw_touches(annotated: DataFrame) -> DataFrame:
-    """Every (event, consumer) pair that may add a consumer or change its disposition."""
-    shared = ["campaign_id", "epoch", "recon", "sequence", "event_type", "occurred_at"]
+_SHARED = ["campaign_id", "epoch", "recon", "sequence", "event_type", "occurred_at"]
+
+
+def _listed(annotated: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Every (event, consumer) pair of the events that list consumers."""
     no_receipt = F.lit(None).cast("struct<receipt_digest:string,expires_at:string>")
-    members = (
-        annotated.filter(kind().isin(*MEMBERSHIP))
-        .select(*shared, F.explode("p.consumers").alias("c"))
-        .select(*shared, F.lit(True).alias("member"), F.col("c.id").alias("consumer_id"),
+    return (
+        annotated.filter(kind().isin(*kinds))
+        .select(*_SHARED, F.explode("p.consumers").alias("c"))
+        .select(*_SHARED, F.lit(True).alias("member"), F.col("c.id").alias("consumer_id"),
                 F.col("c.disposition").alias("requested"), no_receipt.alias("receipt"))
     )
+
+
+def _raw_touches(annotated: DataFrame) -> DataFrame:
+    """Every (event, consumer) pair that may add a consumer or change its disposition."""
     changes = annotated.filter(
         kind().isin("CONSUMER_DISPOSITION_CHANGED", "WAIVER_RECORDED", "RECEIPT_ACCEPTED")
     ).select(
-        *shared,
+        *_SHARED,
         F.lit(False).alias("member"),
         F.when(kind() == "WAIVER_RECORDED", F.col("p.waiver.consumer_id")).otherwise(F.col("p.consumer_id")).alias("consumer_id"),
         F.when(kind() == "WAIVER_RECORDED", F.lit("WAIVED"))
@@ -224,7 +238,7 @@ def _raw_touches(annotated: DataFrame) -> DataFrame:
         .alias("requested"),
         F.when(kind() == "RECEIPT_ACCEPTED", F.col("p.receipt")).alias("receipt"),
     )
-    return members.unionByName(changes)
+    return _listed(annotated, MEMBERSHIP).unionByName(changes)
 
 
 _CONSUMER = ["campaign_id", "epoch", "consumer_id"]
@@ -236,14 +250,13 @@ def consumer_touches(annotated: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tupl
     In one epoch the first listing of a consumer adds it and later listings change
     nothing; a change needs the consumer to be there.
     """
-    chunk = sequence_chunk(rows=chunk_rows)
-    seen = before_each_row(
-        _raw_touches(annotated), _CONSUMER, chunk, ["sequence"],
-        first={"since": F.when(F.col("member"), F.col("sequence"))},
+    cut = slices_of(chunk_rows)
+    seen = sliced_before(
+        _raw_touches(annotated), _CONSUMER, ["sequence"], **cut, first={"since": F.when(F.col("member"), F.col("sequence"))}
     )
     effective = seen.filter(F.col("member") == F.col("since").isNull()).drop("since")
     unknown = seen.filter(~F.col("member") & F.col("since").isNull()).drop("since")
-    return before_each_row(effective, _CONSUMER, chunk, ["sequence"], last={"prior": F.col("requested")}), unknown
+    return sliced_before(effective, _CONSUMER, ["sequence"], **cut, last={"prior": F.col("requested")}), unknown
 
 
 def consumer_transitions(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -256,9 +269,7 @@ def consumer_transitions(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Dat
     repeated = annotated.filter(kind().isin(*INVENTORY) & (F.size(F.array_distinct(ids)) != F.size(ids))).select(
         "campaign_id", "sequence", F.lit(0).alias("check"), F.lit("").alias("consumer_id"),
         F.lit("").alias("from_disposition"), F.lit("").alias("to_disposition"), F.lit("IDENTITY_AMBIGUOUS").alias("refusal_code"))
-    imported = _raw_touches(annotated).filter(
-        kind().isin(*INVENTORY) & ~F.col("requested").isin(*IMPORTABLE_DISPOSITIONS)
-    ).select("campaign_id", "sequence", F.lit(1).alias("check"), "consumer_id", F.lit("").alias("from_disposition"),
+    imported = _listed(annotated, INVENTORY).filter(~F.col("requested").isin(*IMPORTABLE_DISPOSITIONS)).select("campaign_id", "sequence", F.lit(1).alias("check"), "consumer_id", F.lit("").alias("from_disposition"),
              F.col("requested").alias("to_disposition"), illegal.alias("refusal_code"))
     missing = unknown.select(
         "campaign_id", "sequence", F.lit(2).alias("check"), "consumer_id", F.lit("").alias("from_disposition"),
@@ -273,26 +284,72 @@ def consumer_transitions(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Dat
     return first_failure(failures.select(*kept), ["campaign_id"], ["sequence", "check", "consumer_id"], kept[1:]).drop("check")
 
 
-def campaign_state(events: DataFrame) -> DataFrame:
-    """Present state of each campaign by partial aggregation; no ordering of the log is needed."""
-    at = F.col("sequence")
+# Fixed value: what a part of the campaign fold holds beside its campaign.
+FOLD = (
+    "state struct<at:bigint,value:string>, last_event_at timestamp, events bigint, reconciled struct<at:bigint,value:boolean>, "
+    "envelope struct<at:bigint,value:struct<mode:string,sources:array<struct<id:string,required:boolean,status:string>>>>, "
+    "epoch bigint, snapshots bigint, receipts bigint, head struct<at:bigint,value:string>, "
+    "policy struct<at:bigint,value:struct<requires_live_evidence:boolean,require_reconciliation:boolean,allow_waivers:boolean,"
+    "waivers_satisfy_closure:boolean>>"
+)
+
+
+def _held(value: Column, condition: Column) -> Column:
+    """The value with the place it was set at, where it was set."""
+    return F.when(condition, F.struct(F.col("sequence").cast("bigint").alias("at"), value.alias("value")))
+
+
+def campaign_fold(events: DataFrame) -> DataFrame:
+    """A part of the campaign fold: mergeable, so any split of a log folds to the same state.
+
+    A part keeps for every value the sequence number that set it, so parts can be merged in any
+    order (:func:`merge_folds`), stored, and continued with later events only.
+    """
     after = state_after()
     membership = kind().isin(*MEMBERSHIP)
+    zero = F.lit(0).cast("bigint")
     return typed(events).groupBy("campaign_id").agg(
-        F.max_by(after, F.when(after.isNotNull(), at)).alias("state"),
+        F.max(_held(after, after.isNotNull())).alias("state"),
         F.max("occurred_at").alias("last_event_at"),
         F.count(F.lit(1)).alias("events"),
-        F.coalesce(
-            F.max_by(kind() == "RECONCILIATION_RECORDED", F.when(membership, at)), F.lit(False)
-        ).alias("reconciled"),
-        F.max_by("p.evidence_envelope", F.when(membership & F.col("p.evidence_envelope").isNotNull(), at)).alias("envelope"),
-        F.coalesce(F.max(F.when(kind() == "INVENTORY_RECORDED", at)), F.lit(0)).cast("bigint").alias("epoch"),
+        F.max(_held(kind() == "RECONCILIATION_RECORDED", membership)).alias("reconciled"),
+        F.max(_held(F.col("p.evidence_envelope"), membership & F.col("p.evidence_envelope").isNotNull())).alias("envelope"),
+        F.coalesce(F.max(F.when(kind() == "INVENTORY_RECORDED", F.col("sequence").cast("bigint"))), zero).alias("epoch"),
         F.count_if(membership).alias("snapshots"),
         F.count_if(kind() == "RECEIPT_ACCEPTED").alias("receipts"),
-        F.max_by("event_digest", at).alias("head_digest"),
+        F.max(_held(F.col("event_digest"), F.lit(True))).alias("head"),
+        F.min(_held(F.col("p.policy"), kind() == "CAMPAIGN_CREATED")).alias("policy"),
+    )
+
+
+def merge_folds(parts: DataFrame) -> DataFrame:
+    """One part per campaign from any number of them, of events that no two parts share."""
+    added = ("events", "snapshots", "receipts")
+    latest = ("state", "last_event_at", "reconciled", "envelope", "epoch", "head")
+    merged = parts.groupBy("campaign_id").agg(
+        *[F.max(c).alias(c) for c in latest], *[F.sum(c).alias(c) for c in added], F.min("policy").alias("policy"))
+    return merged.select(parts.columns)
+
+
+def finish_fold(parts: DataFrame) -> DataFrame:
+    """The present state that one part per campaign stands for."""
+    return parts.select(
+        "campaign_id", F.col("state.value").alias("state"), "last_event_at", "events",
+        F.coalesce("reconciled.value", F.lit(False)).alias("reconciled"), F.col("envelope.value").alias("envelope"), "epoch", "snapshots",
+        "receipts", F.col("head.value").alias("head_digest"), F.col("policy.value").alias("policy"),
     )
 
 
+def campaign_state(events: DataFrame) -> DataFrame:
+    """Present state of each campaign by partial aggregation; no ordering of the log is needed."""
+    return finish_fold(campaign_fold(events))
+
+
+def continue_fold(stored: DataFrame, later: DataFrame) -> DataFrame:
+    """A stored fold and the events since: reads nothing of the log before them."""
+    return merge_folds(stored.unionByName(campaign_fold(later)))
+
+
 def consumer_state(annotated: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Present consumers of each campaign with disposition and last accepted receipt, from annotated events."""
     touches, _ = consumer_touches(annotated, chunk_rows)
@@ -310,7 +367,7 @@ def consumer_state(annotated: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFr
 def _late_consumers(annotated: DataFrame) -> DataFrame:
     """When consumers of a reconciliation are outside the inventory: +1 as it lists them, -1 as they are added."""
     first_listed = (
-        _raw_touches(annotated).filter(kind().isin(*INVENTORY)).groupBy(*_CONSUMER)
+        _listed(annotated, INVENTORY).groupBy(*_CONSUMER)
         .agg(F.min(F.struct(F.col("sequence").alias("at"), F.col("recon").alias("in_recon"))).alias("listed"))
     )
     observed = (
@@ -438,8 +495,8 @@ def publication_audit(publications: DataFrame, chunk_rows: int = CHUNK_ROWS) ->
     lifecycle_digest (before for a publication, after for a verification).
     """
     recorded = kind() == "PUBLICATION_RECORDED"
-    placed = before_each_row(
-        publications, ["campaign_id"], sequence_chunk(rows=chunk_rows), ["sequence"],
+    placed = sliced_before(
+        publications, ["campaign_id"], ["sequence"], **slices_of(chunk_rows),
         last={"before": F.when(recorded, F.struct("logical_key", "urn", "content_digest", "lifecycle_digest"))},
     )
     known = F.col("before").isNotNull()
@@ -470,8 +527,8 @@ def state_at_publication(events: DataFrame, publications: DataFrame, chunk_rows:
         "campaign_id", "sequence", F.lit(1).alias("tie"), state_after().alias("_s"), none.alias("content_digest"))
     # A publication stands before the event that carries its own sequence.
     marks = publications.select("campaign_id", "sequence", F.lit(0).alias("tie"), none.alias("_s"), "content_digest")
-    placed = before_each_row(
-        steps.unionByName(marks), ["campaign_id"], sequence_chunk(rows=chunk_rows), ["sequence", "tie"],
+    placed = sliced_before(
+        steps.unionByName(marks), ["campaign_id"], ["sequence", "tie"], **slices_of(chunk_rows),
         last={"state_before": F.col("_s")},
     )
     return (
@@ -483,46 +540,39 @@ def state_at_publication(events: DataFrame, publications: DataFrame, chunk_rows:
 
 # --- policy at every evaluation -----------------------------------------------------
 
-TIME_CHUNK_SECONDS = 900
-
 
 def _disposition_counts(touches: DataFrame, evaluations: DataFrame, chunk_rows: int) -> DataFrame:
-    """How many consumers stood in each disposition when each evaluation happened: running sums of changes."""
+    """The evaluations with how many consumers stood in each disposition then: running sums of changes."""
     change = {
         d: F.sum((F.col("requested") == d).cast("bigint") - F.coalesce(F.col("prior") == d, F.lit(False)).cast("bigint"))
         for d in DISPOSITIONS
     }
     steps = touches.groupBy("campaign_id", "epoch", "sequence").agg(*[c.alias(d) for d, c in change.items()])
-    marks = evaluations.select("campaign_id", "epoch", "sequence")
-    zero = F.lit(0).cast("bigint")
-    both = steps.withColumn("mark", F.lit(False)).unionByName(
-        marks.select("*", *[zero.alias(d) for d in DISPOSITIONS], F.lit(True).alias("mark")))
-    placed = before_each_row(
-        both, ["campaign_id", "epoch"], sequence_chunk(rows=chunk_rows), ["sequence"],
+    marks = evaluations.withColumn("mark", F.lit(True))
+    placed = sliced_before(
+        marks.unionByName(steps, allowMissingColumns=True), ["campaign_id", "epoch"], ["sequence"], **slices_of(chunk_rows),
         total={f"n_{d}": F.col(d) for d in DISPOSITIONS},
     )
-    return placed.filter("mark").select("campaign_id", "sequence", *[f"n_{d}" for d in DISPOSITIONS])
+    return placed.filter("mark").select(*evaluations.columns, *[f"n_{d}" for d in DISPOSITIONS])
 
 
 def _new_counts(annotated: DataFrame, evaluations: DataFrame, chunk_rows: int) -> DataFrame:
     steps = _late_consumers(annotated).groupBy("campaign_id", "epoch", "recon", "sequence").agg(F.sum("step").alias("step"))
-    marks = evaluations.select("campaign_id", "epoch", "recon", "sequence", F.lit(0).cast("bigint").alias("step"), F.lit(True).alias("mark"))
-    placed = before_each_row(
-        steps.withColumn("mark", F.lit(False)).unionByName(marks), ["campaign_id", "epoch", "recon"],
-        sequence_chunk(rows=chunk_rows), ["sequence"], total={"added": F.col("step")},
+    marks = evaluations.select("campaign_id", "epoch", "recon", "sequence", F.lit(True).alias("mark"))
+    placed = sliced_before(
+        marks.unionByName(steps, allowMissingColumns=True), ["campaign_id", "epoch", "recon"], ["sequence"], **slices_of(chunk_rows),
+        total={"added": F.col("step")},
     )
     return placed.filter("mark").select("campaign_id", "sequence", "added")
 
 
-def _expired_counts(touches: DataFrame, evaluations: DataFrame, chunk_rows: int, time_chunk: int) -> DataFrame:
+def _expired_counts(touches: DataFrame, evaluations: DataFrame, chunk_rows: int) -> DataFrame:
     """Accepted receipts past their expiry at each evaluation, a later receipt replacing an earlier one."""
+    cut = slices_of(chunk_rows)
     accepted = touches.filter("receipt IS NOT NULL").select(
         *_CONSUMER, "sequence", (-F.col("sequence")).alias("_back"), F.col("occurred_at").alias("at"),
         F.col("receipt.expires_at").try_cast("timestamp").alias("expires"))
-    followed = before_each_row(
-        accepted, _CONSUMER, -sequence_chunk(rows=chunk_rows), ["_back"],
-        last={"next": F.struct("at", "sequence")},
-    ).filter("expires IS NOT NULL")
+    followed = sliced_before(accepted, _CONSUMER, ["_back"], **cut, last={"next": F.struct("at", "sequence")}).filter("expires IS NOT NULL")
     when = F.greatest("expires", "at")
     tie = F.when(F.col("expires") > F.col("at"), F.lit(-1)).otherwise(F.col("sequence")).cast("bigint")
     fires = followed.filter(F.col("next").isNull() | (F.col("next.at") > when))
@@ -531,14 +581,13 @@ def _expired_counts(touches: DataFrame, evaluations: DataFrame, chunk_rows: int,
         F.when(F.col("next").isNotNull(), F.struct(
             F.col("next.at").alias("at"), F.col("next.sequence").cast("bigint").alias("tie"), F.lit(-1).cast("bigint").alias("step"))),
     ))
-    moves = fires.select("campaign_id", "epoch", F.explode(steps).alias("s")).select(
-        "campaign_id", "epoch", "s.*", F.lit(None).cast("bigint").alias("sequence"))
+    moves = fires.select("campaign_id", "epoch", F.explode(steps).alias("s")).select("campaign_id", "epoch", "s.*")
+    sequence = F.col("sequence").cast("bigint")
     marks = evaluations.select(
-        "campaign_id", "epoch", F.col("occurred_at").alias("at"), F.col("sequence").cast("bigint").alias("tie"),
-        F.lit(0).cast("bigint").alias("step"), F.col("sequence").cast("bigint").alias("sequence"))
-    placed = before_each_row(
-        moves.unionByName(marks), ["campaign_id", "epoch"], F.floor(F.unix_seconds("at") / time_chunk), ["at", "tie"],
-        total={"expired": F.col("step")},
+        "campaign_id", "epoch", F.col("occurred_at").alias("at"), sequence.alias("tie"), sequence.alias("sequence"))
+    placed = sliced_before(
+        marks.unionByName(moves, allowMissingColumns=True), ["campaign_id", "epoch"], ["at", "tie"], position=F.unix_micros("at"), bits=TIME_BITS,
+        rows=chunk_rows, total={"expired": F.col("step")},
     )
     return placed.filter("sequence IS NOT NULL").select("campaign_id", "sequence", "expired")
 
@@ -551,18 +600,18 @@ def code_counts(codes: Column) -> Column:
     ))
 
 
-def policy_event_audit(
-    events: DataFrame, policy: Policy = Policy(), chunk_rows: int = CHUNK_ROWS, time_chunk: int = TIME_CHUNK_SECONDS
-) -> DataFrame:
+def policy_event_audit(events: DataFrame, policy: AnyPolicy = CampaignPolicy(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every recorded evaluation against the policy recomputed on the state just before it.
 
+    The policy is that of the campaign's creating event unless one is given for all.
+
     Nothing is replayed per evaluation: consumers per disposition, late consumers and
     expired receipts are running sums over the changes, so the work grows with the log.
     """
     annotated = annotate(events, chunk_rows)
     touches = cut_lineage(consumer_touches(annotated, chunk_rows)[0])
     evaluations = annotated.filter(kind() == "POLICY_EVALUATED").select(
-        "campaign_id", "epoch", "recon", "sequence", "occurred_at", "p", "envelope", "reconciled", "inputs")
+        "campaign_id", "epoch", "recon", "sequence", "occurred_at", "p", "envelope", "reconciled", "inputs", "policy")
     key = ["campaign_id", "sequence"]
 
     def n(*names: str) -> Column:
@@ -571,11 +620,11 @@ def policy_event_audit(
     required = F.filter("envelope.sources", lambda s: s["required"])
     size = lambda a: F.coalesce(F.size(a), F.lit(0)).cast("bigint")
     facts = (
-        evaluations.join(_disposition_counts(touches, evaluations, chunk_rows), key)
+        _disposition_counts(touches, evaluations, chunk_rows)
         .join(_new_counts(annotated, evaluations, chunk_rows), key)
-        .join(_expired_counts(touches, evaluations, chunk_rows, time_chunk), key)
+        .join(_expired_counts(touches, evaluations, chunk_rows), key)
         .select(
-            *key, "p", "inputs", "added", "expired", *[f"n_{d}" for d in DISPOSITIONS],
+            *key, "p", "inputs", "policy", "added", "expired", *[f"n_{d}" for d in DISPOSITIONS],
             F.col("envelope.mode").alias("mode"),
             F.coalesce("reconciled", F.lit(False)).alias("reconciled"),
             F.lit(True).alias("inputs_match"),
@@ -594,14 +643,14 @@ def policy_event_audit(
     no_source = F.col("mode").isNull() | (F.col("required_sources") == 0)
     counts = {
         "EVIDENCE_EMPTY_RESULT_UNPROVEN": F.when(F.col("consumers") == 0, one),
-        "EVIDENCE_MODE_NOT_LIVE": F.when(F.lit(policy.requires_live_evidence) & (F.col("mode") != "live"), one),
+        "EVIDENCE_MODE_NOT_LIVE": F.when(policy.flag("requires_live_evidence") & (F.col("mode") != "live"), one),
         "EVIDENCE_RECEIPT_EXPIRED": F.col("expired"),
         "EVIDENCE_REQUIRED_SOURCE_INCOMPLETE": F.when(no_source, one).otherwise(F.col("incomplete_sources")),
         "IDENTITY_NOT_FOUND": F.col("unresolved"),
         **{f"POLICY_CONSUMER_{d}": F.col(f"n_{d}") for d in sorted(OPEN_DISPOSITIONS)},
-        "POLICY_WAIVER_FORBIDDEN": F.when(F.lit(not policy.allow_waivers), F.col("waived")),
+        "POLICY_WAIVER_FORBIDDEN": F.when(~policy.flag("allow_waivers"), F.col("waived")),
         "RECONCILIATION_NEW_CONSUMER": F.col("added"),
-        "RECONCILIATION_REQUIRED": F.when(F.lit(policy.require_reconciliation) & ~F.col("reconciled"), one),
+        "RECONCILIATION_REQUIRED": F.when(policy.flag("require_reconciliation") & ~F.col("reconciled"), one),
     }
     expected_codes = F.concat_ws(",", *[F.when(c > 0, F.concat(F.lit(f"{name}:"), c.cast("string"))) for name, c in counts.items()])
     decided = decide(facts, policy, keys=(*key, "p", "inputs", "expired", expected_codes.alias("expected_codes")))

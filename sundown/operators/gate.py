@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sundown.functions.checks import differs, first_code, not_true
 from sundown.functions.clock import clock_checks
+from sundown.functions.ordered import sliced_before
 from sundown.vocabulary import PLAN_LIFETIME_SECONDS
 
 # What makes two scopes the same; totals, pages and times do not count.
@@ -56,19 +57,28 @@ def refresh_status(refreshes: DataFrame, observations: DataFrame) -> DataFrame:
     """First observation of each requested refresh before its deadline, or a timeout.
 
     ``refreshes``: refresh_id, urn, requested_at, deadline. ``observations``: urn,
-    source_updated_at, observed_at.
+    source_updated_at, observed_at. An observation counts for a refresh if its source was updated
+    after the request; the earliest of these decides, for if it comes too late, all do. So both are
+    put in one sequence per URN by those times, and each refresh takes the least observation time
+    of the rows after it. Slices of the sequence hold a bounded number of rows, whatever their
+    keys, so nothing is multiplied and a URN with very many of both is worked on by many tasks.
     """
-    seen = (
-        refreshes.join(observations, "urn")
-        .filter((F.col("source_updated_at") >= F.col("requested_at")) & (F.col("observed_at") <= F.col("deadline")))
-        .groupBy("refresh_id")
-        .agg(F.min("observed_at").alias("observed_at"))
-    )
-    return refreshes.select("refresh_id", "urn").join(seen, "refresh_id", "left").select(
+    none = F.lit(None)
+    asked = refreshes.select(
+        "urn", F.col("requested_at").alias("at"), F.lit(1).alias("tie"), none.cast("timestamp").alias("seen"), "refresh_id", "deadline",
+        F.lit(True).alias("asked"))
+    seen = observations.select(
+        "urn", F.col("source_updated_at").alias("at"), F.lit(0).alias("tie"), F.col("observed_at").alias("seen"),
+        none.cast(refreshes.schema["refresh_id"].dataType).alias("refresh_id"), none.cast("timestamp").alias("deadline"), F.lit(False).alias("asked"))
+    # Backwards in time, a refresh after the observations of its own instant.
+    rows = asked.unionByName(seen.filter("at IS NOT NULL")).withColumn("back", -F.unix_micros("at"))
+    placed = sliced_before(rows, ["urn"], ["back", "tie"], least={"first_seen": F.col("seen")})
+    hit = F.when(F.col("first_seen") <= F.col("deadline"), F.col("first_seen"))
+    return placed.filter("asked").select(
         "refresh_id",
         "urn",
-        "observed_at",
-        F.when(F.col("observed_at").isNull(), F.lit("RECONCILIATION_REFRESH_TIMEOUT")).alias("refusal_code"),
+        hit.alias("observed_at"),
+        F.when(hit.isNull(), F.lit("RECONCILIATION_REFRESH_TIMEOUT")).alias("refusal_code"),
     )
 
 
@@ -134,6 +144,42 @@ def receipt_type_audit(receipts: DataFrame, configured: Sequence[str]) -> DataFr
     return receipts.filter(~known).select("campaign_id", F.lit("POLICY_INPUT_DRIFT").alias("refusal_code"))
 
 
+def bound_snapshots(plans: DataFrame, snapshots: DataFrame, now: Column) -> DataFrame:
+    """Each source as its campaign's plan was bound to it and as it is at the gate.
+
+    ``plans``: campaign_id, plan_digest, prepared_at. ``snapshots``: campaign_id, source_id, role
+    (``source`` or ``binding``), observed_at, snapshot_id, fingerprint. Two as-of selections, the last
+    snapshot at preparation and the last one now, as one aggregation: a plan meets its campaign's
+    snapshots by equality, and a campaign with very many of them is reduced map-side. A source that
+    appeared or was never seen before preparation differs.
+    """
+    spot = F.struct("observed_at", "snapshot_id")
+    at_plan = F.col("observed_at") <= F.col("prepared_at")
+    joined = plans.select("campaign_id", "plan_digest", "prepared_at").join(snapshots, "campaign_id").filter(F.col("observed_at") <= now)
+    code = F.when(F.col("role") == "binding", F.lit("GATE_STATE_DRIFT")).otherwise(F.lit("GATE_SOURCE_DRIFT"))
+    return (
+        joined.groupBy("campaign_id", "plan_digest", "source_id", "role")
+        .agg(F.max_by("fingerprint", F.when(at_plan, spot)).alias("bound_fingerprint"), F.max_by("fingerprint", spot).alias("fingerprint"))
+        .withColumn("refusal_code", F.when(differs("bound_fingerprint", "fingerprint"), code))
+    )
+
+
+def consumed_plans(campaigns: DataFrame, plans: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Campaigns whose plan, or whose present manifest, an earlier attempt has consumed."""
+    consuming = attempts.filter(F.col("status").isin(*CONSUMING))
+    by_plan = plans.select("campaign_id", "plan_digest").join(consuming.select("plan_digest"), "plan_digest", "left_semi").select("campaign_id")
+    key = ["campaign_id", "manifest_digest"]
+    by_manifest = campaigns.select(*key).join(consuming.select(*key), key, "left_semi").select("campaign_id")
+    return by_plan.unionByName(by_manifest).distinct().withColumn("refusal_code", F.lit("GATE_PLAN_REPLAYED"))
+
+
+# Fixed value: the order in which the gate looks.
+GATE_STEPS = (
+    "ready", "plan", "provenance", "window", "binding", "inputs", "receipt types", "receipts", "approvals", "bindings", "scope", "membership",
+    "freshness", "publication", "manifest", "source", "consumed",
+)
+
+
 def gate_readiness(
     campaigns: DataFrame, plans: DataFrame, findings: Sequence[tuple[str, DataFrame]], now: Column
 ) -> DataFrame:
@@ -141,9 +187,9 @@ def gate_readiness(
 
     ``campaigns``: campaign_id, state, decision, manifest_digest, publication_verified.
     ``plans``: campaign_id, plan_digest, issued, trusted, bound, plan_manifest_digest,
-    prepared_at, expires_at. ``findings`` are audits in the order of their steps, each
-    ``(step, rows with campaign_id and refusal_code)``; they are reduced to one row per
-    campaign before they meet the campaigns.
+    prepared_at, expires_at. ``findings`` are audits ``(step, rows with campaign_id and
+    refusal_code)`` in any order; they are reduced to one row per campaign before they meet
+    the campaigns, and every check takes its place from :data:`GATE_STEPS`.
     """
     joined = campaigns.join(plans, "campaign_id", "left")
     own = [
@@ -155,15 +201,18 @@ def gate_readiness(
         ("publication", not_true("publication_verified"), "GATE_PUBLICATION_UNVERIFIED"),
         ("manifest", differs("plan_manifest_digest", "manifest_digest"), "GATE_STATE_DRIFT"),
     ]
-    first = F.coalesce(*[F.when(c, F.struct(F.lit(step).alias("step"), F.lit(code).alias("code"))) for step, c, code in own])
+
+    def place(step: str, within: int, code: Column) -> Column:
+        return F.struct(F.lit(GATE_STEPS.index(step)).alias("n"), F.lit(within).alias("i"), F.lit(step).alias("step"), code.alias("code"))
+
+    # Checks of one step keep their order, here that of the list.
+    failed = [F.when(condition, place(step, i, F.lit(code))) for i, (step, condition, code) in enumerate(own)]
     rows: DataFrame | None = None
-    for number, (step, found) in enumerate(findings):
-        part = found.filter("refusal_code IS NOT NULL").select(
-            "campaign_id", F.lit(number).alias("_n"), F.lit(step).alias("step"), F.col("refusal_code").alias("code"))
+    for step, found in findings:
+        part = found.filter("refusal_code IS NOT NULL").select("campaign_id", place(step, 0, F.col("refusal_code")).alias("f"))
         rows = part if rows is None else rows.unionByName(part)
     if rows is not None:
-        earliest = rows.groupBy("campaign_id").agg(F.min(F.struct("_n", "step", "code")).alias("_later"))
-        joined = joined.join(earliest, "campaign_id", "left")
-        first = F.coalesce(first, F.when(F.col("_later").isNotNull(), F.struct("_later.step", "_later.code")))
-    return joined.withColumn("_first", first).select(
+        joined = joined.join(rows.groupBy("campaign_id").agg(F.min("f").alias("_later")), "campaign_id", "left")
+        failed.append(F.col("_later"))
+    return joined.withColumn("_first", F.array_min(F.array_compact(F.array(*failed)))).select(
         "campaign_id", F.col("_first.step").alias("failed_step"), F.col("_first.code").alias("refusal_code"))

@@ -172,9 +172,9 @@ def context_rollup(entities: DataFrame, owners: DataFrame, queries: DataFrame) -
 
 
 def graph_items(edges: DataFrame) -> DataFrame:
-    """Nodes, edges and field mappings of a graph as ``(kind, item, precise)`` rows, repeats included."""
+    """Nodes, edges and field mappings of tagged edges as ``(kind, item, precise, observed)`` rows, repeats included."""
     entry = lambda kind, item, precise: F.struct(
-        F.lit(kind).alias("kind"), item.alias("item"), precise.alias("precise"))
+        F.lit(kind).alias("kind"), item.alias("item"), precise.alias("precise"), F.col("observed").alias("observed"))
     yes = F.lit(True)
     by_field = F.col("precision") == "field"
     mapped = F.concat_ws(">", F.concat_ws("#", "upstream", "up_field"), F.concat_ws("#", "downstream", "down_field"))
@@ -187,25 +187,29 @@ def graph_items(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(items).alias("i")).select("i.*")
 
 
-def graph_differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
-    """Every item of either graph with its state: missing, extra, changed in precision, or the same.
+def tagged_differences(edges: DataFrame) -> DataFrame:
+    """Every item of two graphs with its state: missing, extra, changed in precision, or the same.
 
-    Both graphs go through one grouping with flags only, combined before the shuffle,
-    instead of being made distinct and joined.
+    ``edges`` holds the edges of both, those of the observed one with ``observed``. Each item is
+    reduced to two flags, seen and seen precisely, per side, combined before the shuffle: the
+    edges are read once, and neither graph is made distinct or joined.
     """
-    both = graph_items(expected).withColumn("seen", F.lit(False)).unionByName(
-        graph_items(observed).withColumn("seen", F.lit(True)))
-    sides = both.groupBy("kind", "item").agg(
-        F.max(F.when(~F.col("seen"), F.col("precise"))).alias("_e"), F.max(F.when(F.col("seen"), F.col("precise"))).alias("_o"))
+    sides = graph_items(edges).groupBy("kind", "item").agg(
+        F.max(F.when(~F.col("observed"), F.col("precise"))).alias("_e"), F.max(F.when(F.col("observed"), F.col("precise"))).alias("_o"))
     state = F.when(F.col("_o").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(
         F.col("_e") != F.col("_o"), "changed").otherwise("same")
     return sides.select("kind", "item", state.alias("state"))
 
 
-def graph_recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
+def graph_differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """:func:`tagged_differences` of two graphs that come as tables of their own."""
+    return tagged_differences(expected.withColumn("observed", F.lit(False)).unionByName(observed.withColumn("observed", F.lit(True))))
+
+
+def recall(differences: DataFrame) -> DataFrame:
     """Per kind of item: how much of the expected graph was observed."""
     state = F.col("state")
-    return graph_differences(expected, observed).groupBy("kind").agg(
+    return differences.groupBy("kind").agg(
         F.count_if(state != "extra").alias("expected"),
         F.count_if(state != "missing").alias("observed"),
         F.count_if(state == "missing").alias("missing"),
@@ -213,3 +217,7 @@ def graph_recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
         F.count_if(state == "changed").alias("changed"),
         F.round(F.count_if(state.isin("same", "changed")) / F.count_if(state != "extra"), 8).alias("recall"),
     )
+
+
+def graph_recall(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    return recall(graph_differences(expected, observed))

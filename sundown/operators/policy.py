@@ -13,11 +13,35 @@ from sundown.vocabulary import CLOSED_DISPOSITIONS, DISPOSITIONS, OPEN_DISPOSITI
 
 @dataclass(frozen=True)
 class Policy:
+    """One policy for all campaigns."""
+
     requires_live_evidence: bool = True
     require_reconciliation: bool = True
     allow_waivers: bool = False
     waivers_satisfy_closure: bool = False
 
+    def flag(self, name: str) -> Column:
+        return F.lit(getattr(self, name))
+
+
+@dataclass(frozen=True)
+class CampaignPolicy:
+    """The policy each campaign carries in its column ``policy``, a struct of flags; what it leaves out is as in ``default``."""
+
+    default: Policy = Policy()
+
+    def flag(self, name: str) -> Column:
+        return F.coalesce(F.col(f"policy.{name}"), self.default.flag(name))
+
+
+AnyPolicy = Policy | CampaignPolicy
+
+
+def _waivers(policy: AnyPolicy) -> tuple[Column, Column]:
+    """Whether a waiver blocks, and whether it asks for a review."""
+    allowed = policy.flag("allow_waivers")
+    return ~allowed, allowed & ~policy.flag("waivers_satisfy_closure")
+
 
 # Severities, the highest of a campaign gives its decision.
 UNSAFE, BLOCKED, REVIEW = 3, 2, 1
@@ -56,7 +80,7 @@ def campaign_facts(
     per_consumer = consumers.groupBy("campaign_id").agg(*_disposition_sums())
     per_added = added.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("added"))
     facts = (
-        campaigns.select("campaign_id", "mode", "reconciled", "inputs_match")
+        campaigns.select("campaign_id", "mode", "reconciled", "inputs_match", *(["policy"] if "policy" in campaigns.columns else []))
         .join(per_source, "campaign_id", "left")
         .join(per_consumer, "campaign_id", "left")
         .join(per_added, "campaign_id", "left")
@@ -69,31 +93,26 @@ def campaign_facts(
     return facts.na.fill(0)
 
 
-def _campaign_rules(policy: Policy) -> list[tuple[Column, str]]:
+def _campaign_rules(policy: AnyPolicy) -> list[tuple[Column, str]]:
     """Condition and code of every blocker that names neither a consumer nor a source."""
     has_envelope = F.col("mode").isNotNull()
-    rules = [
+    return [
         (not_true("inputs_match"), "POLICY_INPUT_DRIFT"),
         (~has_envelope | (F.col("required_sources") == 0), "EVIDENCE_REQUIRED_SOURCE_INCOMPLETE"),
         (F.col("consumers") == 0, "EVIDENCE_EMPTY_RESULT_UNPROVEN"),
+        (policy.flag("requires_live_evidence") & has_envelope & (F.col("mode") != "live"), "EVIDENCE_MODE_NOT_LIVE"),
+        (policy.flag("require_reconciliation") & not_true("reconciled"), "RECONCILIATION_REQUIRED"),
     ]
-    if policy.requires_live_evidence:
-        rules.append((has_envelope & (F.col("mode") != "live"), "EVIDENCE_MODE_NOT_LIVE"))
-    if policy.require_reconciliation:
-        rules.append((not_true("reconciled"), "RECONCILIATION_REQUIRED"))
-    return rules
 
 
-def decide(facts: DataFrame, policy: Policy = Policy(), keys: tuple[Column | str, ...] = ("campaign_id",)) -> DataFrame:
+def decide(facts: DataFrame, policy: AnyPolicy = Policy(), keys: tuple[Column | str, ...] = ("campaign_id",)) -> DataFrame:
     """One decision per row of facts, by default per campaign, with the number of blockers and review requirements."""
-    blocked = F.col("incomplete_sources") + F.col("unresolved") + F.col("unknown")
+    forbidden, reviewed = _waivers(policy)
+    zero = F.lit(0).cast("bigint")
+    blocked = F.col("incomplete_sources") + F.col("unresolved") + F.col("unknown") + F.when(forbidden, F.col("waived")).otherwise(zero)
     for condition, _ in _campaign_rules(policy):
-        blocked = blocked + condition.cast("bigint")
-    review = F.col("reviews")
-    if not policy.allow_waivers:
-        blocked = blocked + F.col("waived")
-    elif not policy.waivers_satisfy_closure:
-        review = review + F.col("waived")
+        blocked = blocked + F.coalesce(condition, F.lit(False)).cast("bigint")
+    review = F.col("reviews") + F.when(reviewed, F.col("waived")).otherwise(zero)
     unsafe = F.col("unsafe") + F.col("added")
     return facts.withColumn("_b", blocked).withColumn("_u", unsafe).withColumn("_r", review).select(
         *keys,
@@ -107,15 +126,12 @@ def decide(facts: DataFrame, policy: Policy = Policy(), keys: tuple[Column | str
     )
 
 
-def consumer_blockers(consumers: DataFrame, added: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Blockers and reviews that name a consumer; row by row, no join."""
+def consumer_blockers(consumers: DataFrame, added: DataFrame, policy: AnyPolicy = Policy()) -> DataFrame:
+    """Blockers and reviews that name a consumer, row by row; for policies by campaign, ``consumers`` carry theirs."""
     d = F.col("disposition")
-    waiver: Column = F.lit(None).cast("string")
-    severity_of_waiver = F.lit(BLOCKED)
-    if not policy.allow_waivers:
-        waiver = F.lit("POLICY_WAIVER_FORBIDDEN")
-    elif not policy.waivers_satisfy_closure:
-        waiver, severity_of_waiver = F.lit("POLICY_WAIVER_REVIEW"), F.lit(REVIEW)
+    forbidden, reviewed = _waivers(policy)
+    waiver = F.when(forbidden, F.lit("POLICY_WAIVER_FORBIDDEN")).when(reviewed, F.lit("POLICY_WAIVER_REVIEW"))
+    severity_of_waiver = F.when(forbidden, F.lit(BLOCKED)).otherwise(F.lit(REVIEW))
     code = (
         F.when(d.isin(*CLOSED_DISPOSITIONS), F.lit(None))
         .when(d == "WAIVED", waiver)
@@ -131,7 +147,7 @@ def consumer_blockers(consumers: DataFrame, added: DataFrame, policy: Policy = P
     return open_rows.filter("code IS NOT NULL").unionByName(new_rows)
 
 
-def campaign_blockers(facts: DataFrame, sources: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def campaign_blockers(facts: DataFrame, sources: DataFrame, policy: AnyPolicy = Policy()) -> DataFrame:
     """Blockers that name no consumer; an incomplete source is named instead."""
     rows = facts.select(
         "campaign_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in _campaign_rules(policy)]))).alias("code")
@@ -151,9 +167,11 @@ def blocker_rows(
     consumers: DataFrame,
     added: DataFrame,
     reviews: DataFrame | None = None,
-    policy: Policy = Policy(),
+    policy: AnyPolicy = Policy(),
 ) -> DataFrame:
     """Every blocker and review requirement: campaign, code, the consumer or source it names, severity."""
+    if isinstance(policy, CampaignPolicy):
+        consumers = consumers.join(facts.select("campaign_id", "policy"), "campaign_id", "left")
     rows = (
         campaign_blockers(facts, sources, policy)
         .withColumn("consumer_id", F.lit(None).cast("string"))
@@ -179,7 +197,7 @@ def evaluate(
     inventory: DataFrame,
     current: DataFrame,
     reviews: DataFrame | None = None,
-    policy: Policy = Policy(),
+    policy: AnyPolicy = Policy(),
 ) -> tuple[DataFrame, DataFrame]:
     """Decisions and blocker rows."""
     added = new_consumers(inventory, current)

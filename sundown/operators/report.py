@@ -60,16 +60,18 @@ def event_policy_inputs(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     """State, sources, consumers and late consumers of every campaign, folded from the log."""
     state = ev.campaign_state(log)
     campaigns = state.select(
-        "campaign_id", F.col("envelope.mode").alias("mode"), "reconciled", F.lit(True).alias("inputs_match"))
+        "campaign_id", F.col("envelope.mode").alias("mode"), "reconciled", F.lit(True).alias("inputs_match"), "policy")
     sources = state.select("campaign_id", F.explode("envelope.sources").alias("s")).select(
         "campaign_id", F.col("s.id").alias("source_id"), "s.required", "s.status")
     annotated = ev.annotate(log)
     return state, campaigns, sources, ev.consumer_state(annotated), ev.new_consumer_state(annotated)
 
 
-def manifest(log: DataFrame, policy: p.Policy = p.Policy()) -> DataFrame:
+def manifest(log: DataFrame, policy: p.AnyPolicy = p.CampaignPolicy()) -> DataFrame:
     """One row per campaign: state, decision, sizes and a digest of the consumer set.
 
+    Each campaign is judged by the policy of its creating event unless one is given for all.
+
     The consumers, blockers and history themselves stay rows
     (:func:`manifest_entries`), because a campaign may have any number of them.
     """
@@ -98,7 +100,7 @@ def manifest(log: DataFrame, policy: p.Policy = p.Policy()) -> DataFrame:
         "|", "campaign_id", "state", "decision", "head_digest", "consumer_hash", "envelope_digest")))
 
 
-def manifest_entries(log: DataFrame, policy: p.Policy = p.Policy()) -> DataFrame:
+def manifest_entries(log: DataFrame, policy: p.AnyPolicy = p.CampaignPolicy()) -> DataFrame:
     """The repeated parts of the manifest as rows ``(campaign_id, section, entry, value)``."""
     _, campaigns, sources, consumers, added = event_policy_inputs(log)
     facts = p.campaign_facts(campaigns, sources, consumers, added)

@@ -96,6 +96,52 @@ def reference_scan(files: DataFrame, token: str) -> DataFrame:
     ).filter("classification IS NOT NULL OR selects_all")
 
 
+# Fixed value: the kinds of dbt node a reference can hide in.
+DBT_KINDS = ("model", "seed", "test")
+_NODE = "resource_type string, original_file_path string, compiled_code string, depends_on struct<nodes:array<string>>"
+
+
+def dbt_nodes(manifests: DataFrame) -> DataFrame:
+    """The nodes of dbt manifests (repository_id, raw) as rows; entries that are no objects are left out.
+
+    repository_id, unique_id, resource_type, original_file_path, compiled_code, depends_on (sorted).
+    """
+    entries = F.from_json(F.get_json_object("raw", "$.nodes"), "map<string,string>")
+    node = manifests.select("repository_id", F.explode(entries).alias("unique_id", "_raw")).filter(F.col("_raw").startswith("{")).select(
+        "repository_id", "unique_id", F.from_json("_raw", _NODE).alias("n"))
+    return node.filter(F.col("n.resource_type").isin(*DBT_KINDS)).select(
+        "repository_id", "unique_id", "n.resource_type", "n.original_file_path", "n.compiled_code",
+        F.array_sort(F.coalesce("n.depends_on.nodes", F.array().cast("array<string>"))).alias("depends_on"))
+
+
+def dbt_dependencies(nodes: DataFrame) -> DataFrame:
+    """The graph of the nodes, an edge from each node to every one that depends on it."""
+    return nodes.select("repository_id", F.explode(F.array_distinct("depends_on")).alias("upstream"), F.col("unique_id").alias("downstream"))
+
+
+def manifest_scan(manifests: DataFrame, files: DataFrame, token: str) -> DataFrame:
+    """Where a repository's nodes name the token: in compiled code, in their file (then with its fingerprint), or in what they depend on.
+
+    ``files``: repository_id, path, text. A manifest without nodes is one row with a refusal.
+    """
+    nodes = dbt_nodes(manifests)
+    compiled = nodes.withColumn("compiled_contains_target", F.coalesce(F.col("compiled_code").rlike(token_pattern(token)), F.lit(False)))
+    named = files.filter(F.col("text").rlike(token_pattern(token)) & in_scanned_folder(F.col("path"), REFERENCE_SKIPPED_FOLDERS)).select(
+        "repository_id", F.col("path").alias("original_file_path"), digest("text").alias("fingerprint"))
+    joined = compiled.join(named, ["repository_id", "original_file_path"], "left")
+    hit = joined.filter("compiled_contains_target OR fingerprint IS NOT NULL").select("repository_id", F.col("unique_id").alias("upstream"))
+    above = (
+        dbt_dependencies(nodes).join(hit.distinct(), ["repository_id", "upstream"])
+        .groupBy("repository_id", F.col("downstream").alias("unique_id")).agg(F.count(F.lit(1)).alias("named_dependencies"))
+    )
+    scanned = joined.join(above, ["repository_id", "unique_id"], "left").select(
+        "repository_id", "unique_id", "resource_type", "original_file_path", "depends_on", "compiled_contains_target", "fingerprint",
+        F.coalesce("named_dependencies", F.lit(0).cast("bigint")).alias("named_dependencies"), F.lit(None).cast("string").alias("refusal_code"))
+    without = manifests.filter(~F.coalesce(F.get_json_object("raw", "$.nodes").startswith("{"), F.lit(False))).select(
+        "repository_id", F.lit("SOURCE_DBT_UNAVAILABLE").alias("refusal_code"))
+    return scanned.unionByName(without, allowMissingColumns=True)
+
+
 def path_allowed(path: Column, prefixes: Sequence[str]) -> Column:
     """Relative, without parent steps, and equal to or below one of the prefixes."""
     below = F.lit(False)
@@ -194,26 +240,30 @@ def file_audit(
 ) -> DataFrame:
     """First failing check of every registered file.
 
-    ``registry``: asset_id, path, size_bytes, sha256, license_id, revision, source_url,
-    members (array). ``files``: path, length, sha256, members (array).
+    ``registry``: asset_id, path, format (``zip`` or another), size_bytes, sha256, license_id,
+    revision, source_url, members (array). ``files``: path, length, sha256, members (array; null
+    where the file is no readable archive). Members are compared as multisets. An archive needs a
+    list of members and any other file must have none; a member that would leave its folder, or
+    is a folder, is unexpected whatever the list says.
     """
     counts = registry.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_uses"))
     present = files.select("path", F.col("length").alias("_length"), F.col("sha256").alias("_sha"), F.col("members").alias("_members"))
     joined = registry.join(counts, "asset_id").join(present, "path", "left")
     pinned = F.concat_ws("/", F.lit(url_prefix), "revision", "path")
-    unlisted = F.size(F.array_except(F.coalesce("_members", F.array().cast("array<string>")), "members")) > 0
-    absent = F.size(F.array_except("members", F.coalesce("_members", F.array().cast("array<string>")))) > 0
+    listed = F.coalesce(F.size("members") > 0, F.lit(False))
+    archive = F.coalesce(F.col("format") == "zip", F.lit(False))
+    unsafe = F.exists("_members", lambda m: m.startswith("/") | m.endswith("/") | F.array_contains(F.split(m, "/"), ".."))
+    differing = F.col("_members").isNull() | unsafe | differs(F.array_sort("_members"), F.array_sort("members"))
     code = first_code(
         [
             (~F.coalesce(F.col("revision").rlike(REVISION), F.lit(False)), "DATASET_SOURCE_UNPINNED"),
-            (F.col("_uses") > 1, "DATASET_REGISTRY_INVALID"),
+            ((F.col("_uses") > 1) | (archive != listed), "DATASET_REGISTRY_INVALID"),
             (~F.coalesce(F.col("license_id").isin(*licenses), F.lit(False)), "DATASET_LICENSE_UNAPPROVED"),
             (differs(F.col("source_url"), pinned), "DATASET_SOURCE_UNPINNED"),
             (F.col("_length").isNull(), "DATASET_CACHE_MISSING"),
             (F.col("_length") != F.col("size_bytes"), "DATASET_SIZE_MISMATCH"),
             (differs("_sha", "sha256"), "DATASET_CHECKSUM_MISMATCH"),
-            (unlisted | absent, "DATASET_ARCHIVE_UNEXPECTED_MEMBER"),
+            (archive & differing, "DATASET_ARCHIVE_UNEXPECTED_MEMBER"),
         ]
     )
     return joined.select("asset_id", "path", code.alias("refusal_code"))
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sundown.functions.ordered import before_each_row, row_numbers
+from sundown.functions.ordered import TIME_BITS, sliced_before, sliced_numbers
 from sundown.operators import events as ev
 from sundown.operators import report as r
 from sundown.plans.twin import twin, view
@@ -14,7 +14,6 @@ from sundown.sources.tables import Tables
 from sundown.vocabulary import CAMPAIGN_MOVES, CONSUMER_MOVES, DISPOSITIONS, IMPORTABLE_DISPOSITIONS, pairs
 
 STATUSES = ("COMPLETE", "COMPLETE", "PARTIAL", "COMPLETE", "STALE")
-HOUR = 3600
 
 
 def eid() -> Column:
@@ -40,7 +39,8 @@ def base_stream(t: Tables, daily: bool) -> DataFrame:
         campaign = F.concat(campaign, F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
     base = t.events.select(
         campaign.alias("campaign_id"), "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("occurred_at"))
-    numbered = row_numbers(base, ["campaign_id"], F.floor(F.unix_seconds("occurred_at") / HOUR), ["occurred_at", "event_id"], "sequence")
+    numbered = sliced_numbers(
+        base, ["campaign_id"], ["occurred_at", "event_id"], "sequence", position=F.unix_micros("occurred_at"), bits=TIME_BITS)
     kind = F.col("event_type")
     lifecycle = (
         F.when(F.col("sequence") == 1, "CAMPAIGN_CREATED")
@@ -104,6 +104,20 @@ FROM user_stream WHERE event_type IN ('CONSUMER_DISPOSITION_CHANGED', 'WAIVER_RE
 EMPTY_CODES = ("EVIDENCE_EMPTY_RESULT_UNPROVEN", "EVIDENCE_REQUIRED_SOURCE_INCOMPLETE", "RECONCILIATION_REQUIRED")
 
 
+def campaign_policy() -> Column:
+    """The policy a campaign is created with: none, or one of four."""
+    k = F.col("user_id") % 5
+    return F.when(k > 0, F.struct(
+        (k != 3).alias("requires_live_evidence"), F.when(k != 4, True).otherwise(False).alias("require_reconciliation"),
+        k.isin(1, 2).alias("allow_waivers"), F.when(k != 1, k == 2).alias("waivers_satisfy_closure")))
+
+
+view("campaign_policies", """
+SELECT DISTINCT 'u' || user_id AS campaign_id, user_id % 5 <> 3 AS live, user_id % 5 <> 4 AS reconciliation,
+       user_id % 5 IN (1, 2) AS waivers, user_id % 5 = 2 AS closing FROM events
+""")
+
+
 def payload() -> Column:
     """The JSON payload of each event."""
     kind = F.col("event_type")
@@ -128,6 +142,7 @@ def payload() -> Column:
             F.array(F.struct(F.lit("catalog").alias("id"), (eid() % 17 != 0).alias("required"), _pick(STATUSES, eid() % 5).alias("status")))
             .alias("sources"))).alias("evidence_envelope"),
         only(("CAMPAIGN_CREATED", "POLICY_EVALUATED"), inputs).alias("input_digests"),
+        only(("CAMPAIGN_CREATED",), campaign_policy()).alias("policy"),
         only(("RECEIPT_ACCEPTED",), F.struct(
             F.concat(F.lit("r"), eid()).alias("receipt_digest"),
             F.when(eid() % 7 != 0, F.date_format(F.timestamp_add("DAY", (eid() % 5).cast("int"), F.col("occurred_at")),
@@ -150,38 +165,46 @@ def log(t: Tables, daily: bool) -> DataFrame:
         event_digest().alias("event_digest"), payload().alias("payload"), "event_id", "user_id", "value"))
 
 
-def damaged_chain(t: Tables) -> DataFrame:
-    """The daily log with chained digests and planted damage: gaps, broken links, clocks set back, no creation."""
-    chained = before_each_row(
-        base_stream(t, True).withColumn("event_digest", event_digest()), ["campaign_id"], F.floor(F.unix_seconds("occurred_at") / HOUR),
-        ["sequence"], last={"previous_event_digest": F.col("event_digest")})
+def damaged_chain(t: Tables, daily: bool = True) -> DataFrame:
+    """The log with chained digests and planted damage: gaps, broken links, clocks set back, no creation."""
+    chained = sliced_before(
+        base_stream(t, daily).withColumn("event_digest", event_digest()), ["campaign_id"], ["sequence"],
+        last={"previous_event_digest": F.col("event_digest")})
     return chained.select(
         "campaign_id",
         F.when(eid() % 53 == 0, F.col("sequence") + 1).otherwise(F.col("sequence")).alias("sequence"),
         F.when((F.col("user_id") % 23 == 0) & (F.col("sequence") == 1), "MIGRATION_STARTED").otherwise(F.col("event_type")).alias("event_type"),
         F.when(eid() % 61 == 0, F.timestamp_add("HOUR", F.lit(-20), F.col("occurred_at"))).otherwise(F.col("occurred_at")).alias("occurred_at"),
         F.when(eid() % 59 == 0, F.lit("broken")).otherwise(F.col("previous_event_digest")).alias("previous_event_digest"),
-        "event_digest")
+        "event_digest", "event_id")
 
 
-view("damaged", f"""
+def _damaged_view(stream: str) -> str:
+    return f"""
 SELECT campaign_id, CASE WHEN event_id % 53 = 0 THEN sequence + 1 ELSE sequence END AS sequence,
        CASE WHEN user_id % 23 = 0 AND sequence = 1 THEN 'MIGRATION_STARTED' ELSE event_type END AS event_type,
        CASE WHEN event_id % 61 = 0 THEN occurred_at - INTERVAL 20 HOUR ELSE occurred_at END AS occurred_at,
        CASE WHEN event_id % 59 = 0 THEN 'broken' ELSE prev END AS previous_event_digest, digest AS event_digest
-FROM (SELECT *, lag(digest) OVER (PARTITION BY campaign_id ORDER BY sequence) AS prev FROM (SELECT *, {_DIGEST_SQL} AS digest FROM daily_stream))
-""")
-# The stored order replayed row by row: the first row whose number is not its position fails.
-view("audit_rows", """
-SELECT *, row_number() OVER w AS expected, lag(event_digest) OVER w AS before, lag(occurred_at) OVER w AS time_before
-FROM damaged WINDOW w AS (PARTITION BY campaign_id ORDER BY sequence, event_digest)
-""")
-view("audit_codes", """
+FROM (SELECT *, lag(digest) OVER (PARTITION BY campaign_id ORDER BY sequence) AS prev FROM (SELECT *, {_DIGEST_SQL} AS digest FROM {stream}))
+"""
+
+
+def _audit_view(damaged: str) -> str:
+    """The stored order replayed row by row: the first row whose number is not its position fails."""
+    return f"""
 SELECT campaign_id, sequence AS failed_seq, expected,
        CASE WHEN sequence <> expected THEN 'INTEGRITY_EVENT_SEQUENCE_INVALID'
             WHEN previous_event_digest IS DISTINCT FROM before THEN 'INTEGRITY_EVENT_CHAIN_MISMATCH'
-            WHEN occurred_at < time_before THEN 'RUNTIME_CLOCK_ROLLBACK' END AS code FROM audit_rows
-""")
+            WHEN occurred_at < time_before THEN 'RUNTIME_CLOCK_ROLLBACK' END AS code FROM (
+  SELECT *, row_number() OVER w AS expected, lag(event_digest) OVER w AS before, lag(occurred_at) OVER w AS time_before
+  FROM {damaged} WINDOW w AS (PARTITION BY campaign_id ORDER BY sequence, event_digest))
+"""
+
+
+view("damaged", _damaged_view("daily_stream"))
+view("damaged_users", _damaged_view("user_stream"))
+view("audit_codes", _audit_view("damaged"))
+view("audit_codes_users", _audit_view("damaged_users"))
 
 
 def stream_campaigns(t: Tables) -> DataFrame:
@@ -199,6 +222,19 @@ def arrivals(t: Tables) -> DataFrame:
     return rows.unionByName(again).unionByName(other).drop("event_id")
 
 
+def snapshot_and_delta(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The fold of the log's first three weeks, stored, and the events since, landed as a table of their own."""
+    events = log(t, False)
+    early = F.dayofmonth("occurred_at") <= 21
+    return cut_lineage(ev.campaign_fold(events.filter(early))), cut_lineage(events.filter(~early))
+
+
+def _state_row(state: DataFrame) -> DataFrame:
+    return state.select(
+        "campaign_id", "state", _time("last_event_at").alias("last_event_at"), "events", "reconciled",
+        F.coalesce("envelope.mode", F.lit("")).alias("mode"), "snapshots", "receipts", "head_digest")
+
+
 # --- twins of the consumer rules ----------------------------------------------------
 
 view("stream_epochs", """
@@ -284,15 +320,16 @@ WHERE NOT EXISTS (SELECT 1 FROM stream_members i WHERE i.campaign_id = r.campaig
 view("final_blockers", """
 SELECT campaign_id, consumer_id AS entry, 'POLICY_CONSUMER_' || disposition AS code, 3 AS harm FROM present_consumers
   WHERE disposition NOT IN ('VALIDATED', 'REMOVED', 'NOT_APPLICABLE', 'WAIVED', 'UNRESOLVED')
-UNION ALL SELECT campaign_id, consumer_id, 'POLICY_WAIVER_FORBIDDEN', 2 FROM present_consumers WHERE disposition = 'WAIVED'
+UNION ALL SELECT campaign_id, consumer_id, CASE WHEN waivers THEN 'POLICY_WAIVER_REVIEW' ELSE 'POLICY_WAIVER_FORBIDDEN' END, CASE WHEN waivers THEN 1 ELSE 2 END
+  FROM present_consumers JOIN campaign_policies USING (campaign_id) WHERE disposition = 'WAIVED' AND NOT closing
 UNION ALL SELECT campaign_id, consumer_id, 'IDENTITY_NOT_FOUND', 2 FROM present_consumers WHERE disposition = 'UNRESOLVED'
 UNION ALL SELECT campaign_id, consumer_id, 'RECONCILIATION_NEW_CONSUMER', 3 FROM final_new
 UNION ALL SELECT campaign_id, '', 'EVIDENCE_EMPTY_RESULT_UNPROVEN', 2 FROM user_fold ANTI JOIN present_consumers USING (campaign_id)
-UNION ALL SELECT campaign_id, '', 'EVIDENCE_MODE_NOT_LIVE', 2 FROM user_fold WHERE envelope_event % 13 = 0
+UNION ALL SELECT campaign_id, '', 'EVIDENCE_MODE_NOT_LIVE', 2 FROM user_fold JOIN campaign_policies USING (campaign_id) WHERE envelope_event % 13 = 0 AND live
 UNION ALL SELECT campaign_id, CASE WHEN envelope_event IS NULL OR envelope_event % 17 = 0 THEN '' ELSE 'catalog' END,
   'EVIDENCE_REQUIRED_SOURCE_INCOMPLETE', 2 FROM user_fold
   WHERE envelope_event IS NULL OR envelope_event % 17 = 0 OR envelope_event % 5 IN (2, 4)
-UNION ALL SELECT campaign_id, '', 'RECONCILIATION_REQUIRED', 2 FROM user_fold WHERE NOT reconciled
+UNION ALL SELECT campaign_id, '', 'RECONCILIATION_REQUIRED', 2 FROM user_fold JOIN campaign_policies USING (campaign_id) WHERE NOT reconciled AND reconciliation
 """)
 
 # Every evaluation with the snapshot, inventories and consumers before it, joined back for each one.
@@ -321,25 +358,26 @@ view("codes_at", f"""
 SELECT campaign_id, sequence, code, count(*) AS n, max(harm) AS harm FROM (
   SELECT campaign_id, sequence, 'POLICY_CONSUMER_' || disposition AS code, 3 AS harm FROM consumers_at
     WHERE disposition NOT IN ('VALIDATED', 'REMOVED', 'NOT_APPLICABLE', 'WAIVED', 'UNRESOLVED')
-  UNION ALL SELECT campaign_id, sequence, 'POLICY_WAIVER_FORBIDDEN', 2 FROM consumers_at WHERE disposition = 'WAIVED'
+  UNION ALL SELECT campaign_id, sequence, CASE WHEN waivers THEN 'POLICY_WAIVER_REVIEW' ELSE 'POLICY_WAIVER_FORBIDDEN' END, CASE WHEN waivers THEN 1 ELSE 2 END
+    FROM consumers_at JOIN campaign_policies USING (campaign_id) WHERE disposition = 'WAIVED' AND NOT closing
   UNION ALL SELECT campaign_id, sequence, 'IDENTITY_NOT_FOUND', 2 FROM consumers_at WHERE disposition = 'UNRESOLVED'
   UNION ALL SELECT campaign_id, sequence, 'EVIDENCE_RECEIPT_EXPIRED', 2 FROM consumers_at
     WHERE receipt_event IS NOT NULL AND receipt_event % 7 <> 0 AND receipt_at + to_days(CAST(receipt_event % 5 AS INT)) <= now
   UNION ALL SELECT campaign_id, sequence, 'RECONCILIATION_NEW_CONSUMER', 3 FROM new_at, range(added)
   UNION ALL SELECT v.campaign_id, v.sequence, 'EVIDENCE_EMPTY_RESULT_UNPROVEN', 2 FROM evaluations v
     WHERE NOT EXISTS (SELECT 1 FROM consumers_at c WHERE c.campaign_id = v.campaign_id AND c.sequence = v.sequence)
-  UNION ALL SELECT campaign_id, sequence, 'EVIDENCE_MODE_NOT_LIVE', 2 FROM evaluations WHERE env % 13 = 0
+  UNION ALL SELECT campaign_id, sequence, 'EVIDENCE_MODE_NOT_LIVE', 2 FROM evaluations JOIN campaign_policies USING (campaign_id) WHERE env % 13 = 0 AND live
   UNION ALL SELECT campaign_id, sequence, 'EVIDENCE_REQUIRED_SOURCE_INCOMPLETE', 2 FROM evaluations
     WHERE env IS NULL OR env % 17 = 0 OR env % 5 IN (2, 4)
-  UNION ALL SELECT campaign_id, sequence, 'RECONCILIATION_REQUIRED', 2 FROM evaluations
-    WHERE env IS NULL OR env_type <> 'RECONCILIATION_RECORDED') GROUP BY 1, 2, 3
+  UNION ALL SELECT campaign_id, sequence, 'RECONCILIATION_REQUIRED', 2 FROM evaluations JOIN campaign_policies USING (campaign_id)
+    WHERE reconciliation AND (env IS NULL OR env_type <> 'RECONCILIATION_RECORDED')) GROUP BY 1, 2, 3
 """)
 view("evaluation_audit", """
 SELECT v.campaign_id, v.sequence, ['BLOCKED', 'UNSAFE', 'READY_TO_RETIRE'][v.event_id % 3 + 1] AS recorded_decision,
-       CASE WHEN max(harm) = 3 THEN 'UNSAFE' WHEN max(harm) = 2 THEN 'BLOCKED' ELSE 'READY_TO_RETIRE' END AS expected_decision,
+       CASE max(harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'READY_TO_RETIRE' END AS expected_decision,
        CASE WHEN v.event_id % 2 = 0 THEN 'EVIDENCE_EMPTY_RESULT_UNPROVEN:1,EVIDENCE_REQUIRED_SOURCE_INCOMPLETE:1,RECONCILIATION_REQUIRED:1'
             ELSE 'IDENTITY_NOT_FOUND:2,RECONCILIATION_REQUIRED:1' END AS recorded_codes,
-       coalesce(string_agg(code || ':' || n, ',' ORDER BY code), '') AS expected_codes, v.event_id % 6 = 0 AS drifted
+       coalesce(string_agg(code || ':' || n, ',' ORDER BY code) FILTER (WHERE harm > 1), '') AS expected_codes, v.event_id % 6 = 0 AS drifted
 FROM evaluations v LEFT JOIN codes_at USING (campaign_id, sequence) GROUP BY v.campaign_id, v.sequence, v.event_id
 """)
 
@@ -395,10 +433,9 @@ def publications(t: Tables) -> DataFrame:
     """Events of each user in pairs: a publication and its read-back, some altered."""
     bought = t.events.select(
         F.concat(F.lit("u"), F.col("user_id")).alias("campaign_id"), "event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
-    placed = row_numbers(bought, ["campaign_id"], F.floor(F.unix_seconds("at") / HOUR), ["at", "event_id"], "sequence")
+    placed = sliced_numbers(bought, ["campaign_id"], ["at", "event_id"], "sequence", position=F.unix_micros("at"), bits=TIME_BITS)
     publishes = F.col("sequence") % 2 == 1
-    carried = before_each_row(
-        placed, ["campaign_id"], F.floor(F.unix_seconds("at") / HOUR), ["sequence"], last={"published": F.when(publishes, eid())})
+    carried = sliced_before(placed, ["campaign_id"], ["sequence"], last={"published": F.when(publishes, eid())})
     source = F.when(publishes, eid()).otherwise(F.col("published"))
     return carried.select(
         "campaign_id", "sequence",
@@ -433,9 +470,8 @@ QUERIES = {
         "campaign_id", "idempotency_key", "arrivals", "sequence", "refusal_code")),
     "e3_campaign_transitions": _Q(lambda t: ev.campaign_transitions(log(t, True))),
     "e4_consumer_transitions": _Q(lambda t: ev.consumer_transitions(log(t, False))),
-    "e5_campaign_state": _Q(lambda t: ev.campaign_state(log(t, True)).select(
-        "campaign_id", "state", _time("last_event_at").alias("last_event_at"), "events", "reconciled",
-        F.coalesce("envelope.mode", F.lit("")).alias("mode"), "snapshots", "receipts", "head_digest")),
+    "e5_campaign_state": _Q(lambda t: _state_row(ev.campaign_state(log(t, True)))),
+    "e5_snapshot_delta": _Q(lambda t: _state_row(ev.finish_fold(ev.continue_fold(*snapshot_and_delta(t))))),
     "e6_consumer_state": _Q(lambda t: ev.consumer_state(ev.annotate(log(t, False)))),
     "e6_new_consumer_state": _Q(lambda t: ev.new_consumer_state(ev.annotate(log(t, False)))),
     "e7_manifest": _Q(lambda t: r.manifest(log(t, False)).select(
@@ -454,6 +490,11 @@ QUERIES = {
     "e15_policy_event_audit": _Q(lambda t: ev.policy_event_audit(log(t, False))),
 }
 
+_STATE_SQL = """
+SELECT campaign_id, state, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_event_at, events, reconciled,
+       CASE WHEN envelope_event IS NULL THEN '' WHEN envelope_event % 13 = 0 THEN 'replay' ELSE 'live' END AS mode, snapshots, receipts, head_digest
+FROM {}"""
+
 ORACLES = {
     "e1_stream_audit": twin("""
 SELECT c.campaign_id, coalesce(a.events, 0) AS events,
@@ -475,15 +516,13 @@ QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY sequence) = 1"""),
     "e4_consumer_transitions": twin("""
 SELECT campaign_id, sequence, consumer_id, from_disposition, to_disposition, refusal_code FROM consumer_failures
 QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY sequence, chk, consumer_id) = 1"""),
-    "e5_campaign_state": twin("""
-SELECT campaign_id, state, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_event_at, events, reconciled,
-       CASE WHEN envelope_event IS NULL THEN '' WHEN envelope_event % 13 = 0 THEN 'replay' ELSE 'live' END AS mode, snapshots, receipts, head_digest
-FROM daily_fold"""),
+    "e5_campaign_state": twin(_STATE_SQL.format("daily_fold")),
+    "e5_snapshot_delta": twin(_STATE_SQL.format("user_fold")),
     "e6_consumer_state": twin("SELECT * FROM present_consumers"),
     "e6_new_consumer_state": twin("SELECT * FROM final_new"),
     "e7_manifest": twin("""
-SELECT f.campaign_id, f.state, CASE max(b.harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' ELSE 'READY_TO_RETIRE' END AS decision,
-       any_value(f.events) AS events, any_value(f.snapshots) AS snapshots, any_value(f.receipts) AS receipts, count(b.code) AS blockers,
+SELECT f.campaign_id, f.state, CASE max(b.harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'READY_TO_RETIRE' END AS decision,
+       any_value(f.events) AS events, any_value(f.snapshots) AS snapshots, any_value(f.receipts) AS receipts, count(b.code) FILTER (WHERE b.harm > 1) AS blockers,
        coalesce(any_value(c.n), 0) AS consumers, coalesce(any_value(c.closed), 0) AS closed, any_value(f.head_digest) AS head_digest,
        CASE WHEN any_value(f.envelope_event) IS NULL THEN '' WHEN any_value(f.envelope_event) % 13 = 0 THEN 'replay' ELSE 'live' END AS evidence_mode
 FROM user_fold f LEFT JOIN final_blockers b USING (campaign_id)

@@ -44,49 +44,71 @@ def _text_time(moment: Column) -> Column:
     )
 
 
+def fault() -> Column:
+    """The number that decides which faults a record has."""
+    return F.col("fault")
+
+
 def order_times(t: Tables) -> DataFrame:
     """Orders with the times their records carry."""
     at = F.col("o_orderdate").cast("timestamp")
     until = F.timestamp_add("DAY", (o() % 1500).cast("int"), at)
     return t.orders.select(
-        "o_orderkey", "o_custkey",
+        "o_orderkey", "o_custkey", o().alias("fault"),
         _text_time(at).alias("begins"),
         F.when(o() % 13 != 0, _text_time(until)).alias("ends"),
         F.when(o() % 5 == 0, F.lit("2000-02-01T00:00:00Z")).when(o() % 5 == 1, F.lit("1999-12-31T23:00:00Z")).alias("trusted"),
     )
 
 
+def gate_times(t: Tables) -> DataFrame:
+    """Orders with records made in the quarter of an hour before the gate; only campaigns of class 3 of 8 have faults."""
+    faulty = F.col("o_custkey") % 8 == 3
+    at = F.timestamp_add("SECOND", (o() % 900).cast("int") * -1, gate_now())
+    until = F.timestamp_add("SECOND", F.when(faulty & (o() % 7 == 0), 0).otherwise(600), gate_now())
+    text = lambda moment: F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return t.orders.select(
+        "o_orderkey", "o_custkey", F.when(faulty, o()).otherwise(1).alias("fault"), text(at).alias("begins"), text(until).alias("ends"),
+        F.lit(None).cast("string").alias("trusted"))
+
+
 view("order_times", f"""
-SELECT *, o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 AS unreadable, TIMESTAMP '{NOW}' AS now,
+SELECT *, o_orderkey AS fault, o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 AS unreadable, TIMESTAMP '{NOW}' AS now,
        CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 1500 AS INT)) END AS until,
        CASE o_orderkey % 5 WHEN 0 THEN TIMESTAMP '2000-02-01' WHEN 1 THEN TIMESTAMP '1999-12-31 23:00:00' END AS trusted FROM orders
 """)
+view("gate_times", f"""
+SELECT o_orderkey, o_custkey, TIMESTAMP '{GATE_NOW}' - to_seconds(o_orderkey % 900) AS o_orderdate, false AS unreadable, TIMESTAMP '{GATE_NOW}' AS now,
+       CASE WHEN o_custkey % 8 = 3 THEN o_orderkey ELSE 1 END AS fault, CAST(NULL AS TIMESTAMP) AS trusted,
+       TIMESTAMP '{GATE_NOW}' + to_seconds(CASE WHEN o_custkey % 8 = 3 AND o_orderkey % 7 = 0 THEN 0 ELSE 600 END) AS until FROM orders
+""")
 
 
 def _strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def approvals(t: Tables) -> tuple[DataFrame, DataFrame]:
+def approvals(t: Tables, times: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A request per order and the approvals submitted for it: none, one, or a corrected second one."""
-    requests = order_times(t).select(
+    times = order_times(t) if times is None else times
+    requests = times.select(
         o().alias("request_id"), F.concat(F.lit("c"), "o_custkey").alias("campaign_id"), F.concat(F.lit("p"), o()).alias("plan_digest"),
         F.lit("v1").alias("source_version"), _strings("a", "b", "b").alias("targets"), _strings("read", "apply").alias("required_scope"),
         F.lit("auth").alias("authorization_digest"), F.col("trusted").cast("timestamp").alias("last_trusted_at"))
-    targets = F.when(o() % 31 == 0, _strings("a", "b")).otherwise(_strings("b", "a", "b"))
-    scope = F.when(o() % 37 == 0, _strings("read")).otherwise(_strings("apply", "read", "plan"))
-    first = order_times(t).filter(o() % 17 != 0).select(
-        o().alias("request_id"), F.lit(1).alias("recorded"), (o() % 19 != 0).alias("digest_valid"),
-        F.when((o() % 23 == 0) | (o() % 10 == 0), F.lit("other")).otherwise(F.concat(F.lit("c"), "o_custkey")).alias("campaign_id"),
-        F.when(o() % 29 == 0, F.lit("other")).otherwise(F.concat(F.lit("p"), o())).alias("plan_digest"),
-        F.when(o() % 41 == 0, "v0").otherwise("v1").alias("source_version"), targets.alias("targets"), scope.alias("scope"),
-        F.when(o() % 43 == 0, "changed").otherwise("auth").alias("authorization_digest"),
-        F.col("begins").alias("authorized_at"), F.col("ends").alias("expires_at"))
+    targets = F.when(fault() % 31 == 0, _strings("a", "b")).otherwise(_strings("b", "a", "b"))
+    scope = F.when(fault() % 37 == 0, _strings("read")).otherwise(_strings("apply", "read", "plan"))
+    first = times.filter(fault() % 17 != 0).select(
+        o().alias("request_id"), F.lit(1).alias("recorded"), (fault() % 19 != 0).alias("digest_valid"),
+        F.when((fault() % 23 == 0) | (o() % 10 == 0), F.lit("other")).otherwise(F.concat(F.lit("c"), "o_custkey")).alias("campaign_id"),
+        F.when(fault() % 29 == 0, F.lit("other")).otherwise(F.concat(F.lit("p"), o())).alias("plan_digest"),
+        F.when(fault() % 41 == 0, "v0").otherwise("v1").alias("source_version"), targets.alias("targets"), scope.alias("scope"),
+        F.when(fault() % 43 == 0, "changed").otherwise("auth").alias("authorization_digest"),
+        F.col("begins").alias("authorized_at"), F.col("ends").alias("expires_at"), fault().alias("_fault"))
     second = first.filter(F.col("request_id") % 10 == 0).withColumn("recorded", F.lit(2)).withColumn(
-        "campaign_id", F.when(F.col("request_id") % 23 == 0, F.lit("other")).otherwise(F.lit(None)))
+        "campaign_id", F.when(F.col("_fault") % 23 == 0, F.lit("other")).otherwise(F.lit(None)))
     owner = t.orders.select(o().alias("request_id"), F.concat(F.lit("c"), "o_custkey").alias("_own"))
     second = second.join(owner, "request_id").withColumn("campaign_id", F.coalesce("campaign_id", "_own")).drop("_own")
-    return requests, first.unionByName(second)
+    return requests, first.unionByName(second).drop("_fault")
 
 
 def waivers(t: Tables) -> DataFrame:
@@ -99,17 +121,18 @@ def waivers(t: Tables) -> DataFrame:
         F.col("begins").alias("authorized_at"), F.col("ends").alias("expires_at"))
 
 
-def receipts(t: Tables) -> tuple[DataFrame, DataFrame]:
+def receipts(t: Tables, times: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     campaign = F.concat(F.lit("c"), "o_custkey")
-    given = order_times(t).select(
-        o().alias("receipt_id"), (o() % 19 != 0).alias("digest_valid"),
-        F.when(o() % 23 == 0, F.lit("other")).otherwise(campaign).alias("campaign_id"), F.concat(F.lit("o"), o()).alias("consumer_id"),
-        F.when(o() % 29 == 0, "fixture").otherwise("live").alias("mode"), F.when(o() % 31 == 0, "p0").otherwise("p1").alias("plan_digest"),
+    times = order_times(t) if times is None else times
+    given = times.select(
+        o().alias("receipt_id"), (fault() % 19 != 0).alias("digest_valid"),
+        F.when(fault() % 23 == 0, F.lit("other")).otherwise(campaign).alias("campaign_id"), F.concat(F.lit("o"), o()).alias("consumer_id"),
+        F.when(fault() % 29 == 0, "fixture").otherwise("live").alias("mode"), F.when(fault() % 31 == 0, "p0").otherwise("p1").alias("plan_digest"),
         _strings("a", "b").alias("approved_targets"), _strings("b", "a").alias("proposed_targets"),
-        F.when(o() % 37 == 0, _strings("a", "a")).otherwise(_strings("a", "b")).alias("actual_targets"),
-        F.when(o() % 41 == 0, "v0").otherwise("v1").alias("source_version"),
-        F.when(o() % 43 == 0, "FAILED").when(o() % 47 == 0, "SKIPPED").otherwise("PASSED").alias("result"),
-        F.when(o() % 53 == 0, "STALE").otherwise("VALIDATED").alias("terminal_disposition"),
+        F.when(fault() % 37 == 0, _strings("a", "a")).otherwise(_strings("a", "b")).alias("actual_targets"),
+        F.when(fault() % 41 == 0, "v0").otherwise("v1").alias("source_version"),
+        F.when(fault() % 43 == 0, "FAILED").when(fault() % 47 == 0, "SKIPPED").otherwise("PASSED").alias("result"),
+        F.when(fault() % 53 == 0, "STALE").otherwise("VALIDATED").alias("terminal_disposition"),
         F.col("begins").alias("captured_at"), F.col("ends").alias("expires_at"))
     expected = t.orders.select(
         o().alias("receipt_id"), campaign.alias("campaign_id"), F.concat(F.lit("o"), o()).alias("consumer_id"), F.lit("p1").alias("plan_digest"),
@@ -268,12 +291,15 @@ SELECT *, CASE WHEN expires - prepared > INTERVAL 15 MINUTE THEN 'GATE_PLAN_INVA
 
 
 def attempts(t: Tables) -> DataFrame:
-    """Every event as a gate attempt; plans and manifests repeat across them."""
-    e = F.col("event_id")
+    """Every event as a gate attempt; plans and manifests repeat across them, some are the present ones of their campaign."""
+    e, user = F.col("event_id"), F.col("user_id")
+    present = user % 4 == 1
     return t.events.select(
-        e.alias("attempt_id"), F.concat(F.lit("u"), "user_id").alias("campaign_id"),
-        F.concat(F.lit("p"), F.col("user_id"), F.lit("-"), F.floor(F.col("value") / 25)).alias("plan_digest"),
-        F.concat(F.lit("m"), F.floor(F.col("value") / 10)).alias("manifest_digest"),
+        e.alias("attempt_id"), F.concat(F.lit("c"), "user_id").alias("campaign_id"),
+        F.when(present & (e % 11 == 0), F.concat(F.lit("p"), "user_id"))
+        .otherwise(F.concat(F.lit("p"), F.col("user_id"), F.lit("-"), F.floor(F.col("value") / 25))).alias("plan_digest"),
+        F.when(present & (e % 13 == 0), F.concat(F.lit("m"), "user_id")).otherwise(F.concat(F.lit("m-"), F.floor(F.col("value") / 10)))
+        .alias("manifest_digest"),
         F.element_at(_strings("INTENT_RECORDED", "EXECUTED", "OUTCOME_UNKNOWN", "REFUSED"), (e % 4 + 1).cast("int")).alias("status"),
         F.col("ts").alias("recorded_at"),
         F.when(e % 4 == 3, F.element_at(_strings("GATE_STATE_DRIFT", "GATE_PLAN_EXPIRED", "GATE_SOURCE_DRIFT"), (e % 3 + 1).cast("int")))
@@ -281,14 +307,42 @@ def attempts(t: Tables) -> DataFrame:
 
 
 view("gate_attempts", """
-SELECT event_id AS attempt_id, 'u' || user_id AS campaign_id, 'p' || user_id || '-' || CAST(floor(value / 25) AS BIGINT) AS plan_digest,
-       'm' || CAST(floor(value / 10) AS BIGINT) AS manifest_digest,
+SELECT event_id AS attempt_id, 'c' || user_id AS campaign_id,
+       CASE WHEN user_id % 4 = 1 AND event_id % 11 = 0 THEN 'p' || user_id ELSE 'p' || user_id || '-' || CAST(floor(value / 25) AS BIGINT) END AS plan_digest,
+       CASE WHEN user_id % 4 = 1 AND event_id % 13 = 0 THEN 'm' || user_id ELSE 'm-' || CAST(floor(value / 10) AS BIGINT) END AS manifest_digest,
        ['INTENT_RECORDED', 'EXECUTED', 'OUTCOME_UNKNOWN', 'REFUSED'][event_id % 4 + 1] AS status, ts AS recorded_at,
        CASE WHEN event_id % 4 = 3 THEN ['GATE_STATE_DRIFT', 'GATE_PLAN_EXPIRED', 'GATE_SOURCE_DRIFT'][event_id % 3 + 1] END AS refusal_code
 FROM events
 """)
 
 
+def snapshots(t: Tables) -> DataFrame:
+    """Two sources of every campaign, read again with each of its orders in the hours around the gate; few of the readings differ."""
+    role = F.when(o() % 2 == 0, "source").otherwise("binding")
+    at = F.timestamp_add("SECOND", (o() * 37 % 20_000).cast("int") - 19_700, gate_now())
+    return t.orders.select(
+        F.concat(F.lit("c"), "o_custkey").alias("campaign_id"), F.concat(role, F.lit("-tree")).alias("source_id"), role.alias("role"),
+        at.alias("observed_at"), o().alias("snapshot_id"),
+        F.concat(F.lit("f"), F.col("o_custkey"), F.when(o() % 29 == 0, F.concat(F.lit("-"), o())).otherwise(F.lit(""))).alias("fingerprint"))
+
+
+view("gate_snapshots", f"""
+SELECT 'c' || o_custkey AS campaign_id, CASE WHEN o_orderkey % 2 = 0 THEN 'source' ELSE 'binding' END AS role,
+       TIMESTAMP '{GATE_NOW}' + to_seconds(o_orderkey * 37 % 20000 - 19700) AS observed_at, o_orderkey AS snapshot_id,
+       'f' || o_custkey || CASE WHEN o_orderkey % 29 = 0 THEN '-' || o_orderkey ELSE '' END AS fingerprint FROM orders
+""")
+view("bound_snapshots", """
+SELECT campaign_id, 'p' || substr(campaign_id, 2) AS plan_digest, role || '-tree' AS source_id, role, bound.fingerprint AS bound_fingerprint,
+       present.fingerprint AS fingerprint,
+       CASE WHEN bound.fingerprint IS DISTINCT FROM present.fingerprint
+            THEN CASE role WHEN 'binding' THEN 'GATE_STATE_DRIFT' ELSE 'GATE_SOURCE_DRIFT' END END AS refusal_code
+FROM (SELECT s.campaign_id, role,
+             max({'at': observed_at, 'id': snapshot_id, 'fingerprint': s.fingerprint}) FILTER (WHERE observed_at <= p.prepared) AS bound,
+             max({'at': observed_at, 'id': snapshot_id, 'fingerprint': s.fingerprint}) AS present
+      FROM gate_snapshots s JOIN gate_plan_rows p USING (campaign_id) WHERE observed_at <= p.now GROUP BY 1, 2)
+""")
+
+
 def gate_sources(t: Tables) -> DataFrame:
     """Two sources per campaign as reread at the gate."""
     rows = t.customer.join(last_orders(t).withColumnRenamed("campaign_id", "c_custkey"), "c_custkey", "left")
@@ -327,20 +381,23 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("campaign_id", F.concat(F.lit("c"), "campaign_id"))
 
 
-def gate_findings(t: Tables) -> list[tuple[str, DataFrame]]:
-    """The audits behind the gate, in the order of its steps."""
+def gate_findings(t: Tables, heads: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The audits behind the gate, all at the gate's own time."""
     drift = p.input_drift(pp._inputs(t, False), pp._inputs(t, True)).select("campaign_id", F.lit("POLICY_INPUT_DRIFT").alias("refusal_code"))
     ids = t.customer.select(c().alias("campaign_id"))
     scope = g.scope_equivalence(ids, captured_scope(t, False), captured_scope(t, True)).withColumn(
         "refusal_code", F.when(F.col("refusal_code").isNotNull(), F.lit("GATE_STATE_DRIFT")))
     moved = p.membership_diff(pp.inventory(t), pp.current(t)).filter("change <> 'unchanged'").select(
         "campaign_id", F.lit("GATE_STATE_DRIFT").alias("refusal_code"))
-    replayed = g.ledger_audit(attempts(t)).select("campaign_id", "refusal_code")
     adapters = t.orders.select(
         F.concat(F.lit("c"), "o_custkey").alias("campaign_id"), F.when(o() % 101 == 0, "retired-tool").otherwise("git-dbt").alias("adapter"))
+    bound = g.bound_snapshots(plans(t), snapshots(t), gate_now())
     return [
-        ("inputs", drift), ("receipt types", g.receipt_type_audit(adapters, ("dbt",))), ("receipts", r.receipt_audit(*receipts(t), now())), ("approvals", r.approval_audit(*approvals(t), now())),
-        ("scope", keyed(scope)), ("membership", moved), ("freshness", keyed(g.gate_freshness(gate_sources(t), gate_now()))), ("consumed", replayed),
+        ("inputs", drift), ("receipt types", g.receipt_type_audit(adapters, ("dbt",))),
+        ("receipts", r.receipt_audit(*receipts(t, gate_times(t)), gate_now())), ("approvals", r.approval_audit(*approvals(t, gate_times(t)), gate_now())),
+        ("bindings", bound.filter("role = 'binding'")), ("scope", keyed(scope)), ("membership", moved),
+        ("freshness", keyed(g.gate_freshness(gate_sources(t), gate_now()))), ("source", bound.filter("role = 'source'")),
+        ("consumed", g.consumed_plans(heads, plans(t), attempts(t))),
     ]
 
 
@@ -352,9 +409,8 @@ def ready_campaigns(t: Tables) -> DataFrame:
         (c() % 19 != 0).alias("publication_verified"))
 
 
-def live_findings(t: Tables) -> list[tuple[str, DataFrame]]:
-    """The audits that look at the live state only."""
-    return [(step, found) for step, found in gate_findings(t) if step not in ("receipts", "approvals")]
+def readiness(t: Tables, heads: DataFrame) -> DataFrame:
+    return g.gate_readiness(heads, plans(t), gate_findings(t, heads), gate_now())
 
 
 _Q = lambda build: (lambda spark, folder: build(Tables(spark, folder)))
@@ -375,29 +431,40 @@ QUERIES = {
         "campaign_id", "source_id", "required", "status", F.concat_ws(",", "limitations").alias("limitations"))),
     "h4_refresh_status": _Q(lambda t: g.refresh_status(*refreshes(t)).withColumn(
         "observed_at", F.date_format("observed_at", "yyyy-MM-dd"))),
-    "h5_gate_readiness": _Q(lambda t: g.gate_readiness(gate_campaigns(t), plans(t), gate_findings(t), gate_now())),
-    "h5_gate_live_state": _Q(lambda t: g.gate_readiness(ready_campaigns(t), plans(t), live_findings(t), gate_now())),
+    "h5_gate_readiness": _Q(lambda t: readiness(t, gate_campaigns(t))),
+    "h5_gate_live_state": _Q(lambda t: readiness(t, ready_campaigns(t))),
+    "h5_bound_snapshots": _Q(lambda t: g.bound_snapshots(plans(t), snapshots(t), gate_now())),
     "h6_plan_window": _Q(lambda t: g.plan_window(plans(t), gate_now())),
     "h7_ledger_audit": _Q(lambda t: g.ledger_audit(attempts(t))),
     "h8_gate_freshness": _Q(lambda t: g.gate_freshness(gate_sources(t), gate_now())),
 }
 
-view("approval_codes", f"""
-SELECT o_orderkey AS request_id, 'c' || o_custkey AS campaign_id, CASE WHEN o_orderkey % 17 = 0 THEN 'AUTH_APPROVAL_MISSING'
-  WHEN o_orderkey % 19 = 0 THEN 'INTEGRITY_DIGEST_MISMATCH' WHEN o_orderkey % 23 = 0 THEN 'AUTH_APPROVAL_WRONG_CAMPAIGN'
-  WHEN o_orderkey % 29 = 0 THEN 'AUTH_APPROVAL_WRONG_PLAN' WHEN o_orderkey % 41 = 0 THEN 'AUTH_APPROVAL_WRONG_SOURCE'
-  WHEN o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 OR o_orderkey % 43 = 0 THEN 'AUTH_APPROVAL_WRONG_SCOPE'
-  {_CLOCK_SQL.format(last=" WHEN now < trusted THEN 'RUNTIME_CLOCK_ROLLBACK'", code="AUTH_APPROVAL_EXPIRED")} AS refusal_code FROM order_times
-""")
-view("receipt_codes", f"""
-SELECT o_orderkey AS receipt_id, CASE WHEN o_orderkey % 23 = 0 THEN 'other' ELSE 'c' || o_custkey END AS campaign_id,
-  CASE WHEN o_orderkey % 19 = 0 THEN 'INTEGRITY_DIGEST_MISMATCH'
-  WHEN o_orderkey % 23 = 0 THEN 'IDENTITY_NOT_FOUND' WHEN o_orderkey % 29 = 0 THEN 'EVIDENCE_RECEIPT_MODE_NOT_LIVE'
-  WHEN o_orderkey % 31 = 0 THEN 'AUTH_APPROVAL_WRONG_PLAN' WHEN o_orderkey % 37 = 0 THEN 'SCOPE_RECEIPT_TARGET_MISMATCH'
-  WHEN o_orderkey % 41 = 0 THEN 'SOURCE_RECEIPT_VERSION_MISMATCH' WHEN o_orderkey % 43 = 0 THEN 'VALIDATION_RECEIPT_FAILED'
-  WHEN o_orderkey % 47 = 0 THEN 'VALIDATION_RECEIPT_INCONCLUSIVE' WHEN o_orderkey % 53 = 0 THEN 'VALIDATION_RECEIPT_FAILED'
-  {_CLOCK_SQL.format(last="", code="EVIDENCE_RECEIPT_EXPIRED")} AS refusal_code FROM order_times
-""")
+def _approval_view(times: str) -> str:
+    return f"""
+SELECT o_orderkey AS request_id, 'c' || o_custkey AS campaign_id, CASE WHEN fault % 17 = 0 THEN 'AUTH_APPROVAL_MISSING'
+  WHEN fault % 19 = 0 THEN 'INTEGRITY_DIGEST_MISMATCH' WHEN fault % 23 = 0 THEN 'AUTH_APPROVAL_WRONG_CAMPAIGN'
+  WHEN fault % 29 = 0 THEN 'AUTH_APPROVAL_WRONG_PLAN' WHEN fault % 41 = 0 THEN 'AUTH_APPROVAL_WRONG_SOURCE'
+  WHEN fault % 31 = 0 OR fault % 37 = 0 OR fault % 43 = 0 THEN 'AUTH_APPROVAL_WRONG_SCOPE'
+  {_CLOCK_SQL.format(last=" WHEN now < trusted THEN 'RUNTIME_CLOCK_ROLLBACK'", code="AUTH_APPROVAL_EXPIRED")} AS refusal_code FROM {times}
+"""
+
+
+def _receipt_view(times: str) -> str:
+    return f"""
+SELECT o_orderkey AS receipt_id, CASE WHEN fault % 23 = 0 THEN 'other' ELSE 'c' || o_custkey END AS campaign_id,
+  CASE WHEN fault % 19 = 0 THEN 'INTEGRITY_DIGEST_MISMATCH'
+  WHEN fault % 23 = 0 THEN 'IDENTITY_NOT_FOUND' WHEN fault % 29 = 0 THEN 'EVIDENCE_RECEIPT_MODE_NOT_LIVE'
+  WHEN fault % 31 = 0 THEN 'AUTH_APPROVAL_WRONG_PLAN' WHEN fault % 37 = 0 THEN 'SCOPE_RECEIPT_TARGET_MISMATCH'
+  WHEN fault % 41 = 0 THEN 'SOURCE_RECEIPT_VERSION_MISMATCH' WHEN fault % 43 = 0 THEN 'VALIDATION_RECEIPT_FAILED'
+  WHEN fault % 47 = 0 THEN 'VALIDATION_RECEIPT_INCONCLUSIVE' WHEN fault % 53 = 0 THEN 'VALIDATION_RECEIPT_FAILED'
+  {_CLOCK_SQL.format(last="", code="EVIDENCE_RECEIPT_EXPIRED")} AS refusal_code FROM {times}
+"""
+
+
+view("approval_codes", _approval_view("order_times"))
+view("receipt_codes", _receipt_view("order_times"))
+view("gate_approval_codes", _approval_view("gate_times"))
+view("gate_receipt_codes", _receipt_view("gate_times"))
 view("ledger_codes", """
 SELECT attempt_id, campaign_id, plan_digest, status,
        CASE WHEN row_number() OVER (PARTITION BY plan_digest ORDER BY recorded_at, attempt_id) > 1
@@ -405,25 +472,31 @@ SELECT attempt_id, campaign_id, plan_digest, status,
             THEN 'GATE_PLAN_REPLAYED' END AS refusal_code FROM gate_attempts WHERE status <> 'REFUSED'
 """)
 view("gate_steps", """
-SELECT campaign_id, 1 AS n, 'inputs' AS step, 'POLICY_INPUT_DRIFT' AS code FROM (SELECT 'c' || c_custkey AS campaign_id FROM customer
+SELECT campaign_id, 6 AS n, 'inputs' AS step, 'POLICY_INPUT_DRIFT' AS code FROM (SELECT 'c' || c_custkey AS campaign_id FROM customer
   WHERE c_custkey % 37 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0)
-UNION ALL SELECT DISTINCT 'c' || o_custkey, 1.5, 'receipt types', 'POLICY_INPUT_DRIFT' FROM orders WHERE o_orderkey % 101 = 0
-UNION ALL SELECT campaign_id, 2, 'receipts', min(refusal_code) FROM receipt_codes GROUP BY 1 HAVING min(refusal_code) IS NOT NULL
-UNION ALL SELECT campaign_id, 3, 'approvals', min(refusal_code) FROM approval_codes GROUP BY 1 HAVING min(refusal_code) IS NOT NULL
-UNION ALL SELECT 'c' || campaign_id, 4, 'scope', 'GATE_STATE_DRIFT' FROM scope_differences WHERE n > 0
-UNION ALL SELECT DISTINCT campaign_id, 5, 'membership', 'GATE_STATE_DRIFT' FROM order_consumers WHERE in_inventory <> in_current
-UNION ALL SELECT 'c' || campaign_id, 6, 'freshness', refusal_code FROM gate_source_codes
+UNION ALL SELECT DISTINCT 'c' || o_custkey, 7, 'receipt types', 'POLICY_INPUT_DRIFT' FROM orders WHERE o_orderkey % 101 = 0
+UNION ALL SELECT campaign_id, 8, 'receipts', min(refusal_code) FROM gate_receipt_codes GROUP BY 1 HAVING min(refusal_code) IS NOT NULL
+UNION ALL SELECT campaign_id, 9, 'approvals', min(refusal_code) FROM gate_approval_codes GROUP BY 1 HAVING min(refusal_code) IS NOT NULL
+UNION ALL SELECT campaign_id, 10, 'bindings', refusal_code FROM bound_snapshots WHERE role = 'binding' AND refusal_code IS NOT NULL
+UNION ALL SELECT 'c' || campaign_id, 11, 'scope', 'GATE_STATE_DRIFT' FROM scope_differences WHERE n > 0
+UNION ALL SELECT DISTINCT campaign_id, 12, 'membership', 'GATE_STATE_DRIFT' FROM order_consumers WHERE in_inventory <> in_current
+UNION ALL SELECT 'c' || campaign_id, 13, 'freshness', refusal_code FROM gate_source_codes
+UNION ALL SELECT campaign_id, 16, 'source', refusal_code FROM bound_snapshots WHERE role = 'source' AND refusal_code IS NOT NULL
+UNION ALL SELECT DISTINCT a.campaign_id, 17, 'consumed', 'GATE_PLAN_REPLAYED' FROM gate_attempts a LEFT JOIN gate_plan_rows p USING (plan_digest)
+  WHERE status <> 'REFUSED' AND (p.plan_digest IS NOT NULL OR manifest_digest = 'm' || substr(a.campaign_id, 2))
 """)
 
 _GATE_SQL = """
-SELECT campaign_id, coalesce(own.s, f.step) AS failed_step, coalesce(own.c, f.code) AS refusal_code FROM (
-  SELECT d.campaign_id, CASE WHEN decision <> 'READY_TO_RETIRE' OR k % 59 = 0 THEN {{'s': 'ready', 'c': 'GATE_DECISION_NOT_READY'}}
-    WHEN p.campaign_id IS NULL OR k % 47 = 0 THEN {{'s': 'plan', 'c': 'GATE_PLAN_MISSING'}}
-    WHEN k % 43 = 0 THEN {{'s': 'provenance', 'c': 'GATE_PROVENANCE_UNTRUSTED'}} WHEN p.code IS NOT NULL THEN {{'s': 'window', 'c': p.code}}
-    WHEN k % 41 = 0 THEN {{'s': 'binding', 'c': 'GATE_PROVENANCE_UNTRUSTED'}} WHEN k % 19 = 0 THEN {{'s': 'publication', 'c': 'GATE_PUBLICATION_UNVERIFIED'}}
-    WHEN k % 39 = 0 THEN {{'s': 'manifest', 'c': 'GATE_STATE_DRIFT'}} END AS own
+SELECT campaign_id, least(own, f.f).step AS failed_step, least(own, f.f).code AS refusal_code FROM (
+  SELECT d.campaign_id, CASE WHEN decision <> 'READY_TO_RETIRE' OR k % 59 = 0 THEN {{'n': 1, 'step': 'ready', 'code': 'GATE_DECISION_NOT_READY'}}
+    WHEN p.campaign_id IS NULL OR k % 47 = 0 THEN {{'n': 2, 'step': 'plan', 'code': 'GATE_PLAN_MISSING'}}
+    WHEN k % 43 = 0 THEN {{'n': 3, 'step': 'provenance', 'code': 'GATE_PROVENANCE_UNTRUSTED'}}
+    WHEN p.code IS NOT NULL THEN {{'n': 4, 'step': 'window', 'code': p.code}}
+    WHEN k % 41 = 0 THEN {{'n': 5, 'step': 'binding', 'code': 'GATE_PROVENANCE_UNTRUSTED'}}
+    WHEN k % 19 = 0 THEN {{'n': 14, 'step': 'publication', 'code': 'GATE_PUBLICATION_UNVERIFIED'}}
+    WHEN k % 39 = 0 THEN {{'n': 15, 'step': 'manifest', 'code': 'GATE_STATE_DRIFT'}} END AS own
   FROM (SELECT *, CAST(substr(campaign_id, 2) AS BIGINT) AS k FROM {heads}) d LEFT JOIN plan_codes p USING (campaign_id))
-LEFT JOIN (SELECT * FROM {steps} QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY n) = 1) f USING (campaign_id)"""
+LEFT JOIN (SELECT campaign_id, min({{'n': n, 'step': step, 'code': code}}) AS f FROM gate_steps GROUP BY 1) f USING (campaign_id)"""
 
 ORACLES = {
     "g1_approval_audit": twin("SELECT * FROM approval_codes"),
@@ -461,10 +534,9 @@ SELECT 'r' || c_custkey AS refresh_id, c_custkey AS urn, strftime(min(o_orderdat
        CASE WHEN count(o_orderkey) = 0 THEN 'RECONCILIATION_REFRESH_TIMEOUT' END AS refusal_code
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-07-01'
   AND o_orderdate + INTERVAL 2 DAY <= TIMESTAMP '1998-07-01' + INTERVAL 200 DAY GROUP BY c_custkey""",
-    "h5_gate_readiness": twin(_GATE_SQL.format(heads="decisions_default", steps="gate_steps")),
-    "h5_gate_live_state": twin(_GATE_SQL.format(
-        heads="(SELECT 'c' || c_custkey AS campaign_id, 'READY_TO_RETIRE' AS decision FROM customer)",
-        steps="(SELECT * FROM gate_steps WHERE step NOT IN ('receipts', 'approvals'))")),
+    "h5_gate_readiness": twin(_GATE_SQL.format(heads="decisions_default")),
+    "h5_gate_live_state": twin(_GATE_SQL.format(heads="(SELECT 'c' || c_custkey AS campaign_id, 'READY_TO_RETIRE' AS decision FROM customer)")),
+    "h5_bound_snapshots": twin("SELECT * FROM bound_snapshots"),
     "h6_plan_window": twin("SELECT plan_digest, code AS refusal_code FROM plan_codes"),
     "h7_ledger_audit": twin("SELECT * FROM ledger_codes"),
     "h8_gate_freshness": twin("SELECT * FROM gate_source_codes"),

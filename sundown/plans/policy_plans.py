@@ -184,6 +184,34 @@ def blockers(t: Tables, policy: p.Policy = p.Policy()) -> DataFrame:
     return p.evaluate(*policy_inputs(t), policy=policy)[1]
 
 
+def policies(t: Tables) -> DataFrame:
+    """Every campaign with a policy of its own: one of four, or flags left out."""
+    key = F.col("c_custkey")
+    k = F.floor(key / 6) % 5
+    return t.customer.select(F.concat(F.lit("c"), key).alias("campaign_id"), F.when(k < 4, F.struct(
+        F.when(k != 3, k != 1).alias("requires_live_evidence"), (k != 2).alias("require_reconciliation"),
+        F.when(k != 1, k.isin(2, 3)).alias("allow_waivers"), (k == 3).alias("waivers_satisfy_closure"))).alias("policy"))
+
+
+view("policy_flags", """
+SELECT 'c' || c_custkey AS campaign_id, k <> 1 AS live, k <> 2 AS reconciliation, k IN (2, 3) AS waivers, k = 3 AS closing
+FROM (SELECT c_custkey, c_custkey // 6 % 5 AS k FROM customer)
+""")
+view("blockers_by_policy", """
+SELECT b.campaign_id, CASE WHEN code = 'POLICY_WAIVER_FORBIDDEN' AND waivers THEN 'POLICY_WAIVER_REVIEW' ELSE code END AS code, source_id, consumer_id,
+       CASE WHEN code = 'POLICY_WAIVER_FORBIDDEN' AND waivers THEN 1 ELSE severity END AS severity
+FROM blockers_default b JOIN policy_flags USING (campaign_id)
+WHERE NOT (code = 'POLICY_WAIVER_FORBIDDEN' AND closing) AND NOT (code = 'EVIDENCE_MODE_NOT_LIVE' AND NOT live)
+  AND NOT (code = 'RECONCILIATION_REQUIRED' AND NOT reconciliation)
+""")
+view("decisions_by_policy", _decision_view("blockers_by_policy"))
+
+
+def evaluated_by_policy(t: Tables) -> tuple[DataFrame, DataFrame]:
+    first, *rest = policy_inputs(t)
+    return p.evaluate(first.join(policies(t), "campaign_id", "left"), *rest, policy=p.CampaignPolicy())
+
+
 # --- labelled scenarios -------------------------------------------------------------
 
 def scenario_facts(t: Tables) -> DataFrame:
@@ -326,6 +354,8 @@ def _named(rows: DataFrame) -> DataFrame:
 QUERIES = {
     "f1_decisions": _Q(decisions),
     "f1_decisions_allowing_waivers": _Q(lambda t: decisions(t, _ALLOWING)),
+    "f1_decisions_by_policy": _Q(lambda t: evaluated_by_policy(t)[0]),
+    "f1_blockers_by_policy": _Q(lambda t: _named(evaluated_by_policy(t)[1])),
     "f1_blockers": _Q(lambda t: _named(blockers(t))),
     "f1_blockers_allowing_waivers": _Q(lambda t: _named(blockers(t, _ALLOWING))),
     "f2_new_consumers": _Q(lambda t: p.new_consumers(inventory(t), current(t))),
@@ -341,6 +371,8 @@ QUERIES = {
 ORACLES = {
     "f1_decisions": twin("SELECT * FROM decisions_default"),
     "f1_decisions_allowing_waivers": twin("SELECT * FROM decisions_waivers"),
+    "f1_decisions_by_policy": twin("SELECT * FROM decisions_by_policy"),
+    "f1_blockers_by_policy": twin(f"SELECT {_NAMED} FROM blockers_by_policy"),
     "f1_blockers": twin(f"SELECT {_NAMED} FROM blockers_default"),
     "f1_blockers_allowing_waivers": twin(f"SELECT {_NAMED} FROM blockers_waivers"),
     "f2_new_consumers": twin("SELECT * FROM new_consumers"),

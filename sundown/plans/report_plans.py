@@ -129,6 +129,7 @@ SELECT campaign_id, 'declared-source-' || row_number() OVER (PARTITION BY campai
        CASE WHEN k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 THEN '{WITHHELD}' ELSE 'page limit ' || k END AS limitation
 FROM (SELECT *, CAST(substr(campaign_id, 2) AS BIGINT) AS k FROM campaign_sources)"""),
     "i6_campaign_summary": twin(f"""
-SELECT f.campaign_id, CASE max(b.harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' ELSE 'READY_TO_RETIRE' END AS decision, count(b.code) AS blockers,
+SELECT f.campaign_id, CASE max(b.harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'READY_TO_RETIRE' END AS decision,
+       count(b.code) FILTER (WHERE b.harm > 1) AS blockers,
        '{r.SCOPE_STATEMENT}' AS scope_statement FROM user_fold f LEFT JOIN final_blockers b USING (campaign_id) GROUP BY f.campaign_id"""),
 }

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sundown.operators import scans as s
 from sundown.plans.twin import twin, view
+from sundown.session import cut_lineage, ensure_checkpoint_dir
+from sundown.sources.files import opened, read_archives
 from sundown.sources.tables import Tables
 
 TOKEN, REPLACEMENT = "the", "thou"
@@ -87,7 +95,7 @@ def registry(t: Tables) -> DataFrame:
     url = F.concat_ws("/", F.lit(URL), revision, F.when(d() % 37 == 0, F.lit("elsewhere")).otherwise(path))
     return t.documents.select(
         F.concat(F.lit("a"), F.when(d() % 59 == 0, d() - 1).otherwise(d())).alias("asset_id"),
-        path.alias("path"),
+        path.alias("path"), F.when(d() % 4 == 0, F.when(d() % 36 == 0, "text").otherwise("zip")).otherwise("text").alias("format"),
         (F.octet_length("text") + F.when(d() % 41 == 0, 1).otherwise(0)).cast("bigint").alias("size_bytes"),
         F.when(d() % 43 == 0, F.lit("0")).otherwise(F.sha2("text", 256)).alias("sha256"),
         F.when(d() % 31 == 0, "Proprietary").otherwise("CC0-1.0").alias("license_id"),
@@ -97,8 +105,9 @@ def registry(t: Tables) -> DataFrame:
 
 def registry_files(t: Tables) -> DataFrame:
     members = (
-        F.when(d() % 44 == 0, F.array(F.lit("a.csv"), F.lit("b.csv"), F.lit("c.csv")))
+        F.when(d() % 44 == 0, F.array(F.lit("a.csv"), F.lit("b.csv"), F.lit("b.csv")))
         .when(d() % 52 == 0, F.array(F.lit("a.csv")))
+        .when(d() % 68 == 0, F.lit(None).cast("array<string>"))
         .when(d() % 4 == 0, F.array(F.lit("b.csv"), F.lit("a.csv")))
         .otherwise(F.array().cast("array<string>")))
     return t.documents.select(
@@ -106,6 +115,93 @@ def registry_files(t: Tables) -> DataFrame:
         members.alias("members"))
 
 
+# The members of a landed archive by the remainder of its document's id; the others hold what their list says.
+LISTED = ("a.csv", "data/b.csv")
+FAULTS = {
+    3: ("a.csv", "data/b.csv", "data/b.csv"), 5: ("a.csv",), 7: ("a.csv", "../b.csv"), 11: ("a.csv", "data/b.csv", "data/"), 13: None,
+}
+
+
+def archive_bytes(members: list[str] | None, text: str) -> bytes:
+    """A small ZIP file with the text in every member; without members, bytes that are no archive."""
+    if members is None:
+        return b"PK no archive " + text.encode()
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name in members:
+            archive.writestr(zipfile.ZipInfo(name), text)
+    return held.getvalue()
+
+
+def landed_archives(t: Tables) -> tuple[DataFrame, str]:
+    """A ZIP file per document, written by tasks below the shared folder: (doc_id, path, size_bytes, sha256), and the folder."""
+    spark = t.spark
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/archives-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        store, inside = opened(folder)
+        store.create_dir(inside)
+        for batch in batches:
+            paths, sizes, sums = [], [], []
+            for doc, members, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "members", "text")), strict=True):
+                content = archive_bytes(members, text or "")
+                paths.append(f"d{doc}.zip")
+                sizes.append(len(content))
+                sums.append(hashlib.sha256(content).hexdigest())
+                with store.open_output_stream(f"{inside}/{paths[-1]}") as stream:
+                    stream.write(content)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(paths), pa.array(sizes), pa.array(sums)], ["doc_id", "path", "size_bytes", "sha256"])
+
+    held = F.array(*[F.lit(m) for m in LISTED])
+    for k, names in FAULTS.items():
+        held = F.when(d() % k == 0, F.lit(None) if names is None else F.array(*[F.lit(m) for m in names])).otherwise(held)
+    source = t.documents.select("doc_id", held.cast("array<string>").alias("members"), "text")
+    return cut_lineage(source.mapInArrow(write, "doc_id bigint, path string, size_bytes bigint, sha256 string")), folder
+
+
+def archive_audit(t: Tables) -> DataFrame:
+    """The landed archives against a registry that lists the same two members for all, nothing for some."""
+    landed, folder = landed_archives(t)
+    listed = F.when(d() % 17 != 0, F.array(*[F.lit(m) for m in LISTED])).otherwise(F.array().cast("array<string>"))
+    entries = landed.select(
+        F.concat(F.lit("a"), d()).alias("asset_id"), "path", F.lit("zip").alias("format"), "size_bytes",
+        F.when(d() % 19 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"), F.lit("CC0-1.0").alias("license_id"),
+        F.lit(REVISION).alias("revision"), F.concat_ws("/", F.lit(URL), F.lit(REVISION), "path").alias("source_url"), listed.alias("members"))
+    return s.file_audit(entries, read_archives(t.spark, folder), URL)
+
+
+PROJECT = 50  # documents of a dbt project
+
+
+def manifests(t: Tables) -> DataFrame:
+    """A dbt manifest per project of a repository: its documents as nodes, each depending on two neighbours; a few without nodes."""
+    number = F.floor(d() / PROJECT)
+    name = lambda id_: F.concat(F.lit("model.p."), id_.cast("string"))
+    node = F.to_json(F.struct(
+        _pick(("model", "seed", "test", "snapshot", "model"), d() % 5).alias("resource_type"),
+        F.when(d() % 8 != 0, F.col("path")).alias("original_file_path"),
+        F.concat(F.lit("select "), F.when(d() % 3 == 0, f"{TOKEN}_end").when(d() % 4 == 0, TOKEN).otherwise("x"), F.lit(" from t")).alias("compiled_code"),
+        F.when(d() % 6 != 0, F.struct(F.array(name(d() + 1), name(d() - 1)).alias("nodes"))).alias("depends_on")))
+    pathed = files(t).withColumn("doc_id", F.regexp_extract("path", r"/d(\d+)\.", 1).cast("bigint"))
+    grouped = pathed.select("repository_id", number.alias("project"), F.struct(name(d()).alias("key"), node.alias("node")).alias("e")).groupBy(
+        "repository_id", "project").agg(F.array_sort(F.collect_list("e")).alias("entries"))  # a project's documents
+    body = F.concat_ws(",", F.transform("entries", lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["node"])))
+    return grouped.select("repository_id", F.when(F.col("project") % 13 == 12, F.lit('{"nodes":[]}')).otherwise(
+        F.concat(F.lit('{"nodes":{'), body, F.lit(',"odd":7}}'))).alias("raw"))
+
+
+view("dbt_nodes", f"""
+SELECT f.repository_id, 'model.p.' || doc_id AS unique_id, ['model', 'seed', 'test', 'snapshot', 'model'][doc_id % 5 + 1] AS resource_type,
+       CASE WHEN doc_id % 8 <> 0 THEN path END AS original_file_path, doc_id, doc_id % 3 <> 0 AND doc_id % 4 = 0 AS compiled,
+       CASE WHEN doc_id % 8 <> 0 AND n > 0 AND NOT skipped THEN 'sha256:' || sha256(text) END AS fingerprint,
+       CASE WHEN doc_id % 6 <> 0 THEN list_sort(['model.p.' || (doc_id + 1), 'model.p.' || (doc_id - 1)]) ELSE [] END AS above
+FROM files_counted f WHERE doc_id % 5 <> 3 AND doc_id // {PROJECT} % 13 <> 12
+""")
+
 _Q = lambda build: (lambda spark, folder: build(Tables(spark, folder)))
 
 
@@ -122,11 +218,13 @@ def redacted(t: Tables) -> DataFrame:
 
 QUERIES = {
     "b21_file_audit": _Q(lambda t: s.file_audit(registry(t), registry_files(t), URL)),
+    "b21_archive_audit": _Q(archive_audit),
     "c13_scope_counterfactual": _Q(scope),
     "c13_counterfactual_summary": _Q(lambda t: s.counterfactual_summary(scope(t), t.orders).select(
         "graph_consumers", "repository_matches", "complete", "minimum_additional", "graph_expands_inventory")),
     "c14_reference_scan": _Q(lambda t: s.reference_scan(files(t), TOKEN).select(
         "path", F.coalesce("classification", F.lit("")).alias("classification"), "selects_all")),
+    "c14_manifest_scan": _Q(lambda t: s.manifest_scan(manifests(t), files(t), TOKEN).withColumn("depends_on", F.concat_ws(",", "depends_on"))),
     "c16_rename_plan": _Q(lambda t: s.rename_plan(files(t), TOKEN, REPLACEMENT, ALLOWED)),
     "d1_redact_observations": _Q(redacted),
     "d2_public_text_guard": _Q(lambda t: s.guard_public_text(scan_texts(t), "text", "withheld").select(
@@ -154,12 +252,16 @@ _SENSITIVE_SQL = " OR ".join(
 
 ORACLES = {
     "b21_file_audit": """
-SELECT asset_id, path, CASE WHEN doc_id % 23 = 0 THEN 'DATASET_SOURCE_UNPINNED' WHEN uses > 1 THEN 'DATASET_REGISTRY_INVALID'
+SELECT asset_id, path, CASE WHEN doc_id % 23 = 0 THEN 'DATASET_SOURCE_UNPINNED' WHEN uses > 1 OR doc_id % 36 = 0 THEN 'DATASET_REGISTRY_INVALID'
   WHEN doc_id % 31 = 0 THEN 'DATASET_LICENSE_UNAPPROVED' WHEN doc_id % 37 = 0 THEN 'DATASET_SOURCE_UNPINNED'
   WHEN doc_id % 53 = 0 THEN 'DATASET_CACHE_MISSING' WHEN doc_id % 41 = 0 THEN 'DATASET_SIZE_MISMATCH'
-  WHEN doc_id % 43 = 0 THEN 'DATASET_CHECKSUM_MISMATCH' WHEN doc_id % 44 = 0 OR doc_id % 52 = 0 THEN 'DATASET_ARCHIVE_UNEXPECTED_MEMBER' END AS refusal_code
+  WHEN doc_id % 43 = 0 THEN 'DATASET_CHECKSUM_MISMATCH' WHEN doc_id % 44 = 0 OR doc_id % 52 = 0 OR doc_id % 68 = 0 THEN 'DATASET_ARCHIVE_UNEXPECTED_MEMBER' END AS refusal_code
 FROM (SELECT doc_id, asset_id, count(*) OVER (PARTITION BY asset_id) AS uses, 'docs/' || CASE WHEN doc_id % 53 = 0 THEN 'gone-' ELSE '' END || doc_id AS path
       FROM (SELECT doc_id, 'a' || CASE WHEN doc_id % 59 = 0 THEN doc_id - 1 ELSE doc_id END AS asset_id FROM documents))""",
+    "b21_archive_audit": """
+SELECT 'a' || doc_id AS asset_id, 'd' || doc_id || '.zip' AS path, CASE WHEN doc_id % 17 = 0 THEN 'DATASET_REGISTRY_INVALID'
+  WHEN doc_id % 19 = 0 THEN 'DATASET_CHECKSUM_MISMATCH' WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0
+  THEN 'DATASET_ARCHIVE_UNEXPECTED_MEMBER' END AS refusal_code FROM documents""",
     "c13_scope_counterfactual": twin("""
 SELECT repository_id, count(*) AS inspected_files, count(*) FILTER (WHERE n > 0) AS matched_files,
        count(*) FILTER (WHERE strlen(text) > 10485760) AS oversized_files,
@@ -173,6 +275,13 @@ FROM (SELECT (SELECT count(*) FROM orders) AS g, (SELECT count(*) FROM files_cou
 SELECT * FROM (SELECT path, CASE WHEN n = 0 THEN '' WHEN contains(text, '{{{{') AND doc_id % 2 = 0 THEN 'macro_or_generated'
     WHEN regexp_matches(text, '(?i)(?:^|[^\pL\pM\pN_]){TOKEN}{_SPACE}+as{_SPACE}+[\pL\pM\pN_]') THEN 'aliased_direct' ELSE 'direct' END AS classification,
   regexp_matches(text, '(?i)(?:^|[^\pL\pM\pN_])select{_SPACE}+\*') AS selects_all FROM files_counted WHERE NOT skipped) WHERE classification <> '' OR selects_all"""),
+    "c14_manifest_scan": twin(f"""
+SELECT n.repository_id, n.unique_id, resource_type, original_file_path, coalesce(array_to_string(above, ','), '') AS depends_on,
+       compiled AS compiled_contains_target, fingerprint, count(h.unique_id) AS named_dependencies, CAST(NULL AS VARCHAR) AS refusal_code
+FROM dbt_nodes n LEFT JOIN (SELECT repository_id, unique_id FROM dbt_nodes WHERE compiled OR fingerprint IS NOT NULL) h
+  ON h.repository_id = n.repository_id AND list_contains(n.above, h.unique_id) GROUP BY ALL
+UNION ALL SELECT source, NULL, NULL, NULL, '', NULL, NULL, NULL, 'SOURCE_DBT_UNAVAILABLE' FROM (
+  SELECT DISTINCT source, doc_id // {PROJECT} AS project FROM documents WHERE doc_id // {PROJECT} % 13 = 12)"""),
     "c16_rename_plan": twin(f"""
 SELECT path, n AS occurrences, code AS refusal_code, CASE WHEN code IS NULL THEN 'sha256:' || sha256(text) END AS before_digest,
   CASE WHEN code IS NULL THEN 'sha256:' || sha256(regexp_replace(text, '(^|[^A-Za-z0-9_]){TOKEN}($|[^A-Za-z0-9_])', '\\1{REPLACEMENT}\\2')) END AS after_digest

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundown.functions.ordered import before_each_row
-from sundown.plans.events_plans import HOUR, base_stream, eid, event_digest, payload
+from sundown.functions.ordered import sliced_before
+from sundown.operators import events as ev
+from sundown.plans.events_plans import base_stream, damaged_chain, eid, event_digest, payload
 from sundown.plans.twin import twin
-from sundown.session import ensure_checkpoint_dir
+from sundown.session import cut_lineage, ensure_checkpoint_dir
 from sundown.sources.tables import Tables
 from sundown.streaming import logs
+from sundown.streaming.chain import stream_chain_findings
 
 DELAY = "40 days"
-REACH = "2 days"
 FILES = 4
+# The month of events becomes a year, so that weeks lie between the events of many campaigns.
+STRETCH = 12
+LATE_DELAY = "3 days"
+ALL_FILES = 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -25,18 +30,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def landed_log(t: Tables, folder: str, gaps: bool = False, conflicts: bool = False) -> str:
+def landed_log(t: Tables, folder: str, conflicts: bool = False) -> str:
     """Write the daily log with retries, spread over files regardless of time.
 
-    With ``gaps`` some events are renumbered; with ``conflicts`` some arrive again with other content.
+    With ``conflicts`` some arrive again with other content.
     """
-    rows = before_each_row(
-        base_stream(t, True).withColumn("event_digest", event_digest()), ["campaign_id"],
-        F.floor(F.unix_seconds("occurred_at") / HOUR), ["sequence"], last={"previous_event_digest": F.col("event_digest")})
-    sequence = F.when(eid() % 53 == 0, F.col("sequence") + 1000).otherwise(F.col("sequence")) if gaps else F.col("sequence")
+    rows = sliced_before(
+        base_stream(t, True).withColumn("event_digest", event_digest()), ["campaign_id"], ["sequence"], last={"previous_event_digest": F.col("event_digest")})
     copies = F.when(eid() % 9 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     log = rows.select(
-        "campaign_id", sequence.cast("bigint").alias("sequence"), "event_type", "occurred_at",
+        "campaign_id", F.col("sequence").cast("bigint").alias("sequence"), "event_type", "occurred_at",
         F.concat(F.lit("e"), eid()).alias("idempotency_key"), "previous_event_digest", "event_digest", payload().alias("payload"),
         copies.alias("copies"), (eid() % 47 == 0).alias("clashes")).withColumn("copy", F.explode("copies"))
     if conflicts:
@@ -47,35 +50,65 @@ def landed_log(t: Tables, folder: str, gaps: bool = False, conflicts: bool = Fal
     return f"{folder}/log"
 
 
-def close_log(t: Tables, path: str) -> None:
-    """Two later events of a campaign of their own, landed one after the other, so that the watermark passes everything before."""
-    newest = t.events.agg(F.max("ts").cast("timestamp").alias("ts"))
+def closing(t: Tables, days: int) -> DataFrame:
+    """A later event of a campaign of its own, so that the watermark passes everything before."""
     none = F.lit(None).cast("string")
-    for number, days in ((1, 100), (2, 101)):
-        newest.select(
-            F.lit("closing").alias("campaign_id"), F.lit(number).cast("bigint").alias("sequence"), F.lit("CAMPAIGN_CREATED").alias("event_type"),
-            F.timestamp_add("DAY", F.lit(days), F.col("ts")).alias("occurred_at"), F.lit(f"closing-{number}").alias("idempotency_key"),
-            none.alias("previous_event_digest"), F.lit(f"closing-{number}").alias("event_digest"), F.lit("{}").alias("payload"),
-        ).write.mode("append").parquet(path)
+    return t.events.agg(F.max("ts").cast("timestamp").alias("ts")).select(
+        F.lit("closing").alias("campaign_id"), F.lit(1).cast("bigint").alias("sequence"), F.lit("CAMPAIGN_CREATED").alias("event_type"),
+        F.timestamp_add("DAY", F.lit(days), F.col("ts")).alias("occurred_at"), F.lit(f"closing-{days}").alias("idempotency_key"),
+        none.alias("previous_event_digest"), F.lit("closing").alias("event_digest"), F.lit("{}").alias("payload"))
+
+
+def delivery(day: Column) -> Column:
+    """The part of the month an event happens in; some events are delivered a part or two later."""
+    late = F.when(eid() % 31 == 0, 2).when(eid() % 29 == 0, 1).otherwise(0)
+    return F.least(F.lit(3), F.floor((day - 1) / 8) + late).cast("int")
 
 
 def campaign_state(spark: SparkSession, folder: str) -> DataFrame:
     work = scratch(spark)
-    stream = logs.read_log(spark, landed_log(Tables(spark, folder), work, gaps=False))
+    stream = logs.read_log(spark, landed_log(Tables(spark, folder), work))
     logs.write_updates(logs.stream_campaign_state(stream, DELAY), f"{work}/state", f"{work}/state-log").awaitTermination()
     return logs.latest(spark.read.parquet(f"{work}/state"), ["campaign_id"]).select(
         "campaign_id", "state", F.date_format("last_event_at", "yyyy-MM-dd HH:mm:ss").alias("last_event_at"), "events", "reconciled", "missing")
 
 
 def chain_failures(spark: SparkSession, folder: str) -> DataFrame:
-    """Missing or broken predecessors, decided while streaming, once the watermark has passed them."""
+    """The first failure of every user's chain, streamed part by part over a year; retries come a part later."""
+    work, t = scratch(spark), Tables(spark, folder)
+    start = t.events.agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("m")).first()["m"] or 0
+    day = F.dayofmonth("occurred_at")
+    rows = damaged_chain(t, daily=False).withColumn("part", F.least(F.lit(3), F.floor((day - 1) / 8)).cast("int"))
+    rows = rows.withColumn("parts", F.when(eid() % 9 == 0, F.array("part", F.col("part") + 1)).otherwise(F.array("part")))
+    stretched = F.timestamp_micros(F.lit(start) + (F.unix_micros("occurred_at") - F.lit(start)) * STRETCH)
+    log = cut_lineage(rows.select(
+        "campaign_id", F.col("sequence").cast("bigint").alias("sequence"), "event_type", stretched.alias("occurred_at"),
+        F.concat(F.lit("e"), eid()).alias("idempotency_key"), "previous_event_digest", "event_digest", F.lit("{}").alias("payload"),
+        F.explode("parts").alias("part")))
+    for part in range(7):
+        landed = log.filter(F.col("part") == part).drop("part") if part < 5 else closing(t, 400 * (part - 4))
+        landed.write.mode("append").parquet(f"{work}/log")
+        findings = stream_chain_findings(logs.read_log(spark, f"{work}/log", ALL_FILES), DELAY, chunk=16)
+        logs.write_updates(findings, f"{work}/findings", f"{work}/findings-log").awaitTermination()
+    return logs.present_failures(spark.read.parquet(f"{work}/findings"))
+
+
+def late(spark: SparkSession, folder: str) -> DataFrame:
+    """Events on time and late per campaign, the log delivered part by part; the state of those on time."""
     work, t = scratch(spark), Tables(spark, folder)
-    path = landed_log(t, work, gaps=True)
-    close_log(t, path)
-    logs.write_updates(
-        logs.stream_chain_failures(logs.read_log(spark, path), DELAY, REACH), f"{work}/failures", f"{work}/failures-log", mode="append"
-    ).awaitTermination()
-    return spark.read.parquet(f"{work}/failures").filter("campaign_id <> 'closing'").select("campaign_id", "sequence", "refusal_code")
+    rows = cut_lineage(base_stream(t, False).withColumn("part", delivery(F.dayofmonth("occurred_at"))).select(
+        "campaign_id", F.col("sequence").cast("bigint").alias("sequence"), "event_type", "occurred_at",
+        F.concat(F.lit("e"), eid()).alias("idempotency_key"), F.lit(None).cast("string").alias("previous_event_digest"),
+        event_digest().alias("event_digest"), payload().alias("payload"), "part"))
+    for part in range(4):
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{work}/log")
+        log = logs.read_log(spark, f"{work}/log", ALL_FILES)
+        logs.split_late(log, f"{work}/split", f"{work}/split-log", LATE_DELAY).awaitTermination()
+    events = logs.split_events(spark, f"{work}/split")
+    counts = events.groupBy("campaign_id").agg(
+        F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"), F.count(F.lit(1)).alias("arrived"))
+    state = ev.campaign_state(events.filter("NOT late")).select("campaign_id", "state", "head_digest")
+    return counts.join(state, "campaign_id", "left")
 
 
 def conflicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,14 +122,26 @@ QUERIES = {
     "e14_streaming_campaign_state": campaign_state,
     "e14_streaming_chain_failures": chain_failures,
     "e14_streaming_conflicts": conflicts,
+    "e14_streaming_late": late,
 }
 
 ORACLES = {
     "e14_streaming_campaign_state": twin("""
 SELECT campaign_id, state, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_event_at, events, reconciled, CAST(0 AS BIGINT) AS missing FROM daily_fold"""),
     "e14_streaming_chain_failures": twin("""
-SELECT campaign_id, seq AS sequence, 'INTEGRITY_EVENT_SEQUENCE_INVALID' AS refusal_code FROM renumbered r
-WHERE seq > 1 AND NOT EXISTS (SELECT 1 FROM renumbered p WHERE p.campaign_id = r.campaign_id AND p.seq = r.seq - 1)""", renumbered="""
-SELECT campaign_id, CASE WHEN event_id % 53 = 0 THEN sequence + 1000 ELSE sequence END AS seq FROM daily_stream"""),
+SELECT c.campaign_id, CASE WHEN f.code IS NOT NULL THEN f.failed_seq ELSE 1 END AS sequence,
+       coalesce(f.code, 'INTEGRITY_EVENT_SEQUENCE_INVALID') AS refusal_code
+FROM (SELECT campaign_id, arg_min(event_type, sequence) AS first_type FROM damaged_users GROUP BY 1) c
+LEFT JOIN (SELECT campaign_id, arg_min(code, expected) AS code, arg_min(failed_seq, expected) AS failed_seq FROM audit_codes_users
+           WHERE code IS NOT NULL GROUP BY 1) f USING (campaign_id)
+WHERE f.code IS NOT NULL OR c.first_type <> 'CAMPAIGN_CREATED'"""),
+    "e14_streaming_late": twin("""
+SELECT campaign_id, count(*) FILTER (WHERE NOT late) AS on_time, count(*) FILTER (WHERE late) AS late, count(*) AS arrived,
+       arg_max(to_state, sequence) FILTER (WHERE NOT late AND to_state IS NOT NULL) AS state,
+       arg_max(sha256(campaign_id || '|' || sequence || '|' || event_id || '|' || event_type), sequence) FILTER (WHERE NOT late) AS head_digest
+FROM (SELECT d.*, coalesce(d.occurred_at <= b.newest - INTERVAL 3 DAY, false) AS late FROM delivered d
+      LEFT JOIN (SELECT p.part, max(d.occurred_at) AS newest FROM range(4) p(part) JOIN delivered d ON d.part < p.part GROUP BY 1) b USING (part))
+GROUP BY 1""", delivered="""
+SELECT *, least(3, (day(occurred_at) - 1) // 8 + CASE WHEN event_id % 31 = 0 THEN 2 WHEN event_id % 29 = 0 THEN 1 ELSE 0 END) AS part FROM user_states"""),
     "e14_streaming_conflicts": twin("SELECT campaign_id, 'e' || event_id AS idempotency_key FROM daily_stream WHERE event_id % 47 = 0"),
 }

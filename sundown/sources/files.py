@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -73,33 +75,72 @@ def read_text_files(spark: SparkSession, root: str, repository_id: str) -> DataF
         F.lit(repository_id).alias("repository_id"), relative_path(name, root).alias("path"), F.col("value").alias("text"))
 
 
-def read_file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Size and SHA-256 of every file below a root, whatever its size.
+def storage_uri(path: str) -> str:
+    """A path as Spark lists it, in the form that storage libraries know: plain for local files, one name for S3."""
+    local = re.sub(r"^file:/*", "/", path)
+    return local if local.startswith("/") else re.sub(r"^s3[an]:", "s3:", path)
 
-    The listing reads no content; tasks then read each file in blocks and hash as they go.
-    """
-    listed = (
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that holds a file, and the file's name there."""
+    uri = storage_uri(path)
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, length) of the files below a root; their content is not read."""
+    return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
         .select("path", "length")
     )
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
 
+def _sha256(path: str) -> str:
+    store, inside = opened(path)
+    running = hashlib.sha256()
+    with store.open_input_stream(inside) as stream:
+        while block := stream.read(READ_BYTES):
+            running.update(block)
+    return running.hexdigest()
+
+
+def archive_members(path: str) -> list[str] | None:
+    """The names in a ZIP file's central directory, in its order, repeats included; null if it is none.
+
+    Only the end of the file and the directory are read, by range, whatever the members' size.
+    """
+    store, inside = opened(path)
+    try:
+        with store.open_input_file(inside) as file, zipfile.ZipFile(file) as archive:
+            return [entry.filename for entry in archive.infolist()]
+    except zipfile.BadZipFile:
+        return None
+
+
+def _with_column(listed: DataFrame, name: str, kind: pa.DataType, ddl: str, value: Callable[[str], object]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
-            for path in batch.column("path").to_pylist():
-                place = re.sub(r"^file:/*", "/", path)
-                store, inside = (fs.LocalFileSystem(), place) if place.startswith("/") else fs.FileSystem.from_uri(path)
-                running = hashlib.sha256()
-                with store.open_input_stream(inside) as stream:
-                    while block := stream.read(READ_BYTES):
-                        running.update(block)
-                sums.append(running.hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], [*batch.schema.names, "sha256"])
-
-    return listed.mapInArrow(hashed, "path string, length bigint, sha256 string").select(
-        relative_path(F.col("path"), root).alias("path"), "length", "sha256")
+            found = pa.array([value(path) for path in batch.column("path").to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema.fields)
+    return listed.mapInArrow(run, f"{schema}, {name} {ddl}")
+
+
+def read_file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Size and SHA-256 of every file below a root, whatever its size.
+
+    The listing reads no content; tasks then read each file in blocks and hash as they go.
+    """
+    hashed = _with_column(_listed(spark, root, pattern), "sha256", pa.string(), "string", _sha256)
+    return hashed.select(relative_path(F.col("path"), root).alias("path"), "length", "sha256")
+
+
+def read_archives(spark: SparkSession, root: str, pattern: str = "*.zip") -> DataFrame:
+    """Size, SHA-256 and members of the archives below a root, as :func:`sundown.operators.scans.file_audit` wants them."""
+    hashed = _with_column(_listed(spark, root, pattern), "sha256", pa.string(), "string", _sha256)
+    found = _with_column(hashed, "members", pa.list_(pa.string()), "array<string>", archive_members)
+    return found.select(relative_path(F.col("path"), root).alias("path"), "length", "sha256", "members")
 
 
 def explode_manifest(manifests: DataFrame, raw: str, urn_path: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Campaign logs as streams: the batch rules of the event log, kept up to date.
 
-Only built-in stateful operators are used, keyed by (campaign, idempotency key) or
-(campaign, sequence), or aggregated map-side first, so a campaign that holds a large
-share of the stream is spread over the state partitions like any other.
+State is keyed by (campaign, idempotency key) or (campaign, chunk of its sequence), or
+aggregated map-side first, so a campaign that holds a large share of the stream is spread
+over the state partitions like any other.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sundown.functions.checks import first_failure
 from sundown.functions.hashing import row_text
 from sundown.operators.events import MEMBERSHIP, kind, state_after, typed
 
@@ -45,7 +46,7 @@ def stream_campaign_state(log: DataFrame, delay: str) -> DataFrame:
             F.max_by(kind() == "RECONCILIATION_RECORDED", F.when(membership, at)), F.lit(False)
         ).alias("reconciled"),
         # A gap shows as fewer events than the highest sequence; it is a failure only once
-        # the watermark has passed it: see stream_chain_failures.
+        # the watermark has passed it: see sundown.streaming.chain.
         (F.max("sequence") - F.count(F.lit(1))).alias("missing"),
     )
 
@@ -61,35 +62,6 @@ def stream_conflicts(log: DataFrame, delay: str) -> DataFrame:
     )
 
 
-def stream_chain_failures(log: DataFrame, delay: str, reach: str) -> DataFrame:
-    """Events without their predecessor, or not linked to it, decided when the watermark passes.
-
-    A left outer self-join on (campaign, sequence - 1): the predecessor may arrive later
-    than its successor, and only after ``reach`` beyond it is its absence final.
-    """
-    events = without_retries(log, delay).select(
-        "campaign_id", "sequence", "event_type", "occurred_at", "previous_event_digest", "event_digest")
-    earlier = without_retries(log, delay).select(
-        F.col("campaign_id").alias("b_campaign"), (F.col("sequence") + 1).alias("b_next"),
-        F.col("event_digest").alias("b_digest"), F.col("occurred_at").alias("b_at"))
-    joined = events.join(
-        earlier,
-        (F.col("campaign_id") == F.col("b_campaign"))
-        & (F.col("sequence") == F.col("b_next"))
-        & (F.col("b_at") >= F.col("occurred_at") - F.expr(f"INTERVAL {reach}"))
-        & (F.col("b_at") <= F.col("occurred_at") + F.expr(f"INTERVAL {reach}")),
-        "left_outer",
-    )
-    code = (
-        F.when((F.col("sequence") > 1) & F.col("b_digest").isNull(), F.lit("INTEGRITY_EVENT_SEQUENCE_INVALID"))
-        .when((F.col("sequence") == 1) & kind().isin("CAMPAIGN_CREATED"), F.lit(None))
-        .when(F.col("sequence") == 1, F.lit("INTEGRITY_EVENT_SEQUENCE_INVALID"))
-        .when(~F.col("previous_event_digest").eqNullSafe(F.col("b_digest")), F.lit("INTEGRITY_EVENT_CHAIN_MISMATCH"))
-        .when(F.col("occurred_at") < F.col("b_at"), F.lit("RUNTIME_CLOCK_ROLLBACK"))
-    )
-    return joined.select("campaign_id", "sequence", code.alias("refusal_code")).filter("refusal_code IS NOT NULL")
-
-
 def write_updates(stream: DataFrame, folder: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Write each micro-batch to its own folder; running a batch again replaces it."""
 
@@ -108,22 +80,35 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_u")).select(*keys, "_u.*")
 
 
-def write_late(log: DataFrame, folder: str, checkpoint: str, delay: str) -> StreamingQuery:
-    """Side output: events that arrived more than the delay behind the newest event of earlier batches.
+def present_failures(findings: DataFrame) -> DataFrame:
+    """First failure of each campaign from the last finding of every event; a stream that breaks comes before its creation."""
+    last = latest(findings, ["campaign_id", "sequence"]).filter("refusal_code IS NOT NULL")
+    return first_failure(last, ["campaign_id"], ["check", "sequence"], ["sequence", "refusal_code"])
+
+
+def split_late(log: DataFrame, folder: str, checkpoint: str, delay: str) -> StreamingQuery:
+    """Every event to ``folder/events``, in ``late=true`` or ``late=false``; read them with :func:`split_events`.
 
-    The newest time of each batch is itself written to the shared folder, so a batch
-    that runs again finds the same border and replaces its own output.
+    An event is late if its time is not after the newest of all earlier batches less the delay, as
+    for a watermark. The newest time is a running maximum: a batch reads the row of the one before
+    and writes its own, so a batch that runs again finds the same border and replaces its own output.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = f"{folder}/newest"
-        batch.agg(F.max("occurred_at").alias("newest")).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-        earlier = spark.read.parquet(seen).filter(F.col("batch") < batch_id)
-        border = earlier.agg(F.max("newest").alias("newest")).first()["newest"]
-        late = F.lit(False) if border is None else F.col("occurred_at") < F.lit(border) - F.expr(f"INTERVAL {delay}")
-        batch.filter(late).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        earlier = spark.read.parquet(f"{folder}/border/batch={batch_id - 1}").first()["newest"] if batch_id else None
+        late = F.lit(False)
+        if earlier is not None:
+            late = F.coalesce(F.col("occurred_at") <= F.timestamp_micros(F.lit(earlier)) - F.expr(f"INTERVAL {delay}"), late)
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{folder}/events/batch={batch_id}")
+        newest = F.greatest(F.unix_micros(F.max("occurred_at")), F.lit(earlier).cast("bigint"))
+        batch.agg(newest.alias("newest")).write.mode("overwrite").parquet(f"{folder}/border/batch={batch_id}")
 
     return (
         log.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     )
+
+
+def split_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of :func:`split_late` with ``batch`` and ``late``; together they are all that arrived."""
+    return spark.read.schema(f"{LOG_SCHEMA}, batch int, late boolean").option("basePath", f"{folder}/events").parquet(f"{folder}/events")

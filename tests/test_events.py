@@ -168,7 +168,7 @@ def test_policy_event_audit(logs, got):
     drifted = (*READY[:-1], evaluated("READY_TO_RETIRE", inputs={"input_digests": {"policy": "2"}}))
     wrong = (*READY[:-1], evaluated("READY_TO_RETIRE", "RECONCILIATION_REQUIRED"))
     every = logs({"ready": READY, "late": late, "expiring": expiring, "replaced": replaced, "drifted": drifted, "wrong": wrong})
-    result = got(ev.policy_event_audit(every, chunk_rows=3, time_chunk=7200), "campaign_id", "sequence", "refusal_code")
+    result = got(ev.policy_event_audit(every, chunk_rows=3), "campaign_id", "sequence", "refusal_code")
     assert result == [
         ("drifted", 8, "POLICY_INPUT_DRIFT"), ("expiring", 10, None), ("expiring", 8, None), ("late", 10, None), ("late", 8, None),
         ("ready", 8, None), ("replaced", 11, None), ("wrong", 8, "POLICY_EVENT_DECISION_MISMATCH")]

@@ -2,7 +2,7 @@
 
 A window is ``words`` consecutive words of one text. It goes if its words also start anywhere else.
 
-1. Rows with the same words are one text with a number of copies.
+1. Every row's words are written once, compressed, under a number of their own.
 2. Sharding. Of the hashes of the ``GRAM``-word grams in a window the smallest is its anchor, so
    equal windows have equal anchors. Consecutive windows of one anchor form a segment. Anchors
    that stand at one place only can't belong to a repeated window; the words of all other segments are fetched,
@@ -40,7 +40,7 @@ from sundown.llm.common import SPACE, map_batches, raw_text
 from sundown.session import cut_lineage
 
 WORDS = 35
-GRAM = 12  # words of an anchor, at most half the window
+GRAM = 8  # words of an anchor
 SEGMENT_WINDOWS = 1_024
 SHARD_BYTES = 4 << 20
 HOT_BYTES = 1 << 20
@@ -209,31 +209,40 @@ def repeated_runs(contents: list[bytes], weights: np.ndarray, size: int) -> Iter
         yield owner, int(first) - base, int(after) - 1 - base
 
 
+def packed(words: bytes) -> bytes:
+    return len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True)
+
+
+def unpacked(held: bytes) -> list[bytes]:
+    size = int.from_bytes(held[:8], "little")
+    return pa.decompress(held[8:], decompressed_size=size, codec="zstd", asbytes=True).split(b" ")
+
+
 def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
     words = [text.split() for text in batch.column("text").to_pylist()]
     joined = [b" ".join(w) for w in words]
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id"), pa.array([hashlib.sha256(j).digest() for j in joined], pa.binary()),
-            pa.array([len(w) for w in words], pa.int64()), pa.array(joined, pa.binary()),
+            pa.array([len(w) for w in words], pa.int64()), pa.array([packed(j) for j in joined], pa.binary()),
         ],
-        ["doc_id", "key", "n_words", "joined"],
+        ["doc_id", "key", "n_words", "held"],
     )
 
 
 def _segments(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, copies, joined in zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "joined")), strict=True):
-                found, grams = anchors(joined.split(b" "), size, gram)
+            for row, held in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                found, grams = anchors(unpacked(held), size, gram)
                 first, many = segments_of(found)
                 places = 1 + anchor_repeats(grams, size - gram + 1, first, many)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([key] * len(first), pa.binary()), pa.array(copies * places),
-                        pa.array(first.astype(np.int64)), pa.array(many.astype(np.int64)), pa.array(found[first].view(np.int64)),
+                        pa.array(np.full(len(first), row)), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32)),
+                        pa.array(places.astype(np.int32)), pa.array(found[first].view(np.int64)),
                     ],
-                    ["key", "places", "start", "windows", "anchor"],
+                    ["id", "start", "windows", "places", "anchor"],
                 )
 
     return run
@@ -255,15 +264,15 @@ def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
 def _contents(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for key, copies, joined, parts in zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "joined", "parts")), strict=True):
-                words = joined.split(b" ")
-                for p in parts:
+            for row, held, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "held", "parts")), strict=True):
+                words = unpacked(held)
+                for p in sorted(parts, key=lambda p: p["start"]):
                     content = b" ".join(words[p["start"] : p["start"] + p["windows"] + size - 1])
-                    yield key, copies, p["start"], p["anchor"], hashlib.blake2b(content, digest_size=16).digest(), content
+                    yield row, p["start"], p["anchor"], hashlib.blake2b(content, digest_size=16).digest(), content
 
-    names = ["key", "copies", "start", "anchor", "segment", "content"]
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return lambda batches: _batched(rows(batches), names, types, 5)
+    names = ["id", "start", "anchor", "segment", "content"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return lambda batches: _batched(rows(batches), names, types, 4)
 
 
 def _single_windows(size: int):
@@ -336,26 +345,22 @@ def _search_single(hot: DataFrame, size: int, shard_bytes: int) -> DataFrame:
 def repeated_segments(
     texts: DataFrame, size: int = WORDS, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES
 ) -> DataFrame:
-    """(key, first, last): runs of repeated windows in texts (key, copies, joined) of ``size`` words and more."""
+    """(id, first, last): runs of repeated windows in texts (id, held) of ``size`` words and more."""
     if not 0 < gram <= size:
         raise ValueError("an anchor has at least one word and lies inside the window")
-    cut = cut_lineage(
-        texts.mapInArrow(_segments(size, gram), "key binary, places bigint, start bigint, windows bigint, anchor bigint")
-    )
+    cut = cut_lineage(texts.mapInArrow(_segments(size, gram), "id bigint, start int, windows int, places int, anchor bigint"))
     shared = cut.groupBy("anchor").agg(F.sum("places").alias("n")).filter("n > 1").select("anchor")
     parts = (
-        cut.join(shared, "anchor", "left_semi")
-        .groupBy("key")
+        cut.select("id", "start", "windows", "anchor").join(shared, "anchor", "left_semi")
+        .groupBy("id")
         .agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("parts"))  # of one text
     )
     held = cut_lineage(
-        texts.join(parts, "key").mapInArrow(
-            _contents(size), "key binary, copies bigint, start bigint, anchor bigint, segment binary, content binary"
-        )
+        texts.join(parts, "id").mapInArrow(_contents(size), "id bigint, start int, anchor bigint, segment binary, content binary")
     )
     classes = cut_lineage(
         held.groupBy("segment").agg(
-            F.first("anchor").alias("anchor"), F.sum("copies").alias("copies"), F.first("content").alias("content")
+            F.first("anchor").alias("anchor"), F.count(F.lit(1)).alias("copies"), F.first("content").alias("content")
         )
     )
     heavy = cut_lineage(
@@ -364,16 +369,16 @@ def repeated_segments(
     found = _search(classes.join(heavy, "anchor", "left_anti"), size, shard_bytes)
     if not heavy.isEmpty():
         found = found.unionByName(_search_single(classes.join(heavy, "anchor", "left_semi"), size, shard_bytes))
-    return held.select("key", "start", "segment").join(cut_lineage(found), "segment").select(
-        "key", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")
+    return held.select("id", "start", "segment").join(cut_lineage(found), "segment").select(
+        "id", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")
     )
 
 
 def _kept(size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, digests, texts = [], [], []
-        for joined, runs in zip(batch.column("joined").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            words = joined.split(b" ")
+        for held, runs in zip(batch.column("held").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            words = unpacked(held)
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, [r["first"] for r in runs], 1)
             np.add.at(edge, [r["last"] + size for r in runs], -1)
@@ -383,32 +388,29 @@ def _kept(size: int):
             digests.append(hashlib.sha256(left).hexdigest())
             texts.append(left)
         return pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary())],
-            ["key", "n_removed", "kept_sha256", "kept_text"],
+            [batch.column("id"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary())],
+            ["id", "n_removed", "kept_sha256", "kept_text"],
         )
 
     return run
 
 
 def _cleaned(docs: DataFrame, doc_id: str, text: str, size: int, **limits: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n_words) of the rows, and (key, n_removed, kept_sha256, kept_text) of the texts that lose words."""
+    """(id, doc_id, key, n_words) of the rows, and (id, n_removed, kept_sha256, kept_text) of those that lose words."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw_text(text).alias("text"))
-    keyed = map_batches(source, _keyed, "doc_id bigint, key binary, n_words bigint, joined binary")
-    texts = cut_lineage(
-        keyed.filter(F.col("n_words") >= size).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("joined").alias("joined"))
-    )
-    runs = repeated_segments(texts, size, **limits)
-    laid = runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
-    cleaned = map_batches(
-        texts.select("key", "joined").join(laid, "key"), _kept(size), "key binary, n_removed bigint, kept_sha256 string, kept_text binary"
-    )
-    return keyed.select("doc_id", "key", "n_words"), cleaned
+    keyed = map_batches(source, _keyed, "doc_id bigint, key binary, n_words bigint, held binary")
+    # The number is given once, as the table is written.
+    rows = cut_lineage(keyed.withColumn("id", F.monotonically_increasing_id()))
+    texts = rows.filter(F.col("n_words") >= size).select("id", "held")
+    laid = repeated_segments(texts, size, **limits).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
+    cleaned = map_batches(texts.join(laid, "id"), _kept(size), "id bigint, n_removed bigint, kept_sha256 string, kept_text binary")
+    return rows.select("id", "doc_id", "key", "n_words"), cleaned
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, **limits: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row: the digest of the words that stay, joined by one space."""
     rows, cleaned = _cleaned(docs, doc_id, text, words, **limits)
-    return rows.join(cleaned.drop("kept_text"), "key", "left").select(
+    return rows.join(cleaned.drop("kept_text"), "id", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"),
     )
@@ -416,12 +418,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def cleaned_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, **limits: int) -> DataFrame:
     """doc_id, n_removed, text per row; a text that loses nothing stays as it is, the others keep their words, joined by one space."""
-    _, cleaned = _cleaned(docs, doc_id, text, words, **limits)
+    rows, cleaned = _cleaned(docs, doc_id, text, words, **limits)
     spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " "))
     named = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.unhex(F.sha2(spaced.cast("binary"), 256)).alias("key")
     )
-    kept = cleaned.select("key", "n_removed", F.col("kept_text").cast("string").alias("kept"))
+    # Rows with the same words lose the same ones.
+    kept = rows.select("id", "key").join(cleaned, "id").dropDuplicates(["key"]).select(
+        "key", "n_removed", F.col("kept_text").cast("string").alias("kept"))
     return named.join(kept, "key", "left").select(
         "doc_id", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept", "text").alias("text")
     )

@@ -88,7 +88,7 @@ def made(seed, size):
     return rows
 
 
-@pytest.mark.parametrize(("size", "gram", "shard", "hot"), [(35, 12, 1 << 22, 1 << 20), (6, 3, 2_000, 1 << 20), (6, 3, 2_000, 60), (8, 8, 500, 0)])
+@pytest.mark.parametrize(("size", "gram", "shard", "hot"), [(35, 8, 1 << 22, 1 << 20), (6, 3, 2_000, 1 << 20), (6, 3, 2_000, 60), (8, 8, 500, 0)])
 def test_equals_plain_version(spark, make, size, gram, shard, hot):
     rows = made(size, size)
     frame = make("doc_id long, text string, key string, anchor int, copies int", *[(*r, "k", 1, 1) for r in rows])

@@ -2,11 +2,23 @@
 
 Only the histogram of piece lengths, at most one count per possible length, reaches the driver.
 A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest
-sequences whose configurations cover the histogram; multiplicative weights solve it, and every
-step prices configurations by a knapsack dynamic program over the lengths that are least
-covered. The amounts are rounded down to whole sequences, and what is left of the histogram is
-packed best fit, longest piece first. A piece finds its place from its rank among the pieces of
-its length, which two sums give without sorting.
+sequences whose configurations cover the whole histogram.
+
+1. Where there are more than ``GROUPS`` lengths, neighbours form groups of about equal numbers of
+   pieces; a group's pieces count as its longest.
+2. Multiplicative weights: prices of the groups and shares of the known configurations play
+   against each other for ``STEPS`` small steps, and their averages are taken. A price falls while
+   its group is covered well, a configuration's share grows while its pieces are dear.
+3. A knapsack dynamic program over all groups prices configurations: the dearest one of all, and the
+   dearest one that holds each group, are new configurations. The rounds end when no configuration
+   is worth more than the present ones by ``GAP``, or after ``ROUNDS``. The prices bound the number of
+   sequences from below, whatever the packing.
+4. Amounts are rounded to whole sequences, largest first, as long as there are pieces; groups are
+   read back as their pieces. What is left is packed best fit, longest piece first, into the room
+   that configurations leave and into new sequences.
+
+A piece finds its place from its rank among the pieces of its length, which two sums give without
+sorting.
 """
 
 from __future__ import annotations
@@ -26,9 +38,12 @@ from sundown.llm.tokens import END, encoder
 from sundown.session import cut_lineage
 
 CAPACITY = 4096
-STEPS = 2_000  # of the multiplicative weights
-PRICED = 96  # lengths priced in one step
-RATE = 0.5
+GROUPS = 512
+PHASES = 48  # in each, every group is covered once more
+PRICINGS = 8  # knapsacks of a phase
+RATE = 0.05
+GAP = 0.001
+SMALL = 16  # pieces shorter than this part of a sequence fill the room that the others leave
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, rank_in_part bigint"
 
@@ -66,80 +81,188 @@ def cut_pieces(
     return source.mapInArrow(run, _PIECES)
 
 
-def _price(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """The dearest configuration of the lengths given: [(index, copies)]; copies in powers of two make a bounded knapsack."""
-    best = np.zeros(capacity + 1)
-    items: list[tuple[int, int]] = []
-    for i, (length, limit) in enumerate(zip(lengths.tolist(), limits.tolist())):
-        copies, left = 1, min(limit, capacity // length)
-        while left > 0:
-            copies = min(copies, left)
-            items.append((i, copies))
-            left -= copies
-            copies *= 2
-    took = np.zeros((len(items), capacity + 1), bool)
-    for n, (i, copies) in enumerate(items):
-        size = int(lengths[i]) * copies
-        with_it = best[:-size] + prices[i] * copies
-        better = with_it > best[size:]
-        took[n, size:] = better
-        np.maximum(best[size:], with_it, out=best[size:])
-    room, chosen = capacity, {}
-    for n in range(len(items) - 1, -1, -1):
-        if took[n, room]:
-            i, copies = items[n]
-            chosen[i] = chosen.get(i, 0) + copies
-            room -= int(lengths[i]) * copies
-    return list(chosen.items())
-
-
-def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int) -> list[tuple[list[tuple[int, int]], float]]:
-    """Configurations and amounts by multiplicative weights: a length's price falls as its cover grows."""
-    rng = np.random.default_rng(seed)
-    weight = np.ones(len(lengths))
-    cover = np.zeros(len(lengths))
+def grouped(lengths: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The group of each length (lengths falling): each its own, or neighbours of about equal numbers of pieces."""
+    if len(lengths) <= groups:
+        return np.arange(len(lengths))
+    target = counts.sum() / groups
+    middle = np.cumsum(counts) - counts / 2
+    _, group = np.unique((middle / target).astype(np.int64), return_inverse=True)
+    return group
+
+
+class Knapsack:
+    """The dearest configuration for every room, lengths repeating freely."""
+
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, capacity: int) -> None:
+        self.lengths, self.prices, self.capacity = lengths, prices, capacity
+        order = np.argsort(lengths, kind="stable")
+        sizes, worth = lengths[order], prices[order]
+        self.best = np.zeros(capacity + 1)
+        self.took = np.full(capacity + 1, -1)
+        upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+        for room in range(1, capacity + 1):
+            self.best[room] = self.best[room - 1]
+            n = upto[room]
+            if n:
+                value = self.best[room - sizes[:n]] + worth[:n]
+                i = int(value.argmax())
+                if value[i] > self.best[room]:
+                    self.best[room], self.took[room] = value[i], order[i]
+
+    def configuration(self, room: int) -> dict[int, int]:
+        """{index of a length: copies}"""
+        chosen: dict[int, int] = {}
+        while room > 0:
+            i = int(self.took[room])
+            if i < 0:
+                room -= 1
+                continue
+            chosen[i] = chosen.get(i, 0) + 1
+            room -= int(self.lengths[i])
+        return chosen
+
+    def columns(self) -> list[dict[int, int]]:
+        """The dearest configuration, and the dearest with each length."""
+        found = [self.configuration(self.capacity)]
+        for i, length in enumerate(self.lengths.tolist()):
+            config = self.configuration(self.capacity - length)
+            config[i] = config.get(i, 0) + 1
+            found.append(config)
+        return found
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations with amounts that cover the counts, and a lower bound of the number of sequences."""
+    size = len(lengths)
+    weight = lengths * counts / lengths.dot(counts)  # of a whole group; the logarithm falls with its cover
+    cover = np.zeros(size)
     found: dict[tuple, float] = {}
-    for _ in range(STEPS):
-        open_ = np.flatnonzero(cover < 1)
-        if not len(open_):
-            break
-        if len(open_) > PRICED:
-            chance = weight[open_] * lengths[open_] * counts[open_]
-            open_ = rng.choice(open_, PRICED, replace=False, p=chance / chance.sum())
-        open_ = open_[np.argsort(-lengths[open_], kind="stable")]
-        chosen = _price(lengths[open_], weight[open_] * lengths[open_] / capacity, counts[open_], capacity)
-        config = tuple(sorted((int(open_[i]), k) for i, k in chosen))
-        rows = np.array([i for i, _ in config])
-        copies = np.array([k for _, k in config])
-        # As far as the least demanded of its lengths still needs it.
-        amount = float(((1 - cover[rows]) * counts[rows] / copies).min())
-        found[config] = found.get(config, 0.0) + amount
-        cover[rows] += amount * copies / counts[rows]
-        cover[cover > 1 - 1e-9] = 1
-        weight[rows] *= np.exp(-RATE * amount * copies / counts[rows])
-    return [(list(config), amount) for config, amount in found.items()]
-
-
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, seed: int = 2) -> list[tuple[list[tuple[int, int]], int]]:
-    """[(configuration as [(length, copies)], sequences)] that hold exactly the pieces of the histogram."""
+    bound, best = 0.0, (np.inf, [])
+    for phase in range(1, PHASES + 1):
+        waiting = np.argsort(cover, kind="stable")
+        for chosen in np.array_split(waiting, max(1, min(PRICINGS, size // 4))):
+            price = weight * np.exp(-RATE * (cover - cover.mean())) / counts
+            sack = Knapsack(lengths, price, capacity)
+            bound = max(bound, float(price.dot(counts)) / float(sack.best[capacity]))
+            for i in chosen.tolist():
+                need = phase - cover[i]
+                if need <= 0:
+                    continue
+                config = sack.configuration(capacity - int(lengths[i]))
+                config[i] = config.get(i, 0) + 1
+                # More copies than there are pieces cover nothing more.
+                config = {j: min(k, int(counts[j])) for j, k in config.items()}
+                amount = need * counts[i] / config[i]
+                for j, k in config.items():
+                    cover[j] += amount * k / counts[j]
+                key = tuple(sorted(config.items()))
+                found[key] = found.get(key, 0.0) + amount
+        if phase % 4 == 0:
+            least = float(cover.min())
+            value = sum(found.values()) / least
+            if value < best[0]:
+                best = (value, [(dict(key), amount / least) for key, amount in found.items()])
+            if value <= bound * (1 + GAP):
+                break
+    return best[1], bound
+
+
+def plan_with_bound(
+    histogram: dict[int, int], capacity: int = CAPACITY
+) -> tuple[list[tuple[list[tuple[int, int]], int]], float]:
+    """[(configuration as [(length, copies)], sequences)] that hold exactly the pieces of the histogram, and the program's lower bound.
+
+    The bound holds for any packing; with groups it is that of the shortest piece of each.
+    """
     sizes = sorted((l for l, n in histogram.items() if n > 0), reverse=True)
+    if not sizes:
+        return [], 0.0
     lengths = np.array(sizes, np.int64)
     counts = np.array([histogram[l] for l in sizes], np.int64)
+    total = float(lengths.dot(counts)) / capacity
+    large = lengths * SMALL >= capacity
+    small = {int(l): int(n) for l, n in zip(lengths[~large], counts[~large])}
+    lengths, counts = lengths[large], counts[large]
+    if not len(lengths):
+        return _best_fit(small, capacity), total
+    group = grouped(lengths, counts)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    longest, pieces = lengths[first], np.add.reduceat(counts, first)
+    solved, bound = fractional(longest, pieces, capacity)
+    if len(first) < len(lengths):
+        shortest = lengths[np.append(first[1:], len(lengths)) - 1]
+        bound = fractional_bound(shortest, pieces, capacity)
+    queues = [[[int(l), int(n)] for l, n in zip(lengths[group == g], counts[group == g])] for g in range(len(first))]
+    left = pieces.copy()
     plan: list[tuple[list[tuple[int, int]], int]] = []
-    left = counts.copy()
-    if len(lengths):
-        for config, amount in sorted(_fractional(lengths, counts, capacity, seed), key=lambda c: -c[1]):
-            whole = min(int(amount + 1e-9), *(int(left[i]) // k for i, k in config))
-            # A configuration that wastes room gives its pieces back to the best fit below.
-            if whole and sum(int(lengths[i]) * k for i, k in config) == capacity:
-                for i, k in config:
-                    left[i] -= whole * k
-                plan.append(([(int(lengths[i]), k) for i, k in config], whole))
-    return plan + _best_fit({int(l): int(n) for l, n in zip(lengths, left) if n}, capacity)
-
-
-def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Longest piece first into the open sequence with the least room; equal sequences are kept as one with a count."""
+    for config, amount in sorted(solved, key=lambda c: -c[1]):
+        many = min([int(np.ceil(amount - 1e-6)), *(int(left[g]) // k for g, k in config.items())])
+        if amount < 0.5 or many < 1:
+            continue
+        for g, k in config.items():
+            left[g] -= many * k
+        while many:
+            # As many equal sequences as the pieces at the heads of the queues give.
+            taken = [(g, *_head(queues[g], k)) for g, k in config.items()]
+            run = min([many, *(n for _, _, n in taken)])
+            plan.append((_merged([p for _, chosen, _ in taken for p in chosen]), run))
+            for g, chosen, _ in taken:
+                _take(queues[g], chosen, run)
+            many -= run
+    rest = dict(small)
+    for queue in queues:
+        for length, n in queue:
+            if n:
+                rest[length] = rest.get(length, 0) + n
+    return _best_fit(rest, capacity, plan), max(bound, total)
+
+
+def fractional_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """A lower bound from prices in proportion to the lengths, by the fullest configuration."""
+    sack = Knapsack(lengths, lengths.astype(float), capacity)
+    return float(lengths.dot(counts)) / float(sack.best[capacity])
+
+
+def _merged(config: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    held: dict[int, int] = {}
+    for length, k in config:
+        held[length] = held.get(length, 0) + k
+    return sorted(held.items(), reverse=True)
+
+
+def _head(queue: list[list[int]], k: int) -> tuple[list[tuple[int, int]], int]:
+    """The next ``k`` pieces of a group as [(length, copies)], and how many sequences can take the same."""
+    while queue and not queue[0][1]:
+        queue.pop(0)
+    if queue[0][1] >= k:
+        return [(queue[0][0], k)], queue[0][1] // k
+    chosen, need = [], k
+    for length, n in queue:
+        if n:
+            chosen.append((length, min(n, need)))
+            need -= chosen[-1][1]
+            if not need:
+                break
+    return chosen, 1
+
+
+def _take(queue: list[list[int]], chosen: list[tuple[int, int]], run: int) -> None:
+    for length, k in chosen:
+        next(q for q in queue if q[0] == length)[1] -= k * run
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
+    return plan_with_bound(histogram, capacity)[0]
+
+
+def _best_fit(
+    histogram: dict[int, int], capacity: int, begun: list[tuple[list[tuple[int, int]], int]] | None = None
+) -> list[tuple[list[tuple[int, int]], int]]:
+    """Longest piece first into the open sequence with the least room; equal sequences are kept as one with a count.
+
+    ``begun`` are sequences that hold pieces already.
+    """
     open_: dict[int, list[list]] = {}  # room -> [[configuration, sequences]]
     rooms: list[int] = []
 
@@ -149,6 +272,8 @@ def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple
             bisect.insort(rooms, room)
         open_[room].append([config, many])
 
+    for config, many in begun or []:
+        put(capacity - sum(l * k for l, k in config), config, many)
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:

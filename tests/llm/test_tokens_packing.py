@@ -39,18 +39,67 @@ def test_plan_holds_exactly_the_pieces(histogram):
         for l, k in config:
             held[l] = held.get(l, 0) + k * many
     assert held == histogram
-    total = sum(l * n for l, n in histogram.items())
-    bound = max(-(-total // 64), sum(n for l, n in histogram.items() if l > 32))
+    # No sequence holds more pieces of a length and longer than fit, and none more tokens than it has room.
+    longer = [sum(n for l, n in histogram.items() if l >= size) / (64 // size) for size in histogram]
+    bound = max([0, *longer, sum(l * n for l, n in histogram.items()) / 64])
     assert sum(m for _, m in plan) <= 1.25 * bound + 1
 
 
-def test_pricing_is_the_best_configuration():
-    lengths, prices, limits = np.array([7, 5, 3]), np.array([7.5, 5.2, 3.0]), np.array([1, 2, 4])
-    chosen = dict(packing._price(lengths, prices, limits, 20))
-    best = max(
-        7.5 * a + 5.2 * b + 3.0 * c for a in range(2) for b in range(3) for c in range(5) if 7 * a + 5 * b + 3 * c <= 20
-    )
-    assert sum(prices[i] * k for i, k in chosen.items()) == pytest.approx(best)
+def best_number(pieces, capacity):
+    """The fewest sequences by trying every way."""
+    pieces = sorted(pieces, reverse=True)
+    best = [len(pieces)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for j in {r: j for j, r in enumerate(rooms) if r >= pieces[i]}.values():
+            place(i + 1, [*rooms[:j], rooms[j] - pieces[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_small_plans_are_near_the_best(pieces):
+    histogram = {l: pieces.count(l) for l in pieces}
+    plan, bound = packing.plan_with_bound(histogram, 20)
+    best = best_number(pieces, 20)
+    assert bound <= best + 1e-6 and best <= sum(m for _, m in plan) <= best + 1
+
+
+@pytest.mark.parametrize(("histogram", "most"), [
+    ({1400: 1000, 1300: 1000, 1390: 1000}, 1001),
+    ({2049: 600, 1030: 600, 1010: 600, 1000: 600}, 750),
+    (dict(zip(*(v.tolist() for v in np.unique(np.random.default_rng(1).integers(1000, 1700, 20_000), return_counts=True)))), 6850),
+])
+def test_the_program_decides_the_number_of_sequences(histogram, most):
+    plan, bound = packing.plan_with_bound(histogram)
+    held = {}
+    for config, many in plan:
+        assert sum(l * k for l, k in config) <= 4096
+        for l, k in config:
+            held[l] = held.get(l, 0) + k * many
+    assert held == histogram
+    assert bound - 1e-6 <= sum(m for _, m in plan) <= most
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.floats(0.1, 5), min_size=1, max_size=5))
+def test_pricing_is_the_best_configuration(prices):
+    lengths = np.array(list(prices))
+    sack = packing.Knapsack(lengths, np.array(list(prices.values())), 30)
+    chosen = sack.configuration(30)
+    best = [0.0] * 31
+    for room in range(31):
+        best[room] = max([0.0, *(best[room - l] + p for l, p in prices.items() if l <= room)])
+    assert sum(lengths[i] * k for i, k in chosen.items()) <= 30
+    assert sum(sack.prices[i] * k for i, k in chosen.items()) == pytest.approx(best[30])
 
 
 TEXTS = [(3, "Some words, here."), (1, None), (2, ""), (9, "long " * 9000), (5, "Some words, here."), (5, "Some words, here."), (None, "nameless")]

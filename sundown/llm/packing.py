@@ -6,13 +6,14 @@ sequences whose configurations cover the whole histogram.
 
 1. Where there are more than ``GROUPS`` lengths, neighbours form groups of about equal numbers of
    pieces; a group's pieces count as its longest.
-2. Multiplicative weights: prices of the groups and shares of the known configurations play
-   against each other for ``STEPS`` small steps, and their averages are taken. A price falls while
-   its group is covered well, a configuration's share grows while its pieces are dear.
-3. A knapsack dynamic program over all groups prices configurations: the dearest one of all, and the
-   dearest one that holds each group, are new configurations. The rounds end when no configuration
-   is worth more than the present ones by ``GAP``, or after ``ROUNDS``. The prices bound the number of
-   sequences from below, whatever the packing.
+2. Multiplicative weights: in each of ``PHASES`` every group is covered once more, the one covered
+   least first, by the dearest configuration that holds it. What a configuration covers beyond that
+   lowers its groups' prices by a small power; the sum of all phases is scaled to cover every group
+   once.
+3. A knapsack dynamic program over all groups prices the configurations, ``PRICINGS`` times a phase
+   with the prices of the moment. Any prices bound the number of sequences from below; the phases
+   end when the amounts are within ``GAP`` of the best bound. Pieces shorter than a ``SMALL``-th of a
+   sequence need no program, they fill the room that the others leave.
 4. Amounts are rounded to whole sequences, largest first, as long as there are pieces; groups are
    read back as their pieces. What is left is packed best fit, longest piece first, into the room
    that configurations leave and into new sequences.
@@ -158,6 +159,12 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[
                     cover[j] += amount * k / counts[j]
                 key = tuple(sorted(config.items()))
                 found[key] = found.get(key, 0.0) + amount
+        # For the bound, a group that only cheap configurations hold may be as dear as it makes them.
+        price = weight * np.exp(-RATE * (cover - cover.mean())) / counts
+        sack = Knapsack(lengths, price, capacity)
+        dearest = price + sack.best[capacity - lengths]
+        raised = price + float(sack.best[capacity]) - dearest
+        bound = max(bound, float(raised.dot(counts)) / float(Knapsack(lengths, raised, capacity).best[capacity]))
         if phase % 4 == 0:
             least = float(cover.min())
             value = sum(found.values()) / least

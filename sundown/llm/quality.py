@@ -3,25 +3,27 @@
 Every passage of 64 words is encoded as a vector of shares: classes of bytes, lengths of words,
 repetition. A gated attention layer, learned from labels of whole documents alone, weighs the
 passages; the document's score is that of the weighted representation. Encoding and scoring
-run where the rows are; fitting takes a bounded sample of labelled rows.
+run where the rows are; fitting takes a bounded sample of labelled rows with their whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sundown.llm.common import fresh, map_batches, raw_text
+from sundown.session import cut_lineage
 
 PASSAGE_WORDS = 64
-SAMPLE_ROWS = 6_000  # labelled rows used for fitting
-SAMPLE_PASSAGES = 128  # passages of one labelled row used for fitting, evenly spread; scoring takes all
+SAMPLE_ROWS = 6_000  # labelled rows used for fitting, each with its whole text
+SAMPLE_PASSAGES = 300_000  # of the rows together: beyond it fewer rows are used
 HIDDEN = 24
 EPOCHS = 60
 
@@ -89,23 +91,35 @@ class AttentionModel:
     weights: dict[str, np.ndarray]
 
     def score(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Scores of the bags that begin at ``starts`` in the passages ``x``."""
-        return _forward(self.weights, ((x - self.mean) / self.scale).astype(np.float32), starts)["p"]
+        """Scores of the bags that begin at ``starts`` in the passages ``x``; a bag's is the same in whatever company."""
+        weights = {k: v.astype(np.float64) for k, v in self.weights.items()}
+        scaled = (x.astype(np.float64) - self.mean) / self.scale
+        return _forward(weights, scaled, starts, _row_by_row)["p"]
+
+
+def _row_by_row(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, summed for every row in the same order, which a library's product doesn't promise."""
+    out = x[:, :1] * w[0]
+    for k in range(1, len(w)):
+        out += x[:, k : k + 1] * w[k]
+    return out if w.ndim > 1 else out[:, 0]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+def _forward(
+    w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, product: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.matmul
+) -> dict[str, np.ndarray]:
     bag = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
-    h = np.tanh(x @ w["W"] + w["b"])
-    t, g = np.tanh(h @ w["A"]), _sigmoid(h @ w["G"])
-    e = (t * g) @ w["v"]
+    h = np.tanh(product(x, w["W"]) + w["b"])
+    t, g = np.tanh(product(h, w["A"])), _sigmoid(product(h, w["G"]))
+    e = product(t * g, w["v"])
     e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
     a = e / np.add.reduceat(e, starts)[bag]
     z = np.add.reduceat(a[:, None] * h, starts, axis=0)
-    return {"bag": bag, "h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ w["c"] + w["d"])}
+    return {"bag": bag, "h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(product(z, w["c"]) + w["d"])}
 
 
 def _gradient(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -179,13 +193,26 @@ def labelled_sample(labels: DataFrame, doc_id: str, label: str, training: Column
     )
 
 
+def within(found: DataFrame, column: str, rows: int, most: int, held: Column | None = None) -> DataFrame:
+    """The first rows in a hashed order, at most ``rows`` and at most ``most`` bytes together (by default of ``column``).
+
+    Whole rows only; a row that alone takes a sixteenth of the bytes is not sampled.
+    """
+    order = [F.xxhash64("doc_id", F.lit(13)), F.col("doc_id"), F.col(column)]
+    landed = cut_lineage(found)
+    # One task orders the sample's sizes, ``rows`` at most, not its contents.
+    sizes = landed.select("doc_id", (F.octet_length(column) if held is None else held).cast("bigint").alias("bytes"), F.sha2(column, 256).alias("content"))
+    first = sizes.filter(F.col("bytes") * 16 <= most).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "content").limit(rows)
+    before = W.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "content").rowsBetween(W.unboundedPreceding, 0)
+    taken = first.withColumn("sum", F.sum("bytes").over(before)).filter(F.col("sum") <= most)
+    kept = landed.withColumn("content", F.sha2(column, 256)).join(taken, ["doc_id", "content"], "left_semi")
+    return kept.drop("content").orderBy(*order).limit(rows)
+
+
 def _encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
     out = []
     for text in batch.column("text").to_pylist():
-        x = encode(text)
-        if len(x) > SAMPLE_PASSAGES:
-            x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-        out.append(x.tobytes())
+        out.append(encode(text).tobytes())
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "passages"]
     )
@@ -195,12 +222,12 @@ def train(
     docs: DataFrame, labels: DataFrame, training: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     rows: int = SAMPLE_ROWS,
 ) -> AttentionModel:
-    """Fit on at most ``rows`` labelled documents for which ``training`` (over doc_id) holds."""
+    """Fit on whole labelled documents for which ``training`` (over doc_id) holds: at most ``rows``, and ``SAMPLE_PASSAGES`` in all."""
     sample = labelled_sample(labels, doc_id, label, training, rows)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw_text(text).alias("text"))
     # The sample is bounded by its parameter.
     found = map_batches(source.join(F.broadcast(sample), "doc_id"), _encoded, "doc_id bigint, label int, passages binary")
-    taken = found.orderBy("doc_id", "passages").limit(rows).toPandas()
+    taken = within(found, "passages", rows, SAMPLE_PASSAGES * WIDTH * 4).toPandas()
     bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in taken["passages"]]
     return fit(bags, taken["label"].to_numpy(np.float32))
 

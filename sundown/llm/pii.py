@@ -39,18 +39,25 @@ NAMES = {
     ("f", "greek"): ("Άννα", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"),
 }
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+# Every quantifier that a longer entity could outgrow is unbounded, and possessive, and a run of an
+# address's characters is entered at its beginning only, so that long runs cost their length once.
+_WORD = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}'’\-]++)"
+_SECRET = r"(?i:password|passwd|secret|token|api[_\-]?key)"
+_KEY = r"(?:AKIA|ghp_|sk_live_|xox[bp]-)"
 _PATTERN = regex.compile(
-    r"(?P<email>[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8})"
+    r"(?P<email>(?<![\p{L}\p{N}\p{M}._%+\-])[\p{L}\p{N}\p{M}._%+\-]++@[\p{L}\p{N}\p{M}\-]++(?:\.[\p{L}\p{N}\p{M}\-]++)++)"
     r"|(?P<iban>(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d]))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{3}\))(?:[ .\-]?\d{2,4}){2,4}(?!\d))"
-    r"|(?P<secret>(?i:password|passwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-/+]{8,128}))"
-    r"|(?P<key>(?<![\p{L}\p{N}])(?:AKIA|ghp_|sk_live_|xox[bp]-)[A-Za-z0-9_\-]{10,64})"
-    rf"|(?P<name>(?<![\p{{L}}\p{{N}}])(?P<title>{_TITLE})\.?[ ](?P<person>\p{{Lu}}[\p{{L}}\p{{M}}'\-]{{1,40}}))"
+    rf"|(?P<secret>{_SECRET}\s*+[=:]\s*+[\"']?(?P<value>[A-Za-z0-9_\-/+.=~]{{8,}}+))"
+    rf"|(?P<key>(?<![\p{{L}}\p{{N}}]){_KEY}[A-Za-z0-9_\-]{{10,}}+)"
+    rf"|(?P<name>(?<![\p{{L}}\p{{N}}])(?P<title>{_TITLE})\.?[ ](?P<person>{_WORD}(?:[ ]{_WORD})*+))"
 )
-_MARKS = regex.compile(r"[@:=(+#]|\d{3}|\d\.\d|AKIA|ghp_|sk_live_|xox[bp]-|" + rf"(?:{_TITLE})\.?[ ]\p{{Lu}}")
+#: Whatever the pattern matches holds one of these.
+_MARKS = regex.compile(rf"@|\d[ .\-]?\d|\+\d|\(\d|{_SECRET}|{_KEY}|(?:{_TITLE})\.?[ ]\p{{Lu}}")
+_PART = regex.compile(r"[^ ]+")
 
 
 def luhn(digits: str) -> int:
@@ -66,11 +73,14 @@ def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
     """[(start, end, type, detail, original)]; the detail is a name's gender or a card's validity."""
     found = []
     for m in _PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup not in ("value", "title", "person") else ("secret" if m["secret"] else "name")
         if m["name"]:
-            found.append((m.start("person"), m.end("person"), "name", TITLES[m["title"]] or "", m["person"]))
+            # Every word of a name for itself, so that a family name reads the same without the first one.
+            for word in _PART.finditer(m["person"]):
+                at = m.start("person") + word.start()
+                found.append((at, at + len(word[0]), "name", TITLES[m["title"]] or "", word[0]))
         elif m["secret"]:
-            found.append((m.start("value"), m.end("value"), "secret", "", m["value"]))
+            if any(c.isalnum() for c in m["value"]):  # a line of dashes is no secret
+                found.append((m.start("value"), m.end("value"), "secret", "", m["value"]))
         else:
             kind = next(k for k in ("email", "iban", "ip", "card", "ssn", "phone", "key") if m[k])
             detail = ""
@@ -88,22 +98,48 @@ def _script(word: str) -> str:
     return "latin"
 
 
+#: First and number of the letters of scripts without case, by the beginning of their letters' names.
+ALPHABETS = {
+    "CJK": (0x4E00, 20_902), "HANGUL": (0xAC00, 11_172), "HIRAGANA": (0x3042, 82), "KATAKANA": (0x30A2, 82), "ARABIC": (0x0628, 19),
+    "HEBREW": (0x05D0, 27), "DEVANAGARI": (0x0915, 37), "BENGALI": (0x0995, 20), "THAI": (0x0E01, 46), "GEORGIAN": (0x10D0, 33),
+    "ARMENIAN": (0x0561, 38),
+}
+
+
 def _letter(c: str, r: int) -> str:
-    """Another letter of the character's script and case; digits for digits; anything else stays."""
+    """A letter of the character's script and case, Latin for scripts without an alphabet here; digits for digits; anything else stays."""
     if c.isdigit():
         return str(r % 10)
     if not c.isalpha():
         return c
     script = _script(c)
-    first, count = {"latin": ("a", 26), "cyrillic": ("а", 32), "greek": ("α", 17)}[script]
-    if script == "latin" and unicodedata.name(c, "LATIN").split()[0] != "LATIN":
-        return c  # other scripts have no alphabet here
-    other = chr(ord(first) + r % count)
+    first, count = {"latin": (ord("a"), 26), "cyrillic": (ord("а"), 32), "greek": (ord("α"), 17)}[script]
+    if script == "latin":
+        first, count = ALPHABETS.get(regex.split("[ -]", unicodedata.name(c, "LATIN"))[0], (first, count))
+    other = chr(first + r % count)
     return other.upper() if c.isupper() else other
 
 
+PLAIN_ATTEMPTS = 6  # draws in the entity's own form; later ones are longer by as many characters more
+
+
 def surrogate(kind: str, detail: str, original: str, key: bytes, attempt: int) -> str:
-    """The replacement of an entity; another one for every attempt."""
+    """The replacement of an entity; another one for every attempt.
+
+    After ``PLAIN_ATTEMPTS`` the form is given up in favour of a free one: an address leaves its
+    network, and keyed letters are appended (an address gets them before its @), more with every
+    attempt, so that a form with few members can't be exhausted.
+    """
+    made = _in_form(kind, detail, original, key, attempt)
+    more = attempt - PLAIN_ATTEMPTS
+    if more <= 0 or kind == "name":
+        return made
+    drawn = hmac.new(key, f"more\0{kind}\0{detail}\0{original}\0{attempt}".encode(), hashlib.sha512).digest()
+    extra = "".join(_letter("a", drawn[i % len(drawn)] + i) for i in range(more))
+    return made.replace("@", f"{extra}@", 1) if kind == "email" else f"{made}-{extra}"
+
+
+def _in_form(kind: str, detail: str, original: str, key: bytes, attempt: int) -> str:
     seed = hmac.new(key, f"{kind}\0{detail}\0{original}\0{attempt}".encode(), hashlib.sha256).digest()
     stream = hashlib.shake_256(seed).digest(2 * len(original) + 64)
     draws = [int.from_bytes(stream[i : i + 2]) for i in range(0, len(stream), 2)]
@@ -112,13 +148,14 @@ def surrogate(kind: str, detail: str, original: str, key: bytes, attempt: int) -
         gender = detail or "mf"[draws[0] % 2]
         names = NAMES[gender, script]
         # Names repeat soon; a keyed last part in the same script keeps them apart.
-        tail = "".join(_letter({"latin": "a", "cyrillic": "а", "greek": "α"}[script], d) for d in draws[2 : 5 + min(3, attempt)])
+        tail = "".join(_letter({"latin": "a", "cyrillic": "а", "greek": "α"}[script], d) for d in draws[2 : 5 + min(len(draws) - 5, attempt)])
         name = names[draws[1] % len(names)] + "-" + tail.capitalize()
         return name.upper() if original.isupper() and len(original) > 1 else name
     if kind == "ip":
         # A private address stays in its network.
         parts = original.split(".")
         keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
+        keep = keep if attempt < PLAIN_ATTEMPTS else 0
         fresh = [str(1 + d % 223) if i == 0 else str(d % 256) for i, d in enumerate(draws[:4])]
         return ".".join([*parts[:keep], *fresh[keep:]])
     if kind == "email":
@@ -205,33 +242,23 @@ _SPAN = pa.struct(
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, entities) of the rows with at least one entity; places count characters."""
+    """(doc_id, text, entities) of every row, null for a row without entities; places count characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [find_entities(t) if _MARKS.search(t) else [] for t in texts]
-            kept = [i for i, f in enumerate(found) if f]
-            if kept:
-                rows = [[dict(zip(("start", "end", "type", "detail", "original"), e)) for e in found[i]] for i in kept]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(kept)), batch.column("text").take(pa.array(kept)), pa.array(rows, pa.list_(_SPAN))],
-                    ["doc_id", "text", "entities"],
-                )
-
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"doc_id bigint, text string, entities {_FOUND}")
+            rows = []
+            for value in batch.column("text").to_pylist():
+                found = find_entities(value) if value and _MARKS.search(value) else []
+                rows.append([dict(zip(("start", "end", "type", "detail", "original"), e)) for e in found] or None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(_SPAN))], ["doc_id", "text", "entities"])
 
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id bigint, text string, entities {_FOUND}")
 
-def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, entities (type, start, end, surrogate; places in the original) of every row with entities.
 
-    Rows without entities (null and empty texts among them) give no row: their text stays as it
-    is. Null and repeated doc_ids stay rows of their own, an empty table gives no rows, other
-    columns are ignored. Texts are searched whole.
-    """
-    found = cut_lineage(detect(docs, doc_id, text).withColumn("row", F.xxhash64("doc_id", "text")))
-    spans = found.select("row", "doc_id", F.explode("entities").alias("e")).select("row", "e.*").distinct()
+def _replaced(found: DataFrame, key: bytes) -> DataFrame:
+    """doc_id, text, entities of the rows (row, doc_id, text, entities) with their surrogates in place."""
+    spans = found.select("row", F.explode("entities").alias("e")).select("row", "e.*")
     mapping = assign_surrogates(spans, key)
     replaced = (
         spans.join(mapping, ["type", "detail", "original"])
@@ -255,19 +282,23 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
     )
 
 
-def pseudonymised_documents(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, n_entities of every row: those without entities with their own text."""
-    changed = pseudonymise(docs, key, doc_id, text).select("doc_id", "text", F.size("entities").alias("n_entities"))
+def _searched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Every row once searched, under a number of its own, which is given as the table is written."""
+    return cut_lineage(detect(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "zstd")
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            kept = [i for i, t in enumerate(texts) if t is None or not _MARKS.search(t) or not find_entities(t)]
-            if kept:
-                part = batch.take(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([0] * len(kept), pa.int32())], ["doc_id", "text", "n_entities"])
-
-    untouched = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        clean, "doc_id bigint, text string, n_entities int"
-    )
-    return untouched.union(changed)
+
+def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text, entities (type, start, end, surrogate; places in the original) of every row with entities.
+
+    Rows without entities (null and empty texts among them) give no row: their text stays as it
+    is. Null and repeated doc_ids stay rows of their own, an empty table gives no rows, other
+    columns are ignored. Texts are searched whole.
+    """
+    return _replaced(_searched(docs, doc_id, text).filter("entities IS NOT NULL"), key)
+
+
+def pseudonymised_documents(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text, n_entities of every row: those without entities with their own text, null and empty ones among them."""
+    searched = _searched(docs, doc_id, text)
+    changed = _replaced(searched.filter("entities IS NOT NULL"), key).select("doc_id", "text", F.size("entities").alias("n_entities"))
+    return searched.filter("entities IS NULL").select("doc_id", "text", F.lit(0).alias("n_entities")).union(changed)

@@ -1,6 +1,11 @@
+import random
+import time
+
 import numpy as np
+import pytest
 
 from sundown.llm import pii, top_k
+from sundown.llm.search_plans import QUERIES
 
 
 def plain_top(vectors, queries, k):
@@ -99,3 +104,71 @@ def test_collisions_are_drawn_again(spark, make):
     entities = make("type string, detail string, original string", *[("ssn", "", f"{i:02d}") for i in range(40)])
     made = {r["original"]: r["surrogate"] for r in pii.assign_surrogates(entities, KEY).collect()}
     assert len(made) == 40 and len(set(made.values())) == 40 and not set(made) & set(made.values())
+
+
+def replaced(text, key=KEY):
+    """The text with the first draw of every entity's surrogate."""
+    out, at = [], 0
+    for start, end, kind, detail, original in pii.find_entities(text):
+        assert text[start:end] == original and start >= at
+        out += [text[at:start], pii.surrogate(kind, detail, original, key, 0)]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("length", [12, 70, 240, 5_000, 100_000])
+@pytest.mark.parametrize("form", [
+    "password = {}", "api_key: '{}'", "Token={}.{}.{}", "see sk_live_{} here", "write to {}@mail.example.com", "at a.b@{}.example.org now", "mail x@one.{}.org",
+])
+def test_nothing_of_a_long_entity_is_left(form, length):
+    drawn = "".join(random.Random(length).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=length))
+    text = "Before, " + form.replace("{}", drawn) + ", after"
+    assert pii._MARKS.search(text)
+    after = replaced(text)
+    kept = {drawn[i : i + 8] for i in range(length - 7)}
+    domain = "one." in form  # further labels of a domain stay
+    assert domain or not any(after[i : i + 8] in kept for i in range(len(after) - 7))
+    assert after.startswith("Before, ") and after.endswith(", after") and after != text
+
+
+def test_long_runs_without_entities_cost_their_length():
+    for text in ("a" * 300_000, "a.b-" * 80_000, "1 " * 100_000, "Dr " * 60_000, "token " * 40_000, "@" * 100_000, "A1" * 100_000):
+        started = time.perf_counter()
+        pii.find_entities(text)
+        assert time.perf_counter() - started < 10
+
+
+def test_all_words_of_a_name_and_cards_in_any_grouping():
+    text = "Dr. Jane Doe-Smith and Frau J. Müller paid by 41 11 11 11 11 11 11 11 or 4111-1111-1111-1111."
+    assert [(k, o) for _, _, k, _, o in pii.find_entities(text)] == [
+        ("name", "Jane"), ("name", "Doe-Smith"), ("name", "J."), ("name", "Müller"), ("card", "41 11 11 11 11 11 11 11"), ("card", "4111-1111-1111-1111")]
+    assert pii._MARKS.search("41 11 11 11 11 11 11 11")
+    assert pii.find_entities("password: ________") == []
+
+
+def test_forms_without_a_free_member_end(spark, make):
+    entities = make(
+        "type string, detail string, original string", ("email", "", "测试@例子.公司"), ("secret", "", "1"), *[("secret", "", str(i)) for i in range(10)],
+        *[("ip", "", f"127.0.0.{i}") for i in range(3)], ("key", "", "AKIA__________"), ("secret", "", "ไทย"), ("secret", "", "----a"))
+    made = {(r["type"], r["original"]): r["surrogate"] for r in pii.assign_surrogates(entities, KEY).collect()}
+    originals = {o for _, o in made}
+    assert len(made) == 17 and len(set(made.values())) == 17 and not set(made.values()) & originals
+    assert made["email", "测试@例子.公司"].endswith(".公司") and "@" in made["email", "测试@例子.公司"]
+
+
+def test_query_replaces_every_entity_of_every_row(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = {(r["doc_id"], r["n_entities"]): r["text"] for r in QUERIES["op10_pii"](spark, folder).collect()}
+    source = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(source)
+    for r in source:
+        found = pii.find_entities(r["text"] or "")
+        text = rows[r["doc_id"], len(found)]
+        # Plain version: what is left between the entities is untouched and in order.
+        at, place = 0, 0
+        for start, end, _, _, original in found:
+            piece = r["text"][at:start]
+            place = text.index(piece, place) + len(piece)
+            at = end
+            assert not text.startswith(original, place)
+        assert text is None if r["text"] is None else text.endswith(r["text"][at:])

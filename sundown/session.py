@@ -65,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and continue from that table.
 
     A lost executor then costs a reread, not a recomputation; later plans read only the
@@ -74,5 +74,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

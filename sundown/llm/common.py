@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sundown.session import cut_lineage
+from sundown.session import cut_lineage, ensure_checkpoint_dir
 
 ROWS_A_TASK = 50_000
 # ASCII white space as the contracts write it.
@@ -41,6 +42,20 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def cut_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """:func:`cut_lineage` into buckets by ``key``: joins and groupings on it read the table without a shuffle."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    # One file a bucket: a task of the shuffle holds one.
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return table
+
+
 def cut_small(df: DataFrame, rows: int) -> DataFrame:
     """:func:`cut_lineage` of a result of about ``rows`` rows, in as many files as that needs."""
     tasks = 1 + rows // ROWS_A_TASK

@@ -2,7 +2,7 @@
 
 A window is ``words`` consecutive words of one text. It goes if its words also start anywhere else.
 
-1. Every row's words are written once, compressed, under a number of their own.
+1. Every row's words are written once, compressed, under a number of their own, in buckets.
 2. Sharding. Of the hashes of the ``GRAM``-word grams in a window the smallest is its anchor, so
    equal windows have equal anchors. Consecutive windows of one anchor form a segment. Anchors
    that stand at one place only can't belong to a repeated window; the words of all other segments are fetched,
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sundown.llm.common import SPACE, map_batches, raw_text
+from sundown.llm.common import SPACE, cut_bucketed, map_batches, raw_text
 from sundown.session import cut_lineage
 
 WORDS = 35
@@ -399,8 +399,8 @@ def _cleaned(docs: DataFrame, doc_id: str, text: str, size: int, **limits: int)
     """(id, doc_id, key, n_words) of the rows, and (id, n_removed, kept_sha256, kept_text) of those that lose words."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw_text(text).alias("text"))
     keyed = map_batches(source, _keyed, "doc_id bigint, key binary, n_words bigint, held binary")
-    # The number is given once, as the table is written.
-    rows = cut_lineage(keyed.withColumn("id", F.monotonically_increasing_id()))
+    # Texts are dealt by their number once; both joins below find them in place.
+    rows = cut_bucketed(keyed.withColumn("id", F.monotonically_increasing_id()), "id")
     texts = rows.filter(F.col("n_words") >= size).select("id", "held")
     laid = repeated_segments(texts, size, **limits).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
     cleaned = map_batches(texts.join(laid, "id"), _kept(size), "id bigint, n_removed bigint, kept_sha256 string, kept_text binary")

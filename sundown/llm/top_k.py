@@ -5,9 +5,11 @@ candidate x the triangle inequality gives |q - x| >= max over pivots |d(q, p) -
 inner product is at most (|q|^2 + |x|^2 - that^2) / 2. Within a block of candidates a query
 evaluates them in the order of that bound and stops when the next bound is below its k-th score.
 Blocks of candidates are cut by nearest pivot and distance. A query first searches the block it
-lies in itself, which gives it a k-th score to beat; then it meets every block with that score as
-the floor, so most candidates fall by their bound alone. A task holds one block of queries and
-one of candidates, both of bounded size; what is left of every block is merged.
+lies in itself, which gives it a k-th score to beat, its floor. The least and largest distances to
+each pivot within a block bound a whole pair of blocks, queries of the one and candidates of the
+other, in the same way: only pairs whose bound reaches the least floor are sent anywhere, and in
+them most candidates fall by their own bound. A task holds one pair, both of bounded size; what is
+left of every block is merged.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from sundown.session import cut_lineage
 SCALE = 64
 PIVOTS = 24
 BLOCK_ROWS = 4_096
-QUERY_ROWS = 1_024
 SAMPLE_ROWS = 2_000  # from which the pivots are chosen
-STEP = 64  # candidates evaluated between two looks at the bound
+STEP = 256  # candidates evaluated before the first look at the bound; twice as many before each later one
+EXACT = float(1 << 53)  # sums of products below this are exact as doubles
 
 
 def integer_vector(column: str) -> Column:
@@ -65,22 +67,32 @@ def search_block(
     out: list[tuple[int, int, int]] = []
     evaluated = 0
     norms = (vectors**2).sum(1)
-    for q, query_id, own, floor in zip(queries, query_ids, query_pivots, floors):
-        gap = np.abs(vector_pivots - own).max(1) if len(own) else np.zeros(len(vectors))
+    # Cauchy and Schwarz: no sum of products is larger than the root of the norms' product.
+    largest = float(max(norms.max(initial=0), (queries**2).sum(1).max(initial=0)))
+    table = np.ascontiguousarray(vector_pivots.T)
+    points = vectors.astype(np.float64) if largest < EXACT else vectors
+    for q, query_id, own, floor in zip(queries.astype(points.dtype), query_ids, query_pivots, floors):
+        gap = np.zeros(len(vectors))
+        for row, distance in zip(table, own):
+            np.maximum(gap, np.abs(row - distance), out=gap)
         # A little more than the bound, for the rounding of the roots.
         bound = np.floor((int((q**2).sum()) + norms - gap * gap * (1 - 1e-12)) / 2 + 1e-6)
         open_ = np.flatnonzero(bound >= floor) if floor == floor else np.arange(len(bound))
         order = open_[np.argsort(-bound[open_], kind="stable")]
         best_scores, best_ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        for begin in range(0, len(order), STEP):
-            part = order[begin : begin + STEP]
+        begin, step = 0, STEP
+        while begin < len(order):
+            part = order[begin : begin + step]
             if len(best_scores) >= k and bound[part[0]] < best_scores[-1]:
                 break
             evaluated += len(part)
-            part = part[ids[part] != query_id]
-            scores = vectors[part] @ q
-            if floor == floor:
-                part, scores = part[scores >= floor], scores[scores >= floor]
+            begin, step = begin + step, 2 * step
+            scores = (points[part] @ q).astype(np.int64)
+            least = best_scores[-1] if len(best_scores) >= k else floor if floor == floor else None
+            kept = ids[part] != query_id
+            if least is not None:
+                kept &= scores >= least
+            part, scores = part[kept], scores[kept]
             scores, names = np.concatenate([best_scores, scores]), np.concatenate([best_ids, ids[part]])
             first = np.lexsort((names, -scores))[:k]
             best_scores, best_ids = scores[first], names[first]
@@ -88,6 +100,37 @@ def search_block(
     return out, evaluated
 
 
+def _summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The reach of a block's rows of one width: least and largest distance to each pivot, largest norm, least floor (null: none)."""
+    pivots = np.array(rows["pivots"].tolist(), np.float64)
+    norm = max(float((np.array(v, np.float64) ** 2).sum()) for v in rows["v"])
+    floor = rows["floor"].min(skipna=False) if "floor" in rows else np.nan
+    return pd.DataFrame({
+        "home": [key[0]], "width": [key[1]], "low": [pivots.min(0).tolist()], "high": [pivots.max(0).tolist()], "norm": [norm],
+        "least": [None if floor != floor else floor],
+    })
+
+
+_SUMMARY = "home int, width int, low array<double>, high array<double>, norm double, least double"
+
+
+def block_pairs(asked: DataFrame, candidates: DataFrame, blocks: int) -> DataFrame:
+    """(q_block, block, width) of the pairs whose bound reaches the least floor of the pair's queries.
+
+    Only the summaries of the blocks meet, a few numbers each.
+    """
+    mine = asked.groupBy(F.col("q_block").alias("home"), "width").applyInPandas(_summary, _SUMMARY)
+    theirs = candidates.groupBy(F.col("block").alias("home"), "width").applyInPandas(_summary, _SUMMARY).select(
+        F.col("home").alias("block"), "width", F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("norm").alias("_norm"))
+    met = mine.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(theirs, ["block", "width"])
+    apart = F.zip_with(
+        F.arrays_zip("low", "high"), F.arrays_zip("_low", "_high"),
+        lambda a, b: F.greatest(F.lit(0.0), a["low"] - b["_high"], b["_low"] - a["high"]))
+    gap = F.aggregate(apart, F.lit(0.0), lambda most, x: F.greatest(most, x))
+    bound = (F.col("norm") + F.col("_norm") - gap * gap * (1 - 1e-9)) / 2 * (1 + 1e-12) + 1
+    return met.filter(F.col("least").isNull() | (bound >= F.col("least"))).select(F.col("home").alias("q_block"), "block", "width")
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 20, *, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -127,7 +170,6 @@ def top_k(
     candidates = table.repartitionByRange(blocks, "width", "nearest", F.element_at(F.concat("pivots", F.array(F.lit(0.0))), 1), "id")
     candidates = cut_lineage(candidates.withColumn("block", F.spark_partition_id()))
     asked = cut_lineage(candidates.join(prepared(queries).select("id"), "id", "left_semi"))
-    groups = max(1, -(-asked.count() // QUERY_ROWS))
 
     def search(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[int, int, int]] = []
@@ -149,15 +191,16 @@ def top_k(
 
     # Alone in its own block: at most BLOCK_ROWS queries a block.
     none = F.lit(None).cast("double")
-    home = searched(asked.withColumns({"q_block": F.lit(0), "floor": none}), candidates.withColumn("q_block", F.lit(0)))
+    home = cut_lineage(searched(
+        asked.withColumns({"q_block": F.col("block"), "floor": none}), candidates.withColumn("q_block", F.col("block"))
+    ))
     floors = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select(
         F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).cast("double").alias("floor")
     )
-    # Every block of queries meets every block of candidates: a task each.
-    left = asked.join(floors, "id", "left").withColumns(
-        {"q_block": F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}
-    )
-    best = searched(left, candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    left = cut_lineage(asked.join(floors, "id", "left").withColumnRenamed("block", "q_block"))
+    pairs = cut_lineage(block_pairs(left, candidates, blocks).filter("q_block <> block"))
+    away = searched(left.join(pairs, ["q_block", "width"]), candidates.join(pairs, ["block", "width"]))
+    best = home.unionByName(away)
     ranked = best.groupBy("query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best")
     )  # at most k of every block

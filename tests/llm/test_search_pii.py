@@ -21,7 +21,6 @@ def plain_top(vectors, queries, k):
 def test_top_k_equals_brute_force(spark, make, monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(top_k, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(top_k, "QUERY_ROWS", 4)
     centres = rng.normal(size=(4, 6))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 4] + 0.2 * rng.normal(size=6)]) for i in range(150)]
     rows += [(i, rows[i % 3][1]) for i in range(150, 190)]  # ties
@@ -172,3 +171,13 @@ def test_query_replaces_every_entity_of_every_row(spark):
             at = end
             assert not text.startswith(original, place)
         assert text is None if r["text"] is None else text.endswith(r["text"][at:])
+
+
+def test_top_k_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want = plain_top(vectors, [i for i, _ in vectors if i % 20 == 0], 20)
+    got = {}
+    for r in QUERIES["op4_top_k"](spark, folder).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == want

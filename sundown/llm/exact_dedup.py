@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sundown.llm.common import SPACE, map_batches, raw_text
+from sundown.llm.common import SPACE, fresh, map_batches, raw_text
 from sundown.session import cut_lineage
 
 WINDOW = 32
@@ -141,17 +141,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns, whatever their names.
+
+    Null and empty texts are one group. Rows that repeat doc_id and text are one; a row without
+    doc_id stays only where its whole group has none. An empty table stays empty.
+    """
+    of, sha = fresh(docs, "exact_id"), fresh(docs, "exact_sha")
     stays = (
-        exact_duplicates(docs, doc_id, text)
-        .filter("kept")
-        .select(_named("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha"))
-        .distinct()
+        exact_duplicates(docs, doc_id, text).filter("kept").select(_named("doc_id").alias(of), F.col("text_sha256").alias(sha)).distinct()
     )
     blanks = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
-    hashed = docs.withColumns({"_stays": _named(doc_id), "_sha": F.sha2(blanks.cast("binary"), 256)})
+    hashed = docs.withColumns({of: _named(doc_id), sha: F.sha2(blanks.cast("binary"), 256)})
     # The join has dealt the rows by both keys, so repeated rows go without another shuffle.
-    return hashed.join(stays, ["_stays", "_sha"], "left_semi").dropDuplicates(["_stays", "_sha"]).select(*docs.columns)
+    return hashed.join(stays, [of, sha], "left_semi").dropDuplicates([of, sha]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _named(doc_id: str) -> Column:

@@ -1,6 +1,7 @@
 """Mixing sources to target weights, by blocks of words.
 
-The words of a source, document after document, are cut into blocks of a fixed length. The mix is
+The words of a source, document after document, are cut into blocks of a fixed length, shorter ones
+for a small source, so that whole blocks come near its target. The mix is
 a sequence of slots in shards. The source counts of a shard are a multinomial draw, conditioned on
 every source's total over all shards, so that the totals meet the targets: a keyed permutation of
 all slots deals each source its number of slots. A source's slots take its blocks in the order of
@@ -16,10 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sundown.functions.ordered import before_each_row
+from sundown.llm.common import fresh
 from sundown.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
+LEAST_BLOCKS = 1024  # of a source, as far as it has words
 SHARD_SLOTS = 1024
 MOST_PASSES = 3
 ROUNDS = 20
@@ -80,13 +83,18 @@ def placed(sized: DataFrame) -> DataFrame:
     )
 
 
-def slots(sources: DataFrame, seed: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+def block_length(block_words: int = BLOCK_WORDS) -> Column:
+    """Words in a block of a source: at most ``block_words``, fewer where the source would have too few blocks."""
+    return F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("bigint")
+
+
+def slots(sources: DataFrame, seed: int) -> DataFrame:
     """(shard, slot, key, pass, block) of the whole mix."""
     spark = sources.sparkSession
     every = W.partitionBy(F.lit(0))
     counted = (
         sources.filter("source_size > 0")
-        .withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("bigint"))
+        .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("bigint"))
         .withColumn(
             "own",
             F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint"), F.col("blocks") * MOST_PASSES),
@@ -109,9 +117,9 @@ def slots(sources: DataFrame, seed: int, block_words: int = BLOCK_WORDS) -> Data
     )
 
 
-def _spread(rows: DataFrame, block_words: int) -> DataFrame:
+def _spread(rows: DataFrame) -> DataFrame:
     """A row for every block that a document has words in."""
-    end = F.col("start") + F.col("size")
+    end, block_words = F.col("start") + F.col("size"), F.col("block_words")
     low = F.col("block") * block_words
     return (
         rows.filter("size > 0")
@@ -132,8 +140,9 @@ def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 def mix(sized: DataFrame, seed: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sized rows in their places, the sources with their targets, and the slots of the mix."""
     rows = cut_lineage(placed(cut_lineage(sized)))
-    sources = cut_lineage(targets(rows))
-    return rows, sources, slots(sources, seed, block_words)
+    sources = cut_lineage(targets(rows).withColumn("block_words", block_length(block_words)))
+    # One row a source: the planner broadcasts it while its table is small.
+    return rows.join(sources.select("key", "block_words"), "key"), sources, slots(sources, seed)
 
 
 def mixed_documents(
@@ -148,7 +157,7 @@ def mixed_documents(
     rows, sources, drawn = mix(_sized(docs, doc_id, text, source), seed, block_words)
     times = drawn.groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
-        _spread(rows, block_words)
+        _spread(rows)
         .join(times.hint("merge"), ["key", "block"])  # the planner takes exploded slots for as few as the sources
         .groupBy("key", "start")
         .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
@@ -158,7 +167,7 @@ def mixed_documents(
     return (
         rows.withColumn("some", F.col("size") > 0)
         .join(taken, ["key", "start", "some"], "left")
-        .join(sources, "key")
+        .join(sources.drop("block_words"), "key")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
     )
 
@@ -166,32 +175,33 @@ def mixed_documents(
 def mixed_texts(
     docs: DataFrame, *, seed: int = 6, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: one row per document and pass that takes words of it.
+    """The mix as documents with the columns of ``docs``, whatever their names: one row per document and pass that takes words of it.
 
     Where a pass takes all blocks of a document its text is whole, else it is the taken words in
-    their order. Rows that repeat doc_id, text and source count once.
+    their order, each with the space that follows it. Rows that repeat doc_id, text and source count
+    once; null and empty texts give no row; a null doc_id or source is one like others; an empty
+    table stays empty.
     """
     sized = _sized(docs, doc_id, text, source).dropDuplicates(["doc_id", "key", "row_hash"])
     rows, _, drawn = mix(sized, seed, block_words)
-    names = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_key": F.col("key"), "_hash": F.col("row_hash")}
+    of, key, hash_, taken, whole, words, cut = (fresh(docs, n) for n in ("mix_id", "mix_key", "mix_hash", "mix_spans", "mix_whole", "mix_words", "mix_text"))
+    names = {of: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key: F.col("key"), hash_: F.col("row_hash")}
     spans = (
-        _spread(rows, block_words)
+        _spread(rows)
         .join(drawn.select("key", "block", "pass").hint("merge"), ["key", "block"])
         .groupBy(*[c.alias(n) for n, c in names.items()], "start", "size", "pass")
-        .agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_spans"))  # a document's own blocks
-        .withColumn("_whole", F.aggregate("_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["words"]) == F.col("size"))
-        .select(*names, "_spans", "_whole")
+        .agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias(taken))  # a document's own blocks
+        .withColumn(whole, F.aggregate(taken, F.lit(0).cast("bigint"), lambda s, x: s + x["words"]) == F.col("size"))
+        .select(*names, taken, whole)
     )
     marked = docs.withColumns(
         {
-            "_id": F.coalesce(F.col(doc_id).cast("bigint").cast("string"), F.lit("")), "_key": _key(source),
-            "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+            of: F.coalesce(F.col(doc_id).cast("bigint").cast("string"), F.lit("")), key: _key(source),
+            hash_: F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
         }
     )
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(
-        F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), s["from_word"].cast("int") + 1, s["words"].cast("int")))), " "
-    )
+    spaced = F.regexp_extract_all(F.col(text), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
     joined = marked.dropDuplicates([*names]).join(spans, [*names])
-    picked = joined.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("_cut", F.when(F.col("_whole"), F.col(text)).otherwise(cut))
-    return picked.select(*[F.col("_cut").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    picked = joined.withColumn(words, F.when(~F.col(whole), spaced)).withColumn(cut, F.when(F.col(whole), F.col(text)).otherwise(F.array_join(
+        F.flatten(F.transform(taken, lambda s: F.slice(F.col(words), s["from_word"].cast("int") + 1, s["words"].cast("int")))), "")))
+    return picked.select(*[F.col(cut).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -129,3 +129,10 @@ def test_sketch_bits_differ_for_an_eighth_at_the_border():
         x, y = (near_dedup.sketch(np.concatenate([shared, z])).view(np.uint64) for z in (one, two))
         off.append(int(np.bitwise_count(x ^ y).sum()))
     assert 120 < np.mean(off) < 136 and max(off) <= near_dedup.SKETCH_MOST
+
+
+def test_exact_duplicates_keep_columns_of_any_name(make):
+    frame = make("doc_id long, text string, _sha string, exact_id string, _stays int", (2, "a  b", "x", "y", 1), (1, "a b", "z", "w", 2), (None, None, "n", "n", 3), (3, "", "e", "e", 4))
+    left = exact_dedup.drop_exact_duplicates(frame)
+    assert sorted((r["doc_id"] or 0, r["_sha"], r["exact_id"], r["_stays"]) for r in left.collect()) == [(1, "z", "w", 2), (3, "e", "e", 4)]
+    assert left.columns == frame.columns and exact_dedup.drop_exact_duplicates(frame.filter("false")).collect() == []

@@ -164,3 +164,30 @@ def test_no_python_on_the_native_paths(spark, make):
     for frame in (url_filter.url_verdicts(pages), mixing.mixed_documents(docs), mixing.mixed_texts(docs)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def test_small_sources_come_near_their_targets(spark, make):
+    sizes = {"a": 1000, "b": 37, "c": 5000, "d": 700}
+    rows = [(i, " ".join(f"{s}{i}w{j}" for j in range(20)), s) for s, n in sizes.items() for i in range(n // 20)] + [(9_000, "one two three", "b")]
+    frame = make("doc_id long, text string, source string", *rows)
+    got = mixing.mixed_documents(frame).collect()
+    for source in sizes:
+        # By the source's size, which tells them apart here.
+        size = sum(len(t.split()) for _, t, s in rows if s == source)
+        mine = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1 + 0.002 * size
+
+
+def test_mixed_texts_keep_layout_and_columns_of_any_name(spark, make):
+    names = ("_id", "mix_id", "_key", "_cut", "_words", "mix_text")
+    text = "one\n two,\tthree  four five\n\nsix seven eight nine ten "
+    frame = make("doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names), *[
+        (i, text, "s" if i % 3 else None, *names) for i in range(40)], (None, None, "s", *names), (50, "", None, *names))
+    got = mixing.mixed_texts(frame, block_words=3).collect()
+    assert got and got[0].asDict().keys() == set(frame.columns)
+    for r in got:
+        assert tuple(r[n] for n in names) == names
+        # What is taken are stretches of the text, in order.
+        assert r["text"] and (r["text"] in text or all(w in text.split() for w in r["text"].split()))
+    assert any("\n" in r["text"] and r["text"] != text for r in got)
+    assert mixing.mixed_texts(frame.filter("false")).collect() == []

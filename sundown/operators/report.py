@@ -187,38 +187,40 @@ def operational_metrics(
 ) -> DataFrame:
     """Counts by kind and the alerts, as ``(metric, label, value)`` rows.
 
-    ``attempts``: status, refusal_code. ``claims``: released_at. Every input is counted
-    where it lies; only labels and numbers are put together.
+    ``attempts``: status, refusal_code. ``claims``: released_at. Every input is read once and gives
+    each row's entries, which are summed up together, map-side first.
     """
     if stuck_after_seconds < 1:
         raise ValueError("the stuck threshold must be positive")
-    state = ev.campaign_state(log)
     age = F.unix_seconds(now) - F.unix_seconds("last_event_at")
     stuck = ~F.col("state").isin("BLOCKED", "READY", "RETIRED") & (age > stuck_after_seconds)
-    stale = F.coalesce(
-        F.exists("envelope.sources", lambda s: s["status"].isin("STALE", "PARTIAL", "UNAVAILABLE", "UNKNOWN")), F.lit(False))
+    stale = F.exists("envelope.sources", lambda s: s["status"].isin("STALE", "PARTIAL", "UNAVAILABLE", "UNKNOWN"))
 
-    def labelled(df: DataFrame, metric: str, label: Column) -> DataFrame:
-        return df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(metric).alias("metric"), "label", "value")
+    def entry(metric: str, label: Column, counts: Column | None = None) -> Column:
+        n = F.lit(1) if counts is None else F.when(counts, F.lit(1)).otherwise(F.lit(0))
+        return F.struct(F.lit(metric).alias("metric"), label.alias("label"), n.cast("bigint").alias("n"))
 
-    def total(df: DataFrame, metric: str, condition: Column) -> DataFrame:
-        return df.agg(count_where(condition).alias("value")).select(
-            F.lit(metric).alias("metric"), F.lit("").alias("label"), "value")
+    def entries(df: DataFrame, *items: Column) -> DataFrame:
+        return df.select(F.explode(F.array_compact(F.array(*items))).alias("e")).select("e.*")
 
-    refused = labelled(attempts.filter("refusal_code IS NOT NULL"), "gate_refusal", F.col("refusal_code"))
+    none, refusal = F.lit(""), F.col("refusal_code")
+    totals = ("stuck_campaigns", "stale_campaigns", "unknown_outcomes", "pending_intents", "active_claims")
     rows = (
-        labelled(state, "campaign_state", F.col("state"))
-        .unionByName(labelled(log, "event_type", F.col("event_type")))
-        .unionByName(labelled(attempts, "gate_status", F.col("status")))
-        .unionByName(refused)
-        .unionByName(refused.filter("value >= 3").withColumn("metric", F.lit("repeated_refusal")))
-        .unionByName(total(state, "stuck_campaigns", stuck))
-        .unionByName(total(state, "stale_campaigns", stale))
-        .unionByName(total(attempts, "unknown_outcomes", F.col("status") == "OUTCOME_UNKNOWN"))
-        .unionByName(total(attempts, "pending_intents", F.col("status") == "INTENT_RECORDED"))
-        .unionByName(total(claims, "active_claims", F.col("released_at").isNull()))
+        entries(log.sparkSession.range(1), *[entry(metric, none, F.lit(False)) for metric in totals])
+        .unionByName(entries(
+            ev.campaign_state(log), entry("campaign_state", F.col("state")), entry("stuck_campaigns", none, stuck),
+            entry("stale_campaigns", none, stale)))
+        .unionByName(entries(log, entry("event_type", F.col("event_type"))))
+        .unionByName(entries(
+            attempts, entry("gate_status", F.col("status")), F.when(refusal.isNotNull(), entry("gate_refusal", refusal)),
+            entry("unknown_outcomes", none, F.col("status") == "OUTCOME_UNKNOWN"),
+            entry("pending_intents", none, F.col("status") == "INTENT_RECORDED")))
+        .unionByName(entries(claims, entry("active_claims", none, F.col("released_at").isNull())))
     )
-    return rows
+    summed = rows.groupBy("metric", "label").agg(F.sum("n").alias("value"))
+    repeated = (F.col("metric") == "gate_refusal") & (F.col("value") >= 3)
+    both = F.array_compact(F.array(F.col("metric"), F.when(repeated, F.lit("repeated_refusal"))))
+    return summed.select(F.explode(both).alias("metric"), "label", "value")
 
 
 # Metrics that make the whole unhealthy when above zero.

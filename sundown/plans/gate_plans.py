@@ -61,9 +61,12 @@ def order_times(t: Tables) -> DataFrame:
     )
 
 
-def gate_times(t: Tables) -> DataFrame:
-    """Orders with records made in the quarter of an hour before the gate; only campaigns of class 3 of 8 have faults."""
-    faulty = F.col("o_custkey") % 8 == 3
+RECEIPT_CLASS, APPROVAL_CLASS = 3, 5
+
+
+def gate_times(t: Tables, faulty_class: int) -> DataFrame:
+    """Orders with records made in the quarter of an hour before the gate; only campaigns of one class of 8 have faults."""
+    faulty = F.col("o_custkey") % 8 == faulty_class
     at = F.timestamp_add("SECOND", (o() % 900).cast("int") * -1, gate_now())
     until = F.timestamp_add("SECOND", F.when(faulty & (o() % 7 == 0), 0).otherwise(600), gate_now())
     text = lambda moment: F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -77,11 +80,18 @@ SELECT *, o_orderkey AS fault, o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 AS unr
        CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 1500 AS INT)) END AS until,
        CASE o_orderkey % 5 WHEN 0 THEN TIMESTAMP '2000-02-01' WHEN 1 THEN TIMESTAMP '1999-12-31 23:00:00' END AS trusted FROM orders
 """)
-view("gate_times", f"""
+
+
+def _gate_times_view(faulty_class: int) -> str:
+    return f"""
 SELECT o_orderkey, o_custkey, TIMESTAMP '{GATE_NOW}' - to_seconds(o_orderkey % 900) AS o_orderdate, false AS unreadable, TIMESTAMP '{GATE_NOW}' AS now,
-       CASE WHEN o_custkey % 8 = 3 THEN o_orderkey ELSE 1 END AS fault, CAST(NULL AS TIMESTAMP) AS trusted,
-       TIMESTAMP '{GATE_NOW}' + to_seconds(CASE WHEN o_custkey % 8 = 3 AND o_orderkey % 7 = 0 THEN 0 ELSE 600 END) AS until FROM orders
-""")
+       CASE WHEN o_custkey % 8 = {faulty_class} THEN o_orderkey ELSE 1 END AS fault, CAST(NULL AS TIMESTAMP) AS trusted,
+       TIMESTAMP '{GATE_NOW}' + to_seconds(CASE WHEN o_custkey % 8 = {faulty_class} AND o_orderkey % 7 = 0 THEN 0 ELSE 600 END) AS until FROM orders
+"""
+
+
+view("gate_receipt_times", _gate_times_view(RECEIPT_CLASS))
+view("gate_approval_times", _gate_times_view(APPROVAL_CLASS))
 
 
 def _strings(*values: str) -> Column:
@@ -273,7 +283,7 @@ def plans(t: Tables) -> DataFrame:
     return t.customer.filter(c() % 53 != 0).select(
         F.concat(F.lit("c"), c()).alias("campaign_id"), F.concat(F.lit("p"), c()).alias("plan_digest"), (c() % 47 != 0).alias("issued"),
         (c() % 43 != 0).alias("trusted"), (c() % 41 != 0).alias("bound"),
-        F.concat(F.when(c() % 39 == 0, F.lit("old")).otherwise(F.lit("m")), c()).alias("plan_manifest_digest"),
+        F.concat(F.when(c() % 29 == 0, F.lit("old")).otherwise(F.lit("m")), c()).alias("plan_manifest_digest"),
         F.when(c() % 61 != 0, prepared).alias("prepared_at"),
         F.timestamp_add("SECOND", F.when(c() % 51 == 0, 901).otherwise(900), prepared).alias("expires_at"))
 
@@ -394,7 +404,7 @@ def gate_findings(t: Tables, heads: DataFrame) -> list[tuple[str, DataFrame]]:
     bound = g.bound_snapshots(plans(t), snapshots(t), gate_now())
     return [
         ("inputs", drift), ("receipt types", g.receipt_type_audit(adapters, ("dbt",))),
-        ("receipts", r.receipt_audit(*receipts(t, gate_times(t)), gate_now())), ("approvals", r.approval_audit(*approvals(t, gate_times(t)), gate_now())),
+        ("receipts", r.receipt_audit(*receipts(t, gate_times(t, RECEIPT_CLASS)), gate_now())), ("approvals", r.approval_audit(*approvals(t, gate_times(t, APPROVAL_CLASS)), gate_now())),
         ("bindings", bound.filter("role = 'binding'")), ("scope", keyed(scope)), ("membership", moved),
         ("freshness", keyed(g.gate_freshness(gate_sources(t), gate_now()))), ("source", bound.filter("role = 'source'")),
         ("consumed", g.consumed_plans(heads, plans(t), attempts(t))),
@@ -463,8 +473,8 @@ SELECT o_orderkey AS receipt_id, CASE WHEN fault % 23 = 0 THEN 'other' ELSE 'c'
 
 view("approval_codes", _approval_view("order_times"))
 view("receipt_codes", _receipt_view("order_times"))
-view("gate_approval_codes", _approval_view("gate_times"))
-view("gate_receipt_codes", _receipt_view("gate_times"))
+view("gate_approval_codes", _approval_view("gate_approval_times"))
+view("gate_receipt_codes", _receipt_view("gate_receipt_times"))
 view("ledger_codes", """
 SELECT attempt_id, campaign_id, plan_digest, status,
        CASE WHEN row_number() OVER (PARTITION BY plan_digest ORDER BY recorded_at, attempt_id) > 1
@@ -494,7 +504,7 @@ SELECT campaign_id, least(own, f.f).step AS failed_step, least(own, f.f).code AS
     WHEN p.code IS NOT NULL THEN {{'n': 4, 'step': 'window', 'code': p.code}}
     WHEN k % 41 = 0 THEN {{'n': 5, 'step': 'binding', 'code': 'GATE_PROVENANCE_UNTRUSTED'}}
     WHEN k % 19 = 0 THEN {{'n': 14, 'step': 'publication', 'code': 'GATE_PUBLICATION_UNVERIFIED'}}
-    WHEN k % 39 = 0 THEN {{'n': 15, 'step': 'manifest', 'code': 'GATE_STATE_DRIFT'}} END AS own
+    WHEN k % 29 = 0 THEN {{'n': 15, 'step': 'manifest', 'code': 'GATE_STATE_DRIFT'}} END AS own
   FROM (SELECT *, CAST(substr(campaign_id, 2) AS BIGINT) AS k FROM {heads}) d LEFT JOIN plan_codes p USING (campaign_id))
 LEFT JOIN (SELECT campaign_id, min({{'n': n, 'step': step, 'code': code}}) AS f FROM gate_steps GROUP BY 1) f USING (campaign_id)"""
 

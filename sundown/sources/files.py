@@ -113,7 +113,7 @@ def archive_members(path: str) -> list[str] | None:
     try:
         with store.open_input_file(inside) as file, zipfile.ZipFile(file) as archive:
             return [entry.filename for entry in archive.infolist()]
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, pa.ArrowInvalid):  # no directory at its end, or shorter than one
         return None
 
 

@@ -208,3 +208,15 @@ def test_caches_claims_publications(log, make, got):
         ("first", "INTEGRITY_EVENT_SEQUENCE_INVALID"), ("life", "EVIDENCE_PUBLICATION_MISMATCH"), ("moved", "INTEGRITY_DIGEST_MISMATCH")]
     marks = make("campaign_id string, sequence bigint, content_digest string", ("c", 3, "d"), ("c", 8, "d"), ("c", 3, "e"))
     assert got(ev.state_at_publication(ready, marks, 3), "content_digest", "sequence", "state_before") == [("d", 8, "RECONCILING"), ("e", 3, "INVENTORIED")]
+
+
+def test_a_stored_fold_continued_equals_the_whole(spark, logs, got, tmp_path):
+    every = logs({"ready": READY, "early": (CREATED, inventory(a="OPAQUE")), "late": (CREATED, inventory(a="OPAQUE"), START, reconciled(a="OPAQUE"))})
+    whole = ev.campaign_state(every)
+    for border in range(0, 9):
+        parts = [every.filter(F.col("sequence") <= border), every.filter((F.col("sequence") > border) & (F.col("sequence") <= border + 2)),
+                 every.filter(F.col("sequence") > border + 2)]
+        ev.campaign_fold(parts[0]).write.mode("overwrite").parquet(str(tmp_path / f"fold{border}"))
+        stored = spark.read.schema(f"campaign_id string, {ev.FOLD}").parquet(str(tmp_path / f"fold{border}"))
+        continued = ev.finish_fold(ev.continue_fold(ev.continue_fold(stored, parts[2]), parts[1]))
+        assert got(continued, *whole.columns) == got(whole, *whole.columns)

@@ -119,3 +119,25 @@ def test_drift_and_membership(make, got):
     ids = "campaign_id string, consumer_id string"
     diff = p.membership_diff(make(ids, ("c", "x"), ("c", "y")), make(ids, ("c", "y"), ("c", "z"), ("c", "z")))
     assert got(diff, "consumer_id", "change") == [("x", "disappeared"), ("y", "unchanged"), ("z", "added")]
+
+
+def test_each_campaign_by_its_own_policy(make, got):
+    """Four policies at once give what each gives alone."""
+    ways = {"none": None, "waivers": (None, None, True, None), "closing": (None, None, True, True), "loose": (False, False, None, None)}
+    flags = "struct<requires_live_evidence:boolean,require_reconciliation:boolean,allow_waivers:boolean,waivers_satisfy_closure:boolean>"
+    ids = [f"{w}-{case}" for w in ways for case in ("waived", "replayed")]
+    campaigns = make(f"campaign_id string, mode string, reconciled boolean, inputs_match boolean, policy {flags}", *[
+        (i, "live" if i.endswith("waived") else "replay", i.endswith("waived"), True, ways[i.split("-")[0]]) for i in ids])
+    sources = make("campaign_id string, source_id string, required boolean, status string", *[(i, "s", True, "COMPLETE") for i in ids])
+    consumers = make("campaign_id string, consumer_id string, disposition string", *[(i, "k", "WAIVED" if i.endswith("waived") else "VALIDATED") for i in ids])
+    members = consumers.select("campaign_id", "consumer_id")
+    mixed = p.evaluate(campaigns, sources, consumers, members, members, policy=p.CampaignPolicy())
+    assert dict(got(mixed[0], "campaign_id", "decision")) == {
+        "none-waived": "BLOCKED", "waivers-waived": "REVIEW_REQUIRED", "closing-waived": "READY_TO_RETIRE", "loose-waived": "BLOCKED",
+        "none-replayed": "BLOCKED", "waivers-replayed": "BLOCKED", "closing-replayed": "BLOCKED", "loose-replayed": "READY_TO_RETIRE"}
+    for way, given in ways.items():
+        alone = p.Policy(**{n: v for n, v in zip(("requires_live_evidence", "require_reconciliation", "allow_waivers", "waivers_satisfy_closure"), given or ()) if v is not None})
+        mine = f"campaign_id LIKE '{way}-%'"
+        single = p.evaluate(campaigns.drop("policy").filter(mine), sources, consumers.filter(mine), members.filter(mine), members.filter(mine), policy=alone)
+        for a, b in zip(mixed, single):
+            assert got(a.filter(mine), *b.columns) == got(b, *b.columns)

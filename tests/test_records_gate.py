@@ -114,10 +114,6 @@ def test_reconciliation(make, got):
     assert got(g.invalidate_consumers(consumers, drift), "consumer_id", "disposition") == [("a", "STALE"), ("b", "OPAQUE"), ("c", "VALIDATED")]
     sources = make("campaign_id int, source_id string, status string, limitations array<string>", (1, "s", "COMPLETE", ["z"]), (1, "t", "COMPLETE", ["z"]))
     assert [(s["status"], s["limitations"]) for s in g.invalidate_sources(sources, drift, "gone").orderBy("source_id").collect()] == [("STALE", ["gone", "z"]), ("COMPLETE", ["z"])]
-    refresh = make("refresh_id int, urn string, requested_at int, deadline int", (1, "u", 5, 20), (2, "u", 50, 99), (3, "w", 5, 20))
-    seen = make("urn string, source_updated_at int, observed_at int", ("u", 4, 8), ("u", 5, 12), ("u", 9, 10), ("u", 60, 100))
-    assert got(g.refresh_status(refresh, seen), "refresh_id", "observed_at", "refusal_code") == [
-        (1, 10, None), (2, None, "RECONCILIATION_REFRESH_TIMEOUT"), (3, None, "RECONCILIATION_REFRESH_TIMEOUT")]
 
 
 def test_gate(make, now, got):
@@ -149,3 +145,62 @@ def test_gate(make, now, got):
     assert got(g.receipt_type_audit(adapters, ["dbt"]), "campaign_id") == [(3,), (4,)]
     long = plans.filter("campaign_id = 1").withColumn("expires_at", F.lit("2024-01-01 12:05:01").cast("timestamp"))
     assert got(g.plan_window(long, now), "refusal_code") == [("GATE_PLAN_INVALID",)]
+
+
+def test_every_check_has_its_place(make, got):
+    """A campaign that fails a later check too is named by the earlier one, whichever kind of check it is."""
+    steps = g.GATE_STEPS
+    own = {"publication", "manifest"}
+    found = [s for s in steps[5:] if s not in own]
+    pairs_ = [(steps.index(a), steps.index(b)) for a in steps[5:] for b in steps[5:] if steps.index(a) < steps.index(b)]
+    ids = [f"{a}-{b}" for a, b in pairs_]
+    fails = {f"{a}-{b}": {steps[a], steps[b]} for a, b in pairs_}
+    heads = make("campaign_id string, state string, decision string, manifest_digest string, publication_verified boolean",
+                 *[(i, "READY", "READY_TO_RETIRE", "m", "publication" not in fails[i]) for i in ids])
+    plans = make("campaign_id string, plan_digest string, issued boolean, trusted boolean, bound boolean, plan_manifest_digest string, prepared_at string, expires_at string",
+                 *[(i, i, True, True, True, "n" if "manifest" in fails[i] else "m", "2024-01-01 11:50:00", "2024-01-01 12:05:00") for i in ids])
+    for column in ("prepared_at", "expires_at"):
+        plans = plans.withColumn(column, F.col(column).cast("timestamp"))
+    audits = [(s, make("campaign_id string, refusal_code string", *[(i, "X") for i in ids if s in fails[i]])) for s in reversed(found)]
+    first = dict(got(g.gate_readiness(heads, plans, audits, F.to_timestamp(F.lit("2024-01-01 12:00:00"))), "campaign_id", "failed_step"))
+    assert first == {i: steps[int(i.split("-")[0])] for i in ids}
+
+
+def test_sources_as_the_plan_was_bound_to_them(make, got):
+    plans = make("campaign_id string, plan_digest string, prepared_at int", ("a", "p", 10), ("b", "q", 10), ("c", "r", None))
+    rows = make(
+        "campaign_id string, source_id string, role string, observed_at int, snapshot_id int, fingerprint string",
+        ("a", "s", "source", 1, 1, "x"), ("a", "s", "source", 9, 2, "y"), ("a", "s", "source", 9, 3, "z"), ("a", "s", "source", 15, 4, "z"),
+        ("a", "s", "source", 99, 5, "later"), ("a", "v", "binding", 10, 6, "one"), ("a", "v", "binding", 11, 7, "two"),
+        ("b", "s", "source", 12, 8, "new"), ("b", "t", "source", 3, 9, "old"), ("c", "s", "source", 1, 10, "x"), ("d", "s", "source", 1, 11, "x"))
+    found = g.bound_snapshots(plans, rows, F.lit(20))
+    assert got(found, "campaign_id", "source_id", "bound_fingerprint", "fingerprint", "refusal_code") == [
+        ("a", "s", "z", "z", None), ("a", "v", "one", "two", "GATE_STATE_DRIFT"), ("b", "s", None, "new", "GATE_SOURCE_DRIFT"), ("b", "t", "old", "old", None),
+        ("c", "s", None, "x", "GATE_SOURCE_DRIFT")]
+
+
+def test_consumed_plans(make, got):
+    heads = make("campaign_id string, manifest_digest string", ("a", "m1"), ("b", "m2"), ("c", "m3"))
+    plans = make("campaign_id string, plan_digest string", ("a", "p1"), ("b", "p2"), ("c", "p3"))
+    attempts = make("campaign_id string, plan_digest string, manifest_digest string, status string",
+                    ("a", "p1", "old", "EXECUTED"), ("b", "other", "m2", "OUTCOME_UNKNOWN"), ("c", "p3", "m3", "REFUSED"), ("b", "x", "m1", "EXECUTED"))
+    assert got(g.consumed_plans(heads, plans, attempts), "campaign_id") == [("a",), ("b",)]
+
+
+def test_a_refresh_takes_the_first_observation_after_it(spark, make, got):
+    times = lambda df, *names: df.select(*[F.timestamp_seconds(c).alias(c) if c in names else F.col(c) for c in df.columns])
+    asked = times(make("refresh_id string, urn string, requested_at int, deadline int",
+                       ("r1", "u", 10, 30), ("r2", "u", 20, 25), ("r3", "u", 41, 99), ("r4", "v", 0, 9), ("r5", "u", 20, 22)), "requested_at", "deadline")
+    seen = times(make("urn string, source_updated_at int, observed_at int", ("u", 5, 11), ("u", 20, 24), ("u", 12, 28), ("u", 40, 50), ("u", None, 12), ("u", 20, None)),
+                 "source_updated_at", "observed_at")
+    found = g.refresh_status(asked, seen).withColumn("observed_at", F.unix_seconds("observed_at"))
+    assert got(found, "refresh_id", "observed_at", "refusal_code") == [
+        ("r1", 24, None), ("r2", 24, None), ("r3", None, "RECONCILIATION_REFRESH_TIMEOUT"), ("r4", None, "RECONCILIATION_REFRESH_TIMEOUT"),
+        ("r5", None, "RECONCILIATION_REFRESH_TIMEOUT")]
+    n = 100_000  # of each for one URN: pairs would be ten billion
+    many = spark.range(n)
+    asked = many.select(F.col("id").alias("refresh_id"), F.lit("u").alias("urn"), F.timestamp_seconds("id").alias("requested_at"),
+                        F.timestamp_seconds(F.col("id") + 2).alias("deadline"))
+    seen = many.select(F.lit("u").alias("urn"), F.timestamp_seconds("id").alias("source_updated_at"), F.timestamp_seconds(F.col("id") + 1).alias("observed_at"))
+    late = g.refresh_status(asked, seen)
+    assert late.count() == n and late.filter("refusal_code IS NOT NULL OR unix_seconds(observed_at) <> refresh_id + 1").count() == 0

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,10 +84,10 @@ def test_file_audit(spark, make, got, tmp_path):
     abc = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert dict((p, (n, h)) for p, n, h in got(digests))["a.bin"] == (3, abc)
     rev, url = "a" * 40, "https://h"
-    kind = "asset_id string, path string, size_bytes bigint, sha256 string, license_id string, revision string, source_url string, members array<string>"
+    kind = "asset_id string, path string, format string, size_bytes bigint, sha256 string, license_id string, revision string, source_url string, members array<string>"
 
     def entry(asset, path="a.bin", size=3, sha=abc, licence="CC0-1.0", revision=rev, members=(), link=None):
-        return (asset, path, size, sha, licence, revision, link or f"{url}/{revision}/{path}", list(members))
+        return (asset, path, "zip" if members else "csv", size, sha, licence, revision, link or f"{url}/{revision}/{path}", list(members))
 
     registry = make(kind, entry("ok"), entry("gone", "z"), entry("size", size=4), entry("sum", sha="0"), entry("licence", licence="X"), entry("pin", revision="main"),
                     entry("url", link="https://h/x"), entry("members", members=["m"]), entry("twice"), entry("twice"))
@@ -159,3 +161,49 @@ def test_public_export(make, got):
     consumers = make("campaign_id int, consumer_id string, disposition string, receipt_digest string", (1, "z", "VALIDATED", "r"), (1, "a", "STALE", "r"), (2, "m", "VALIDATED", None))
     assert got(r.public_consumers(consumers), "campaign_id", "label", "receipt_state") == [
         (1, "consumer-001", r.RECEIPT_LABELS["STALE"]), (1, "consumer-002", r.RECEIPT_LABELS["VALIDATED"]), (2, "consumer-001", r.RECEIPT_LABELS["MISSING"])]
+
+
+def test_manifest_nodes_with_files_and_dependencies(make, got):
+    manifest = {"nodes": {
+        "model.p.a": {"resource_type": "model", "original_file_path": "models/a.sql", "compiled_code": "select old as x", "depends_on": {"nodes": ["seed.p.s", "model.p.b"]}},
+        "model.p.b": {"resource_type": "model", "original_file_path": "models/b.sql", "compiled_code": "select older", "depends_on": {"nodes": []}},
+        "seed.p.s": {"resource_type": "seed", "original_file_path": "seeds/s.csv"}, "snapshot.p.x": {"resource_type": "snapshot"}, "odd": 3, "none": None}}
+    manifests = make("repository_id string, raw string", ("r", json.dumps(manifest)), ("empty", "{}"), ("broken", "{"), ("listed", '{"nodes": []}'))
+    files = make("repository_id string, path string, text string", ("r", "models/a.sql", "select {{ f }}"), ("r", "seeds/s.csv", "id,old\n"), ("q", "models/b.sql", "old"))
+    found = s.manifest_scan(manifests, files, "old").withColumn("depends_on", F.concat_ws(",", "depends_on"))
+    fingerprint = "sha256:" + hashlib.sha256(b"id,old\n").hexdigest()
+    assert got(found, "repository_id", "unique_id", "depends_on", "compiled_contains_target", "fingerprint", "named_dependencies", "refusal_code") == [
+        ("broken", None, "", None, None, None, "SOURCE_DBT_UNAVAILABLE"), ("empty", None, "", None, None, None, "SOURCE_DBT_UNAVAILABLE"),
+        ("listed", None, "", None, None, None, "SOURCE_DBT_UNAVAILABLE"),
+        ("r", "model.p.a", "model.p.b,seed.p.s", True, None, 1, None), ("r", "model.p.b", "", False, None, 0, None), ("r", "seed.p.s", "", False, fingerprint, 0, None)]
+    assert got(s.dbt_dependencies(s.dbt_nodes(manifests)), "upstream", "downstream") == [("model.p.b", "model.p.a"), ("seed.p.s", "model.p.a")]
+
+
+def test_archives_are_read_by_their_directory(spark, make, tmp_path, got):
+    for name, members in {"good": ["a", "d/b"], "twice": ["a", "a", "d/b"], "less": ["a"], "climbs": ["a", "../b"], "folder": ["a", "d/"]}.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
+            for member in members:
+                archive.writestr(zipfile.ZipInfo(member), b"x" * 100_000)
+    (tmp_path / "broken.zip").write_bytes(b"PK nothing")
+    (tmp_path / "plain.csv").write_bytes(b"a,b")
+    archives = fs.read_archives(spark, str(tmp_path))
+    assert dict(got(archives, "path", "members")) == {
+        "good.zip": ["a", "d/b"], "twice.zip": ["a", "a", "d/b"], "less.zip": ["a"], "climbs.zip": ["a", "../b"], "folder.zip": ["a", "d/"], "broken.zip": None}
+    files = archives.unionByName(fs.read_file_digests(spark, str(tmp_path), "*.csv"), allowMissingColumns=True)
+    held = {r["path"]: (r["length"], r["sha256"]) for r in files.collect()}
+    revision = "0" * 40
+    listed = {"climbs.zip": ["a", "../b"], "folder.zip": ["a", "d/"], "plain.csv": []}
+    entries = [(f"{p}{'!' if bad else ''}", p, kind, *held[p], "CC0-1.0", revision, f"u/{revision}/{p}", members) for p in held for bad, kind, members in [
+        (False, "zip" if p.endswith("zip") else "csv", listed.get(p, ["d/b", "a"])), (True, "zip" if p.endswith("zip") else "csv", ["a"] if p == "plain.csv" else [])]]
+    registry = make("asset_id string, path string, format string, size_bytes bigint, sha256 string, license_id string, revision string, source_url string, members array<string>", *entries)
+    code = dict(got(s.file_audit(registry, files, "u"), "asset_id", "refusal_code"))
+    assert {k for k, v in code.items() if v == "DATASET_REGISTRY_INVALID"} == {f"{p}!" for p in held}
+    assert {k for k, v in code.items() if v is None} == {"good.zip", "plain.csv"}
+    assert {k for k, v in code.items() if v == "DATASET_ARCHIVE_UNEXPECTED_MEMBER"} == {"twice.zip", "less.zip", "climbs.zip", "folder.zip", "broken.zip"}
+
+
+def test_stores_by_their_scheme():
+    assert fs.storage_uri("s3a://b/k/x y.zip") == "s3://b/k/x y.zip" and fs.storage_uri("s3n://b/k") == "s3://b/k"
+    assert fs.storage_uri("file:///tmp/x") == fs.storage_uri("file:/tmp/x") == "/tmp/x" and fs.storage_uri("hdfs://n:1/x") == "hdfs://n:1/x"
+    store, name = fs.opened("mock:///folder/file")
+    assert store.type_name == "mock" and name == "folder/file"

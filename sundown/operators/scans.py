@@ -56,6 +56,31 @@ def scope_counterfactual(
     )
 
 
+def scope_detail(
+    files: DataFrame, repositories: DataFrame, token: str, file_bound: int | None = None, byte_bound: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The scan of every configured repository, and the files that name the token.
+
+    ``repositories``: repository_id, required. The first frame has one row for each, with whether it
+    is required, what was inspected, and its sorted limitations; a repository without files was
+    inspected in vain. The second has a row per matched path, as there may be any number of them.
+    """
+    scanned = scope_counterfactual(files, token, file_bound, byte_bound)
+    zero = F.lit(0).cast("bigint")
+    limits = F.array_sort(F.array_compact(F.array(
+        F.when(F.col("inspected_files").isNull(), F.lit("Repository holds no scanned file")),
+        F.when(F.lit(file_bound is not None) & (F.col("inspected_files") > F.lit(file_bound or 0)), F.lit("Repository scan exceeded its bound on files")),
+        F.when(F.col("oversized_files") > 0, F.lit("Repository file exceeded its bound on bytes")))))
+    detail = repositories.select("repository_id", "required").join(scanned, "repository_id", "left").select(
+        "repository_id", "required", F.coalesce("inspected_files", zero).alias("inspected_files"), F.coalesce("matched_files", zero).alias("matched_files"),
+        F.coalesce("complete", F.lit(False)).alias("complete"), limits.alias("limitations"))
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    matched = files.filter(
+        suffix.isin(*SCAN_SUFFIXES) & in_scanned_folder(F.col("path"), SCOPE_SKIPPED_FOLDERS) & F.col("text").rlike(token_pattern(token))
+    ).join(repositories.select("repository_id"), "repository_id", "left_semi").select("repository_id", "path")
+    return detail, matched
+
+
 def counterfactual_summary(scan: DataFrame, consumers: DataFrame) -> DataFrame:
     """How many consumers the graph shows beyond all repositories; null while the scan is incomplete."""
     zero = F.lit(0).cast("bigint")

@@ -476,7 +476,7 @@ QUERIES = {
     "e6_new_consumer_state": _Q(lambda t: ev.new_consumer_state(ev.annotate(log(t, False)))),
     "e7_manifest": _Q(lambda t: r.manifest(log(t, False)).select(
         "campaign_id", "state", "decision", "events", "snapshots", "receipts", "blockers", "consumers", "closed", "head_digest",
-        F.coalesce("evidence_mode", F.lit("")).alias("evidence_mode"))),
+        F.coalesce("evidence_mode", F.lit("")).alias("evidence_mode"), "consumer_hash", "envelope_digest", "manifest_digest")),
     "e7_manifest_entries": _Q(lambda t: r.manifest_entries(log(t, False))),
     "e8_stream_digest": _Q(lambda t: ev.stream_digest(log(t, False), width=16, levels=3)),
     "e9_digest_verify": _Q(lambda t: ev.digest_verify(signed_records(t), "raw", "record_digest").select("conv_id", "turn", "digest_valid")),
@@ -490,6 +490,27 @@ QUERIES = {
     "e15_policy_event_audit": _Q(lambda t: ev.policy_event_audit(log(t, False))),
 }
 
+view("consumer_hashes", """
+SELECT campaign_id, bit_xor(CAST('0x' || substr(sha256(length(consumer_id) || ':' || consumer_id || length(disposition) || ':' || disposition
+         || coalesce(length(receipt_digest) || ':' || receipt_digest, '~')), 1, 15) AS BIGINT)) AS h FROM present_consumers GROUP BY 1
+""")
+view("manifest_heads", f"""
+SELECT f.campaign_id, f.state, CASE max(b.harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'READY_TO_RETIRE' END AS decision,
+       any_value(f.events) AS events, any_value(f.snapshots) AS snapshots, any_value(f.receipts) AS receipts, count(b.code) FILTER (WHERE b.harm > 1) AS blockers,
+       coalesce(any_value(c.n), 0) AS consumers, coalesce(any_value(c.closed), 0) AS closed, any_value(f.head_digest) AS head_digest,
+       CASE WHEN any_value(f.envelope_event) IS NULL THEN '' WHEN any_value(f.envelope_event) % 13 = 0 THEN 'replay' ELSE 'live' END AS evidence_mode,
+       coalesce(any_value(h.h), 0) AS consumer_hash,
+       'sha256:' || sha256(coalesce('{{"mode":"' || CASE WHEN any_value(f.envelope_event) % 13 = 0 THEN 'replay' ELSE 'live' END
+         || '","sources":[{{"id":"catalog","required":' || CASE WHEN any_value(f.envelope_event) % 17 <> 0 THEN 'true' ELSE 'false' END
+         || ',"status":"' || {_sql_list(STATUSES)}[any_value(f.envelope_event) % 5 + 1] || '"}}]}}', '{{}}')) AS envelope_digest
+FROM user_fold f LEFT JOIN final_blockers b USING (campaign_id) LEFT JOIN consumer_hashes h USING (campaign_id)
+LEFT JOIN (SELECT campaign_id, count(*) AS n, count(*) FILTER (WHERE disposition IN ('VALIDATED', 'REMOVED', 'NOT_APPLICABLE')) AS closed
+           FROM present_consumers GROUP BY 1) c USING (campaign_id)
+GROUP BY f.campaign_id, f.state
+""")
+view("manifest_rows", """
+SELECT *, 'sha256:' || sha256(concat_ws('|', campaign_id, state, decision, head_digest, consumer_hash, envelope_digest)) AS manifest_digest FROM manifest_heads
+""")
 _STATE_SQL = """
 SELECT campaign_id, state, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_event_at, events, reconciled,
        CASE WHEN envelope_event IS NULL THEN '' WHEN envelope_event % 13 = 0 THEN 'replay' ELSE 'live' END AS mode, snapshots, receipts, head_digest
@@ -520,15 +541,7 @@ QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY sequence, chk, cons
     "e5_snapshot_delta": twin(_STATE_SQL.format("user_fold")),
     "e6_consumer_state": twin("SELECT * FROM present_consumers"),
     "e6_new_consumer_state": twin("SELECT * FROM final_new"),
-    "e7_manifest": twin("""
-SELECT f.campaign_id, f.state, CASE max(b.harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'READY_TO_RETIRE' END AS decision,
-       any_value(f.events) AS events, any_value(f.snapshots) AS snapshots, any_value(f.receipts) AS receipts, count(b.code) FILTER (WHERE b.harm > 1) AS blockers,
-       coalesce(any_value(c.n), 0) AS consumers, coalesce(any_value(c.closed), 0) AS closed, any_value(f.head_digest) AS head_digest,
-       CASE WHEN any_value(f.envelope_event) IS NULL THEN '' WHEN any_value(f.envelope_event) % 13 = 0 THEN 'replay' ELSE 'live' END AS evidence_mode
-FROM user_fold f LEFT JOIN final_blockers b USING (campaign_id)
-LEFT JOIN (SELECT campaign_id, count(*) AS n, count(*) FILTER (WHERE disposition IN ('VALIDATED', 'REMOVED', 'NOT_APPLICABLE')) AS closed
-           FROM present_consumers GROUP BY 1) c USING (campaign_id)
-GROUP BY f.campaign_id, f.state"""),
+    "e7_manifest": twin("SELECT * FROM manifest_rows"),
     "e7_manifest_entries": twin("""
 SELECT campaign_id, 'consumer' AS section, consumer_id AS entry, disposition AS value FROM present_consumers
 UNION ALL SELECT campaign_id, 'blocker', entry, code FROM final_blockers

@@ -70,7 +70,7 @@ QUERIES = {
     "i5_public_consumers": _Q(lambda t: r.public_consumers(consumers(t))),
     "i5_public_sources": _Q(lambda t: r.public_sources(source_limits(t))),
     "i6_campaign_summary": _Q(lambda t: r.campaign_summary(r.manifest(ep.log(t, False))).select(
-        "campaign_id", "decision", "blockers", "scope_statement")),
+        "campaign_id", "decision", "blockers", "evidence_envelope_digest", "manifest_digest", "scope_statement")),
 }
 
 view("metric_rows", f"""
@@ -87,14 +87,23 @@ UNION ALL SELECT 'pending_intents', '', count(*) FROM gate_attempts WHERE status
 UNION ALL SELECT 'active_claims', '', count(*) FROM events WHERE day(ts) <= 5
 """)
 
-_RECOVERY_SQL = ", ".join(f"('{k}', '{s}', '{a.replace(chr(39), chr(39) * 2)}')" for k, (s, a) in r.RECOVERY.items())
+# The texts a reader must find, written out apart from the operators'.
+_RECOVERY_SQL = """('EVIDENCE', 'evidence envelope', 'Refresh or restore the required source, verify complete pagination and freshness, then inventory or reconcile again.'),
+  ('IDENTITY', 'native identity mapping', 'Resolve exactly one native object for the consumer before planning a change.'),
+  ('VALIDATION', 'source-native validator', 'Fix the native validation failure and obtain a new passing receipt.'),
+  ('RECONCILIATION', 'fresh reconciliation', 'Refresh equivalent evidence scope and reconcile the complete observed set again.'),
+  ('POLICY', 'campaign policy', 'Resolve the named consumer state or policy input, then evaluate again.')"""
 
 ORACLES = {
-    "i1_campaign_rollup": twin(f"""
+    "i1_campaign_rollup": twin("""
 SELECT d.campaign_id, decision, coalesce(c.n, 0) AS consumers, coalesce(c.closed, 0) AS closed, coalesce(c.n - c.closed, 0) AS open, blockers, reviews,
        blockers + reviews AS conditions, coalesce(c.receipts, 0) AS receipts,
-       CASE WHEN decision = 'READY_TO_RETIRE' AND CAST(substr(d.campaign_id, 2) AS BIGINT) % 3 <> 0 THEN '{r.PUBLISH_FIRST}'
-            {" ".join(f"WHEN decision = '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in r.NEXT_ACTION.items())} END AS next_action
+       CASE WHEN decision = 'READY_TO_RETIRE' AND CAST(substr(d.campaign_id, 2) AS BIGINT) % 3 <> 0 THEN
+              'Publish and verify the campaign summary, then prepare one short-lived producer plan and run the gate.'
+            WHEN decision = 'READY_TO_RETIRE' THEN 'Prepare one short-lived producer plan and run the gate immediately before the producer change.'
+            WHEN decision = 'REVIEW_REQUIRED' THEN 'Resolve the recorded review requirement, preserve any residual risk, then reconcile and evaluate again.'
+            WHEN decision = 'BLOCKED' THEN 'Resolve the blocking evidence or authorization, then resume at the step named below.'
+            WHEN decision = 'UNSAFE' THEN 'Migrate or resolve every unsafe consumer, validate in its native system, then reconcile again.' END AS next_action
 FROM decisions_default d LEFT JOIN (SELECT campaign_id, count(*) AS n, count(*) FILTER (WHERE disposition IN ('VALIDATED', 'REMOVED', 'NOT_APPLICABLE')) AS closed,
   count(receipt_digest) AS receipts FROM receipted_consumers GROUP BY 1) c USING (campaign_id)"""),
     "i1_receipt_states": twin("""
@@ -128,8 +137,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY consumer_id
 SELECT campaign_id, 'declared-source-' || row_number() OVER (PARTITION BY campaign_id ORDER BY source_id) AS label, required, status,
        CASE WHEN k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 THEN '{WITHHELD}' ELSE 'page limit ' || k END AS limitation
 FROM (SELECT *, CAST(substr(campaign_id, 2) AS BIGINT) AS k FROM campaign_sources)"""),
-    "i6_campaign_summary": twin(f"""
-SELECT f.campaign_id, CASE max(b.harm) WHEN 3 THEN 'UNSAFE' WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'READY_TO_RETIRE' END AS decision,
-       count(b.code) FILTER (WHERE b.harm > 1) AS blockers,
-       '{r.SCOPE_STATEMENT}' AS scope_statement FROM user_fold f LEFT JOIN final_blockers b USING (campaign_id) GROUP BY f.campaign_id"""),
+    "i6_campaign_summary": twin("""
+SELECT campaign_id, decision, blockers, envelope_digest AS evidence_envelope_digest, manifest_digest,
+       'This decision is bounded by the recorded evidence envelope and does not claim universal safety.' AS scope_statement FROM manifest_rows"""),
 }

@@ -209,6 +209,20 @@ def scope(t: Tables) -> DataFrame:
     return s.scope_counterfactual(files(t), TOKEN)
 
 
+def repositories(t: Tables) -> DataFrame:
+    """Every source as a configured repository, two thirds of them required, and one that holds nothing for each."""
+    sources = t.documents.select(F.col("source").alias("repository_id")).distinct()
+    empty = sources.select(F.concat("repository_id", F.lit("-empty")).alias("repository_id"))
+    return sources.unionByName(empty).withColumn("required", F.length("repository_id") % 3 != 0)
+
+
+def scope_details(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return s.scope_detail(files(t), repositories(t), TOKEN, byte_bound=BYTE_BOUND)
+
+
+BYTE_BOUND = 20_000
+
+
 def redacted(t: Tables) -> DataFrame:
     """Text, secret and statement, the statement inside a list of structs."""
     nested = observations(t).select("doc", "text", "token", F.array(F.struct("statement")).alias("runs"))
@@ -220,6 +234,8 @@ QUERIES = {
     "b21_file_audit": _Q(lambda t: s.file_audit(registry(t), registry_files(t), URL)),
     "b21_archive_audit": _Q(archive_audit),
     "c13_scope_counterfactual": _Q(scope),
+    "c13_scope_detail": _Q(lambda t: scope_details(t)[0].withColumn("limitations", F.concat_ws(",", "limitations"))),
+    "c13_matched_paths": _Q(lambda t: scope_details(t)[1]),
     "c13_counterfactual_summary": _Q(lambda t: s.counterfactual_summary(scope(t), t.orders).select(
         "graph_consumers", "repository_matches", "complete", "minimum_additional", "graph_expands_inventory")),
     "c14_reference_scan": _Q(lambda t: s.reference_scan(files(t), TOKEN).select(
@@ -267,6 +283,14 @@ SELECT repository_id, count(*) AS inspected_files, count(*) FILTER (WHERE n > 0)
        count(*) FILTER (WHERE strlen(text) > 10485760) AS oversized_files,
        count(*) <= 10000 AND count(*) FILTER (WHERE strlen(text) > 10485760) = 0 AS complete
 FROM files_counted WHERE scanned GROUP BY 1"""),
+    "c13_scope_detail": twin(f"""
+SELECT r.repository_id, length(r.repository_id) % 3 <> 0 AS required, coalesce(f.n, 0) AS inspected_files, coalesce(f.hits, 0) AS matched_files,
+       f.n IS NOT NULL AND f.long = 0 AS complete, CASE WHEN f.n IS NULL THEN 'Repository holds no scanned file'
+         WHEN f.long > 0 THEN 'Repository file exceeded its bound on bytes' ELSE '' END AS limitations
+FROM (SELECT DISTINCT source AS repository_id FROM documents UNION ALL SELECT DISTINCT source || '-empty' FROM documents) r
+LEFT JOIN (SELECT repository_id, count(*) AS n, count(*) FILTER (WHERE n > 0) AS hits, count(*) FILTER (WHERE strlen(text) > {BYTE_BOUND}) AS long
+           FROM files_counted WHERE scanned GROUP BY 1) f USING (repository_id)"""),
+    "c13_matched_paths": twin("SELECT repository_id, path FROM files_counted WHERE scanned AND n > 0"),
     "c13_counterfactual_summary": twin("""
 SELECT g AS graph_consumers, m AS repository_matches, ok AS complete, CASE WHEN ok THEN greatest(0, g - m) END AS minimum_additional, ok AND g > m AS graph_expands_inventory
 FROM (SELECT (SELECT count(*) FROM orders) AS g, (SELECT count(*) FROM files_counted WHERE scanned AND n > 0) AS m,

@@ -17,20 +17,23 @@ QUERIES = {"op12_collocations": op12_collocations}
 ORACLES = {
     "op12_collocations": r"""
         WITH pieces AS (
-          SELECT coalesce(lang, 'und') AS lang,
-                 unnest(regexp_split_to_array(
-                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                   '[.,;:!?\x0A-\x0D]')) AS piece
-          FROM documents),
-        worded AS (
-          SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
-        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
-        grams AS (
-          SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS parts
-          FROM starts, (VALUES (1), (2), (3)) AS s(k) WHERE i + k - 1 <= len(w)),
-        f AS (SELECT lang, k, phrase, any_value(parts) AS parts, count(*) AS a FROM grams GROUP BY lang, k, phrase),
+          SELECT lang, row_number() OVER () AS piece_id,
+                 list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+          FROM (SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array(
+                         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)),
+        words AS (SELECT lang, piece_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM pieces),
+        runs AS (
+          SELECT lang, x, lead(x, 1) OVER p AS y, lead(x, 2) OVER p AS z
+          FROM words WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
+        f AS (
+          SELECT lang, 1 AS k, x AS phrase, count(*) AS a FROM runs GROUP BY ALL
+          UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM runs WHERE y IS NOT NULL GROUP BY ALL
+          UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM runs WHERE z IS NOT NULL GROUP BY ALL),
         totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-        c AS (SELECT * FROM f WHERE k >= 2 AND a >= 10),
+        c AS (SELECT *, string_split(phrase, ' ') AS parts FROM f WHERE k >= 2 AND a >= 10),
         cuts AS (
           SELECT c.lang, c.phrase, c.k, c.a, s.j,
                  array_to_string(c.parts[1:s.j], ' ') AS lp, array_to_string(c.parts[s.j + 1:c.k], ' ') AS rp

@@ -231,19 +231,20 @@ def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _segments(size: int, gram: int):
+    names = ["id", "start", "windows", "places", "anchor"]
+    types = [np.int64, np.int32, np.int32, np.int32, np.int64]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
             for row, held in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), strict=True):
                 found, grams = anchors(unpacked(held), size, gram)
                 first, many = segments_of(found)
                 places = 1 + anchor_repeats(grams, size - gram + 1, first, many)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(first), row)), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32)),
-                        pa.array(places.astype(np.int32)), pa.array(found[first].view(np.int64)),
-                    ],
-                    ["id", "start", "windows", "places", "anchor"],
-                )
+                rows.append((np.full(len(first), row), first, many, places, found[first].view(np.int64)))
+            if rows:
+                columns = [pa.array(np.concatenate(c).astype(t, copy=False)) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 

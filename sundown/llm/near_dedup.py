@@ -53,7 +53,7 @@ _EMPTY = np.empty(0, np.uint64)
 class _WordHashes(dict):
     """Hash of a word, remembered; starts anew when it grows beyond its bound."""
 
-    BOUND = 500_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

@@ -207,3 +207,19 @@ def test_stores_by_their_scheme():
     assert fs.storage_uri("file:///tmp/x") == fs.storage_uri("file:/tmp/x") == "/tmp/x" and fs.storage_uri("hdfs://n:1/x") == "hdfs://n:1/x"
     store, name = fs.opened("mock:///folder/file")
     assert store.type_name == "mock" and name == "folder/file"
+
+
+def test_small_files_share_tasks(spark, tmp_path, got):
+    for i in range(300):
+        with zipfile.ZipFile(tmp_path / f"d{i}.zip", "w") as archive:
+            archive.writestr("a", str(i))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a partition for every file
+    try:
+        found = fs.read_archives(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["path"]: r["sha256"] for r in rows} == {
+        f"d{i}.zip": hashlib.sha256((tmp_path / f"d{i}.zip").read_bytes()).hexdigest() for i in range(300)}
+    assert all(r["members"] == ["a"] for r in rows)

@@ -159,6 +159,15 @@ def test_table_diff_sees_both_sides(make, got):
     assert got(q.table_diff(actual, expected, "parity")) == [(3,)], "the one-sided chain misses the extra rows"
 
 
+def test_table_diff_deals_rows_before_it_sums_them(make, got):
+    actual, expected = make("k int, v double", (1, 0.0), (None, None), (2, 1.5), (2, 1.5)), make("k int, v double", (1, -0.0), (None, None), (2, 1.5))
+    diff = q.table_diff(actual, expected)
+    assert got(diff) == [(2, 1.5, "actual", 1)], "zeros of both signs and nulls are equal"
+    plan = diff._jdf.queryExecution().sparkPlan().toString()
+    first = plan[plan.rindex("HashAggregate"):]  # the innermost sums
+    assert "REPARTITION_BY_COL" in first
+
+
 def test_twins(make, got):
     a, b = make("x int, y string", (1, "a"), (2, None)), make("x int, y string", (2, None), (1, "a"))
     assert got(q.twins_equal({"t": a}, {"t": b})) == [("t", 2, 2, True)]

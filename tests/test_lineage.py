@@ -129,3 +129,24 @@ def test_freshness_and_merge(make, got):
     merged = e.merge_sources(make(kind, (1, "a", "X", True, "1"), (1, "b", "X", True, "1")), make(kind, (1, "b", "COMPLETE", True, "2"), (1, "c", "COMPLETE", True, "2")))
     assert got(merged, "source_id", "status") == [("a", "X"), ("b", "COMPLETE"), ("c", "COMPLETE")]
     assert got(e.envelope_header(merged)) == [(1, "2", 3, 1)]
+
+
+def test_items_are_made_without_interpreted_filters(make, got):
+    edges = make(
+        "upstream string, downstream string, precision string, up_field string, down_field string, observed boolean",
+        ("a", "b", "field", "x", "y", False), ("a", "b", "table", None, None, True), (None, "c", None, None, None, False))
+    items = g.graph_items(edges)
+    assert "filter(array(" not in items._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert got(g.tagged_differences(edges)) == [
+        ("edge", "a>b", "changed"), ("edge", "c", "missing"), ("field", "a#x>b#y", "missing"),
+        ("node", None, "missing"), ("node", "a", "same"), ("node", "b", "same"), ("node", "c", "missing")]
+
+
+def test_pairs_are_dealt_by_their_number(spark, make, tmp_path, got, monkeypatch):
+    from sundown.plans import lineage_plans
+    from sundown.sources.tables import Tables
+
+    make("l_suppkey bigint, l_partkey bigint", *[(i % 5, i % 7) for i in range(70)]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(lineage_plans, "TASK_ROWS", 10)
+    pairs = lineage_plans._pairs(Tables(spark, str(tmp_path)), "l_suppkey", "l_partkey")
+    assert pairs.count() == 35 and pairs.rdd.getNumPartitions() == 8

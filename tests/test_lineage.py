@@ -142,6 +142,15 @@ def test_items_are_made_without_interpreted_filters(make, got):
         ("node", None, "missing"), ("node", "a", "same"), ("node", "b", "same"), ("node", "c", "missing")]
 
 
+def test_inventory_is_not_made_distinct_for_its_semi_join(make, got):
+    campaigns, nodes = make("campaign_id int", (1,), (2,)), make(
+        "campaign_id int, unique_id string, resource_type string, declared_urn string", (1, "m", "model", "u"), (2, "n", "model", None))
+    inventory = make("campaign_id int, urn string", (1, "u"), (1, "u"), (2, None))
+    mapped = g.map_manifest_nodes(campaigns, nodes, inventory)
+    assert got(mapped, "campaign_id", "matches") == [(1, 1), (2, 0)]
+    assert mapped._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1  # per campaign only
+
+
 def test_pairs_are_dealt_by_their_number(spark, make, tmp_path, got, monkeypatch):
     from sundown.plans import lineage_plans
     from sundown.sources.tables import Tables

@@ -101,3 +101,12 @@ def test_conflicts(spark, tmp_path, got):
     conflicts = logs.stream_conflicts(logs.read_log(spark, str(tmp_path / "log")), "30 days")
     logs.write_updates(conflicts, str(tmp_path / "clash"), str(tmp_path / "cp2")).awaitTermination()
     assert got(spark.read.parquet(str(tmp_path / "clash")), "idempotency_key") == [("a1",)]
+
+
+def test_landed_files_grow_with_the_log(spark, make, tmp_path, monkeypatch):
+    from sundown.plans import streaming_plans as sp
+    from sundown.sources.tables import Tables
+
+    make("event_id bigint", *[(i,) for i in range(90)]).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(sp, "FILE_ROWS", 10)
+    assert sp.batch_files(Tables(spark, str(tmp_path))) == 3

@@ -3,13 +3,15 @@
 Distances of every vector to a fixed set of pivots are computed once. For a query q and a
 candidate x the triangle inequality gives |q - x| >= max over pivots |d(q, p) - d(x, p)|, so the
 inner product is at most (|q|^2 + |x|^2 - that^2) / 2. Within a block of candidates a query
-evaluates them in the order of that bound and stops when the next bound is below its k-th score.
+evaluates those with the largest bounds first, and then the others whose bound reaches the k-th
+score found.
 Blocks of candidates are cut by nearest pivot and distance. A query first searches the block it
 lies in itself, which gives it a k-th score to beat, its floor. The least and largest distances to
 each pivot within a block bound a whole pair of blocks, queries of the one and candidates of the
 other, in the same way: only pairs whose bound reaches the least floor are sent anywhere, and in
-them most candidates fall by their own bound. A task holds one pair, both of bounded size; what is
-left of every block is merged.
+them candidates fall by their own bound. Neighbouring blocks with few queries share the candidates
+sent to them. A task holds one block of candidates and as many queries at most; what is left of
+every block is merged.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ SCALE = 64
 PIVOTS = 24
 BLOCK_ROWS = 4_096
 SAMPLE_ROWS = 2_000  # from which the pivots are chosen
-STEP = 256  # candidates evaluated before the first look at the bound; twice as many before each later one
+STEP = 256  # candidates evaluated for a floor where there is none
+TILE = 32  # queries evaluated together
+SPARSE = 4  # so many times the candidates that the bounds leave are evaluated, if that is one product
 EXACT = float(1 << 53)  # sums of products below this are exact as doubles
 
 
@@ -66,37 +70,46 @@ def search_block(
     """
     out: list[tuple[int, int, int]] = []
     evaluated = 0
+    if not len(vectors):
+        return out, evaluated
     norms = (vectors**2).sum(1)
+    own = (queries**2).sum(1)
     # Cauchy and Schwarz: no sum of products is larger than the root of the norms' product.
-    largest = float(max(norms.max(initial=0), (queries**2).sum(1).max(initial=0)))
+    largest = float(max(norms.max(initial=0), own.max(initial=0)))
     table = np.ascontiguousarray(vector_pivots.T)
     points = vectors.astype(np.float64) if largest < EXACT else vectors
-    for q, query_id, own, floor in zip(queries.astype(points.dtype), query_ids, query_pivots, floors):
-        gap = np.zeros(len(vectors))
-        for row, distance in zip(table, own):
-            np.maximum(gap, np.abs(row - distance), out=gap)
+    asked = queries.astype(points.dtype)
+    for begin in range(0, len(queries), TILE):
+        tile = slice(begin, begin + TILE)
+        names, some = query_ids[tile], asked[tile]
+        gap = np.zeros((len(some), len(vectors)))
+        for row, distance in zip(table, query_pivots[tile].T):
+            np.maximum(gap, np.abs(row - distance[:, None]), out=gap)
         # A little more than the bound, for the rounding of the roots.
-        bound = np.floor((int((q**2).sum()) + norms - gap * gap * (1 - 1e-12)) / 2 + 1e-6)
-        open_ = np.flatnonzero(bound >= floor) if floor == floor else np.arange(len(bound))
-        order = open_[np.argsort(-bound[open_], kind="stable")]
-        best_scores, best_ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        begin, step = 0, STEP
-        while begin < len(order):
-            part = order[begin : begin + step]
-            if len(best_scores) >= k and bound[part[0]] < best_scores[-1]:
-                break
-            evaluated += len(part)
-            begin, step = begin + step, 2 * step
-            scores = (points[part] @ q).astype(np.int64)
-            least = best_scores[-1] if len(best_scores) >= k else floor if floor == floor else None
-            kept = ids[part] != query_id
-            if least is not None:
-                kept &= scores >= least
-            part, scores = part[kept], scores[kept]
-            scores, names = np.concatenate([best_scores, scores]), np.concatenate([best_ids, ids[part]])
-            first = np.lexsort((names, -scores))[:k]
-            best_scores, best_ids = scores[first], names[first]
-        out.extend((int(query_id), int(i), int(s)) for i, s in zip(best_ids, best_scores))
+        bound = np.floor((own[tile, None] + norms - gap * gap * (1 - 1e-12)) / 2 + 1e-6)
+        least = floors[tile].astype(np.float64)
+        for i in np.flatnonzero(np.isnan(least)):
+            # The k-th score of the candidates with the largest bounds is a floor for the others.
+            first = np.argpartition(-bound[i], STEP - 1)[:STEP] if len(vectors) > STEP else np.arange(len(vectors))
+            scores = (points[first] @ some[i])[ids[first] != names[i]]
+            evaluated += len(first)
+            if len(scores) >= k:
+                least[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+        if points.dtype != np.float64:
+            least -= np.abs(least) * 1e-15  # a score beyond ``EXACT`` may have been rounded up
+        open_ = ~(bound < least[:, None])
+        held = np.flatnonzero(open_.any(0))
+        # One product for the tile, unless its queries look for different candidates.
+        together = len(held) * len(some) <= SPARSE * np.count_nonzero(open_)
+        scores = some @ points[held].T if together else None
+        evaluated += scores.size if together else int(np.count_nonzero(open_))
+        for i, name in enumerate(names):
+            part = held if together else np.flatnonzero(open_[i])
+            found = scores[i] if together else points[part] @ some[i]
+            kept = ~(found < least[i]) & (ids[part] != name)
+            part, found = part[kept], found[kept].astype(np.int64)
+            best = np.lexsort((ids[part], -found))[:k]
+            out.extend(zip([int(name)] * len(best), ids[part[best]].tolist(), found[best].tolist()))
     return out, evaluated
 
 
@@ -185,21 +198,24 @@ def top_k(
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     def searched(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.groupBy("q_block", "block").cogroup(right.groupBy("q_block", "block")).applyInPandas(
+        return left.groupBy("q_group", "block").cogroup(right.groupBy("q_group", "block")).applyInPandas(
             search, "query_id bigint, vec_id bigint, score bigint"
         )
 
     # Alone in its own block: at most BLOCK_ROWS queries a block.
     none = F.lit(None).cast("double")
     home = cut_lineage(searched(
-        asked.withColumns({"q_block": F.col("block"), "floor": none}), candidates.withColumn("q_block", F.col("block"))
+        asked.withColumns({"q_group": F.col("block"), "floor": none}), candidates.withColumn("q_group", F.col("block"))
     ))
     floors = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select(
         F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).cast("double").alias("floor")
     )
     left = cut_lineage(asked.join(floors, "id", "left").withColumnRenamed("block", "q_block"))
+    most = left.groupBy("q_block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    group = F.floor(F.col("q_block") / max(1, BLOCK_ROWS // most)).cast("int")
     pairs = cut_lineage(block_pairs(left, candidates, blocks).filter("q_block <> block"))
-    away = searched(left.join(pairs, ["q_block", "width"]), candidates.join(pairs, ["block", "width"]))
+    sent = cut_lineage(pairs.select(group.alias("q_group"), "block", "width").distinct())
+    away = searched(left.join(pairs, ["q_block", "width"]).withColumn("q_group", group), candidates.join(sent, ["block", "width"]))
     best = home.unionByName(away)
     ranked = best.groupBy("query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best")

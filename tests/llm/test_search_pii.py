@@ -51,6 +51,37 @@ def test_bound_eliminates_most_candidates():
         assert [(-s, i) for qq, i, s in found if qq == q] == want
 
 
+class Counted(np.ndarray):
+    """Counts products."""
+
+    calls = 0
+
+    def __matmul__(self, other):
+        Counted.calls += 1
+        return np.asarray(self) @ np.asarray(other)
+
+
+def test_queries_that_no_bound_helps_are_evaluated_together():
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-40, 40, (4000, 64))
+    table = top_k._distances(vectors, top_k.choose_pivots(vectors[:500]))
+    ids, counted = np.arange(4000), vectors.view(Counted)
+    found, _ = top_k.search_block(counted[:200], ids[:200], table[:200], np.full(200, 20_000.0), counted, ids, table, 20)
+    assert 0 < Counted.calls <= 20
+    for q in range(0, 200, 33):
+        want = sorted((-int(s), i) for i, s in enumerate(vectors @ vectors[q]) if i != q and s >= 20_000)[:20]
+        assert [(-s, i) for qq, i, s in found if qq == q] == want
+
+
+def test_scores_beyond_exact_doubles():
+    vectors = np.array([[1 << 30, 3], [(1 << 30) + 1, 5], [1 << 30, 4], [-7, 1]] + [[i, 0] for i in range(600)], np.int64)
+    table = top_k._distances(vectors, top_k.choose_pivots(vectors, 1))
+    found, _ = top_k.search_block(vectors[:3], np.arange(3), table[:3], np.full(3, np.nan), vectors, np.arange(604), table, 2)
+    for q in range(3):
+        want = sorted((-int(s), i) for i, s in enumerate(vectors @ vectors[q]) if i != q)[:2]
+        assert [(-s, i) for qq, i, s in found if qq == q] == want
+
+
 KEY = b"test key"
 TEXT = "Herr Schmidt (bob.Smith9@mail.example.com) rang +1 (663) 555-6869 from 10.2.3.4, card 4111 1111 1111 1111, token = \"1eb9c0ff12\". Frau Schmidt und Госп"
 

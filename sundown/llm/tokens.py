@@ -3,7 +3,7 @@
 No token of the word tokenizer spans white space, so a text is encoded word by word, each distinct
 word once per worker: ids come from the tokenizers library, and a text is a join of remembered
 byte strings. Words of letters go through the library's normaliser and byte alphabet to the
-vocabulary's model; all others through the whole tokenizer.
+vocabulary's model, marks that follow them are looked up apart; all others go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -25,16 +25,21 @@ from sundown.llm.common import raw_text
 from sundown.session import ensure_checkpoint_dir
 
 END_ID = 1
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII but letters, digits and the apostrophe, which may begin a unit with letters
+_PAST_LATIN = "\u0100"  # no character below it is composed with another below it
+
+
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder(dict):
     """``encoder.encode(text)``: the ids of a text as little-endian unsigned 32-bit integers."""
 
-    BOUND = 600_000  # remembered words; then it starts anew
+    BOUND = 200_000  # remembered words; when there are more, they become those ``before``, and the ones before go
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -46,33 +51,50 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.normalise = self.tokenizer.normalizer.normalize_str
         self.byte_letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.stop = self._whole(".")
-        self.comma = self._whole(",")
+        self.latin = {i: self.byte_letters(chr(i))[0][0] for i in range(128, 256)}
+        self.before: dict[bytes, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def _letters(self, word: str) -> bytes | None:
-        """Ids of a word that is one unit of letters, None if it isn't."""
-        if not word.isascii():  # lower-cased ASCII letters are normal, and stand for their own bytes
-            word = self.normalise(word)
-            if not word.isalpha():
-                return None
-            word = self.byte_letters(word)[0][0]
+    def _unit(self, word: str) -> bytes:
+        """Ids of a unit as the byte alphabet writes it."""
         return _packed([t.id for t in self.model.tokenize(word)])
 
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a lower-cased word that is one unit of letters, None if it isn't."""
+        if max(word) < _PAST_LATIN and word == word.lower():  # normal; ASCII letters even stand for their own bytes
+            return self._unit(word.translate(self.latin))
+        word = self.normalise(word)
+        return self._unit(self.byte_letters(word)[0][0]) if word.isalpha() else None
+
+    def _encoded(self, word: bytes) -> bytes:
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha():  # ASCII
+            if len(letters) < len(word):  # marks after letters are a unit of their own
+                return self[letters] + self[word[len(letters) :]]
+            lower = word.lower()
+            return self[lower] if lower != word else self._unit(word.decode())
+        text = letters.decode("utf-8", "replace")
+        ids = None
+        if text.isalpha():
+            # Case is folded here only where that is the library's way: one letter becomes one letter.
+            latin = max(text) < _PAST_LATIN
+            if len(letters) < len(word):
+                if latin or self.normalise(text).isalpha():
+                    return self[letters] + self[word[len(letters) :]]
+            else:
+                lower = text.lower().encode() if latin else word.lower()
+                ids = self[lower] if lower != word else self._letters(text)
+        return self._whole(word.decode("utf-8", "replace")) if ids is None else ids
+
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self._encoded(word)
         if len(self) >= self.BOUND:
+            self.before = dict(self)
             self.clear()
-        text = word.decode("utf-8", "replace")
-        ids = None
-        if text[-1:] in (".", ",") and text[:-1].isalpha():
-            ids = self[word[:-1]] + (self.stop if text[-1] == "." else self.comma)
-        elif text.isalpha():
-            lower = word.lower()
-            ids = self[lower] if lower != word else self._letters(text)
-        if ids is None:
-            ids = self._whole(text)
         self[word] = ids
         return ids
 

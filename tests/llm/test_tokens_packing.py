@@ -29,6 +29,27 @@ def test_special_words():
         assert np.frombuffer(ENCODER.encode(text.encode()), "<u4").tolist() == ids_of(text)
 
 
+def test_words_with_marks_and_latin_letters():
+    words = ["Straße,", "ÉCOLE!!", "mañana&&&", "µÿß", "don't!", "a_b", "x--", "Σας.", "İ.", "é\u0301,", "e\u0301", "abc<|endoftext|>", "abc<|", "ab\u00d7", "na\u0308.", "9,9.", "K.", "ŉ,", "ſ;"]
+    for word in words:
+        assert np.frombuffer(ENCODER.encode(word.encode()), "<u4").tolist() == ids_of(word)
+    assert np.frombuffer(ENCODER.encode(b"ab\xff,"), "<u4").tolist() == ids_of("ab\ufffd,")
+
+
+def test_words_with_marks_miss_the_whole_tokenizer_and_common_words_outlive_the_bound(monkeypatch):
+    fresh = tokens.Encoder(PATH)
+    whole = []
+    monkeypatch.setattr(fresh, "_whole", lambda word, real=fresh._whole: whole.append(word) or real(word))
+    monkeypatch.setattr(tokens.Encoder, "BOUND", 8)
+    for i in range(60):
+        letters = chr(97 + i % 26) * (1 + i // 26)
+        text = f"same {letters}ño&&& {letters}."
+        assert np.frombuffer(fresh.encode(text.encode()), "<u4").tolist() == ids_of(text)
+        assert len(fresh) <= 8 and len(fresh.before) <= 8
+    assert set(whole) == {"&&&", "."}
+    assert b"same" in fresh or b"same" in fresh.before
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_holds_exactly_the_pieces(histogram):

@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sundown.llm.common import SPACE, cut_bucketed, map_batches, raw_text
-from sundown.session import cut_lineage
+from sundown.llm.common import SPACE, map_batches, raw_text
+from sundown.session import cut_bucketed, cut_lineage
 
 WORDS = 35
 GRAM = 8  # words of an anchor

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,33 @@ def test_closure(make, got):
     assert g.downstream_closure(edges, make("start string", ("q",)), 3).count() == 0
 
 
+def test_marked_closure_equals_two_walks(make, got):
+    rng = random.Random(11)
+    names = [*"abcdefghijklmnop", None]
+    schema = "upstream string, downstream string, precision string"
+    for strict, hops in ((False, 4), (True, 2), (True, 4), (False, 1)):
+        rows = [(rng.choice(names), rng.choice(names), rng.choice(["field", "table", None])) for _ in range(36)]
+        # d is reached the short way first, and by field edges only later; beyond it lie a missing node and one more.
+        rows += [("a", "d", "table"), ("a", "q", "field"), ("q", "d", "field"), ("d", None, "field"), ("d", "z", "field")]
+        edges, start = make(schema, *rows), make("start string", ("a",), ("b",), ("a",), (None,))
+        by_field = F.col("precision") == "field"
+        every, field = g.downstream_closure(edges, start, hops, strict), g.downstream_closure(edges.filter(by_field), start, hops, strict)
+        once = g.downstream_closure(edges, start, hops, strict, marked=by_field)
+        assert got(once, "start", "node", "degree", "bucket") == got(every, "start", "node", "degree", "bucket")
+        assert got(g.classify_consumers(once, None, "f")) == got(g.classify_consumers(every, field, "f"))
+
+
+def test_a_hop_shuffles_no_edges(spark, make, monkeypatch):
+    plans, cut = [], g.cut_lineage
+    monkeypatch.setattr(g, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g.downstream_closure(make("upstream string, downstream string", *EDGES), make("start string", ("a",)), 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 3 and not any("hashpartitioning(upstream" in p for p in plans)
+
+
 def test_classify_pick_and_recall(make, got):
     edges = make("upstream string, downstream string, precision string, up_field string, down_field string",
                  ("t", "m", "field", "f", "f"), ("t", "b", "table", None, None), ("m", "s", "field", "f", "f"))

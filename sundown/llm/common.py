@@ -48,6 +48,16 @@ def cut_small(df: DataFrame, rows: int) -> DataFrame:
     return cut_lineage(df.coalesce(tasks) if tasks < most else df)
 
 
+def together(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as one partition if its about ``rows`` rows are what a task takes: then groupings need no shuffle."""
+    return df.coalesce(1) if rows <= ROWS_A_TASK else df
+
+
+def _beside(df: DataFrame, rows: int) -> DataFrame:
+    """The other side of a join of tables that :func:`together` made one partition: neither shuffled nor broadcast."""
+    return df.hint("merge") if rows <= ROWS_A_TASK else df
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id that occurs in an edge with the smallest id reachable from it.
 
@@ -55,40 +65,44 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     are contracted. The first round's order is the plain hash of the id, so stars whose centre
     was chosen by it close at once; later ones are fresh, and a long chain shrinks by a constant
     factor a round. Hubs are summed up before they are shuffled, and the tables of a round lie in
-    the shared folder.
+    the shared folder. As soon as the edges left are as few as a task takes, a round's steps are one
+    task each, whatever the number of shuffle partitions.
     """
     current = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    left = current.count()
+    first_left = left = current.count()
     nodes = 2 * left
-    labels = cut_small(
-        current.select(F.col("u").alias("id")).union(current.select("v")).distinct().withColumn("component", F.col("id")), nodes
-    )
+    current = together(current, left)
+    labels = together(cut_small(
+        current.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")), nodes
+    ), first_left)
     round_ = 0
     while left:
-        both = current.union(current.select("v", "u"))
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = current.select(F.explode(ways).alias("way")).select("way.u", "way.v")
 
         def rank(name: str) -> Column:
             hashed = F.xxhash64(name, F.lit(round_)) if round_ else F.xxhash64(name)
             return F.struct(hashed.alias("h"), F.col(name).alias("n"))
 
-        moves = cut_small(
+        moves = together(cut_small(
             both.groupBy("u")
             .agg(F.min(rank("v")).alias("best"))
             .filter(F.col("best") < rank("u"))
             .select("u", F.col("best.n").alias("to")),
             2 * left,
-        )
-        labels = cut_small(
-            labels.join(moves, labels.component == moves.u, "left")
+        ), left)
+        labels = together(cut_small(
+            labels.join(_beside(moves, first_left), labels.component == moves.u, "left")
             .select("id", F.coalesce("to", "component").alias("component")),
             nodes,
-        )
-        first = current.join(moves, "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
-        moved = moves.select(F.col("u").alias("v"), "to")
-        current = cut_small(
+        ), first_left)
+        first = current.join(_beside(moves, left), "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
+        moved = _beside(moves.select(F.col("u").alias("v"), "to"), left)
+        current = together(cut_small(
             first.join(moved, "v", "left").select("u", F.coalesce("to", "v").alias("v")).filter("u <> v").distinct(), left
-        )
+        ), left)
         left = current.count()
+        current = together(current, left)
         round_ += 1
     least = labels.groupBy("component").agg(F.min("id").alias("least"))
-    return labels.join(least, "component").select("id", F.col("least").alias("component"))
+    return labels.join(_beside(least, first_left), "component").select("id", F.col("least").alias("component"))

@@ -1,7 +1,7 @@
 import numpy as np
 from brute import near_components
 
-from sundown.llm import exact_dedup, near_dedup
+from sundown.llm import common, exact_dedup, near_dedup
 from sundown.llm.common import connected_components
 
 LONG = " ".join(f"w{i}" for i in range(6000))
@@ -60,6 +60,30 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_rounds_over_few_edges_shuffle_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(int(x), int(y)) for x, y in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    parent = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def top(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for x, y in edges:
+        if x != y:
+            parent[max(top(x), top(y))] = min(top(x), top(y))
+    plans = []
+    cut = common.cut_small
+    monkeypatch.setattr(common, "cut_small", lambda df, rows: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, rows))
+    for most in (common.ROWS_A_TASK, 0):  # as one partition, and as many
+        monkeypatch.setattr(common, "ROWS_A_TASK", most or 1)
+        plans.clear()
+        found = connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert {r["id"]: r["component"] for r in found.collect()} == {n: top(n) for n in parent}
+        assert len(plans) > 3 and any("Exchange" in p for p in plans) == (not most)
+
+
 def test_near_groups_equal_brute_force(spark, make):
     base = words(120).split()
     texts = {

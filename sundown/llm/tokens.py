@@ -48,7 +48,7 @@ class Encoder(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.normalise = self.tokenizer.normalizer.normalize_str
         self.byte_letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.latin = {i: self.byte_letters(chr(i))[0][0] for i in range(128, 256)}
@@ -59,7 +59,8 @@ class Encoder(dict):
 
     def _unit(self, word: str) -> bytes:
         """Ids of a unit as the byte alphabet writes it."""
-        return _packed([t.id for t in self.model.tokenize(word)])
+        ids = [t.id for t in self.tokenize(word)]
+        return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else _packed(ids)
 
     def _letters(self, word: str) -> bytes | None:
         """Ids of a lower-cased word that is one unit of letters, None if it isn't."""
@@ -102,14 +103,20 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_encoders: dict[str, Encoder] = {}
+class FileEncoder(Encoder):
+    """For tasks that write token files: their workers hold no other caches, so twice the words are remembered."""
 
+    BOUND = 400_000
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+
+_encoders: dict[tuple[str, type[Encoder]], Encoder] = {}
+
+
+def encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
+    """One encoder of a kind per worker and vocabulary file."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = kind(path)
+    return _encoders[path, kind]
 
 
 def crc32_of(ids: np.ndarray | bytes) -> int:
@@ -132,7 +139,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, FileEncoder).encode
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):

@@ -50,6 +50,19 @@ def test_words_with_marks_miss_the_whole_tokenizer_and_common_words_outlive_the_
     assert b"same" in fresh or b"same" in fresh.before
 
 
+def test_token_files_are_written_with_the_longer_memory(monkeypatch):
+    again = []
+    files = tokens.encoder(PATH, tokens.FileEncoder)
+    assert files is tokens.encoder(PATH, tokens.FileEncoder) and files is not tokens.encoder(PATH)
+    monkeypatch.setattr(tokens.FileEncoder, "BOUND", 60)
+    monkeypatch.setattr(files, "tokenize", lambda word, real=files.tokenize: again.append(word) or real(word))
+    text = " ".join(f"{chr(97 + i % 26)}q{'z' * (i // 26)}" for i in range(60))
+    for _ in range(2):
+        assert np.frombuffer(files.encode(text.encode()), "<u4").tolist() == ids_of(text)
+    assert len(again) == 60  # what is remembered is not encoded again
+    assert tokens.Encoder.BOUND < 400_000  # packing, beside other caches, keeps its own
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_holds_exactly_the_pieces(histogram):

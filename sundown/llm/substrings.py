@@ -12,10 +12,12 @@ A window is ``words`` consecutive words of one text. It goes if its words also s
    its windows are dealt singly by their own hash, those that occur once left out.
 4. Each shard builds an FM-index over its segments: suffix order by prefix doubling, the
    Burrows-Wheeler transform in a wavelet matrix, word numbers from the shard's own dictionary.
-   Its segments are streamed through it, all in lockstep from their last word to their first, and
-   the weight of a match's suffix interval counts its occurrences. A match that stays at two and
-   more reaches window after window in one step each; one that falls below rules out every window
-   that holds it, and the search goes on before them. Runs of windows found twice are reported.
+   Stretches of its segments are streamed through it, all in lockstep from their last word to
+   their first, and the weight of a match's suffix interval counts its occurrences. The interval of
+   a match's last ``SEED`` words is known from the suffix order, from there on each word is a step.
+   A match that stays at two and more reaches window after window in one step each; one that falls
+   below rules out every window that holds it, and the search goes on before them. Runs of windows
+   found twice are reported.
 5. The runs are laid over the texts and the words that they cover are removed.
 
 Words are compared as they are, so two different windows never count as equal; hashes only decide
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,55 +48,104 @@ SEGMENT_WINDOWS = 1_024
 SHARD_BYTES = 4 << 20
 HOT_BYTES = 1 << 20
 BATCH_BYTES = 16 << 20
-CHUNK = 65_536
+TEXT_BYTES = 1 << 20  # of texts whose anchors are found together
+LONG_WORD = 256  # bytes
+SEED = 16  # last words of a match, which the index looks up at once
+STRETCH = 64  # windows of one search
+CHUNK = 8_192
 
 _MIX = np.random.default_rng(35_012).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    BOUND = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def anchors(words: list[bytes], size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of every window, and the hash of every gram."""
-    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    grams = np.zeros(len(words) - gram + 1, np.uint64)
+# Masks of a word's last bytes, by their number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
+
+
+class Words:
+    """Texts of words, joined by one space: the place of every word, and each text's first word."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.joined = b" ".join(texts)
+        self.bytes = np.frombuffer(self.joined + bytes(8), np.uint8)
+        spaces = np.flatnonzero(self.bytes[:-8] == 32)
+        self.starts = np.concatenate([[0], spaces + 1])
+        self.ends = np.append(spaces, len(self.joined))
+        self.texts = np.searchsorted(self.starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+
+    def span(self, first: int, after: int) -> bytes:
+        """Some consecutive words of one text."""
+        return self.joined[self.starts[first] : self.ends[after - 1]]
+
+    def hashes(self) -> np.ndarray:
+        """A hash of every word, eight of its bytes at a time."""
+        eight = np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, strides=(1,))
+        at, left = self.starts, self.ends - self.starts
+        out, rest = left.astype(np.uint64) * _MIX[-2], np.arange(len(left))
+        for _ in range(LONG_WORD // 8):
+            mixed = (out[rest] ^ (eight[at] & _BYTES[np.minimum(left, 8)])) * _MIX[-1]
+            out[rest] = mixed ^ (mixed >> np.uint64(31))
+            more = left > 8
+            rest, at, left = rest[more], at[more] + 8, left[more] - 8
+            if not len(rest):
+                break
+        for word, start, many in zip(rest.tolist(), at.tolist(), left.tolist(), strict=True):
+            out[word] ^= np.uint64(xxhash.xxh3_64_intdigest(self.joined[start : start + many]))
+        return out
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` consecutive values."""
+    count, held = len(values) - width + 1, 1
+    while 2 * held <= width:
+        values = np.minimum(values[:-held], values[held:])
+        held *= 2
+    return np.minimum(values[:count], values[width - held : width - held + count])
+
+
+def anchors(words: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of every window, and the hash of every gram, as if the texts were one."""
+    hashed = words.hashes()
+    grams = np.zeros(len(hashed) - gram + 1, np.uint64)
     for k in range(gram):
-        grams = (grams ^ hashed[k : k + len(grams)]) * _MIX[k]
+        grams ^= hashed[k : k + len(grams)]
+        grams *= _MIX[k]
         grams ^= grams >> np.uint64(31)
-    width = size - gram + 1
-    out = np.empty(len(words) - size + 1, np.uint64)
-    for start in range(0, len(out), CHUNK):
-        view = np.lib.stride_tricks.sliding_window_view(grams[start : start + CHUNK + width - 1], width)
-        out[start : start + CHUNK] = view.min(axis=1)
-    return out, grams
-
-
-def segments_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each segment."""
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    many = np.diff(np.append(first, len(found)))
+    return least(grams, size - gram + 1), grams
+
+
+def segments_of(found: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window and number of windows of each segment; ``texts`` are the texts' first words and the end of the last."""
+    change = np.empty(len(found), bool)
+    change[0] = True
+    np.not_equal(found[1:], found[:-1], out=change[1:])
+    change[texts[:-1]] = True
+    # Windows that reach into the next text are none.
+    edge = np.zeros(len(found) + 1, np.int8)
+    edge[texts[1:-1] - size + 1] = 1
+    edge[texts[1:-1]] -= 1
+    change &= np.cumsum(edge[:-1], dtype=np.int8) == 0
+    first = np.flatnonzero(change)
+    text = np.searchsorted(texts, first, "right") - 1
+    many = np.minimum(np.append(first[1:], len(found)), texts[text + 1] - size + 1) - first
     if many.max() > SEGMENT_WINDOWS:
-        cut = [np.arange(f, f + m, SEGMENT_WINDOWS) for f, m in zip(first, many, strict=True)]
-        first = np.concatenate(cut)
-        many = np.diff(np.append(first, len(found)))
-    return first, many
+        pieces = -(-many // SEGMENT_WINDOWS)
+        piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        text, first, many = (np.repeat(a, pieces) for a in (text, first, many))
+        first, many = first + piece * SEGMENT_WINDOWS, np.minimum(many - piece * SEGMENT_WINDOWS, SEGMENT_WINDOWS)
+    return text, first, many
 
 
 def anchor_repeats(grams: np.ndarray, width: int, first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Whether a segment's anchor stands at more than one place of it: then even its own windows may be equal."""
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    last = first + many - 1
-    return first + view[first].argmin(axis=1) != last + width - 1 - view[last][:, ::-1].argmin(axis=1)
+    out = np.empty(len(first), bool)
+    for start in range(0, len(first), CHUNK):
+        begin = first[start : start + CHUNK]
+        last = begin + many[start : start + CHUNK] - 1
+        out[start : start + CHUNK] = begin + view[begin].argmin(axis=1) != last + width - 1 - view[last][:, ::-1].argmin(axis=1)
+    return out
 
 
 class WaveletMatrix:
@@ -116,7 +168,7 @@ class WaveletMatrix:
     def _down(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for shift, packed, before, zeros in self.levels:
             word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = before[word] + np.bitwise_count(packed[word] & _BELOW[at & 63])
             at = np.where((symbols >> shift) & 1, zeros + ones, at - ones)
         return at
 
@@ -125,38 +177,59 @@ class WaveletMatrix:
         return self._down(symbols, at) - self.starts[symbols]
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of ``text``; every 0 ends a segment and is smaller than all words and than the zeros after it."""
-    ends = text == 0
+def suffix_order(text: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted suffixes of ``text``; every 0 ends a segment and is smaller than all words and than the zeros after it.
+
+    With it, for each place, the interval of the suffixes that begin with the same ``seed`` words.
+    Suffixes are ordered by their first few words, then by twice as many; those that stand alone stay where they are.
+    """
+    size, ends = len(text), text == 0
     count = int(ends.sum())
-    rank = np.where(ends, np.cumsum(ends) - 1, text + count - 1)
-    step, size = 1, len(text)
+    symbols = np.where(ends, np.cumsum(ends), text + count)
+    bits = int(symbols.max()).bit_length()
+    depth = max(1, min(62 // bits, seed))
+    key = symbols.copy()
+    for k in range(1, min(depth, size)):
+        key <<= bits
+        key[: size - k] |= symbols[k:]
+    order = np.argsort(key)
+    key = key[order]
+    slots = np.arange(size)  # of the suffixes that share their place with others
+    rank, after = np.empty(size, np.int64), np.empty(size, np.int64)
+    low = high = None
     while True:
-        follower = np.zeros(size, np.int64)
-        follower[: size - step] = rank[step:] + 1
-        key = rank * (rank.max() + 2) + follower
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(size, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if rank[order[-1]] == size - 1:
-            return order
-        step *= 2
-        if step >= size:
-            return order
+        # Groups of equal keys: a suffix's rank is the first slot of its group.
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.append(first, len(key)))
+        members = order[slots]
+        rank[members] = np.repeat(slots[first], many)
+        after[members] = np.repeat(slots[first] + many, many)
+        if depth >= seed and low is None:
+            low, high = rank.copy(), after.copy()
+        slots = slots[np.repeat(many > 1, many)]
+        if not len(slots):
+            return (order, rank, after) if low is None else (order, low, high)
+        members = order[slots]
+        step = min(depth, seed - depth) if depth < seed else depth
+        key = rank[members] * size + rank[members + step]
+        way = np.argsort(key)
+        order[slots], key = members[way], key[way]
+        depth += step
 
 
 class FmIndex:
-    """Weighted counts of word sequences in segments of word numbers (from 1)."""
+    """Weighted counts of word sequences in segments of word numbers (from 1); ``seed`` words of a match are looked up at once."""
 
-    def __init__(self, segments: list[np.ndarray], weights: np.ndarray) -> None:
+    def __init__(self, segments: list[np.ndarray], weights: np.ndarray, seed: int = 1) -> None:
         lengths = np.array([len(s) for s in segments])
         self.ends = np.cumsum(lengths + 1) - 1
         self.starts = self.ends - lengths
+        self.seed = seed
         self.text = np.zeros(int(self.ends[-1]) + 1, np.int64)
-        for start, segment in zip(self.starts, segments, strict=True):
-            self.text[start : start + len(segment)] = segment
-        order = suffix_order(self.text)
+        words = np.ones(len(self.text), bool)
+        words[self.ends] = False
+        self.text[words] = np.concatenate(segments)
+        order, self.low, self.high = suffix_order(self.text, seed)
         known = int(self.text.max()) + 1
         self.matrix = WaveletMatrix(self.text[order - 1], max(1, (known - 1).bit_length()))  # before the first word stands an end
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=known))])
@@ -170,16 +243,18 @@ class FmIndex:
 
     def repeated(self, size: int, least: int = 2) -> np.ndarray:
         """Whether ``size`` words from each place of the text occur in total weight ``least`` or more."""
+        if self.seed > size:
+            raise ValueError("a seed lies inside the window")
         found = np.zeros(len(self.text), bool)
-        start = self.starts.copy()
-        window = self.ends - size  # the window to decide
-        last = self.ends - 1  # last word of the match
-        open_ = window >= start
-        start, window, last = start[open_], window[open_], last[open_]
-        at = last.copy()
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.text), np.int64)
+        # A search decides a stretch of a segment's windows, from the last to the first.
+        stretches = np.maximum(self.ends - size - self.starts + STRETCH, 0) // STRETCH
+        start = np.repeat(self.starts, stretches)
+        start += STRETCH * (np.arange(len(start)) - np.repeat(np.cumsum(stretches) - stretches, stretches))
+        window = np.minimum(start + STRETCH - 1, np.repeat(self.ends - size, stretches))  # the window to decide
+        last = window + size - 1  # last word of the match
+        at = last - self.seed + 1
+        low, high = self.low[at], self.high[at]
         while len(at):
-            low, high = self.extend(self.text[at], low, high)
             often = self.weight[high] - self.weight[low] >= least
             full = often & (at == window)
             found[window[full]] = True
@@ -188,34 +263,34 @@ class FmIndex:
             short = rare & (last - at < size)
             window = np.where(full, window - 1, np.where(short, last - size, window))
             last = np.where(rare, window + size - 1, last)
-            at = np.where(rare, last, at - 1)
-            low, high = np.where(rare, 0, low), np.where(rare, len(self.text), high)
+            at = np.where(rare, last - self.seed + 1, at - 1)
             going = window >= start
             if not going.all():
-                start, window, last, at, low, high = (a[going] for a in (start, window, last, at, low, high))
+                start, window, last, at, low, high, often = (a[going] for a in (start, window, last, at, low, high, often))
+            again, on = np.flatnonzero(~often), np.flatnonzero(often)
+            low[again], high[again] = self.low[at[again]], self.high[at[again]]
+            low[on], high[on] = self.extend(self.text[at[on]], low[on], high[on])
         return found
 
 
-def repeated_runs(contents: list[bytes], weights: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
-    """(segment, first, last): runs of windows that occur twice or more, counted by weight."""
-    numbers: dict[bytes, int] = {}
-    segments = [np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in c.split(b" ")), np.int64) for c in contents]
-    index = FmIndex(segments, weights)
-    found = index.repeated(size)
-    edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
-    for first, after in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        owner = int(np.searchsorted(index.ends, first))
-        base = int(index.starts[owner])
-        yield owner, int(first) - base, int(after) - 1 - base
+def repeated_runs(contents: pa.Array, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first and last window of the runs of windows that occur twice or more, counted by weight."""
+    words = pc.split_pattern(contents, b" ")
+    numbers = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    segments = np.split(numbers, np.cumsum(pc.list_value_length(words).to_numpy())[:-1])
+    index = FmIndex(segments, weights, min(SEED, size))
+    edge = np.diff(np.concatenate([[0], index.repeated(size).astype(np.int8), [0]]))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    owner = np.searchsorted(index.ends, first)
+    return owner, first - index.starts[owner], last - index.starts[owner]
 
 
 def packed(words: bytes) -> bytes:
     return len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True)
 
 
-def unpacked(held: bytes) -> list[bytes]:
-    size = int.from_bytes(held[:8], "little")
-    return pa.decompress(held[8:], decompressed_size=size, codec="zstd", asbytes=True).split(b" ")
+def unpacked(held: bytes) -> bytes:
+    return pa.decompress(held[8:], decompressed_size=int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -234,17 +309,26 @@ def _segments(size: int, gram: int):
     names = ["id", "start", "windows", "places", "anchor"]
     types = [np.int64, np.int32, np.int32, np.int32, np.int64]
 
+    def found_in(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        words = Words(texts)
+        found, grams = anchors(words, size, gram)
+        text, first, many = segments_of(found, words.texts, size)
+        places = 1 + anchor_repeats(grams, size - gram + 1, first, many)
+        columns = [np.array(ids)[text], first - words.texts[text], many, places, found[first].view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t, copy=False)) for c, t in zip(columns, types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for row, held in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                found, grams = anchors(unpacked(held), size, gram)
-                first, many = segments_of(found)
-                places = 1 + anchor_repeats(grams, size - gram + 1, first, many)
-                rows.append((np.full(len(first), row), first, many, places, found[first].view(np.int64)))
-            if rows:
-                columns = [pa.array(np.concatenate(c).astype(t, copy=False)) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            ids, texts, held = [], [], 0
+            for row, value in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                ids.append(row)
+                texts.append(unpacked(value))
+                held += len(texts[-1])
+                if held >= TEXT_BYTES:
+                    yield found_in(ids, texts)
+                    ids, texts, held = [], [], 0
+            if ids:
+                yield found_in(ids, texts)
 
     return run
 
@@ -266,9 +350,9 @@ def _contents(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for row, held, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "held", "parts")), strict=True):
-                words = unpacked(held)
+                words = Words([unpacked(held)])
                 for p in sorted(parts, key=lambda p: p["start"]):
-                    content = b" ".join(words[p["start"] : p["start"] + p["windows"] + size - 1])
+                    content = words.span(p["start"], p["start"] + p["windows"] + size - 1)
                     yield row, p["start"], p["anchor"], hashlib.blake2b(content, digest_size=16).digest(), content
 
     names = ["id", "start", "anchor", "segment", "content"]
@@ -302,12 +386,8 @@ def _window_contents(size: int):
 
 def _searched(size: int):
     def run(table: pa.Table) -> pa.Table:
-        names = table.column("segment").to_pylist()
-        runs = list(repeated_runs(table.column("content").to_pylist(), table.column("copies").to_numpy(), size))
-        return pa.table({
-            "segment": pa.array([names[o] for o, _, _ in runs], pa.binary()),
-            "first": pa.array([f for _, f, _ in runs], pa.int64()), "last": pa.array([l for _, _, l in runs], pa.int64()),
-        })
+        owner, first, last = repeated_runs(table.column("content").combine_chunks(), table.column("copies").to_numpy(), size)
+        return pa.table({"segment": table.column("segment").take(pa.array(owner)), "first": pa.array(first), "last": pa.array(last)})
 
     return run
 
@@ -379,12 +459,14 @@ def _kept(size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, digests, texts = [], [], []
         for held, runs in zip(batch.column("held").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            words = unpacked(held)
-            edge = np.zeros(len(words) + 1, np.int64)
+            words = Words([unpacked(held)])
+            edge = np.zeros(len(words.starts) + 1, np.int64)
             np.add.at(edge, [r["first"] for r in runs], 1)
             np.add.at(edge, [r["last"] + size for r in runs], -1)
             covered = np.cumsum(edge[:-1]) > 0
-            left = b" ".join([words[i] for i in np.flatnonzero(~covered)])
+            change = np.diff(np.concatenate([[0], ~covered, [0]]))  # stretches of words that stay
+            stay = zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True)
+            left = b" ".join([words.span(first, after) for first, after in stay])
             removed.append(int(covered.sum()))
             digests.append(hashlib.sha256(left).hexdigest())
             texts.append(left)

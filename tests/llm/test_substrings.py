@@ -114,3 +114,61 @@ def test_very_long_periodic_text_and_an_empty_table(spark, make):
     rows = [(1, "a b c " * 20_000), (2, " ".join(f"u{i}" for i in range(60_000)))]
     assert rows_of(s.remove_repeats(make("doc_id long, text string", *rows))) == digests(plain(rows))
     assert rows_of(s.remove_repeats(make("doc_id long, text string"))) == []
+
+
+def test_index_looks_up_seeds_and_steps_on_from_matches_only(monkeypatch):
+    steps, rounds = [], []
+    extend = s.FmIndex.extend
+
+    def counted(self, symbols, low, high):
+        steps.append(len(symbols))
+        rounds.append(1)
+        return extend(self, symbols, low, high)
+
+    monkeypatch.setattr(s.FmIndex, "extend", counted)
+    alone = [np.arange(1 + 300 * k, 301 + 300 * k) for k in range(20)]
+    assert not s.FmIndex(alone, np.ones(20, np.int64), 16).repeated(35).any() and sum(steps) == 0
+    steps.clear(), rounds.clear()
+    long = np.random.default_rng(3).integers(1, 1_000_000, 1_000)
+    numbered = np.unique(long, return_inverse=True)[1] + 1
+    found = s.FmIndex([numbered, numbered[:500]], np.array([1, 1]), 16).repeated(35)
+    assert found[:466].all() and not found[466:1001].any() and found[1001:1467].all() and sum(rounds) < 2 * (s.STRETCH + 35)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(1, 3), min_size=1, max_size=150), st.integers(1, 2)), min_size=1, max_size=6), st.integers(1, 9), st.integers(1, 9))
+def test_seeded_index_counts_windows(segments, seed, more):
+    size = seed + more - 1
+    words = [np.array(x) for x, _ in segments]
+    index = s.FmIndex(words, np.array([w for _, w in segments]), seed)
+    counts = Counter()
+    for x, w in segments:
+        for i in range(len(x) - size + 1):
+            counts[tuple(x[i : i + size])] += w
+    found = index.repeated(size)
+    for (x, _), start in zip(segments, index.starts, strict=True):
+        for i in range(len(x) - size + 1):
+            assert found[start + i] == (counts[tuple(x[i : i + size])] > 1)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=1, max_size=20).filter(lambda w: len(w.split()) == 1 and w.split()[0] == w), min_size=4, max_size=30), min_size=1, max_size=5), st.integers(1, 4))
+def test_segments_of_texts_found_together_are_those_of_each(texts, size):
+    def found(texts):
+        words = s.Words([b" ".join(t) for t in texts])
+        anchors, grams = s.anchors(words, size, 1)
+        text, first, many = s.segments_of(anchors, words.texts, size)
+        places = s.anchor_repeats(grams, size, first, many)
+        return [(t, f - words.texts[t], m, a, p) for t, f, m, a, p in zip(text, first, many, anchors[first], places, strict=True)]
+
+    assert found(texts) == [(i, *row[1:]) for i, t in enumerate(texts) for row in found([t])]
+
+
+def test_words_hash_by_all_their_bytes():
+    texts = [b"a b a\x00 " + b"x" * 300 + b" " + b"x" * 299 + b"y", b"b a " + b"x" * 300, b"12345678 123456789 12345678\x00"]
+    words = s.Words(texts)
+    plain_words = b" ".join(texts).split(b" ")
+    hashed = words.hashes().tolist()
+    assert len({*hashed}) == len({*plain_words}) == len({*zip(plain_words, hashed, strict=True)})
+    assert words.span(3, 5) == b" ".join(plain_words[3:5]) and words.texts.tolist() == [0, 5, 8, 11]
+    assert s.least(np.array([3, 1, 2, 5, 4, 6, 0]), 3).tolist() == [1, 1, 2, 4, 0]

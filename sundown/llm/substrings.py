@@ -5,9 +5,10 @@ A window is ``words`` consecutive words of one text. It goes if its words also s
 1. Every row's words are written once, compressed, under a number of their own, in buckets.
 2. Sharding. Of the hashes of the ``GRAM``-word grams in a window the smallest is its anchor, so
    equal windows have equal anchors. Consecutive windows of one anchor form a segment. Anchors
-   that stand at one place only can't belong to a repeated window; the words of all other segments are fetched,
-   equal segments become one with a weight, and segments are dealt to shards by anchor. A shard so
-   holds every occurrence of its windows, and no text meets all shards.
+   that stand at one place only can't belong to a repeated window; all other segments get a digest of
+   their words, equal segments become one with a weight, whose words are fetched from one of its texts,
+   and these are dealt to shards by anchor. A shard so holds every occurrence of its windows, and no
+   text meets all shards.
 3. Where one anchor's different segments pass ``HOT_BYTES`` (a short passage in many surroundings),
    its windows are dealt singly by their own hash, those that occur once left out.
 4. Each shard builds an FM-index over its segments: suffix order by prefix doubling, the
@@ -346,17 +347,32 @@ def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, dict, bytes]]:
+    """Text, part and the part's words."""
+    for batch in batches:
+        for row, held, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "held", "parts")), strict=True):
+            words = Words([unpacked(held)])
+            for p in parts:
+                yield row, p, words.span(p["start"], p["start"] + p["windows"] + size - 1)
+
+
+def _digests(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for row, p, content in _parts(batches, size):
+            yield row, p["start"], p["windows"], p["anchor"], hashlib.blake2b(content, digest_size=16).digest()
+
+    names = ["id", "start", "windows", "anchor", "segment"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return lambda batches: _batched(rows(batches), names, types, 4)
+
+
 def _contents(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for row, held, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "held", "parts")), strict=True):
-                words = Words([unpacked(held)])
-                for p in sorted(parts, key=lambda p: p["start"]):
-                    content = words.span(p["start"], p["start"] + p["windows"] + size - 1)
-                    yield row, p["start"], p["anchor"], hashlib.blake2b(content, digest_size=16).digest(), content
-
-    names = ["id", "start", "anchor", "segment", "content"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for _, p, content in _parts(batches, size):
+            yield p["segment"], p["copies"], p["anchor"], len(content), content
+
+    names = ["segment", "copies", "anchor", "bytes", "content"]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return lambda batches: _batched(rows(batches), names, types, 4)
 
 
@@ -393,8 +409,8 @@ def _searched(size: int):
 
 
 def _search(shards: DataFrame, size: int, shard_bytes: int) -> DataFrame:
-    """(segment, first, last) of (segment, copies, content, anchor); equal anchors meet."""
-    total = shards.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    """(segment, first, last) of (segment, copies, anchor, bytes, content); equal anchors meet."""
+    total = shards.agg(F.sum("bytes")).first()[0] or 0
     dealt = shards.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 + total // shard_bytes)))
     return dealt.select("shard", "segment", "copies", "content").groupBy("shard").applyInArrow(
         _searched(size), "segment binary, first bigint, last bigint"
@@ -417,7 +433,7 @@ def _search_single(hot: DataFrame, size: int, shard_bytes: int) -> DataFrame:
         .join(hot.select("segment", "content"), "segment")
         .mapInArrow(_window_contents(size), "segment binary, copies bigint, content binary")
     )
-    found = _search(cut_lineage(fetched.withColumn("anchor", F.col("segment"))), size, shard_bytes)
+    found = _search(cut_lineage(fetched.withColumns({"anchor": F.col("segment"), "bytes": F.octet_length("content")})), size, shard_bytes)
     return found.select(F.col("segment").alias("window")).join(windows, "window").select(
         "segment", F.col("place").alias("first"), F.col("place").alias("last")
     )
@@ -437,16 +453,22 @@ def repeated_segments(
         .agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("parts"))  # of one text
     )
     held = cut_lineage(
-        texts.join(parts, "id").mapInArrow(_contents(size), "id bigint, start int, anchor bigint, segment binary, content binary")
+        texts.join(parts, "id").mapInArrow(_digests(size), "id bigint, start int, windows int, anchor bigint, segment binary")
     )
-    classes = cut_lineage(
-        held.groupBy("segment").agg(
-            F.first("anchor").alias("anchor"), F.count(F.lit(1)).alias("copies"), F.first("content").alias("content")
+    # Of equal segments the words of one are fetched.
+    owners = (
+        held.groupBy("segment")
+        .agg(
+            F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.min_by("start", "id").alias("start"),
+            F.first("windows").alias("windows"), F.first("anchor").alias("anchor"),
         )
+        .groupBy("id")
+        .agg(F.collect_list(F.struct("segment", "copies", "start", "windows", "anchor")).alias("parts"))  # of one text
     )
-    heavy = cut_lineage(
-        classes.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("bytes")).filter(F.col("bytes") > hot_bytes).select("anchor")
-    )
+    classes = cut_lineage(texts.join(owners, "id").mapInArrow(
+        _contents(size), "segment binary, copies bigint, anchor bigint, bytes bigint, content binary"
+    ))
+    heavy = cut_lineage(classes.groupBy("anchor").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > hot_bytes).select("anchor"))
     found = _search(classes.join(heavy, "anchor", "left_anti"), size, shard_bytes)
     if not heavy.isEmpty():
         found = found.unionByName(_search_single(classes.join(heavy, "anchor", "left_semi"), size, shard_bytes))

@@ -172,3 +172,21 @@ def test_words_hash_by_all_their_bytes():
     assert len({*hashed}) == len({*plain_words}) == len({*zip(plain_words, hashed, strict=True)})
     assert words.span(3, 5) == b" ".join(plain_words[3:5]) and words.texts.tolist() == [0, 5, 8, 11]
     assert s.least(np.array([3, 1, 2, 5, 4, 6, 0]), 3).tolist() == [1, 1, 2, 4, 0]
+
+
+def test_words_of_equal_segments_are_fetched_once(spark, make, monkeypatch):
+    written = []
+    cut = s.cut_lineage
+
+    def counted(frame, *more):
+        out = cut(frame, *more)
+        if "content" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(s, "cut_lineage", counted)
+    text = " ".join(f"p{i}" for i in range(200))
+    got = s.remove_repeats(make("doc_id long, text string", *[(i, text) for i in range(20)]))
+    assert {(r["n_words"], r["n_removed"]) for r in got.collect()} == {(200, 200)}
+    words = s.Words([text.encode()])
+    assert sum(written) == len(s.segments_of(s.anchors(words, 35, 8)[0], words.texts, 35)[0])
